@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from .jaccard_join import op5_jaccard_join
 from .rlz_dedup import op3_rlz_dedup
 
-QUERIES = {f.__name__: f for f in (op3_rlz_dedup,)}
+QUERIES = {f.__name__: f for f in (op3_rlz_dedup, op5_jaccard_join)}
 
 ORACLE_SQL: dict[str, str] = {}
