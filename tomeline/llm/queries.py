@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from .jaccard_join import op5_jaccard_join
+from .mixing import op9_source_mixing
 from .rlz_dedup import op3_rlz_dedup
 from .secret_scan import op10_secret_scan
 
-QUERIES = {f.__name__: f for f in (op3_rlz_dedup, op5_jaccard_join, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op3_rlz_dedup, op5_jaccard_join, op9_source_mixing, op10_secret_scan)}
 
 ORACLE_SQL: dict[str, str] = {}
