@@ -18,6 +18,9 @@ SLICE_BYTES = 2_000_000
 
 _WS = np.zeros(256, bool)
 _WS[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes of names and numbers: ASCII letters and digits, and all beyond ASCII.
+ALNUM = np.zeros(256, bool)
+ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = ALNUM[128:] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _RANDOM = np.random.Generator(np.random.PCG64(20_240_501))
@@ -87,7 +90,8 @@ class Words:
         return len(self.row)
 
 
-def words(col: pa.Array, lower: bool = False) -> Words:
+def words(col: pa.Array, lower: bool = False, made_of: np.ndarray | None = None) -> Words:
+    """made_of: the bytes that words consist of (default: all but white space)."""
     data, offs = raw_bytes(col)
     if lower:
         data = _LOWER[data]
@@ -95,8 +99,8 @@ def words(col: pa.Array, lower: bool = False) -> Words:
     if not n:
         none = np.zeros(0, np.int64)
         return Words(none, none, none, np.zeros(0, np.uint64), data, np.zeros(len(col), np.int64))
-    ws = _WS[data]
-    ink = ~ws
+    ink = ~_WS[data] if made_of is None else made_of[data]
+    ws = ~ink
     edge = np.zeros(n + 1, bool)
     edge[offs] = True
     left, right = edge[:-1].copy(), edge[1:].copy()
