@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from .crf_langid import op2_crf_langid
 from .decontamination import op4_decontamination
+from .graph_ann import op7_graph_ann
 from .html_extract import op1_html_extract
 from .jaccard_join import op5_jaccard_join
 from .mixing import op9_source_mixing
 from .rlz_dedup import op3_rlz_dedup
 from .secret_scan import op10_secret_scan
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op2_crf_langid, op3_rlz_dedup, op4_decontamination, op5_jaccard_join, op9_source_mixing, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_crf_langid, op3_rlz_dedup, op4_decontamination, op5_jaccard_join, op7_graph_ann, op9_source_mixing, op10_secret_scan)}
 
 ORACLE_SQL: dict[str, str] = {}
