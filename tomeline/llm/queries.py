@@ -10,7 +10,8 @@ from .jaccard_join import op5_jaccard_join
 from .mixing import op9_source_mixing
 from .rlz_dedup import op3_rlz_dedup
 from .secret_scan import op10_secret_scan
+from .token_counts import op6_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op2_crf_langid, op3_rlz_dedup, op4_decontamination, op5_jaccard_join, op7_graph_ann, op9_source_mixing, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_crf_langid, op3_rlz_dedup, op4_decontamination, op5_jaccard_join, op6_token_counts, op7_graph_ann, op9_source_mixing, op10_secret_scan)}
 
 ORACLE_SQL: dict[str, str] = {}
