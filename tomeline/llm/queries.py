@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat_rotation import OP8_SQL, op8_chat_rotation
 from .crf_langid import op2_crf_langid
 from .decontamination import op4_decontamination
 from .graph_ann import op7_graph_ann
@@ -12,6 +13,6 @@ from .rlz_dedup import op3_rlz_dedup
 from .secret_scan import op10_secret_scan
 from .token_counts import op6_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op2_crf_langid, op3_rlz_dedup, op4_decontamination, op5_jaccard_join, op6_token_counts, op7_graph_ann, op9_source_mixing, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_crf_langid, op3_rlz_dedup, op4_decontamination, op5_jaccard_join, op6_token_counts, op7_graph_ann, op8_chat_rotation, op9_source_mixing, op10_secret_scan)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_chat_rotation": OP8_SQL}
