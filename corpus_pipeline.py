@@ -1,17 +1,73 @@
-"""Corpus pipeline: STAGES, run() and ORACLE_SQL."""
+"""Corpus pipeline: language ID, near-duplicate removal, decontamination, secret
+redaction, mixing.
+
+STAGES lists (name, function).  A function takes (spark, docs, sf_dir) and returns
+a DataFrame; all but the last return the columns of documents.  run() applies them
+in order to the documents table.
+
+Defined results: rows with null text or without letters go in the first stage.
+Rows that repeat a doc_id are one document after the second.  Null doc_ids pass.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tomeline.llm import crf_langid, decontamination, jaccard_join, mixing, secret_scan
+from tomeline.llm.store import materialise
+
+#: A text of which no language has this share is rejected, as is one without letters.
+LEAST_LANGUAGE_SHARE = 0.4
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents with a recognised main language."""
+    predicted = crf_langid.predict(docs, crf_langid.fit(docs), docs.columns)
+    return predicted.where((F.col("lang_pred") != crf_langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SHARE)).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies keep the document with the least doc_id."""
+    classes = materialise(jaccard_join.near_duplicate_classes(docs), "classes")
+    kept = docs.join(classes.where("component_id < doc_id").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    repeated = classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    if not repeated.isEmpty():
+        named = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
+        kept = named.unionByName(kept.where("doc_id is null"))
+    return kept
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that hold a benchmark item or an edited copy of one."""
+    leaks = decontamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace the secrets in the texts; all documents stay."""
+    return secret_scan.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes: doc_id, source, size, source_size, target, taken."""
+    return mixing.taken_words(docs).where("taken > 0")
+
 
-STAGES: list = []
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("decontaminate", decontaminate),
+    ("redact_secrets", redact_secrets),
+    ("mix_sources", mix_sources),
+]
 
-#: The stages learn, align and draw at random, which SQL can't express.
+#: The stages learn, align and draw at random, which SQL can't express; the tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
