@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+FLAGSHIP = "g1_topk"
 QUERIES: dict = {}
 ORACLES: dict = {}
-FLAGSHIP = "g1_topk"
+
+for _name in ("telemetry", "corpus"):
+    _plan = import_module(f"{__package__}.{_name}")
+    QUERIES |= _plan.QUERIES
+    ORACLES |= _plan.ORACLES
