@@ -1,10 +1,13 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 1. Seeds.  The GRAM-word grams of the benchmark items are counted over the whole
-   corpus (documents that hold them).  Of each item the rarer half, at least
-   LEAST_SEEDS, are its seeds: the choice is relative to the item, so an item
-   that leaked into a third of all documents still has its seeds.
-2. Candidates.  Documents and items that share a seed, with the places.
+   corpus (documents that hold them).  An item's seeds are its grams that are not
+   common: held by at most COMMON times as many documents as three quarters of its
+   grams that occur at all, and always the LEAST_SEEDS rarest.  The choice is
+   relative to the item, so one that leaked into a third of all documents, whole or
+   edited, still has its seeds.
+2. Candidates.  Documents and items that share two seed places (one, if the item
+   has fewer than LEAST_SEEDS grams).
 3. Alignment.  Around the places the document's words are aligned locally with
    the item (match +2, mismatch -1, gap -1).  score is the best alignment over
    that of the item with itself, so an exact copy has 1.0, and a copy with a
@@ -37,6 +40,7 @@ from .vectext import ALNUM, BASE_A, grams, signed, slices, table, words
 
 GRAM = 3
 LEAST_SEEDS = 8
+COMMON = 4
 MATCH = 0.5
 GRAMS_AT_MOST = 1_000_000
 
@@ -82,12 +86,13 @@ def candidates(documents: DataFrame, benchmark: DataFrame, k: int = GRAM, at_mos
         hits = docs.mapInArrow(_grams("doc_id", k), schema).join(distinct, "gram").select("doc_id", "gram", "place")
     hits = materialise(hits, "gram-hits")
     held = hits.select("gram", "doc_id").distinct().groupBy("gram").agg(F.count("*").alias("held"))
-    per = W.partitionBy("item_id")
-    seeds = items.groupBy("item_id", "gram").agg(F.collect_set("place").alias("at")).join(held, "gram", "left")
-    seeds = seeds.withColumn("nth", F.row_number().over(per.orderBy(F.coalesce("held", F.lit(0)), "gram"))).withColumn("of", F.count("*").over(per))
-    seeds = seeds.where(F.col("nth") <= F.greatest(F.lit(LEAST_SEEDS), F.ceil(F.col("of") / 2))).select("item_id", "gram", F.explode("at").alias("at"))
-    both = hits.join(seeds, "gram")
-    return both.groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("place", "at")).alias("hits"))
+    seeds = items.groupBy("item_id", "gram").agg(F.collect_set("place").alias("at")).join(held, "gram")
+    usual = seeds.groupBy("item_id").agg(F.percentile("held", 0.75).alias("usual"))
+    nth = F.row_number().over(W.partitionBy("item_id").orderBy("held", "gram"))
+    seeds = seeds.join(usual, "item_id").withColumn("nth", nth).where((F.col("held") <= COMMON * F.col("usual")) | (F.col("nth") <= LEAST_SEEDS)).select("item_id", "gram", F.explode("at").alias("at"))
+    both = hits.join(seeds, "gram").groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("place", "at")).alias("hits"))
+    words_of = items.groupBy("item_id").agg(F.count("*").alias("grams"))
+    return both.join(words_of, "item_id").where((F.size("hits") >= 2) | (F.col("grams") < LEAST_SEEDS)).select("doc_id", "item_id", "hits")
 
 
 def align(doc: np.ndarray, item: np.ndarray) -> tuple[float, int]:
