@@ -71,8 +71,9 @@ def same_origin(urls: DataFrame, site: str) -> DataFrame:
 def sitemap_urls(docs: DataFrame) -> DataFrame:
     """The <loc> values; fails when there is none at all (an empty sitemap is an error, not an empty corpus)."""
     locs = docs.select(F.explode(F.regexp_extract_all("xml", F.lit(r"<loc>\s*([^<\s]+)\s*</loc>"), 1)).alias("url"))
-    checked = docs.agg(F.sum(F.regexp_count("xml", F.lit(r"<loc>\s*[^<\s]+\s*</loc>"))).alias("n")).select(F.assert_true(F.coalesce("n", F.lit(0)) > 0, "empty sitemap").alias("ok"))
-    return locs.join(F.broadcast(checked), F.expr("ok is null"), "left").select("url").distinct()
+    n = docs.agg(F.coalesce(F.sum(F.regexp_count("xml", F.lit(r"<loc>\s*[^<\s]+\s*</loc>"))), F.lit(0)).alias("n"))
+    fails = n.select(F.when(F.col("n") == 0, F.raise_error(F.lit("empty sitemap")).cast("string")).alias("url")).where("url is not null")
+    return locs.unionByName(fails).distinct()
 
 
 def reconcile_ledger(ledger: DataFrame, fetched: DataFrame, now) -> DataFrame:
