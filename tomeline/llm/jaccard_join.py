@@ -1,21 +1,26 @@
-"""Exact n-gram Jaccard self-join by pivots in the Jaccard metric space.
+"""Exact n-gram Jaccard self-join by pivots in a metric space of sets.
 
-The distance 1 - |A n B| / |A u B| is a metric.  Unrelated documents are all at
-distance 1, so pivots are chosen where documents can be close at all: a region
-is seeded by a shingle of the documents' rare prefixes.  (With shingles in a
-fixed order, rarest first, two sets of similarity t share one of the first
-|A| - ceil(t |A|) + 1; the order comes from a constant-size sketch of shingle
-frequencies over the whole input, and the result doesn't depend on it.)
+J(A, B) >= t is the same as |A ^ B| <= K (|A| + |B|) with K = (1 - t) / (1 + t),
+and the symmetric difference is a metric.  Unrelated documents are at the
+greatest distance, so pivots are set where documents can be close at all:
+a region is seeded by a shingle of the documents' rare prefixes.  (With
+shingles in a fixed order, rarest first, two sets of similarity t share one of
+the first |A| - ceil(t |A|) + 1; the order comes from a constant-size sketch of
+shingle frequencies over the whole input; the result doesn't depend on it.)
 
 * A region of up to LEAF documents is joined directly.
-* A larger one draws pivots.  Their distances to all its documents are computed
-  exactly.  Documents within the threshold of a pivot are linked to it, which
-  joins them without comparing them with one another.  Every document goes to
-  its nearest pivot's Voronoi region and also to the region of each pivot q with
-  d(x, q) - d(x, nearest) <= 2 * threshold (the triangle inequality: a partner
-  in q's region is impossible beyond that).  Pivots leave, being done, and the
-  regions join recursively, with twice as many pivots in each round, until all
-  documents of a region are connected or it is a leaf.
+* A larger one gets a pivot c, the shingles that more than half of SAMPLED of its
+  documents hold (any set would do), and every document x its distance
+  r(x) = |x ^ c|.  By the triangle
+  inequality |x ^ y| <= r(x) + r(y), so with f(x) = r(x) - K |x| the pair is
+  linked for sure if f(x) + f(y) <= 0.  The document with the least f is the
+  hub; what can be linked to it so, is, without comparing any pair.
+* Any other document x is compared with the hub, and can have another partner y
+  only if their differences from c overlap enough, as
+  |x ^ y| = r(x) + r(y) - 2 |(x ^ c) & (y ^ c)|.  So the rest go, with what may be
+  near them, to new regions, one for each shingle of a prefix of their difference
+  from c (rarest first, as above; its length follows from the overlap needed).  Such a region has about half the documents at most,
+  and the regions join recursively until they are leaves.
 
 Every link between different texts is found or implied by links found, so the
 components are exact.  Pairs are verified on the whole sets, computed again
@@ -37,8 +42,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import components
@@ -48,9 +55,11 @@ from .vectext import BASE_A, BASE_B, grams, mix, signed, slices, table, words
 SHINGLE = 4
 PERCENT = 85
 LEAF = 32
-PIVOTS = 4
+SAMPLED = 15
 #: Counters of the frequency sketch (4 MB, whatever the input), and how many blocks they move in.
 SKETCH, BLOCKS = 2**20, 64
+#: Bits of the bitmap of documents that take part in pairs (4 MB).
+MARKS = 2**25
 #: A shingle is very frequent if its counter is so much above the mean counter.
 FREQUENT = 20_000
 
@@ -157,56 +166,54 @@ def _prefixes(k: int, percent: int, counts):
 
 
 def _leaves(percent: int, leaf: int):
-    """Reduce over rows sorted by shingle: the pairs of regions of at most leaf
-    documents; rows of larger ones go on as they are.  At most leaf rows are
-    carried from batch to batch."""
-    schema = pa.schema([("region", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+    """Reduce over rows sorted by region: the pairs of regions of at most leaf
+    documents which may be linked and aren't connected already; rows of larger
+    regions go on as they are (with b null).  At most leaf rows are carried from
+    batch to batch."""
+    schema = pa.schema([("region", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("component", pa.int64())])
+    names = ("region", "doc_id", "n", "component", "far")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.zeros(0, np.int64)
-        held, big = (none, none, none), None  # the last region so far, or the large region being passed on
+        none = [np.zeros(0, np.int64)] * 4 + [np.zeros(0, bool)]
+        held, big = none, None  # the last region so far, or the large region being passed on
 
-        def out(region, a, b):
-            return table({"region": region, "a": a, "b": b}, schema)
-
-        def pairs(s, d, n):
-            a_all, b_all = [none], [none]
+        def pairs(s, d, n, c, far):
+            a_all, b_all = [none[0]], [none[0]]
             for gap in range(1, leaf):
-                if gap >= len(s):
-                    break
-                hit = s[gap:] == s[:-gap]
-                if not hit.any():
+                if gap >= len(s) or not (hit := s[gap:] == s[:-gap]).any():
                     break
-                near = hit & (100 * np.minimum(n[gap:], n[:-gap]) >= percent * np.maximum(n[gap:], n[:-gap]))
-                a_all.append(np.minimum(d[gap:][near], d[:-gap][near]))
-                b_all.append(np.maximum(d[gap:][near], d[:-gap][near]))
+                hit = hit & (100 * np.minimum(n[gap:], n[:-gap]) >= percent * np.maximum(n[gap:], n[:-gap]))
+                hit &= (c[gap:] != c[:-gap]) & (far[gap:] | far[:-gap])
+                a_all.append(np.minimum(d[gap:][hit], d[:-gap][hit]))
+                b_all.append(np.maximum(d[gap:][hit], d[:-gap][hit]))
             a, b = np.concatenate(a_all), np.concatenate(b_all)
             one = np.unique(np.stack([a, b]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
             one = one[:, one[0] != one[1]]
-            return out(np.zeros(one.shape[1], np.int64), one[0], one[1])
+            zero = np.zeros(one.shape[1], np.int64)
+            return table({"region": zero, "a": one[0], "b": one[1], "component": zero}, schema)
 
         for batch in batches:
-            s, d, n = (np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, ("shingle", "doc_id", "n")))
+            cols = [np.concatenate([h, batch.column(c).to_numpy(zero_copy_only=False)]) for h, c in zip(held, names)]
+            s, d = cols[:2]
             if not len(s):
                 continue
             group = np.concatenate([[0], np.cumsum(s[1:] != s[:-1])])
-            size = np.bincount(group)
-            large = size > leaf
+            large = np.bincount(group) > leaf
             if big is not None and s[0] == big:
                 large[0] = True
             else:
                 big = None
-            if large.any():
-                pick = large[group]
-                yield out(s[pick], d[pick], np.full(pick.sum(), -1, np.int64))
+            pick = large[group]
+            if pick.any():
+                yield pa.RecordBatch.from_arrays([pa.array(s[pick]), pa.array(d[pick]), pa.nulls(int(pick.sum()), pa.int64()), pa.array(cols[3][pick])], schema=schema)
             last = group == group[-1]
             if large[-1]:
-                big, held = s[-1], (none, none, none)
+                big, held = s[-1], none
             else:
-                big, held = None, (s[last], d[last], n[last])
-            done = ~last & ~large[group]
+                big, held = None, [x[last] for x in cols]
+            done = ~last & ~pick
             if done.any():
-                yield pairs(s[done], d[done], n[done])
+                yield pairs(*(x[done] for x in cols))
         if len(held[0]):
             yield pairs(*held)
 
@@ -234,6 +241,144 @@ def _verify(k: int):
     return run
 
 
+def _pivot(k: int):
+    """Group: the shingles that more than half of a region's sampled documents hold."""
+
+    def run(group: pa.Table) -> pa.Table:
+        _, h, _ = shingle_sets(group.column("text").combine_chunks(), k)
+        u, n = np.unique(h, return_counts=True)
+        return pa.table({"region": group.column("region")[:1], "pivot": [signed(np.sort(u[2 * n > group.num_rows]))]}, schema=pa.schema([("region", pa.int64()), ("pivot", pa.list_(pa.int64()))]))
+
+    return run
+
+
+def _distances(k: int, percent: int):
+    """Map: each document's f (times 100 + percent) and the shingles in which it differs from its pivot."""
+    schema = pa.schema([("region", pa.int64()), ("doc_id", pa.int64()), ("component", pa.int64()), ("n", pa.int64()), ("f", pa.int64()), ("differs", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                _, h, size = shingle_sets(part.column("text"), k)
+                at = np.cumsum(size) - size
+                differs, f = [], []
+                for i, c in enumerate(part.column("pivot")):
+                    x = signed(h[at[i] : at[i] + size[i]])
+                    d = np.setxor1d(x, c.values.to_numpy() if len(c) else x[:0], assume_unique=True)
+                    differs.append(d)
+                    f.append((100 + percent) * len(d) - (100 - percent) * len(x))
+                yield pa.RecordBatch.from_arrays([part.column("region"), part.column("doc_id"), part.column("component"), pa.array(size), pa.array(f, pa.int64()), pa.array(differs, pa.list_(pa.int64()))], schema=schema)
+
+    return run
+
+
+def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros(MARKS, np.uint8)
+    for batch in batches:
+        bits[_place(batch.column("doc_id").to_numpy())] = 1
+    for b, part in enumerate(np.packbits(bits).reshape(BLOCKS, -1)):
+        yield pa.RecordBatch.from_pydict({"block": [b], "counts": [part.tobytes()]})
+
+
+def _either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for b, raw in zip(batch.column("block").to_pylist(), batch.column("counts")):
+            c = np.frombuffer(raw.as_py(), np.uint8)
+            total[b] = total[b] | c if b in total else c
+    for b, c in total.items():
+        yield pa.RecordBatch.from_pydict({"block": [b], "counts": [c.tobytes()]})
+
+
+def _place(doc_id: np.ndarray) -> np.ndarray:
+    return (mix(doc_id.astype(np.int64).view(np.uint64)) % np.uint64(MARKS)).astype(np.int64)
+
+
+def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose id is among ids.  A bitmap of constant size, by hash,
+    spares the others the shuffle; the semi-join decides."""
+    schema = "block long, counts binary"
+    rows = ids.mapInArrow(_mark, schema).repartition(8, "block").mapInArrow(_either, schema).collect()
+    bits = np.zeros((BLOCKS, MARKS // BLOCKS // 8), np.uint8)
+    for r in rows:
+        bits[r.block] |= np.frombuffer(bytes(r.counts), np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(bits.ravel())
+
+    @F.pandas_udf("boolean")
+    def marked(doc_id: pd.Series) -> pd.Series:
+        at = _place(doc_id.to_numpy())
+        return pd.Series((shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1)
+
+    return docs.where(marked("doc_id")).join(ids, "doc_id", "left_semi")
+
+
+def _verify(k: int):
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("common", pa.int64()), ("either", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text_a"):
+                sides = []
+                for c in ("text_a", "text_b"):
+                    row, h, size = shingle_sets(part.column(c), k)
+                    sides.append((row, h, size))
+                (ra, ha, na), (rb, hb, nb) = sides
+                row, h = np.concatenate([ra, rb]), np.concatenate([ha, hb])
+                o = np.lexsort((h, row))
+                row, h = row[o], h[o]
+                twice = np.flatnonzero((row[1:] == row[:-1]) & (h[1:] == h[:-1]))
+                common = np.bincount(row[twice], minlength=part.num_rows).astype(np.int64)
+                yield table({"a": part.column("a").to_numpy(), "b": part.column("b").to_numpy(), "common": common, "either": na + nb - common}, schema)
+
+    return run
+
+
+def _pivot(k: int):
+    """Group: the shingles that more than half of a region's sampled documents hold."""
+
+    def run(group: pa.Table) -> pa.Table:
+        _, h, _ = shingle_sets(group.column("text").combine_chunks(), k)
+        u, n = np.unique(h, return_counts=True)
+        return pa.table({"region": group.column("region")[:1], "pivot": [signed(np.sort(u[2 * n > group.num_rows]))]}, schema=pa.schema([("region", pa.int64()), ("pivot", pa.list_(pa.int64()))]))
+
+    return run
+
+
+def _distances(k: int, percent: int):
+    """Map: each document's f (times 100 + percent) and the shingles in which it differs from its pivot."""
+    schema = pa.schema([("region", pa.int64()), ("doc_id", pa.int64()), ("component", pa.int64()), ("n", pa.int64()), ("f", pa.int64()), ("differs", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                _, h, size = shingle_sets(part.column("text"), k)
+                at = np.cumsum(size) - size
+                differs, f = [], []
+                for i, c in enumerate(part.column("pivot")):
+                    x = signed(h[at[i] : at[i] + size[i]])
+                    d = np.setxor1d(x, c.values.to_numpy() if len(c) else x[:0], assume_unique=True)
+                    differs.append(d)
+                    f.append((100 + percent) * len(d) - (100 - percent) * len(x))
+                yield pa.RecordBatch.from_arrays([part.column("region"), part.column("doc_id"), part.column("component"), pa.array(size), pa.array(f, pa.int64()), pa.array(differs, pa.list_(pa.int64()))], schema=schema)
+
+    return run
+
+
+def _spread():
+    """Map: one row for each shingle in which a document differs from its pivot."""
+    schema = pa.schema([("region", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("component", pa.int64()), ("far", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            d = batch.column("differs")
+            row = np.repeat(np.arange(batch.num_rows), np.diff(d.offsets.to_numpy()))
+            region = batch.column("region").to_numpy()[row]
+            key = mix(d.flatten().to_numpy().view(np.uint64) + mix(region.view(np.uint64)))
+            yield table({"region": signed(key), "doc_id": batch.column("doc_id").to_numpy()[row], "n": batch.column("n").to_numpy()[row], "component": batch.column("component").to_numpy()[row], "far": batch.column("far").to_numpy(zero_copy_only=False)[row]}, schema)
+
+    return run
+
+
 def measure(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """Exact intersection and union sizes of the pairs (a, b)."""
     left = pairs.join(docs.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -253,60 +398,61 @@ def join_sets(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT, le
     counts = spark.sparkContext.broadcast(frequency_sketch(docs, k))
     found = docs.mapInArrow(_prefixes(k, percent, counts), "kind tinyint, doc_id long, shingle long, n long")
     found = materialise(found, "prefixes")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    by_shingle = found.where("kind = 1").select("shingle", "doc_id", "n").repartition(n, "shingle").sortWithinPartitions("shingle", "doc_id")
-    parts = materialise(by_shingle.mapInArrow(_leaves(percent, leaf), "region long, a long, b long"), "leaves")
-    pairs = parts.where("b >= 0").select("a", "b").distinct()
-    measured = materialise(measure(pairs, docs, k), "measured")
-    links = measured.where(_linked(percent)).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    seeds = found.where("kind = 1").select(F.col("shingle").alias("region"), "doc_id", "n", F.col("doc_id").alias("component"), F.lit(True).alias("far"))
+    pairs, large = _join_leaves(seeds, percent, leaf)
+    large = large.select("region", "doc_id").unionByName(found.where("kind = 2").select(F.col("shingle").alias("region"), "doc_id"))
+    # A family of copies is a region for each of several shingles: regions with a common document are put together.
+    least = large.groupBy("region").agg(F.min("doc_id").alias("least"), F.count("*").alias("size")).where("size > 1")
+    family = components(large.join(least, "region").select(F.col("least").alias("u"), F.col("doc_id").alias("v")))
+    large = materialise(family.select(F.col("component").alias("region"), F.col("node").alias("doc_id")), "regions")
+    # From here on only these documents' texts are needed.
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(large.select("doc_id")).distinct()
+    texts = materialise(only(docs, materialise(ids, "ids")), "texts")
+    links = materialise(measure(pairs, texts, k), "measured").where(_linked(percent)).select(F.col("a").alias("u"), F.col("b").alias("v"))
     links = links.unionByName(found.where("kind = 3").select(F.col("doc_id").alias("u"), F.col("shingle").alias("v")))
-    regions = parts.where("b < 0").select("region", F.col("a").alias("doc_id")).unionByName(found.where("kind = 2").select(F.col("shingle").alias("region"), "doc_id"))
-    regions = regions.distinct().withColumn("native", F.lit(True))
-    links = _large_regions(materialise(regions, "regions"), links, docs, k, percent, leaf)
-    return found.where("kind = 0").select("doc_id", "n"), links
-
-
-def _large_regions(regions: DataFrame, links: DataFrame, docs: DataFrame, k: int, percent: int, leaf: int) -> DataFrame:
-    """Join the regions (region, doc_id, native) recursively.
-
-    Pairs of two replicas are left to their native regions.
-    """
-    n_pivots, done, window = PIVOTS, None, 2 * (100 - percent) / 100
-    while not regions.isEmpty():
-        links = materialise(links, "links")
-        member = components(links)
-        r = regions.join(member.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        # Regions whose documents are all connected are done.
-        spread = r.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi")
-        r = materialise(r.join(spread.select("region", "size"), "region"), "regions")
-        if r.isEmpty():
-            break
-        if done is None:
-            done = spread.sparkSession.createDataFrame([], "a long, b long, common long, either long")
-        # Small regions: pairs of different components; large ones: pairs with pivots.
-        small = r.where(F.col("size") <= leaf)
-        ends = small.groupBy("region").agg(F.collect_list(F.struct("doc_id", "component", "native")).alias("m"))
-        x = ends.select(F.explode("m").alias("x"), "m")
-        direct = x.select(F.col("x"), F.explode("m").alias("y")).where("x.doc_id < y.doc_id and x.component != y.component and (x.native or y.native)").select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
-        large = r.where(F.col("size") > leaf)
-        pivots = large.groupBy("region").agg(F.array_distinct(F.array(*[F.min_by("doc_id", F.xxhash64("doc_id", F.lit(i))) for i in range(n_pivots)])).alias("pivots"))
-        with_pivots = materialise(large.join(pivots, "region"), "pivots")
-        drawn = with_pivots.select("region", "doc_id", "native", "component", F.explode("pivots").alias("pivot"))
-        pairs = drawn.where("doc_id != pivot").select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b"))
-        pairs = pairs.unionByName(direct).distinct().join(done.select("a", "b"), ["a", "b"], "left_anti")
+    return found.where("kind = 0").select("doc_id", "n"), _large_regions(large, links, texts, k, percent, leaf)
+
+
+def _join_leaves(rows: DataFrame, percent: int, leaf: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of the small regions, and the rows of the large ones."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(n, "region").sortWithinPartitions("region", "doc_id")
+    out = materialise(dealt.mapInArrow(_leaves(percent, leaf), "region long, a long, b long, component long"), "leaves")
+    return out.where("b is not null").select("a", "b").distinct(), out.where("b is null").select("region", F.col("a").alias("doc_id"), "component")
+
+
+def _large_regions(large: DataFrame, links: DataFrame, docs: DataFrame, k: int, percent: int, leaf: int) -> DataFrame:
+    """Join the regions (region, doc_id) recursively; -> links with more of them."""
+    if large.isEmpty():
+        return links
+    links = materialise(links, "links")
+    large = large.join(components(links).withColumnRenamed("node", "doc_id"), "doc_id", "left").select("region", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    # Regions whose documents are all connected already are done.
+    open_ = large.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("region")
+    large = materialise(large.join(open_, "region"), "regions")
+    while not large.isEmpty():
+        first = W.partitionBy("region").orderBy(F.xxhash64("doc_id"), "doc_id")
+        sample = large.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= SAMPLED)
+        pivots = sample.join(docs, "doc_id").select("region", "text").groupBy("region").applyInArrow(_pivot(k), "region long, pivot array<long>")
+        held = large.join(docs, "doc_id").dropDuplicates(["region", "doc_id"]).join(pivots, "region").select("region", "doc_id", "component", "text", "pivot")
+        held = materialise(held.mapInArrow(_distances(k, percent), "region long, doc_id long, component long, n long, f long, differs array<long>"), "distances")
+        hub = held.groupBy("region").agg(F.min(F.struct("f", "doc_id")).alias("hub"), F.max("f").alias("top"))
+        away = held.join(hub, "region").withColumn("far", F.col("f") + F.col("hub.f") > 0)
+        links = links.unionByName(away.where("not far and doc_id != hub.doc_id").select(F.col("hub.doc_id").alias("u"), F.col("doc_id").alias("v")))
+        # What is far is compared with the hub, and may be near another document that differs from the pivot likewise.
+        with_hub = away.where("far and doc_id != hub.doc_id").select(F.least("doc_id", F.col("hub.doc_id")).alias("a"), F.greatest("doc_id", F.col("hub.doc_id")).alias("b"))
+        rest = away.where("doc_id != hub.doc_id and top + hub.f > 0").select("region", "doc_id", "n", "component", "far", "f", "differs")
+        ends = rest.groupBy("region").agg(F.min("f").alias("any_f"), F.min(F.when(F.col("far"), F.col("f"))).alias("far_f"))
+        overlap = F.greatest(F.lit(1), F.ceil((F.col("f") + F.when(F.col("far"), F.col("any_f")).otherwise(F.col("far_f"))) / (2 * (100 + percent))))
+        rest = rest.join(ends, "region").where("far_f is not null").withColumn("prefix", F.size("differs") - overlap + 1).where("prefix > 0")
+        each = rest.select("region", "doc_id", "n", "component", "far", "prefix", F.explode("differs").alias("shingle"))
+        each = each.withColumn("held", F.count("*").over(W.partitionBy("region", "shingle")))
+        nth = F.row_number().over(W.partitionBy("region", "doc_id").orderBy("held", "shingle"))
+        each = each.withColumn("nth", nth).where("nth <= prefix and held > 1")
+        pairs, large = _join_leaves(each.select(F.xxhash64("region", "shingle").alias("region"), "doc_id", "n", "component", "far"), percent, leaf)
+        pairs = pairs.unionByName(with_hub).distinct()
         measured = materialise(measure(pairs, docs, k), "measured")
-        done = materialise(done.unionByName(measured), "measured")
         links = links.unionByName(measured.where(_linked(percent)).select(F.col("a").alias("u"), F.col("b").alias("v")))
-        # Voronoi regions of the pivots, with the documents near the boundaries in both.
-        near = drawn.where("doc_id != pivot").withColumn("a", F.least("doc_id", "pivot")).withColumn("b", F.greatest("doc_id", "pivot")).join(done, ["a", "b"])
-        near = near.select("region", "doc_id", "native", "pivot", (1 - F.col("common") / F.col("either")).alias("d"))
-        left = with_pivots.where(~F.array_contains("pivots", F.col("doc_id"))).select("region", "doc_id")
-        near = near.join(left, ["region", "doc_id"], "left_semi")
-        least = near.groupBy("region", "doc_id").agg(F.min(F.struct("d", "pivot")).alias("least"))
-        near = near.join(least, ["region", "doc_id"]).where(F.col("d") - F.col("least.d") <= window + 1e-9)
-        regions = near.select(F.xxhash64("region", "pivot").alias("region"), "doc_id", (F.col("native") & (F.col("pivot") == F.col("least.pivot"))).alias("native"))
-        regions = materialise(regions.groupBy("region", "doc_id").agg(F.max("native").alias("native")), "regions")
-        n_pivots *= 2
     return links
 
 
