@@ -37,8 +37,8 @@ from .store import materialise
 
 SHARDS = 8
 SHARD_ROWS = 50_000
-DEGREE = 32
-BUILD_BEAM = 64
+DEGREE = 28
+BUILD_BEAM = 48
 BEAM = 128
 ALPHA = 1.2
 WIDTH = 4
@@ -50,7 +50,7 @@ def beam_search(graph: np.ndarray, x: np.ndarray, norm: np.ndarray, q: np.ndarra
     b, n = len(q), len(x)
     rows = np.arange(b)
     ids = np.full((b, beam), -1)
-    dist = np.full((b, beam), np.inf)
+    dist = np.full((b, beam), np.inf, x.dtype)
     ids[:, 0], dist[:, 0] = entry, norm[entry] - 2 * (q @ x[entry])
     done = np.zeros((b, beam), bool)
     seen = np.zeros((b, n), bool)
@@ -80,7 +80,7 @@ def beam_search(graph: np.ndarray, x: np.ndarray, norm: np.ndarray, q: np.ndarra
         count = np.bincount(rr, minlength=b)
         place = np.arange(len(rr)) - np.repeat(np.cumsum(count) - count, count)
         width = int(count.max())
-        more_i, more_d = np.full((b, width), -1), np.full((b, width), np.inf)
+        more_i, more_d = np.full((b, width), -1), np.full((b, width), np.inf, x.dtype)
         more_i[rr, place], more_d[rr, place] = nn, d
         got = np.unique(rr)
         all_i = np.concatenate([ids[got], more_i[got]], 1)
@@ -167,10 +167,11 @@ def _search_shard(k: int):
         x = np.stack(points["embedding"].to_numpy()).astype(np.float64)
         q = np.stack(queries["embedding"].to_numpy()).astype(np.float64)
         sq = (x**2).sum(1)
-        wide = np.concatenate([x, np.sqrt(np.maximum(sq.max() - sq, 0))[:, None]], 1)
+        # The walk is in single precision; scores are computed on the vectors themselves.
+        wide = np.concatenate([x, np.sqrt(np.maximum(sq.max() - sq, 0))[:, None]], 1).astype(np.float32)
         graph, entry = build(wide)
         norm = (wide**2).sum(1)
-        wide_q = np.concatenate([q, np.zeros((len(q), 1))], 1)
+        wide_q = np.concatenate([q, np.zeros((len(q), 1))], 1).astype(np.float32)
         out = []
         for lo in range(0, len(q), BATCH):
             ids, _ = beam_search(graph, wide, norm, wide_q[lo : lo + BATCH], entry, max(BEAM, 2 * k))
