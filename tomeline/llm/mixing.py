@@ -180,7 +180,8 @@ def taken_words(documents: DataFrame, block: int = BLOCK, seed: int = SEED) -> D
     """One row per document: doc_id, source, size, source_size, target, taken."""
     placed, part, slot = mix(documents, block, seed)
     times = slot.groupBy("sid", "block").agg(F.count("*").alias("times"))
-    took = part.join(times, ["sid", "block"]).groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    # Pieces outgrow the small table that they come from, by which a broadcast would be judged.
+    took = part.hint("merge").join(times, ["sid", "block"]).groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     # Documents without words share a row key; they take nothing, so they need no join.
     full = placed.where("size > 0").join(took, "row", "left")
     out = full.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
