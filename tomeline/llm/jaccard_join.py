@@ -309,7 +309,7 @@ def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
         at = _place(doc_id.to_numpy())
         return pd.Series((shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1)
 
-    return docs.where(marked("doc_id")).join(ids, "doc_id", "left_semi")
+    return docs.where(marked("doc_id")).join(ids.hint("merge"), "doc_id", "left_semi")
 
 
 def _verify(k: int):
@@ -381,8 +381,9 @@ def _spread():
 
 def measure(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """Exact intersection and union sizes of the pairs (a, b)."""
-    left = pairs.join(docs.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(docs.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    # Pairs and texts both grow with the input, so neither side is ever broadcast.
+    left = pairs.join(docs.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
+    both = left.join(docs.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(k), "a long, b long, common long, either long")
 
 
