@@ -19,6 +19,8 @@ from tomeline.llm.store import materialise
 
 #: A text of which no language has this share is rejected, as is one without letters.
 LEAST_LANGUAGE_SHARE = 0.4
+#: Near copies share this percentage of their shingles of so many words.  The query op5_jaccard_join has its own values.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +31,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies keep the document with the least doc_id."""
-    classes = materialise(jaccard_join.near_duplicate_classes(docs), "classes")
+    classes = materialise(jaccard_join.near_duplicate_classes(docs, NEAR_WORDS, NEAR_PERCENT), "classes")
     kept = docs.join(classes.where("component_id < doc_id").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
     repeated = classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
     if not repeated.isEmpty():

@@ -384,3 +384,31 @@ def test_pipeline_is_its_stages_by_brute_force(spark, sf):
             assert got[i] == t
     mixed = corpus_pipeline.run(spark, sf).collect()
     assert {r.doc_id for r in mixed} <= set(clean) and all(r.taken <= 2 * r.size for r in mixed)
+
+
+def test_pipeline_takes_near_copies_of_five_words(spark):
+    rng = random.Random(12)
+    base = [f"b{k}" for k in range(100)]
+    t = [*corpus(7), " ".join(base), " ".join("other" if k in (30, 70) else x for k, x in enumerate(base))]
+    for _ in range(60):  # similarities on both sides of 0.8
+        w = text(rng, rng.choice([60, 100, 200])).split()
+        edited = list(w)
+        for k in rng.sample(range(len(w)), rng.choice([1, 2, 3, 4])):
+            edited[k] = f"e{rng.randrange(10**6)}"
+        t += [" ".join(w), " ".join(edited), " ".join(w[: int(len(w) * rng.uniform(0.74, 0.9))])]
+    sets = [frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) for w in (x.lower().split() for x in t)]
+    up = list(range(len(t)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
+                x, y = root(i), root(j)
+                up[max(x, y)] = min(x, y)
+    got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs(spark, *t), "").collect()}
+    assert got == {i for i in range(len(t)) if root(i) == i}
+    assert len(corpus(7)) in got and len(corpus(7)) + 1 not in got
