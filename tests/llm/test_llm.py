@@ -412,3 +412,24 @@ def test_pipeline_takes_near_copies_of_five_words(spark):
     got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs(spark, *t), "").collect()}
     assert got == {i for i in range(len(t)) if root(i) == i}
     assert len(corpus(7)) in got and len(corpus(7)) + 1 not in got
+
+
+def test_one_long_vector_does_not_hide_the_others(spark, sf):
+    x = np.array([r[0] for r in duckdb.sql("select embedding from '/root/testdata/sf0.1/embeddings.parquet' order by vec_id").fetchall()], float)
+    rng = np.random.default_rng(0)
+    asked = x[::40]
+    mixed = x * np.exp(rng.normal(size=(len(x), 1)))
+    for y, q in [(np.concatenate([x, m * rng.normal(size=(1, 64))]), asked) for m in (1e3, 1e4, 1e30)] + [(mixed, mixed[::40])]:
+        got, score = graph_ann.search(y, graph_ann.index(y), q, 20)
+        want = np.argsort(-(q @ y.T), 1)[:, :20]
+        assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(got, want)]) > 0.95
+        assert np.allclose(score, np.take_along_axis(q @ y.T, got, 1))
+    v = spark.createDataFrame([(i, [float(c) for c in r]) for i, r in enumerate(np.concatenate([x, 1e4 * rng.normal(size=(1, 64))]))], "vec_id long, embedding array<double>")
+    hits = [(r.query_id, r.vec_id) for r in graph_ann.nearest(v, v.where("vec_id % 100 = 0"), 20, shards=1).collect()]
+    y = np.concatenate([x, [v.where(f"vec_id = {len(x)}").first().embedding]])
+    hit = 0
+    for i in range(0, len(y), 100):
+        s = y @ y[i]
+        s[i] = -np.inf
+        hit += len({b for a, b in hits if a == i} & set(np.argsort(-s)[:20]))
+    assert hit / len(hits) > 0.95

@@ -7,9 +7,13 @@ the factor ALPHA, so the edges stay diverse; kept neighbours get the edge back a
 are pruned again when they have more than DEGREE.  A query walks every shard with
 a beam of BEAM points, and the shards' results are merged.
 
-Largest inner product is nearest distance after one more coordinate,
-sqrt(max norm^2 - norm^2), 0 for queries.  Scores are computed again in double
-precision on the original vectors.
+Inner product is not a distance, so a shard's points are put in classes of norms
+within RATIO of each other; a class is a graph on the directions of its points (or,
+up to EXACT points, no graph: all are compared) and is walked by inner product.
+Classes go from the largest norms down, and a query leaves out a class whose largest
+norm can't reach what it has.  Only directions and norms over the class's largest
+enter, so norms of any size may lie in one shard.  What the beam holds is ranked by
+scores in double precision on the original vectors.
 
 Equal vectors are one point of the graph.  Of its rows the k + 1 with the least
 ids are kept, which is all that a list of k can need, so a vector held by a third
@@ -43,15 +47,26 @@ BEAM = 128
 ALPHA = 1.2
 WIDTH = 4
 BATCH = 256
+RATIO = 1.25
+EXACT = 512
 
 
-def beam_search(graph: np.ndarray, x: np.ndarray, norm: np.ndarray, q: np.ndarray, entry: int, beam: int):
-    """For each row of q the beam's points and squared distances (less |q|^2), nearest first; -1 pads."""
+def beam_search(graph: np.ndarray, x: np.ndarray, norm: np.ndarray | None, q: np.ndarray, entry: int, beam: int):
+    """For each row of q the beam's points and distances, nearest first; -1 pads.
+    A distance is norm less twice the product, or squared differences if norm is None."""
+
+    def far(r: np.ndarray, p: np.ndarray) -> np.ndarray:
+        if norm is not None:
+            return norm[p] - 2 * np.einsum("ij,ij->i", q[r], x[p])
+        gap = q[r]
+        gap -= x[p]
+        return np.einsum("ij,ij->i", gap, gap)
+
     b, n = len(q), len(x)
     rows = np.arange(b)
     ids = np.full((b, beam), -1)
     dist = np.full((b, beam), np.inf, x.dtype)
-    ids[:, 0], dist[:, 0] = entry, norm[entry] - 2 * (q @ x[entry])
+    ids[:, 0], dist[:, 0] = entry, far(rows, np.full(b, entry))
     done = np.zeros((b, beam), bool)
     seen = np.zeros((b, n), bool)
     seen[:, entry] = True
@@ -76,7 +91,7 @@ def beam_search(graph: np.ndarray, x: np.ndarray, norm: np.ndarray, q: np.ndarra
         seen[rr, nn] = True
         if not len(rr):
             continue
-        d = norm[nn] - 2 * np.einsum("ij,ij->i", q[rr], x[nn])
+        d = far(rr, nn)
         count = np.bincount(rr, minlength=b)
         place = np.arange(len(rr)) - np.repeat(np.cumsum(count) - count, count)
         width = int(count.max())
@@ -95,8 +110,8 @@ def prune(x: np.ndarray, point: np.ndarray, cand: np.ndarray, degree: int, alpha
     """Of each point's candidates (-1 pads) at most degree diverse ones."""
     m, c = cand.shape
     safe = np.maximum(cand, 0)
-    v = x[safe]
-    d = ((v - x[point][:, None]) ** 2).sum(2)
+    v = x[safe] - x[point][:, None]  # seen from the point, so that products of large coordinates don't hide small distances
+    d = (v**2).sum(2)
     bad = (cand < 0) | (cand == point[:, None])
     d[bad] = np.inf
     o = np.argsort(d, axis=1, kind="stable")
@@ -123,7 +138,6 @@ def build(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: fl
     """The pruned graph (n x degree, -1 pads) of the points, and the entry point."""
     n = len(x)
     graph = np.full((n, degree), -1)
-    norm = (x**2).sum(1)
     entry = int(((x - x.mean(0)) ** 2).sum(1).argmin())
     order = np.random.Generator(np.random.PCG64(1)).permutation(n)
     order = np.concatenate([[entry], order[order != entry]])
@@ -131,7 +145,7 @@ def build(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: fl
     while at < n:
         new = order[at : at + min(at, BATCH)]
         at += len(new)
-        ids, _ = beam_search(graph, x, norm, x[new], entry, beam)
+        ids, _ = beam_search(graph, x, None, x[new], entry, beam)
         graph[new] = prune(x, new, ids, degree, alpha)
         src = np.repeat(new, degree)
         dst = graph[new].ravel()
@@ -159,27 +173,68 @@ def build(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: fl
     return graph, entry
 
 
+def classes(x: np.ndarray) -> list[tuple[float, np.ndarray]]:
+    """(largest norm, points) of the classes of norms, largest first."""
+    top = np.abs(x).max(1)
+    norm = top * np.sqrt(((x / top[:, None]) ** 2).sum(1))
+    order = np.argsort(-norm, kind="stable")
+    down, out, lo = -norm[order], [], 0
+    while lo < len(x):
+        hi = max(lo + 1, int(np.searchsorted(down, down[lo] / RATIO, side="right")))
+        out.append((-down[lo], order[lo:hi]))
+        lo = hi
+    return out
+
+
+def index(x: np.ndarray) -> list[tuple[float, np.ndarray, np.ndarray | None, int]]:
+    """(largest norm, points, graph, entry) of each class; no graph for small ones."""
+    out = []
+    for top, at in classes(x):
+        graph, entry = None, 0
+        if len(at) > EXACT:
+            part = x[at] / top
+            graph, entry = build((part / np.sqrt((part**2).sum(1, keepdims=True))).astype(np.float32))
+        out.append((top, at, graph, entry))
+    return out
+
+
+def search(x: np.ndarray, parts: list, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of q the k points of x found with the largest products (-1 pads), and these."""
+    b = len(q)
+    ids, score = np.full((b, k), -1), np.full((b, k), -np.inf)
+    wide = np.abs(q).max(1)
+    asked = q / wide[:, None]
+    size = np.sqrt((asked**2).sum(1))
+    for top, at, graph, entry in parts:
+        # Rounding is below the slack; a class that might hold a better point is never left out.
+        live = np.flatnonzero(~(score[:, -1] > top * size * wide * (1 + 1e-9)))
+        part = None if graph is None else (x[at] / top).astype(np.float32)
+        for lo in range(0, len(live), BATCH):
+            rows = live[lo : lo + BATCH]
+            if graph is None:
+                got = np.broadcast_to(np.arange(len(at)), (len(rows), len(at)))
+                s = q[rows] @ x[at].T
+            else:
+                got, _ = beam_search(graph, part, np.zeros(len(at), np.float32), asked[rows].astype(np.float32), entry, max(BEAM, 2 * k))
+                s = np.where(got >= 0, np.einsum("ij,ikj->ik", q[rows], x[at[got]]), -np.inf)
+            all_i = np.concatenate([ids[rows], np.where(got >= 0, at[got], -1)], 1)
+            all_s = np.concatenate([score[rows], s], 1)
+            o = np.argsort(-all_s, axis=1, kind="stable")[:, :k]
+            r = np.arange(len(rows))[:, None]
+            ids[rows], score[rows] = all_i[r, o], all_s[r, o]
+    return ids, score
+
+
 def _search_shard(k: int):
     def run(points: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"query": np.zeros(0, np.int64), "rep": np.zeros(0, np.int64), "score": np.zeros(0)})
         if not len(points) or not len(queries):
-            return none
+            return pd.DataFrame({"query": np.zeros(0, np.int64), "rep": np.zeros(0, np.int64), "score": np.zeros(0)})
+        points = points.sort_values("rep")  # of equal scores the least ids are kept
         x = np.stack(points["embedding"].to_numpy()).astype(np.float64)
         q = np.stack(queries["embedding"].to_numpy()).astype(np.float64)
-        sq = (x**2).sum(1)
-        # The walk is in single precision; scores are computed on the vectors themselves.
-        wide = np.concatenate([x, np.sqrt(np.maximum(sq.max() - sq, 0))[:, None]], 1).astype(np.float32)
-        graph, entry = build(wide)
-        norm = (wide**2).sum(1)
-        wide_q = np.concatenate([q, np.zeros((len(q), 1))], 1).astype(np.float32)
-        out = []
-        for lo in range(0, len(q), BATCH):
-            ids, _ = beam_search(graph, wide, norm, wide_q[lo : lo + BATCH], entry, max(BEAM, 2 * k))
-            ids = ids[:, : k + 1]
-            r, c = np.nonzero(ids >= 0)
-            hit = ids[r, c]
-            out.append(pd.DataFrame({"query": queries["query"].to_numpy()[lo + r], "rep": points["rep"].to_numpy()[hit], "score": np.einsum("ij,ij->i", q[lo + r], x[hit])}))
-        return pd.concat(out) if out else none
+        ids, score = search(x, index(x), q, k + 1)
+        r, c = np.nonzero(ids >= 0)
+        return pd.DataFrame({"query": queries["query"].to_numpy()[r], "rep": points["rep"].to_numpy()[ids[r, c]], "score": score[r, c]})
 
     return run
 
