@@ -169,3 +169,11 @@ def test_answer_log_never_stores_text(spark, tmp_path):
     sinks.append_answer_log(df, str(tmp_path / "log"))
     r = spark.read.parquet(str(tmp_path / "log")).first()
     assert "text" not in r.asDict() and r.source == "unknown" and r.snapshot_id is None and r.asked_at
+
+
+def test_span_tree_goes_down_to_the_last_level(spark):
+    from tomeline.operators import telemetry
+
+    rows = [(1, i, i - 1 if i else None) for i in range(12)] + [(2, 5, 77), (3, 1, 2), (3, 2, 1)]
+    got = {(r.trace_id, r.span_id): (r.depth, r.path) for r in telemetry.span_tree(spark.createDataFrame(rows, "trace_id long, span_id long, parent_id long")).collect()}
+    assert got == {(1, i): (i, "/".join(map(str, range(i + 1)))) for i in range(12)} | {(2, 5): (0, "5")}

@@ -1,31 +1,5 @@
 """Intermediate tables in the folder that all executors share."""
 
-from __future__ import annotations
+from ..store import materialise, shared_dir
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir.
-
-    Only where that is unset (tests and local runs) a temporary folder is made
-    and named there, so later calls find it again.
-    """
-    key = "spark.checkpoint.dir"
-    path = spark.sparkContext.getConf().get(key) or spark.conf.get(key, None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set(key, path)
-    return path.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: a cut of the lineage
-    which survives the loss of any executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["materialise", "shared_dir"]

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..store import materialise
+
 SOURCES = ("cli", "web", "evaluation", "unknown")
 NAMES = ("turn", "part", "retrieval", "cache_lookup", "generation", "checks")
 OUTCOMES = {"compose": "answered", "extract": "answered", "diagnosis": "answered", "state": "answered", "refuse": "refused", "topic_gate": "handoff", "ask_back": "handoff"}
@@ -120,22 +122,26 @@ def traces(spans: DataFrame, limit: int, session_id: int | None = None) -> DataF
     return spans.orderBy(F.desc("started_at"), F.desc("span_id")).limit(limit).orderBy("started_at", "span_id")
 
 
-def span_tree(spans: DataFrame, depth: int = 8) -> DataFrame:
+def span_tree(spans: DataFrame) -> DataFrame:
     """Depth and path from the roots; a span whose parent is absent is a root.
 
-    Levels are joined on the trace until none is left (at most depth of them)."""
-    s = spans.select("trace_id", "span_id", "parent_id")
-    present = s.select(F.col("trace_id").alias("t"), F.col("span_id").alias("p"))
+    Levels are joined on the trace until none is left; each is written, so that a plan
+    holds one level.  A span comes but once in a path, even where ids repeat."""
+    s = materialise(spans.select("trace_id", "span_id", "parent_id"), "spans")
+    present = s.select(F.col("trace_id").alias("t"), F.col("span_id").alias("p")).distinct()
     rooted = s.join(present, (F.col("trace_id") == F.col("t")) & (F.col("parent_id") == F.col("p")), "left")
-    level = rooted.where("p is null").select("trace_id", "span_id", F.lit(0).alias("depth"), F.col("span_id").cast("string").alias("path"))
-    below = rooted.where("p is not null").select(F.col("trace_id").alias("t"), F.col("span_id").alias("child"), "parent_id")
+    level = rooted.where("p is null").select("trace_id", "span_id", F.lit(0).alias("depth"), F.col("span_id").cast("string").alias("path"), F.array("span_id").alias("above"))
+    below = materialise(rooted.where("p is not null").select(F.col("trace_id").alias("t"), F.col("span_id").alias("child"), "parent_id"), "below")
+    level = materialise(level, "level")
     out = level
-    for _ in range(depth):
-        level = level.join(below, (F.col("trace_id") == F.col("t")) & (F.col("span_id") == F.col("parent_id"))).select(
-            "trace_id", F.col("child").alias("span_id"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.lit("/"), F.col("child").cast("string")).alias("path")
+    while not level.isEmpty():
+        deeper = level.join(below, (F.col("trace_id") == F.col("t")) & (F.col("span_id") == F.col("parent_id"))).where(~F.array_contains("above", F.col("child")))
+        level = materialise(
+            deeper.select("trace_id", F.col("child").alias("span_id"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.lit("/"), F.col("child").cast("string")).alias("path"), F.concat("above", F.array("child")).alias("above")),
+            "level",
         )
         out = out.unionByName(level)
-    return out
+    return out.drop("above")
 
 
 def self_time(spans: DataFrame) -> DataFrame:
