@@ -433,3 +433,18 @@ def test_one_long_vector_does_not_hide_the_others(spark, sf):
         s[i] = -np.inf
         hit += len({b for a, b in hits if a == i} & set(np.argsort(-s)[:20]))
     assert hit / len(hits) > 0.95
+
+
+def test_crowded_parts_are_cut_into_stretches(spark):
+    rng = random.Random(3)
+    rows = [(7, rng.choice([None, 0, 1, 1, 1, 2]), rng.choice(["a", "b"]), f"t{rng.randrange(10**6)}") for _ in range(300)]
+    rows += [(None, None, "a", f"n{k:03}") for k in range(40)] + [(7, 64, "a", "next part"), (8, 1, "b", "few")]
+    got = chat_rotation.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), crowd=32).collect()
+    for conv, part in {(r.conv_id, r.part) for r in got}:
+        said = sorted({r for r in rows if r[0] == conv and (r[1] or 0) // 64 == part}, key=lambda r: (r[1] is not None, r[1] or 0, r[2], r[3]))
+        for me in {r[2] for r in rows if r[0] == conv}:
+            mine = sorted((r for r in got if (r.conv_id, r.part, r.speaker) == (conv, part, me)), key=lambda r: r.piece)
+            assert [r.piece for r in mine] == list(range(-(-len(said) // 32)))
+            for r in mine:
+                want = said[32 * r.piece : 32 * r.piece + 32]
+                assert r.text == "".join((f"<|assistant|>\n" if x[2] == me else f"<|user name={x[2]}|>\n") + x[3] + "<|end|>\n" for x in want)

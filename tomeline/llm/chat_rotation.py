@@ -6,8 +6,9 @@ of the text that the assistant is to learn, what they said and the end mark.
 
 A dialogue is rendered in parts of TURNS turn numbers, so that a conversation
 with any number of turns is many bounded rows, not one that grows.  More than
-CROWD different rows in one part (repeated turn numbers) are dealt by a hash to
-as many pieces as keep them below it; piece 0 is the only one otherwise.
+CROWD different rows in one part (repeated turn numbers) are cut into pieces of
+CROWD rows each, in the order below, so that a piece is a stretch of the dialogue
+too; piece 0 is the only one otherwise.
 
 Defined results: order is turn (null first), then role, then text, by code point.
 Fully equal rows count once.  Null role is the speaker 'unknown', null text is
@@ -19,8 +20,11 @@ are ignored.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .store import materialise
+
 TURNS = 64
 CROWD = 512
 END = "<|end|>"
@@ -30,6 +34,20 @@ def _safe(c: Column) -> Column:
     return F.replace(c, F.lit("<|"), F.lit("< |"))
 
 
+def _cut(rows: DataFrame, crowd: int) -> DataFrame:
+    """The rows of overfull parts with their piece.  Buckets of a range order hold
+    neighbours, so a place in the part is the count of the buckets before and the place
+    in the bucket: no task needs a whole part."""
+    order = ["turn", "speaker", "text"]
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialise(rows.repartitionByRange(n, "conv", "part", *order).withColumn("bucket", F.spark_partition_id()), "crowded")
+    sums = dealt.groupBy("conv", "part", "bucket").agg(F.count("*").alias("n"))
+    base = sums.select("conv", "part", "bucket", (F.sum("n").over(W.partitionBy("conv", "part").orderBy("bucket")) - F.col("n")).alias("base"))
+    inside = F.row_number().over(W.partitionBy("conv", "part", "bucket").orderBy(*order)) - 1
+    placed = dealt.withColumn("inside", inside).join(base, ["conv", "part", "bucket"])
+    return placed.withColumn("piece", F.floor((F.col("base") + F.col("inside")) / crowd)).select(*rows.columns, "piece")
+
+
 def rotate(conversations: DataFrame, turns: int = TURNS, crowd: int = CROWD) -> DataFrame:
     """One row per conversation, speaker, part and piece: conv_id, speaker, part,
     piece, n_turns, text, masks (start, stop in code points, stop exclusive)."""
@@ -41,9 +59,11 @@ def rotate(conversations: DataFrame, turns: int = TURNS, crowd: int = CROWD) ->
         F.coalesce(_safe(F.col("text").cast("string")), F.lit("")).alias("text"),
     ).distinct()
     c = c.withColumn("part", F.floor(F.coalesce("turn", F.lit(0)) / turns))
-    # Only overfull parts are dealt to pieces, and those are few.
-    over = c.groupBy("conv", "part").agg(F.count("*").alias("rows")).where(F.col("rows") > crowd).select("conv", "part", F.ceil(F.col("rows") / (crowd // 2)).alias("pieces"))
-    c = c.join(over, ["conv", "part"], "left").withColumn("piece", F.pmod(F.xxhash64("turn", "speaker", "text"), F.coalesce("pieces", F.lit(1))))
+    # Only overfull parts are cut, and those are few.
+    over = c.groupBy("conv", "part").agg(F.count("*").alias("rows")).where(F.col("rows") > crowd).select("conv", "part", F.lit(True).alias("over"))
+    c = c.join(over, ["conv", "part"], "left")
+    whole_parts = c.where("over is null").drop("over").withColumn("piece", F.lit(0).cast("long"))
+    c = whole_parts.unionByName(_cut(c.where("over").drop("over"), crowd))
     parts = c.groupBy("conv", "conv_id", "part", "piece").agg(F.array_sort(F.collect_list(F.struct("turn", "speaker", "text"))).alias("said"))
     speakers = c.select("conv", F.col("speaker").alias("me")).distinct()
     seen = parts.join(speakers, "conv")
