@@ -448,3 +448,24 @@ def test_crowded_parts_are_cut_into_stretches(spark):
             for r in mine:
                 want = said[32 * r.piece : 32 * r.piece + 32]
                 assert r.text == "".join((f"<|assistant|>\n" if x[2] == me else f"<|user name={x[2]}|>\n") + x[3] + "<|end|>\n" for x in want)
+
+
+@pytest.mark.parametrize(
+    "page, lost, kept",
+    [
+        ('<div><svg class="icon" viewBox="0 0 1 1"/><p>after the <svg/>icon stays</p></div>', "", "after the icon stays"),
+        ("<div><svg><path d=x><p>unclosed drawing ends</p><p>second</p></div>", "", "second"),
+        ('<ul><li class="ad">buy now<li>first item<li>second item</ul><p>tail</p>', "buy", "first item"),
+        ('<ul><li class="ad">buy <ul><li>cheap<li>stuff</ul> now<li>after</ul>', "stuff", "after"),
+        ('<ul><li class="ad">buy now</ul><p>tail of the page</p>', "buy", "tail of the page"),
+        ('<table><tr><td class="ad">buy<td>cell two<tr><td>cell three</table>', "buy", "cell three"),
+        ('<dl><dt class="ad">buy<dd>meaning</dl><p>tail</p>', "buy", "meaning"),
+        ('<div><p class="ad">buy</div>bare text after', "buy", "bare text after"),
+        ('<div class="content has-sidebar"><p>main words here</p></div>', "", "main words here"),
+        ('<body><div id="page-with-left-sidebar" class="no-ads"><p>main words here</p></div>', "", "main words here"),
+        ('<div class="sidebar-with-ads">buy</div><div class="casino-ad">more</div><p>main words here</p>', "buy", "main words here"),
+    ],
+)
+def test_open_elements_lose_no_text(page, lost, kept):
+    shown = " ".join("".join(v if k == "word" else " " for k, v, s in html_extract.tokens(page) if s and k[0] != "/").split())
+    assert kept in " ".join(shown.replace("icon", "icon ").split()) and (not lost or lost not in shown) and "more" not in shown

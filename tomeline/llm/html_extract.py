@@ -16,8 +16,10 @@ space, blocks are trimmed, empty ones left out, and the rest joined by an empty
 line in page order.  A line break element is white space.
 
 Defined results: null or empty html, or no words: empty text.  Unclosed elements:
-paragraphs and list items end at the next block; an unclosed advert or similar ends
-where <article> or <main> begins.  Rows are handled one by one, so repeated or
+paragraphs end at the next block, list items, terms and parts of tables at the next
+of their kind, and all of them where the element around them ends; an unclosed drawing
+ends at the next tag of HTML, any other unclosed advert or similar where <article> or
+<main> begins.  Rows are handled one by one, so repeated or
 null page_ids are fine.  Further columns are ignored.
 """
 
@@ -44,10 +46,24 @@ ASIDE_NAMES = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|b
 BLOCKS = {"p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "table", "tr", "thead", "tbody", "tfoot", "caption", "blockquote", "pre", "section", "figure", "figcaption", "hr", "address", "details", "summary", "fieldset", "legend", "body", "html", "center"} | CONTENT | ASIDE
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr", "!doctype"}
 SPACES = {"br", "td", "th", "wbr"}
+_PARTS = {"thead", "tbody", "tfoot"}
+CELLS = {"td", "th", "tr"} | _PARTS
+#: Elements whose end tag may be left out: the start tags that end them, and which end tags of such elements do.
+OPEN_ENDED = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": CELLS, "th": CELLS, "tr": {"tr"} | _PARTS} | dict.fromkeys(sorted(_PARTS), _PARTS)
+AROUND = {"p": {"li", "dt", "dd"} | CELLS, "td": {"tr"} | _PARTS, "th": {"tr"} | _PARTS, "tr": _PARTS}
 DEFAULTS = {"word": 0.3, "link word": -1.0, "tag": -1.0, "<p": -0.05, "</p": -0.05}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z!][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S | re.I)
+_REST = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    # A drawing closed in its own tag is empty; one never closed ends where HTML goes on.
+    rf"|<(svg)\b(?:{_REST}/>|{_REST}>(?:(?:(?!<svg\b).)*?</svg\s*>|.*?(?=</?(?:p|div|h[1-6]|[uod]l|li|d[td]|table|t[rdh]|article|main|section|header|footer|nav|aside|body|span|em|strong|img|br)\b|\Z)))"
+    rf"|<(/?)([a-zA-Z!][^\s/>]*)({_REST})>|[^<]+|<",
+    re.S | re.I,
+)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: What a name says that the element has or lacks is not what it is: has-sidebar, page-with-sidebar, no-ads.
+_HELD = re.compile(r"(?:^|(?<=[\s_-]))(?:has|with|without|no)[_-]\S*", re.I)
 
 
 def _is_aside(name: str, attributes: str) -> bool:
@@ -57,35 +73,61 @@ def _is_aside(name: str, attributes: str) -> bool:
         return False
     for m in _ATTRIBUTE.finditer(attributes):
         value = m[2] or m[3] or m[4] or ""
-        if m[1].lower() == "role" and value.lower() in ASIDE_ROLES or m[1].lower() != "role" and ASIDE_NAMES.search(value):
+        if m[1].lower() == "role" and value.lower() in ASIDE_ROLES or m[1].lower() != "role" and ASIDE_NAMES.search(_HELD.sub("", value)):
             return True
     return False
 
 
+def _within(hidden: str, inside: Counter) -> bool:
+    """Whether an element open in the hidden one keeps what follows in it."""
+    return inside["table"] > 0 if hidden in CELLS else any(n > 0 for k, n in inside.items() if k not in ("div", "address"))
+
+
+def _ends(hidden: str, name: str, closing: bool, inside: Counter) -> bool:
+    """Whether a tag other than its own end tag ends the hidden element."""
+    if name not in BLOCKS and name not in OPEN_ENDED:
+        return False
+    if not closing:
+        return name in OPEN_ENDED[hidden] and not _within(hidden, inside)
+    if name in OPEN_ENDED:
+        return name in AROUND.get(hidden, ()) and not _within(hidden, inside)
+    return inside[name] <= 0 and (name == "table" or hidden not in CELLS)
+
+
 def tokens(page: str) -> list[tuple[str, str, bool]]:
     """(kind, value, shown) of a page: kind is a tag such as '<p' or '</p', or
     'word' or 'link word' for a text; shown is False inside what is never content."""
     out, hidden, depth, link = [], "", 0, False
+    inside: Counter = Counter()  # elements open within a hidden one whose end tag may be left out
     for m in _TOKEN.finditer(page):
-        name = m[3]
+        name = m[4]
         if name is None:
             text = m[0]
-            if m[1] is None and not text.startswith("<!--"):
+            if m[1] is None and m[2] is None and not text.startswith("<!--"):
                 out.append(("link word" if link else "word", text, not hidden))
             continue
-        name, closing = name.lower(), bool(m[2])
-        own = not (m[4] or "").rstrip().endswith("/") and name not in VOID
-        if hidden and not closing and (name in CONTENT or hidden == "p" and name in BLOCKS) and hidden not in SILENT:
+        name, closing = name.lower(), bool(m[3])
+        own = not (m[5] or "").rstrip().endswith("/") and name not in VOID
+        if hidden and not closing and name in CONTENT and hidden not in SILENT:
             hidden = ""
+        if hidden in OPEN_ENDED:
+            if _ends(hidden, name, closing, inside):
+                hidden = ""
+            elif (name in BLOCKS and name not in OPEN_ENDED) and (closing or own):
+                inside[name] += -1 if closing else 1
         if hidden:
-            if name == hidden:
+            if name == hidden and hidden in OPEN_ENDED:
+                if closing and not _within(hidden, inside):
+                    hidden = ""
+            elif name == hidden:
                 depth += -1 if closing else own
                 if depth == 0:
                     hidden = ""
             out.append((("</" if closing else "<") + name, "", False))
             continue
-        if not closing and own and _is_aside(name, m[4] or ""):
+        if not closing and own and _is_aside(name, m[5] or ""):
             hidden, depth = name, 1
+            inside.clear()
             out.append(("<" + name, "", False))
             continue
         if name == "a":
