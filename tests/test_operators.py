@@ -177,3 +177,11 @@ def test_span_tree_goes_down_to_the_last_level(spark):
     rows = [(1, i, i - 1 if i else None) for i in range(12)] + [(2, 5, 77), (3, 1, 2), (3, 2, 1)]
     got = {(r.trace_id, r.span_id): (r.depth, r.path) for r in telemetry.span_tree(spark.createDataFrame(rows, "trace_id long, span_id long, parent_id long")).collect()}
     assert got == {(1, i): (i, "/".join(map(str, range(i + 1)))) for i in range(12)} | {(2, 5): (0, "5")}
+
+
+def test_appended_rows_are_not_held_by_the_driver(spark, tmp_path):
+    spark.range(50).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
+    got = streams.run_available(stream, "appended")
+    assert sorted(r.id for r in got.collect()) == list(range(50)) and got.columns == ["id"]
+    assert len(got.inputFiles()) > 0 and not spark.catalog.tableExists("appended")

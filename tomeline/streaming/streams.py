@@ -6,6 +6,7 @@ sinks.  Streams need timestamps with a time zone, so NTZ columns are cast.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import telemetry as t
+from ..store import shared_dir
 
 LATE = "10 minutes"
 
@@ -78,7 +80,17 @@ def conversation_state(turns: DataFrame, late: str = LATE) -> DataFrame:
 
 
 def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what its source has now and return the result table."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """Run a stream over what its source has now and return the result table.
+
+    Appended rows go to the shared folder batch by batch and are read back; the driver
+    holds only results in other modes, which have a row for each group."""
+    spark = stream.sparkSession
+    if mode != "append":
+        q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+        q.awaitTermination()
+        return spark.table(name)
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    spark.createDataFrame([], stream.schema).write.parquet(f"{path}/rows/batch=-1")  # a source may have nothing
+    q = stream.writeStream.outputMode(mode).foreachBatch(append_once(f"{path}/rows")).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows").select(stream.columns)
