@@ -115,14 +115,16 @@ def test_classes_are_those_of_brute_force(spark, leaf):
     assert got == dict(enumerate(classes(t)))
 
 
-def test_frequent_shingles_take_the_other_way(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "FREQUENT", 3)
+@pytest.mark.parametrize("leaf", [32, 2])
+def test_frequent_shingles_take_the_other_way(spark, leaf):
     t = corpus(6)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicate_classes(docs(spark, *t)).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicate_classes(docs(spark, *t), leaf=leaf, frequent=3).collect()}
     assert got == dict(enumerate(classes(t)))
 
 
-def test_large_family_of_edited_copies(spark):
+@pytest.mark.parametrize("leaf, piece", [(32, 1024), (4, 7)])
+def test_large_family_of_edited_copies(spark, monkeypatch, leaf, piece):
+    monkeypatch.setattr(jaccard_join, "PIECE", piece)
     rng = random.Random(9)
     base, t = text(rng, 60).split(), []
     for _ in range(120):
@@ -130,13 +132,30 @@ def test_large_family_of_edited_copies(spark):
         for _ in range(rng.choice([0, 1, 1, 2, 3])):
             w[rng.randrange(60)] = f"e{rng.randrange(10**6)}"
         t.append(" ".join(w))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicate_classes(docs(spark, *t)).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicate_classes(docs(spark, *t), leaf=leaf).collect()}
+    assert got == dict(enumerate(classes(t)))
+
+
+def test_families_with_a_common_passage(spark):
+    """Three families and single documents that share half of their words: several Voronoi regions, and pairs on their borders."""
+    rng = random.Random(12)
+    common, t = text(rng, 40), []
+    for family in range(3):
+        base = (common + " " + " ".join(f"f{family}w{i}" for i in range(40))).split()
+        for _ in range(25):
+            w = list(base)
+            for _ in range(rng.choice([0, 1, 2, 3, 8, 12])):
+                w[rng.randrange(80)] = f"e{rng.randrange(10**6)}"
+            t.append(" ".join(w))
+    t += [common + " " + " ".join(f"s{i}v{j}" for j in range(rng.randrange(5, 60))) for i in range(30)]
+    rng.shuffle(t)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicate_classes(docs(spark, *t), leaf=4, frequent=20).collect()}
     assert got == dict(enumerate(classes(t)))
 
 
 def test_classes_on_odd_input(spark):
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.near_duplicate_classes(odd(spark)).collect()]
-    assert sorted(got, key=str) == sorted([(None, 0, None), (1, 0, 1), (2, 0, 2), (3, 3, 3), (3, 3, 3)], key=str)
+    assert sorted(got, key=str) == sorted([(None, 2, None), (1, 0, 1), (2, 0, 2), (3, 3, 3), (3, 3, 3)], key=str)
     assert jaccard_join.near_duplicate_classes(odd(spark).limit(0)).count() == 0
 
 

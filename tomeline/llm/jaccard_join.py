@@ -1,40 +1,49 @@
-"""Exact n-gram Jaccard self-join by pivots in a metric space of sets.
-
-J(A, B) >= t is the same as |A ^ B| <= K (|A| + |B|) with K = (1 - t) / (1 + t),
-and the symmetric difference is a metric.  Unrelated documents are at the
-greatest distance, so pivots are set where documents can be close at all:
-a region is seeded by a shingle of the documents' rare prefixes.  (With
-shingles in a fixed order, rarest first, two sets of similarity t share one of
-the first |A| - ceil(t |A|) + 1; the order comes from a constant-size sketch of
-shingle frequencies over the whole input; the result doesn't depend on it.)
-
-* A region of up to LEAF documents is joined directly.
-* A larger one gets a pivot c, the shingles that more than half of SAMPLED of its
-  documents hold (any set would do), and every document x its distance
-  r(x) = |x ^ c|.  By the triangle
-  inequality |x ^ y| <= r(x) + r(y), so with f(x) = r(x) - K |x| the pair is
-  linked for sure if f(x) + f(y) <= 0.  The document with the least f is the
-  hub; what can be linked to it so, is, without comparing any pair.
-* Any other document x is compared with the hub, and can have another partner y
-  only if their differences from c overlap enough, as
-  |x ^ y| = r(x) + r(y) - 2 |(x ^ c) & (y ^ c)|.  So the rest go, with what may be
-  near them, to new regions, one for each shingle of a prefix of their difference
-  from c (rarest first, as above; its length follows from the overlap needed).  Such a region has about half the documents at most,
-  and the regions join recursively until they are leaves.
-
-Every link between different texts is found or implied by links found, so the
-components are exact.  Pairs are verified on the whole sets, computed again
-from the texts.
-
-Scale: shingles never leave a task except the 15 % in prefixes; copies within a
-slice of text are settled on the spot; shingles that the sketch shows to be very
-frequent skip the shuffle by shingle, and what is done with their regions
-are aggregations and joins that adaptive execution can split.
+"""Exact n-gram Jaccard self-join by pivots, Voronoi regions and triangle windows.
+
+Jaccard distance d = 1 - |A & B| / |A | B| is a metric, and two documents are linked
+when d <= E = 1 - percent / 100.  Unrelated documents are all at distance 1, where no
+pivot tells them apart, so the join starts from cells of documents that can be
+close at all, and pivots work within them.
+
+1. Equal sets are one class (by size and two 64-bit fingerprints); its least doc_id
+   stands for it from then on.
+2. Cells.  With shingles in a fixed order, rarest first, two linked sets share two of
+   their first n - ceil(percent n / 100) + 2, so documents meet in the cells of these.
+   The order comes from a sketch of shingle frequencies over the whole input; results
+   don't depend on it.
+3. Pairs of small cells (up to LEAF documents) that meet at least twice are candidates.
+   Every document takes as pivot, of those it is paired with, the one with the most
+   candidates, and its distance to it is measured.  A pair around the same pivot p needs
+   |d(x, p) - d(y, p)| <= E, and none if both are linked to p; the rest is measured.
+4. Larger cells are regions, put together by their pivot, the member with the least hash.
+   A region takes up to SAMPLED documents, gathers those within distance 1/2, and takes the
+   centre of each gathering (the shingles that more than half of them hold; any set would
+   do) as a pivot.  Every document is measured against all pivots of its region.  It
+   belongs to the Voronoi region of the nearest, and is replicated to that of pivot p if
+   d(x, p) <= d(x, nearest) + 2 E: as d is a metric, whoever is linked to x and belongs to
+   p is then met there.  In a Voronoi region, with r(x) = |x ^ p|:
+   * x and y are linked for sure if r(x) + r(y) <= K (|x| + |y|), K = E / (2 - E), so
+     the document nearest to the pivot (the hub) takes in most copies of a family
+     without comparing any pair; all others are compared with the hub;
+   * others meet in the cells of the shingles in which they differ from the pivot, as
+     |x ^ y| = r(x) + r(y) - 2 |(x ^ p) & (y ^ p)|; how long a prefix is needed
+     follows from the overlap needed.  These cells are joined pair by pair within the
+     windows |d(x, p) - d(y, p)| <= E if small, and are regions for the next round if not.
+
+Every link between different texts is found or implied by links found, so components
+are exact.  Links are decided on whole sets, computed again from the texts.
+
+Scale: shingles never leave a task except those in prefixes; a text goes to a task once
+for each pivot it is compared with, not for each pair; a pivot with many partners is
+dealt to pieces of PIECE documents.  Cells of shingles that the sketch shows to be very
+frequent (counter FREQUENT above the mean) are dealt by document, not by shingle, and are
+regions at once.  What is done with regions are aggregations and joins that adaptive
+execution can split.
 
 Defined results: null text or no words: n_shingles 0, linked with nothing.
-Null doc_id: returned with component null and linked with nothing.  Rows that
-repeat a doc_id count as the same document; each is returned.  Further columns
-are ignored.
+Null doc_id: returned with its n_shingles and a null component, linked with nothing.
+Rows that repeat a doc_id count as the same document; each is returned.  Further columns
+are ignored.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -49,25 +58,27 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import materialise
+from .store import discard, materialise
 from .vectext import BASE_A, BASE_B, grams, mix, signed, slices, table, words
 
 SHINGLE = 4
 PERCENT = 85
 LEAF = 32
-SAMPLED = 15
-#: Counters of the frequency sketch (4 MB, whatever the input), and how many blocks they move in.
-SKETCH, BLOCKS = 2**20, 64
+SAMPLED = 8
+PIECE = 1024
+#: Counters of the frequency sketch (constant size, whatever the input), and in how many blocks and groups they are added up.
+SKETCH, BLOCKS, GROUPS = 2**20, 64, 16
 #: Bits of the bitmap of documents that take part in pairs (4 MB).
 MARKS = 2**25
 #: A shingle is very frequent if its counter is so much above the mean counter.
 FREQUENT = 20_000
+#: Rounding of a distance is below this; windows are wider by it.
+SLACK = 1e-9
 
 
 def shingle_sets(col: pa.Array, k: int):
     """(row, shingle hash) of all distinct shingles, sorted by row; set sizes."""
     w = words(col, lower=True)
-    n = len(w)
     g = grams(w.hash, k, BASE_A)
     inside = np.flatnonzero(w.row[: len(g)] == w.row[k - 1 :]) if len(g) else np.zeros(0, np.int64)
     rows, hashes = [w.row[inside]], [g[inside]]
@@ -86,188 +97,193 @@ def shingle_sets(col: pa.Array, k: int):
     return row, h, np.bincount(row, minlength=len(col)).astype(np.int64)
 
 
-def _sketch(k: int):
+def _counter(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(40)).astype(np.int64) % SKETCH
+
+
+def _fingerprints(h: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit sums of each row's set; 0 for empty ones."""
+    a, b = np.zeros(len(size), np.uint64), np.zeros(len(size), np.uint64)
+    full = np.flatnonzero(size)
+    if len(full):
+        start = (np.cumsum(size) - size)[full]
+        a[full], b[full] = np.add.reduceat(h, start), np.bitwise_xor.reduceat(mix(h), start)
+    return a, b
+
+
+def _sets(k: int):
+    """Map: (doc_id, n, two fingerprints) of each text, and at the end of the task
+    its shingle counters as (block, counts)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("block", pa.int64()), ("counts", pa.binary())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(SKETCH, np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
-                _, h, _ = shingle_sets(part.column("text"), k)
-                count += np.bincount((h >> np.uint64(40)).astype(np.int64) % SKETCH, minlength=SKETCH)
-        width = SKETCH // BLOCKS
-        for b in range(BLOCKS):
-            yield pa.RecordBatch.from_pydict({"block": [b], "counts": [count[b * width : (b + 1) * width].tobytes()]})
+                _, h, size = shingle_sets(part.column("text"), k)
+                count += np.bincount(_counter(h), minlength=SKETCH)
+                a, b = _fingerprints(h, size)
+                n = part.num_rows
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size), pa.array(signed(a)), pa.array(signed(b)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], schema=schema)
+        none = pa.nulls(BLOCKS, pa.int64())
+        raw = [part.tobytes() for part in count.reshape(BLOCKS, -1)]
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(BLOCKS), pa.int64()), pa.array(raw, pa.binary())], schema=schema)
 
     return run
 
 
-def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for b, raw in zip(batch.column("block").to_pylist(), batch.column("counts")):
-            c = np.frombuffer(raw.as_py(), np.int64)
-            total[b] = total[b] + c if b in total else c
-    for b, c in total.items():
-        yield pa.RecordBatch.from_pydict({"block": [b], "counts": [c.tobytes()]})
+def _merge(put):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for b, raw in zip(batch.column("block").to_pylist(), batch.column("counts")):
+                c = np.frombuffer(raw.as_py(), np.int64)
+                total[b] = put(total[b], c) if b in total else c
+        for b, c in total.items():
+            yield pa.RecordBatch.from_pydict({"block": [b], "counts": [c.tobytes()]})
+
+    return run
 
 
-def frequency_sketch(docs: DataFrame, k: int) -> np.ndarray:
-    """Counters of shingle frequencies by hash, over all documents.  Constant
-    size: SKETCH counters whatever the input."""
+def _gathered(blocks: DataFrame, put) -> np.ndarray:
+    """The blocks of all tasks put together, in two rounds; constant size."""
     schema = "block long, counts binary"
-    rows = docs.mapInArrow(_sketch(k), schema).repartition(8, "block").mapInArrow(_add_up, schema).collect()
-    out = np.zeros((BLOCKS, SKETCH // BLOCKS), np.int64)
-    for r in rows:
-        out[r.block] += np.frombuffer(bytes(r.counts), np.int64)
-    return out.ravel()
+    grouped = blocks.select("block", "counts", F.pmod(F.spark_partition_id(), F.lit(GROUPS)).alias("group")).repartition(BLOCKS * GROUPS // 8, "block", "group")
+    once = grouped.select("block", "counts").mapInArrow(_merge(put), schema)
+    out: dict[int, np.ndarray] = {}
+    for r in once.repartition(BLOCKS // 8, "block").mapInArrow(_merge(put), schema).collect():  # BLOCKS rows and no more
+        out[r.block] = np.frombuffer(bytes(r.counts), np.int64)
+    return np.concatenate([out[b] for b in sorted(out)])
 
 
-def _prefixes(k: int, percent: int, counts):
+def _prefixes(k: int, percent: int, counts, frequent: int):
     """Map: for each text the shingles of its prefix, once for equal sets of a slice.
-
-    Kinds: 0 size of a document's set; 1 prefix shingle; 2 very frequent prefix
-    shingle; 3 link of equal sets within the slice (in shingle: the other document).
-    """
-    schema = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("shingle", pa.int64()), ("n", pa.int64())])
+    salt is 0, but for very frequent shingles a number above it that follows from the document."""
+    schema = pa.schema([("region", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("salt", pa.int16())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq = np.minimum(counts.value, 2**31 - 1).astype(np.uint64)
-        high = freq.mean() + FREQUENT
+        high = freq.mean() + frequent
         for batch in batches:
             for part in slices(batch, "text"):
                 doc = part.column("doc_id").to_numpy(zero_copy_only=False)
                 row, h, size = shingle_sets(part.column("text"), k)
-                yield table({"kind": np.zeros(len(doc), np.int8), "doc_id": doc, "shingle": np.zeros(len(doc), np.int64), "n": size}, schema)
-                full = np.flatnonzero(size)
+                full = np.flatnonzero(size > 1)  # a set of one shingle is linked with its equals only
                 if not len(full):
                     continue
-                start = (np.cumsum(size) - size)[full]
-                a, b = np.add.reduceat(h, start), np.bitwise_xor.reduceat(mix(h), start)
-                o = np.lexsort((doc[full], b, a, size[full]))
-                same = np.zeros(len(full), bool)
-                same[1:] = (a[o][1:] == a[o][:-1]) & (b[o][1:] == b[o][:-1]) & (size[full][o][1:] == size[full][o][:-1])
-                head = np.maximum.accumulate(np.where(same, 0, np.arange(len(full))))
-                d = doc[full][o]
-                if same.any():
-                    yield table({"kind": np.full(same.sum(), 3, np.int8), "doc_id": d[same], "shingle": d[head][same], "n": size[full][o][same]}, schema)
+                a, b = _fingerprints(h, size)
+                o = full[np.lexsort((doc[full], b[full], a[full], size[full]))]
+                first = np.ones(len(full), bool)
+                first[1:] = (a[o][1:] != a[o][:-1]) | (b[o][1:] != b[o][:-1]) | (size[o][1:] != size[o][:-1])
                 alone = np.zeros(len(doc), bool)
-                alone[full[o][~same]] = True
+                alone[o[first]] = True
                 keep = alone[row]
                 row, h = row[keep], h[keep]
-                f = freq[(h >> np.uint64(40)).astype(np.int64) % SKETCH]
+                f = freq[_counter(h)]
                 o = np.lexsort((h, f, row))  # rarest first
                 row, h, f = row[o], h[o], f[o]
                 kept = np.where(alone, size, 0)
                 place = np.arange(len(row)) - np.repeat(np.cumsum(kept) - kept, kept)
-                take = place < (size - (percent * size + 99) // 100 + 1)[row]
+                take = place < (size - (percent * size + 99) // 100 + 2)[row]
                 row, h, f = row[take], h[take], f[take]
-                yield table({"kind": np.where(f > high, 2, 1).astype(np.int8), "doc_id": doc[row], "shingle": signed(h), "n": size[row]}, schema)
+                dealt = 1 + (mix(doc.astype(np.int64).view(np.uint64)) % np.uint64(997)).astype(np.int16)
+                yield table({"region": signed(h), "doc_id": doc[row], "n": size[row].astype(np.int32), "salt": np.where(f > high, dealt[row], 0).astype(np.int16)}, schema)
 
     return run
 
 
-def _leaves(percent: int, leaf: int):
-    """Reduce over rows sorted by region: the pairs of regions of at most leaf
-    documents which may be linked and aren't connected already; rows of larger
-    regions go on as they are (with b null).  At most leaf rows are carried from
-    batch to batch."""
-    schema = pa.schema([("region", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("component", pa.int64())])
-    names = ("region", "doc_id", "n", "component", "far")
+def _grouped(batches: Iterator[pa.RecordBatch], names: tuple, leaf: int, small, large) -> Iterator[pa.RecordBatch]:
+    """Reduce over rows sorted by region: small() gets all rows of regions of at most
+    leaf rows, large() those of others; at most leaf rows are carried from batch to batch."""
+    held, big = None, None  # the last region so far, or the large region being passed on
+    for batch in batches:
+        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+        if held is not None:
+            cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
+        s = cols[0]
+        if not len(s):
+            continue
+        group = np.concatenate([[0], np.cumsum(s[1:] != s[:-1])])
+        wide = np.bincount(group) > leaf
+        if big is not None and s[0] == big:
+            wide[0] = True
+        pick, last = wide[group], group == group[-1]
+        if pick.any():
+            yield large([x[pick] for x in cols])
+        big, held = (s[-1], None) if wide[-1] else (None, [x[last] for x in cols])
+        done = ~last & ~pick
+        if done.any():
+            yield small([x[done] for x in cols])
+    if held is not None:
+        yield small(held)
+
+
+def _meetings(s: np.ndarray, d: np.ndarray, leaf: int, may) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows of one region for which may(one slice, other slice) holds, with how often."""
+    a_all, b_all = [d[:0]], [d[:0]]
+    for gap in range(1, leaf):
+        if gap >= len(s) or not (hit := s[gap:] == s[:-gap]).any():
+            break
+        hit = hit & may(slice(gap, None), slice(None, -gap)) & (d[gap:] != d[:-gap])
+        a_all.append(np.minimum(d[gap:][hit], d[:-gap][hit]))
+        b_all.append(np.maximum(d[gap:][hit], d[:-gap][hit]))
+    pairs, times = np.unique(np.stack([np.concatenate(a_all), np.concatenate(b_all)]), axis=1, return_counts=True)
+    return pairs[0], pairs[1], times
+
+
+def _cells(percent: int, leaf: int):
+    """Reduce: pairs of the small cells as (a, b, times); rows of large ones as (region, a)."""
+    schema = pa.schema([("region", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("times", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = [np.zeros(0, np.int64)] * 4 + [np.zeros(0, bool)]
-        held, big = none, None  # the last region so far, or the large region being passed on
-
-        def pairs(s, d, n, c, far):
-            a_all, b_all = [none[0]], [none[0]]
-            for gap in range(1, leaf):
-                if gap >= len(s) or not (hit := s[gap:] == s[:-gap]).any():
-                    break
-                hit = hit & (100 * np.minimum(n[gap:], n[:-gap]) >= percent * np.maximum(n[gap:], n[:-gap]))
-                hit &= (c[gap:] != c[:-gap]) & (far[gap:] | far[:-gap])
-                a_all.append(np.minimum(d[gap:][hit], d[:-gap][hit]))
-                b_all.append(np.maximum(d[gap:][hit], d[:-gap][hit]))
-            a, b = np.concatenate(a_all), np.concatenate(b_all)
-            one = np.unique(np.stack([a, b]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
-            one = one[:, one[0] != one[1]]
-            zero = np.zeros(one.shape[1], np.int64)
-            return table({"region": zero, "a": one[0], "b": one[1], "component": zero}, schema)
-
-        for batch in batches:
-            cols = [np.concatenate([h, batch.column(c).to_numpy(zero_copy_only=False)]) for h, c in zip(held, names)]
-            s, d = cols[:2]
-            if not len(s):
-                continue
-            group = np.concatenate([[0], np.cumsum(s[1:] != s[:-1])])
-            large = np.bincount(group) > leaf
-            if big is not None and s[0] == big:
-                large[0] = True
-            else:
-                big = None
-            pick = large[group]
-            if pick.any():
-                yield pa.RecordBatch.from_arrays([pa.array(s[pick]), pa.array(d[pick]), pa.nulls(int(pick.sum()), pa.int64()), pa.array(cols[3][pick])], schema=schema)
-            last = group == group[-1]
-            if large[-1]:
-                big, held = s[-1], none
-            else:
-                big, held = None, [x[last] for x in cols]
-            done = ~last & ~pick
-            if done.any():
-                yield pairs(*(x[done] for x in cols))
-        if len(held[0]):
-            yield pairs(*held)
+        def small(cols):
+            s, d, n, _ = cols
+            a, b, times = _meetings(s, d, leaf, lambda i, j: 100 * np.minimum(n[i], n[j]).astype(np.int64) >= percent * np.maximum(n[i], n[j]).astype(np.int64))
+            return pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b), pa.array(times)], schema=schema)
+
+        def large(cols):
+            none = pa.nulls(len(cols[0]), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), none, none], schema=schema)
+
+        def usual():
+            for batch in batches:
+                salt = batch.column("salt").to_numpy()
+                if salt.any():
+                    often.append(batch.filter(pa.array(salt > 0)))
+                    batch = batch.filter(pa.array(salt == 0))
+                yield batch
+
+        often: list[pa.RecordBatch] = []
+        for out in _grouped(usual(), ("region", "doc_id", "n", "salt"), leaf, small, large):
+            yield out
+            while often:
+                yield large([often[-1].column(c).to_numpy() for c in ("region", "doc_id")])
+                often.pop()
+        while often:
+            yield large([often[-1].column(c).to_numpy() for c in ("region", "doc_id")])
+            often.pop()
 
     return run
 
 
-def _verify(k: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("common", pa.int64()), ("either", pa.int64())])
+def _leaves(percent: int, leaf: int):
+    """Reduce over small regions: the pairs which may be linked and aren't connected already."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    names = ("region", "doc_id", "n", "component", "far", "native", "near")
+    window = 1 - percent / 100 + SLACK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text_a"):
-                sides = []
-                for c in ("text_a", "text_b"):
-                    row, h, size = shingle_sets(part.column(c), k)
-                    sides.append((row, h, size))
-                (ra, ha, na), (rb, hb, nb) = sides
-                row, h = np.concatenate([ra, rb]), np.concatenate([ha, hb])
-                o = np.lexsort((h, row))
-                row, h = row[o], h[o]
-                twice = np.flatnonzero((row[1:] == row[:-1]) & (h[1:] == h[:-1]))
-                common = np.bincount(row[twice], minlength=part.num_rows).astype(np.int64)
-                yield table({"a": part.column("a").to_numpy(), "b": part.column("b").to_numpy(), "common": common, "either": na + nb - common}, schema)
-
-    return run
-
-
-def _pivot(k: int):
-    """Group: the shingles that more than half of a region's sampled documents hold."""
+        def small(cols):
+            s, d, n, c, far, native, near = cols
 
-    def run(group: pa.Table) -> pa.Table:
-        _, h, _ = shingle_sets(group.column("text").combine_chunks(), k)
-        u, n = np.unique(h, return_counts=True)
-        return pa.table({"region": group.column("region")[:1], "pivot": [signed(np.sort(u[2 * n > group.num_rows]))]}, schema=pa.schema([("region", pa.int64()), ("pivot", pa.list_(pa.int64()))]))
-
-    return run
+            def may(i, j):
+                sizes = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+                return sizes & (c[i] != c[j]) & (far[i] | far[j]) & (native[i] | native[j]) & (np.abs(near[i] - near[j]) <= window)
 
+            a, b, _ = _meetings(s, d, leaf, may)
+            return table({"a": a, "b": b}, schema)
 
-def _distances(k: int, percent: int):
-    """Map: each document's f (times 100 + percent) and the shingles in which it differs from its pivot."""
-    schema = pa.schema([("region", pa.int64()), ("doc_id", pa.int64()), ("component", pa.int64()), ("n", pa.int64()), ("f", pa.int64()), ("differs", pa.list_(pa.int64()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                _, h, size = shingle_sets(part.column("text"), k)
-                at = np.cumsum(size) - size
-                differs, f = [], []
-                for i, c in enumerate(part.column("pivot")):
-                    x = signed(h[at[i] : at[i] + size[i]])
-                    d = np.setxor1d(x, c.values.to_numpy() if len(c) else x[:0], assume_unique=True)
-                    differs.append(d)
-                    f.append((100 + percent) * len(d) - (100 - percent) * len(x))
-                yield pa.RecordBatch.from_arrays([part.column("region"), part.column("doc_id"), part.column("component"), pa.array(size), pa.array(f, pa.int64()), pa.array(differs, pa.list_(pa.int64()))], schema=schema)
+        yield from _grouped(batches, names, leaf, small, lambda cols: table({"a": cols[1][:0], "b": cols[1][:0]}, schema))
 
     return run
 
@@ -280,16 +296,6 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"block": [b], "counts": [part.tobytes()]})
 
 
-def _either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for b, raw in zip(batch.column("block").to_pylist(), batch.column("counts")):
-            c = np.frombuffer(raw.as_py(), np.uint8)
-            total[b] = total[b] | c if b in total else c
-    for b, c in total.items():
-        yield pa.RecordBatch.from_pydict({"block": [b], "counts": [c.tobytes()]})
-
-
 def _place(doc_id: np.ndarray) -> np.ndarray:
     return (mix(doc_id.astype(np.int64).view(np.uint64)) % np.uint64(MARKS)).astype(np.int64)
 
@@ -297,12 +303,8 @@ def _place(doc_id: np.ndarray) -> np.ndarray:
 def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The documents whose id is among ids.  A bitmap of constant size, by hash,
     spares the others the shuffle; the semi-join decides."""
-    schema = "block long, counts binary"
-    rows = ids.mapInArrow(_mark, schema).repartition(8, "block").mapInArrow(_either, schema).collect()
-    bits = np.zeros((BLOCKS, MARKS // BLOCKS // 8), np.uint8)
-    for r in rows:
-        bits[r.block] |= np.frombuffer(bytes(r.counts), np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(bits.ravel())
+    bits = _gathered(ids.mapInArrow(_mark, "block long, counts binary"), np.bitwise_or).view(np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     @F.pandas_udf("boolean")
     def marked(doc_id: pd.Series) -> pd.Series:
@@ -312,158 +314,250 @@ def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.where(marked("doc_id")).join(ids.hint("merge"), "doc_id", "left_semi")
 
 
-def _verify(k: int):
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x):
+        return 0
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    return int((y[at] == x).sum())
+
+
+def _against(k: int):
+    """Reduce over rows sorted by (pivot, piece, role): intersection and union sizes of
+    each text of role 1 with the pivot's (role 0; one for each row of its doc_id)."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("common", pa.int64()), ("either", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sets, fresh = None, [], False
         for batch in batches:
-            for part in slices(batch, "text_a"):
-                sides = []
-                for c in ("text_a", "text_b"):
-                    row, h, size = shingle_sets(part.column(c), k)
-                    sides.append((row, h, size))
-                (ra, ha, na), (rb, hb, nb) = sides
-                row, h = np.concatenate([ra, rb]), np.concatenate([ha, hb])
-                o = np.lexsort((h, row))
-                row, h = row[o], h[o]
-                twice = np.flatnonzero((row[1:] == row[:-1]) & (h[1:] == h[:-1]))
-                common = np.bincount(row[twice], minlength=part.num_rows).astype(np.int64)
-                yield table({"a": part.column("a").to_numpy(), "b": part.column("b").to_numpy(), "common": common, "either": na + nb - common}, schema)
+            for part in slices(batch, "text"):
+                _, h, size = shingle_sets(part.column("text"), k)
+                start = np.cumsum(size) - size
+                out = ([], [], [], [])
+                for i, (pivot, piece, role, doc) in enumerate(zip(*(part.column(c).to_pylist() for c in ("pivot", "piece", "role", "doc_id")))):
+                    x = h[start[i] : start[i] + size[i]]
+                    if role == 0:
+                        if at != (pivot, piece):
+                            at, sets = (pivot, piece), []
+                        sets.append(x.copy())
+                        continue
+                    for y in sets if at == (pivot, piece) else ():
+                        c = _common(x, y)
+                        for col, v in zip(out, (pivot, doc, c, len(x) + len(y) - c)):
+                            col.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out], schema=schema)
 
     return run
 
 
-def _pivot(k: int):
-    """Group: the shingles that more than half of a region's sampled documents hold."""
+def measure(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """Intersection and union sizes of the pairs (a, b).  b's text goes to the task of
+    a's; an a with many partners is in several tasks, with PIECE of them each."""
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = pairs.groupBy("a").agg(F.ceil(F.count("*") / PIECE).alias("pieces"))
+    ones = pieces.select(F.col("a").alias("doc_id"), F.col("a").alias("pivot"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"), F.lit(0).alias("role"))
+    others = pairs.join(pieces, "a").select(F.col("b").alias("doc_id"), F.col("a").alias("pivot"), F.pmod(F.xxhash64("b"), "pieces").cast("long").alias("piece"), F.lit(1).alias("role"))
+    asked = ones.unionByName(others).hint("merge").join(texts.hint("merge"), "doc_id")
+    dealt = asked.repartition(n, "pivot", "piece").sortWithinPartitions("pivot", "piece", "role")
+    return dealt.mapInArrow(_against(k), "a long, b long, common long, either long")
 
-    def run(group: pa.Table) -> pa.Table:
-        _, h, _ = shingle_sets(group.column("text").combine_chunks(), k)
-        u, n = np.unique(h, return_counts=True)
-        return pa.table({"region": group.column("region")[:1], "pivot": [signed(np.sort(u[2 * n > group.num_rows]))]}, schema=pa.schema([("region", pa.int64()), ("pivot", pa.list_(pa.int64()))]))
 
-    return run
+def _linked(percent: int):
+    return F.expr(f"100 * common >= {percent} * either and either > 0")
 
 
-def _distances(k: int, percent: int):
-    """Map: each document's f (times 100 + percent) and the shingles in which it differs from its pivot."""
-    schema = pa.schema([("region", pa.int64()), ("doc_id", pa.int64()), ("component", pa.int64()), ("n", pa.int64()), ("f", pa.int64()), ("differs", pa.list_(pa.int64()))])
+def _centres(k: int):
+    """Group: of a region's sampled texts the centres of those within distance 1/2 of each other."""
+    schema = pa.schema([("region", pa.int64()), ("centre", pa.list_(pa.int64()))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                _, h, size = shingle_sets(part.column("text"), k)
-                at = np.cumsum(size) - size
-                differs, f = [], []
-                for i, c in enumerate(part.column("pivot")):
-                    x = signed(h[at[i] : at[i] + size[i]])
-                    d = np.setxor1d(x, c.values.to_numpy() if len(c) else x[:0], assume_unique=True)
-                    differs.append(d)
-                    f.append((100 + percent) * len(d) - (100 - percent) * len(x))
-                yield pa.RecordBatch.from_arrays([part.column("region"), part.column("doc_id"), part.column("component"), pa.array(size), pa.array(f, pa.int64()), pa.array(differs, pa.list_(pa.int64()))], schema=schema)
+    def run(group: pa.Table) -> pa.Table:
+        gathered: list[list[np.ndarray]] = []
+        for text in group.column("text").combine_chunks():
+            x = shingle_sets(pa.array([text.as_py()], pa.string()), k)[1]
+            for near in gathered:
+                c = _common(x, near[0])
+                if 2 * c >= len(x) + len(near[0]) - c:
+                    near.append(x)
+                    break
+            else:
+                gathered.append([x])
+        centres = []
+        for near in gathered:
+            u, n = np.unique(np.concatenate(near), return_counts=True)
+            c = u[2 * n > len(near)]
+            centres.append(signed(c if len(c) else near[0]))
+        return pa.table({"region": pa.array([group.column("region")[0].as_py()] * len(centres), pa.int64()), "centre": pa.array(centres, pa.list_(pa.int64()))}, schema=schema)
 
     return run
 
 
-def _spread():
-    """Map: one row for each shingle in which a document differs from its pivot."""
-    schema = pa.schema([("region", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("component", pa.int64()), ("far", pa.bool_())])
+def _voronoi(k: int, percent: int, counts):
+    """Reduce over rows sorted by (region, piece, role): each document (role 1) is measured
+    against all centres of its region (role 0).  One row for each Voronoi region in which
+    it belongs: its distance there, f = (100 + percent) |x ^ p| - (100 - percent) |x|, and
+    the shingles in which it differs: its own first, rarest first, then the pivot's."""
+    schema = pa.schema([("region", pa.int64()), ("doc_id", pa.int64()), ("component", pa.int64()), ("n", pa.int64()), ("f", pa.int64()), ("near", pa.float64()), ("native", pa.bool_()), ("differs", pa.list_(pa.int64()))])
+    reach = 2 * (1 - percent / 100) + SLACK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, centres = None, []
         for batch in batches:
-            d = batch.column("differs")
-            row = np.repeat(np.arange(batch.num_rows), np.diff(d.offsets.to_numpy()))
-            region = batch.column("region").to_numpy()[row]
-            key = mix(d.flatten().to_numpy().view(np.uint64) + mix(region.view(np.uint64)))
-            yield table({"region": signed(key), "doc_id": batch.column("doc_id").to_numpy()[row], "n": batch.column("n").to_numpy()[row], "component": batch.column("component").to_numpy()[row], "far": batch.column("far").to_numpy(zero_copy_only=False)[row]}, schema)
+            for part in slices(batch, "text"):
+                _, h, size = shingle_sets(part.column("text"), k)
+                start = np.cumsum(size) - size
+                out: list[list] = [[] for _ in schema]
+                centre = part.column("centre")
+                for i, (region, piece, role, doc, component) in enumerate(zip(*(part.column(c).to_pylist() for c in ("region", "piece", "role", "doc_id", "component")))):
+                    if role == 0:
+                        if at != (region, piece):
+                            at, centres = (region, piece), []
+                        centres.append(centre[i].values.to_numpy().copy().view(np.uint64))
+                        continue
+                    x = h[start[i] : start[i] + size[i]]
+                    same = [_common(x, c) for c in centres]
+                    d = np.array([1 - s / (len(x) + len(c) - s) for s, c in zip(same, centres)])
+                    nearest = int(d.argmin())
+                    for j in np.flatnonzero(d <= d[nearest] + reach):
+                        c = centres[j]
+                        own, others = np.setdiff1d(x, c, assume_unique=True), np.setdiff1d(c, x, assume_unique=True)
+                        own = own[np.lexsort((own, counts.value[_counter(own)]))]
+                        others = others[np.lexsort((others, counts.value[_counter(others)]))]
+                        key = int(mix(mix(np.array([region], np.int64).view(np.uint64)) + np.uint64(j + 1))[0].view(np.int64))
+                        differs = signed(np.concatenate([own, others]))
+                        for col, v in zip(out, (key, doc, component, len(x), (100 + percent) * len(differs) - (100 - percent) * len(x), d[j], j == nearest, differs)):
+                            col.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, schema)], schema=schema)
 
     return run
 
 
-def measure(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """Exact intersection and union sizes of the pairs (a, b)."""
-    # Pairs and texts both grow with the input, so neither side is ever broadcast.
-    left = pairs.join(docs.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
-    both = left.join(docs.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(k), "a long, b long, common long, either long")
-
-
-def _linked(percent: int):
-    return F.expr(f"100 * common >= {percent} * either and either > 0")
-
-
-def join_sets(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT, leaf: int = LEAF) -> tuple[DataFrame, DataFrame]:
-    """-> sizes (doc_id, n) of all documents, and links (u, v) that connect what
-    is linked by similarity, directly or over others."""
-    spark = documents.sparkSession
-    docs = documents.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    counts = spark.sparkContext.broadcast(frequency_sketch(docs, k))
-    found = docs.mapInArrow(_prefixes(k, percent, counts), "kind tinyint, doc_id long, shingle long, n long")
-    found = materialise(found, "prefixes")
-    seeds = found.where("kind = 1").select(F.col("shingle").alias("region"), "doc_id", "n", F.col("doc_id").alias("component"), F.lit(True).alias("far"))
-    pairs, large = _join_leaves(seeds, percent, leaf)
-    large = large.select("region", "doc_id").unionByName(found.where("kind = 2").select(F.col("shingle").alias("region"), "doc_id"))
-    # A family of copies is a region for each of several shingles: regions with a common document are put together.
-    least = large.groupBy("region").agg(F.min("doc_id").alias("least"), F.count("*").alias("size")).where("size > 1")
-    family = components(large.join(least, "region").select(F.col("least").alias("u"), F.col("doc_id").alias("v")))
-    large = materialise(family.select(F.col("component").alias("region"), F.col("node").alias("doc_id")), "regions")
-    # From here on only these documents' texts are needed.
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(large.select("doc_id")).distinct()
-    texts = materialise(only(docs, materialise(ids, "ids")), "texts")
-    links = materialise(measure(pairs, texts, k), "measured").where(_linked(percent)).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    links = links.unionByName(found.where("kind = 3").select(F.col("doc_id").alias("u"), F.col("shingle").alias("v")))
-    return found.where("kind = 0").select("doc_id", "n"), _large_regions(large, links, texts, k, percent, leaf)
+def _sized(rows: DataFrame, leaf: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of the regions of 2 to leaf documents, and of larger ones with their size."""
+    sized = rows.join(rows.groupBy("region").agg(F.count("*").alias("size")).where("size > 1"), "region")
+    return sized.where(F.col("size") <= leaf), sized.where(F.col("size") > leaf)
 
 
-def _join_leaves(rows: DataFrame, percent: int, leaf: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of the small regions, and the rows of the large ones."""
+def _leaf_pairs(rows: DataFrame, percent: int, leaf: int) -> DataFrame:
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(n, "region").sortWithinPartitions("region", "doc_id")
-    out = materialise(dealt.mapInArrow(_leaves(percent, leaf), "region long, a long, b long, component long"), "leaves")
-    return out.where("b is not null").select("a", "b").distinct(), out.where("b is null").select("region", F.col("a").alias("doc_id"), "component")
-
-
-def _large_regions(large: DataFrame, links: DataFrame, docs: DataFrame, k: int, percent: int, leaf: int) -> DataFrame:
-    """Join the regions (region, doc_id) recursively; -> links with more of them."""
+    dealt = rows.select("region", "doc_id", "n", "component", "far", "native", "near").repartition(n, "region").sortWithinPartitions("region", "doc_id")
+    return dealt.mapInArrow(_leaves(percent, leaf), "a long, b long").distinct()
+
+
+def _candidates(docs: DataFrame, reps: DataFrame, counts, k: int, percent: int, leaf: int, frequent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of small cells and rows (region, doc_id, n) of regions, in classes of equal sets."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.mapInArrow(_prefixes(k, percent, counts, frequent), "region long, doc_id long, n int, salt smallint")
+    dealt = rows.repartition(n, "region", "salt").sortWithinPartitions("region", "doc_id")
+    cells = materialise(dealt.mapInArrow(_cells(percent, leaf), "region long, a long, b long, times long"), "cells")
+    met = cells.where("b is not null").groupBy("a", "b").agg(F.sum("times").alias("times")).where("times > 1").select("a", "b")
+    named = met.join(reps.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb")), "b")
+    pairs = named.where("ra != rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
+    large = cells.where("b is null").select("region", F.col("a").alias("doc_id")).join(reps, "doc_id").select("region", F.col("rep").alias("doc_id"), "n").distinct()
+    # Regions with the same pivot are one.
+    pivot = large.groupBy("region").agg(F.min(F.struct(F.xxhash64("doc_id"), "doc_id")).alias("pivot"), F.count("*").alias("size")).where("size > 1")
+    large = materialise(large.join(pivot, "region").select(F.col("pivot.doc_id").alias("region"), "doc_id", "n").distinct(), "regions")
+    plain = large.withColumns({"component": F.col("doc_id"), "far": F.lit(True), "native": F.lit(True), "near": F.lit(0.0)})
+    small, large = _sized(plain, leaf)
+    pairs = materialise(pairs.unionByName(_leaf_pairs(small, percent, leaf)).distinct(), "pairs")
+    large = materialise(large.select("region", "doc_id", "size"), "regions")
+    discard(cells)
+    return pairs, large
+
+
+def _measured_links(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (u, v) among the pairs: first each document with its pivot, then what the
+    distances to a common pivot leave open."""
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    many = both.groupBy("a").agg(F.count("*").alias("many"))
+    rank = lambda many, doc: F.struct(many, F.bitwise_not(doc).alias("doc"))
+    best = both.join(many.select(F.col("a").alias("b"), "many"), "b").groupBy("a").agg(F.max(rank(F.col("many"), F.col("b"))).alias("best"))
+    pivot = best.join(many, "a").select(F.col("a").alias("doc_id"), F.bitwise_not(F.greatest("best", rank(F.col("many"), F.col("a")))["doc"]).alias("pivot"))
+    pivot = materialise(pivot, "pivots")
+    first = materialise(measure(pivot.where("doc_id != pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")), texts, k), "measured")
+    near = first.groupBy("a", "b").agg(F.max(F.when(_linked(percent), True).otherwise(False)).alias("linked"), F.min(1 - F.col("common") / F.col("either")).alias("lo"), F.max(1 - F.col("common") / F.col("either")).alias("hi"))
+    of = lambda side: near.select(F.col("b").alias(side), F.col("a").alias(f"p{side}"), *(F.col(c).alias(f"{c}_{side}") for c in ("linked", "lo", "hi")))
+    open_ = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("not (coalesce(pa = b, false) or coalesce(pb = a, false))")
+    # Rows that repeat a doc_id give it several distances: lo and hi.
+    settled = f"linked_a and linked_b or lo_a - hi_b > {1 - percent / 100 + SLACK} or lo_b - hi_a > {1 - percent / 100 + SLACK}"
+    open_ = open_.where(f"not coalesce(pa = pb and ({settled}), false)").select("a", "b")
+    second = materialise(measure(materialise(open_, "pairs"), texts, k), "measured")
+    return first.unionByName(second).where(_linked(percent)).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+def _join_regions(large: DataFrame, links: DataFrame, texts: DataFrame, counts, k: int, percent: int, leaf: int) -> DataFrame:
+    """Join the regions (region, doc_id, size) recursively; -> links with more of them."""
     if large.isEmpty():
         return links
+    n = int(large.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     links = materialise(links, "links")
-    large = large.join(components(links).withColumnRenamed("node", "doc_id"), "doc_id", "left").select("region", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    # Regions whose documents are all connected already are done.
-    open_ = large.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("region")
-    large = materialise(large.join(open_, "region"), "regions")
+    large = large.join(components(links).withColumnRenamed("node", "doc_id"), "doc_id", "left").select("region", "doc_id", "size", F.coalesce("component", "doc_id").alias("component"))
     while not large.isEmpty():
-        first = W.partitionBy("region").orderBy(F.xxhash64("doc_id"), "doc_id")
-        sample = large.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= SAMPLED)
-        pivots = sample.join(docs, "doc_id").select("region", "text").groupBy("region").applyInArrow(_pivot(k), "region long, pivot array<long>")
-        held = large.join(docs, "doc_id").dropDuplicates(["region", "doc_id"]).join(pivots, "region").select("region", "doc_id", "component", "text", "pivot")
-        held = materialise(held.mapInArrow(_distances(k, percent), "region long, doc_id long, component long, n long, f long, differs array<long>"), "distances")
+        # Regions whose documents are all connected already are done.
+        open_ = large.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("region")
+        large = materialise(large.join(open_, "region").withColumn("pieces", F.ceil(F.col("size") / PIECE)), "regions")
+        sample = large.withColumn("nth", F.row_number().over(W.partitionBy("region").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("nth") <= SAMPLED)
+        centres = sample.join(texts, "doc_id").select("region", "text").groupBy("region").applyInArrow(_centres(k), "region long, centre array<long>")
+        centres = centres.join(sample.groupBy("region").agg(F.first("pieces").alias("pieces")), "region")
+        none = F.lit(None).cast("long")
+        ones = centres.select("region", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"), F.lit(0).alias("role"), none.alias("doc_id"), none.alias("component"), F.lit(None).cast("string").alias("text"), "centre")
+        piece = F.pmod(F.xxhash64("doc_id"), F.col("pieces")).cast("long")
+        others = large.hint("merge").join(texts.hint("merge"), "doc_id").select("region", piece.alias("piece"), F.lit(1).alias("role"), "doc_id", "component", "text", F.lit(None).cast("array<long>").alias("centre"))
+        dealt = ones.unionByName(others).repartition(n, "region", "piece").sortWithinPartitions("region", "piece", "role")
+        held = dealt.mapInArrow(_voronoi(k, percent, counts), "region long, doc_id long, component long, n long, f long, near double, native boolean, differs array<long>")
+        held = materialise(held, "voronoi")
         hub = held.groupBy("region").agg(F.min(F.struct("f", "doc_id")).alias("hub"), F.max("f").alias("top"))
-        away = held.join(hub, "region").withColumn("far", F.col("f") + F.col("hub.f") > 0)
-        links = links.unionByName(away.where("not far and doc_id != hub.doc_id").select(F.col("hub.doc_id").alias("u"), F.col("doc_id").alias("v")))
-        # What is far is compared with the hub, and may be near another document that differs from the pivot likewise.
-        with_hub = away.where("far and doc_id != hub.doc_id").select(F.least("doc_id", F.col("hub.doc_id")).alias("a"), F.greatest("doc_id", F.col("hub.doc_id")).alias("b"))
-        rest = away.where("doc_id != hub.doc_id and top + hub.f > 0").select("region", "doc_id", "n", "component", "far", "f", "differs")
+        away = held.join(hub, "region").where("not (doc_id = hub.doc_id and f = hub.f)").withColumn("far", F.col("f") + F.col("hub.f") > 0)
+        links = links.unionByName(away.where("not far").select(F.col("hub.doc_id").alias("u"), F.col("doc_id").alias("v")))
+        with_hub = away.where("far and doc_id != hub.doc_id").select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b"))
+        # What is far may be near another document that differs from the pivot likewise.
+        rest = away.where("top + hub.f > 0").drop("hub", "top")
         ends = rest.groupBy("region").agg(F.min("f").alias("any_f"), F.min(F.when(F.col("far"), F.col("f"))).alias("far_f"))
         overlap = F.greatest(F.lit(1), F.ceil((F.col("f") + F.when(F.col("far"), F.col("any_f")).otherwise(F.col("far_f"))) / (2 * (100 + percent))))
-        rest = rest.join(ends, "region").where("far_f is not null").withColumn("prefix", F.size("differs") - overlap + 1).where("prefix > 0")
-        each = rest.select("region", "doc_id", "n", "component", "far", "prefix", F.explode("differs").alias("shingle"))
-        each = each.withColumn("held", F.count("*").over(W.partitionBy("region", "shingle")))
-        nth = F.row_number().over(W.partitionBy("region", "doc_id").orderBy("held", "shingle"))
-        each = each.withColumn("nth", nth).where("nth <= prefix and held > 1")
-        pairs, large = _join_leaves(each.select(F.xxhash64("region", "shingle").alias("region"), "doc_id", "n", "component", "far"), percent, leaf)
-        pairs = pairs.unionByName(with_hub).distinct()
-        measured = materialise(measure(pairs, docs, k), "measured")
+        rest = rest.join(ends, "region").where("far_f is not null").withColumn("prefix", (F.size("differs") - overlap + 1).cast("int")).where("prefix > 0")
+        each = rest.select("region", "doc_id", "n", "component", "far", "native", "near", F.explode(F.slice("differs", F.lit(1), F.col("prefix"))).alias("shingle"))
+        each = materialise(each.withColumn("region", F.xxhash64("region", "shingle")).drop("shingle"), "cells")
+        small, large = _sized(each, leaf)
+        pairs = materialise(_leaf_pairs(small, percent, leaf).unionByName(with_hub).distinct(), "pairs")
+        measured = materialise(measure(pairs, texts, k), "measured")
         links = links.unionByName(measured.where(_linked(percent)).select(F.col("a").alias("u"), F.col("b").alias("v")))
+        large = materialise(large.select("region", "doc_id", "size", "component").distinct(), "regions")
     return links
 
 
-def near_duplicate_classes(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT, leaf: int = LEAF) -> DataFrame:
+def join_sets(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT, leaf: int = LEAF, frequent: int = FREQUENT) -> tuple[DataFrame, DataFrame]:
+    """-> sizes (doc_id, n), a row for each row of documents, and links (u, v) that
+    connect what is linked by similarity, directly or over others."""
+    spark = documents.sparkSession
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    sets = materialise(docs.mapInArrow(_sets(k), "doc_id long, n long, a long, b long, block long, counts binary"), "sets")
+    blocks = sets.where("block is not null").select("block", "counts")
+    counts = spark.sparkContext.broadcast(_gathered(blocks, np.add) if not blocks.isEmpty() else np.zeros(SKETCH, np.int64))
+    sets = sets.where("block is null").select("doc_id", "n", "a", "b")
+    docs = docs.where("doc_id is not null")
+    full = sets.where("n > 0 and doc_id is not null")
+    least = full.groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep"))
+    reps = materialise(full.join(least, ["n", "a", "b"]).select("doc_id", "rep", "n").distinct(), "reps")
+    equal = reps.where("doc_id != rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    pairs, large = _candidates(docs, reps, counts, k, percent, leaf, frequent)
+    # From here on only these documents' texts are needed.
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(large.select("doc_id")).distinct()
+    ids = materialise(ids, "ids")
+    if ids.isEmpty():
+        return sets.select("doc_id", "n"), equal
+    texts = materialise(only(docs, ids), "texts")
+    links = _measured_links(pairs, texts, k, percent)
+    links = _join_regions(large, links, texts, counts, k, percent, leaf)
+    return sets.select("doc_id", "n"), links.unionByName(equal)
+
+
+def near_duplicate_classes(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT, leaf: int = LEAF, frequent: int = FREQUENT) -> DataFrame:
     """One row per row of documents: doc_id, n_shingles, component_id."""
-    sizes, links = join_sets(documents, k, percent, leaf)
+    sizes, links = join_sets(documents, k, percent, leaf, frequent)
     member = components(links)
-    out = sizes.join(member, sizes.doc_id == member.node, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
-    unnamed = documents.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
-    return out.unionByName(unnamed)
+    return sizes.join(member, sizes.doc_id == member.node, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -1,5 +1,5 @@
 """Intermediate tables in the folder that all executors share."""
 
-from ..store import materialise, shared_dir
+from ..store import discard, materialise, shared_dir
 
-__all__ = ["materialise", "shared_dir"]
+__all__ = ["discard", "materialise", "shared_dir"]
