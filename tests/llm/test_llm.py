@@ -232,6 +232,57 @@ def test_pages_give_their_article(spark, sf):
         assert r.text == "\n\n".join(x for x in want if x)
 
 
+def test_best_stretch_is_that_of_all_intervals():
+    rng = random.Random(8)
+    for _ in range(300):
+        s = [rng.choice([-2.0, -1.0, -0.5, 0.0, 0.5, 1.0, 3.0]) for _ in range(rng.randrange(0, 25))]
+        sums = {(i, j): sum(s[i:j]) for i in range(len(s)) for j in range(i + 1, len(s) + 1)}
+        most = max(sums.values(), default=0)
+        start, end = html_extract.best_stretch(s)
+        assert (start, end) == (0, 0) if most <= 0 else sums[start, end] == most
+
+
+SAID = "Some words that make up the text of a page, one after the other, until it ends."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<body class="page-with-sidebar"><div class="layout has-sidebar"><p>{SAID}</p></div></body>',
+        f'<div class="search-results"><p>{SAID}</p></div>',
+        f'<div class="content-sidebar-wrap"><p>{SAID}</p><div class="sidebar-right">more and more</div></div>',
+        f'<nav>more</nav><article><p>{SAID}</p></article><section class="comments"><article class="comment"><p>{"no more " * 50}</p></article></section>',
+        f'<main><p>{SAID}</p><div id="commentList">more</div></main><aside><article>{"no more " * 50}</article></aside>',
+        f'<article><div class="ad">more<p>{SAID}</p></article><footer>more</footer>',
+        f'<form id="all"><div class="site-header">more</div><article><p>{SAID}</p></article></form>',
+    ],
+)
+def test_frames_keep_their_text(page):
+    for model in ((html_extract.DEFAULTS, html_extract.PRIOR), html_extract.train([f"<nav>x</nav><div class=ad>y</div><article><p>{SAID}</p></article>"] * 30)):
+        assert html_extract.content(page, model) == SAID
+
+
+def test_titles_in_headers_of_articles_stay():
+    page = f'<div class="article-header"><h1>Title of it</h1></div><p>{SAID}</p>'
+    assert html_extract.content(page, (html_extract.DEFAULTS, html_extract.PRIOR)) == f"Title of it\n\n{SAID}"
+
+
+@pytest.mark.parametrize("page", ["<a " * 300_000, '<p title="' * 100_000, "<p title='x" * 100_000, "<svg " * 100_000, "<svg>" * 100_000, "<!--" * 200_000, "<div class=ad>" * 80_000, "<article>" * 80_000, "<" * 500_000, 'class="' * 150_000, "<b class=" + "a-" * 400_000 + ">"])
+def test_long_broken_pages_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    html_extract.content(page, (html_extract.DEFAULTS, html_extract.PRIOR))
+    assert time.process_time() - began < 8
+
+
+def test_pages_on_odd_input(spark):
+    row = (5, "u", f"<article><p>{SAID}</p></article>", "clash", "clash")
+    d = spark.createDataFrame([row, row, (6, None, f"<article><p>{SAID} </p>" + f"<p>{SAID}</p>" * 20_000 + "</article>", None, None)], "page_id long, url string, html string, text string, n_chars string")
+    got = sorted((r.page_id, r.n_chars) for r in html_extract.extract(d).collect())
+    assert got == [(5, len(SAID)), (5, len(SAID)), (6, len(SAID) * 20_001 + 40_000)]
+
+
 def test_token_counts_are_the_tokenizers(spark):
     from tokenizers import Tokenizer, models, pre_tokenizers
 
@@ -265,9 +316,9 @@ def test_neighbours_are_near_enough(spark, sf):
 def test_graph_recall_on_larger_shards():
     x = np.random.default_rng(5).normal(size=(3000, 33))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    graph, entry = graph_ann.build(x)
+    graph, entries = graph_ann.build(x)
     assert (np.sort(graph, 1)[:, 1:] != np.sort(graph, 1)[:, :-1])[np.sort(graph, 1)[:, 1:] >= 0].all()
-    got, _ = graph_ann.beam_search(graph, x, (x**2).sum(1), x[:100], entry, 64)
+    got, _ = graph_ann.beam_search(graph, x, (x**2).sum(1), x[:100], entries, 64)
     want = np.argsort(-(x[:100] @ x.T), 1)[:, :10]
     assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(got, want)]) > 0.9
 
@@ -486,5 +537,5 @@ def test_crowded_parts_are_cut_into_stretches(spark):
     ],
 )
 def test_open_elements_lose_no_text(page, lost, kept):
-    shown = " ".join("".join(v if k == "word" else " " for k, v, s in html_extract.tokens(page) if s and k[0] != "/").split())
+    shown = " ".join("".join(v if k == "word" else " " for k, v, s, _ in html_extract.tokens(page) if s and k[0] != "/").split())
     assert kept in " ".join(shown.replace("icon", "icon ").split()) and (not lost or lost not in shown) and "more" not in shown
