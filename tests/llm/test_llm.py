@@ -539,3 +539,31 @@ def test_crowded_parts_are_cut_into_stretches(spark):
 def test_open_elements_lose_no_text(page, lost, kept):
     shown = " ".join("".join(v if k == "word" else " " for k, v, s, _ in html_extract.tokens(page) if s and k[0] != "/").split())
     assert kept in " ".join(shown.replace("icon", "icon ").split()) and (not lost or lost not in shown) and "more" not in shown
+
+
+@pytest.mark.parametrize("clusters", [0, 40])
+def test_recall_at_the_largest_shard(clusters):
+    """A shard of SHARD_ROWS points, spread evenly or in clusters, against brute force."""
+    rng = np.random.default_rng(3)
+    n = graph_ann.SHARD_ROWS
+    x = rng.normal(size=(n, 32)) if not clusters else rng.normal(size=(clusters, 32))[rng.integers(0, clusters, n)] + 0.5 * rng.normal(size=(n, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got, _ = graph_ann.search(x, graph_ann.index(x), x[:200], 20)
+    want = np.argsort(-(x[:200] @ x.T), 1)[:, :20]
+    assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(got, want)]) > 0.93
+
+
+def test_neighbours_in_pieces_and_clashing_columns(spark, monkeypatch):
+    monkeypatch.setattr(graph_ann, "PIECE", 7)
+    monkeypatch.setattr(graph_ann, "EXACT", 8)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 8)) * np.exp(rng.normal(size=(400, 1)))
+    x[100:180] = x[7]  # ties
+    v = spark.createDataFrame([(i, [float(c) for c in r], "x", 0.5, 1) for i, r in enumerate(x)], "vec_id long, embedding array<double>, query string, score double, shard int")
+    got = {(r.query_id, r.rank): r.vec_id for r in graph_ann.nearest(v, v.where("vec_id % 5 = 0"), 6, shards=3).collect()}
+    right = 0
+    for q in range(0, 400, 5):
+        s = x @ x[q]
+        want = [i for i in np.lexsort((np.arange(400), -s)) if i != q][:6]
+        right += sum(got[q, k + 1] == w for k, w in enumerate(want))
+    assert right >= 0.95 * 80 * 6

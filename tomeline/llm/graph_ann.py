@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by inner product on robust-pruned graphs.
 
 Vectors are dealt to shards by a hash; each shard is a directed graph.  It grows
-batch by batch: a greedy beam search from the entry point proposes neighbours of
+batch by batch: a greedy beam search from the nearest of ENTRIES points proposes neighbours of
 each new point; pruning keeps a candidate only if no kept one is nearer to it by
 the factor ALPHA, so the edges stay diverse; kept neighbours get the edge back and
 are pruned again when they have more than DEGREE.  A query walks every shard with
@@ -19,9 +19,11 @@ Equal vectors are one point of the graph.  Of its rows the k + 1 with the least
 ids are kept, which is all that a list of k can need, so a vector held by a third
 of all rows is cheap and exact.
 
-Scale: SHARDS graphs until each holds SHARD_ROWS points, then more graphs.  A
-task holds one shard.  Graph and search run in one task, so a lost executor costs
-one shard.
+Scale: SHARDS graphs until each holds SHARD_ROWS points, then more graphs, so that
+recall within a shard doesn't fall with the input.  Graphs are built once and written to
+the shared folder; a task holds one shard and reads its queries batch by batch, PIECE
+distinct ones at most, so no group grows with the queries and a lost executor costs one
+piece.  Every query walks every shard: the method's cost is queries times shards.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components take no part; nor does a null vec_id.  Vectors of different lengths
@@ -31,29 +33,40 @@ k candidates: all of them.  Further columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .store import materialise
+from .vectext import table
 
 SHARDS = 8
-SHARD_ROWS = 50_000
-DEGREE = 28
-BUILD_BEAM = 48
-BEAM = 128
+SHARD_ROWS = 20_000
+#: Distinct queries that walk a shard in one task, and partitions for each such task.
+PIECE = 8192
+SPREAD = 6
+DEGREE = 32
+BUILD_BEAM = 64
+BEAM = 192
 ALPHA = 1.2
 WIDTH = 4
 BATCH = 256
 RATIO = 1.25
 EXACT = 512
+#: Points from which walks may start, and how many of them each walk takes.
+ENTRIES = 256
+STARTS = 16
 
 
-def beam_search(graph: np.ndarray, x: np.ndarray, norm: np.ndarray | None, q: np.ndarray, entry: int, beam: int):
+def beam_search(graph: np.ndarray, x: np.ndarray, norm: np.ndarray | None, q: np.ndarray, entries: np.ndarray, beam: int):
     """For each row of q the beam's points and distances, nearest first; -1 pads.
-    A distance is norm less twice the product, or squared differences if norm is None."""
+    The walk starts from the nearest of the entries.  A distance is norm less twice
+    the product, or squared differences if norm is None."""
 
     def far(r: np.ndarray, p: np.ndarray) -> np.ndarray:
         if norm is not None:
@@ -66,10 +79,13 @@ def beam_search(graph: np.ndarray, x: np.ndarray, norm: np.ndarray | None, q: np
     rows = np.arange(b)
     ids = np.full((b, beam), -1)
     dist = np.full((b, beam), np.inf, x.dtype)
-    ids[:, 0], dist[:, 0] = entry, far(rows, np.full(b, entry))
+    m = len(entries)
+    d = far(np.repeat(rows, m), np.tile(entries, b)).reshape(b, m)
+    o = np.argsort(d, axis=1, kind="stable")[:, : min(m, STARTS)]
+    ids[:, : o.shape[1]], dist[:, : o.shape[1]] = entries[o], np.take_along_axis(d, o, 1)
     done = np.zeros((b, beam), bool)
     seen = np.zeros((b, n), bool)
-    seen[:, entry] = True
+    seen[:, entries] = True
     while True:
         todo = (ids >= 0) & ~done
         live = np.flatnonzero(todo.any(1))
@@ -134,18 +150,19 @@ def prune(x: np.ndarray, point: np.ndarray, cand: np.ndarray, degree: int, alpha
     return out
 
 
-def build(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: float = ALPHA) -> tuple[np.ndarray, int]:
-    """The pruned graph (n x degree, -1 pads) of the points, and the entry point."""
+def build(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: float = ALPHA) -> tuple[np.ndarray, np.ndarray]:
+    """The pruned graph (n x degree, -1 pads) of the points, and the entries of walks."""
     n = len(x)
     graph = np.full((n, degree), -1)
-    entry = int(((x - x.mean(0)) ** 2).sum(1).argmin())
+    centre = int(((x - x.mean(0)) ** 2).sum(1).argmin())
     order = np.random.Generator(np.random.PCG64(1)).permutation(n)
-    order = np.concatenate([[entry], order[order != entry]])
+    order = np.concatenate([[centre], order[order != centre]])
+    entries = order[:ENTRIES]
     at = 1
     while at < n:
         new = order[at : at + min(at, BATCH)]
+        ids, _ = beam_search(graph, x, None, x[new], entries[:at], beam)
         at += len(new)
-        ids, _ = beam_search(graph, x, None, x[new], entry, beam)
         graph[new] = prune(x, new, ids, degree, alpha)
         src = np.repeat(new, degree)
         dst = graph[new].ravel()
@@ -170,7 +187,7 @@ def build(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: fl
             sel = index[where] >= 0
             more[index[where[sel]], place[sel]] = src[sel]
             graph[target[part]] = prune(x, target[part], np.concatenate([graph[target[part]], more], 1), degree, alpha)
-    return graph, entry
+    return graph, entries
 
 
 def classes(x: np.ndarray) -> list[tuple[float, np.ndarray]]:
@@ -186,15 +203,15 @@ def classes(x: np.ndarray) -> list[tuple[float, np.ndarray]]:
     return out
 
 
-def index(x: np.ndarray) -> list[tuple[float, np.ndarray, np.ndarray | None, int]]:
-    """(largest norm, points, graph, entry) of each class; no graph for small ones."""
+def index(x: np.ndarray) -> list[tuple[float, np.ndarray, np.ndarray | None, np.ndarray | None]]:
+    """(largest norm, points, graph, entries) of each class; no graph for small ones."""
     out = []
     for top, at in classes(x):
-        graph, entry = None, 0
+        graph = entries = None
         if len(at) > EXACT:
             part = x[at] / top
-            graph, entry = build((part / np.sqrt((part**2).sum(1, keepdims=True))).astype(np.float32))
-        out.append((top, at, graph, entry))
+            graph, entries = build((part / np.sqrt((part**2).sum(1, keepdims=True))).astype(np.float32))
+        out.append((top, at, graph, entries))
     return out
 
 
@@ -205,7 +222,7 @@ def search(x: np.ndarray, parts: list, q: np.ndarray, k: int) -> tuple[np.ndarra
     wide = np.abs(q).max(1)
     asked = q / wide[:, None]
     size = np.sqrt((asked**2).sum(1))
-    for top, at, graph, entry in parts:
+    for top, at, graph, entries in parts:
         # Rounding is below the slack; a class that might hold a better point is never left out.
         live = np.flatnonzero(~(score[:, -1] > top * size * wide * (1 + 1e-9)))
         part = None if graph is None else (x[at] / top).astype(np.float32)
@@ -215,7 +232,7 @@ def search(x: np.ndarray, parts: list, q: np.ndarray, k: int) -> tuple[np.ndarra
                 got = np.broadcast_to(np.arange(len(at)), (len(rows), len(at)))
                 s = q[rows] @ x[at].T
             else:
-                got, _ = beam_search(graph, part, np.zeros(len(at), np.float32), asked[rows].astype(np.float32), entry, max(BEAM, 2 * k))
+                got, _ = beam_search(graph, part, np.zeros(len(at), np.float32), asked[rows].astype(np.float32), entries, max(BEAM, 2 * k))
                 s = np.where(got >= 0, np.einsum("ij,ikj->ik", q[rows], x[at[got]]), -np.inf)
             all_i = np.concatenate([ids[rows], np.where(got >= 0, at[got], -1)], 1)
             all_s = np.concatenate([score[rows], s], 1)
@@ -225,16 +242,53 @@ def search(x: np.ndarray, parts: list, q: np.ndarray, k: int) -> tuple[np.ndarra
     return ids, score
 
 
-def _search_shard(k: int):
-    def run(points: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(points) or not len(queries):
-            return pd.DataFrame({"query": np.zeros(0, np.int64), "rep": np.zeros(0, np.int64), "score": np.zeros(0)})
-        points = points.sort_values("rep")  # of equal scores the least ids are kept
-        x = np.stack(points["embedding"].to_numpy()).astype(np.float64)
-        q = np.stack(queries["embedding"].to_numpy()).astype(np.float64)
-        ids, score = search(x, index(x), q, k + 1)
-        r, c = np.nonzero(ids >= 0)
-        return pd.DataFrame({"query": queries["query"].to_numpy()[r], "rep": points["rep"].to_numpy()[ids[r, c]], "score": score[r, c]})
+GRAPHS = pa.schema([("shard", pa.int64()), ("part", pa.int32()), ("top", pa.float64()), ("entries", pa.binary()), ("dims", pa.int32()), ("reps", pa.binary()), ("vectors", pa.binary()), ("edges", pa.binary())])
+
+
+def _built(key: tuple, points: pd.DataFrame) -> pd.DataFrame:
+    """Group: the classes of a shard as rows of GRAPHS.  Arrays are kept as bytes."""
+    points = points.sort_values("rep")  # of equal scores the least ids are kept
+    x = np.stack(points["embedding"].to_numpy()).astype(np.float64)
+    reps = points["rep"].to_numpy().astype(np.int64)
+    rows = [
+        (key[1], i, top, b"" if graph is None else entries.tobytes(), x.shape[1], reps[at].tobytes(), x[at].tobytes(), b"" if graph is None else graph.astype(np.int32).tobytes())
+        for i, (top, at, graph, entries) in enumerate(index(x))
+    ]
+    return pd.DataFrame(rows, columns=GRAPHS.names)
+
+
+def _walk(k: int):
+    """Reduce over rows sorted by (dims, shard, piece, role, part): the classes of a shard
+    (role 0), then the queries that walk them (role 1), a batch at a time."""
+    schema = pa.schema([("query", pa.int64()), ("rep", pa.int64()), ("score", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, reps, x, parts = None, [], [], []
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("dims", "shard", "piece", "role"))))
+            lo = 0
+            while lo < len(keys):
+                hi = lo + 1
+                while hi < len(keys) and keys[hi] == keys[lo]:
+                    hi += 1
+                (*where, role), rows = keys[lo], batch.slice(lo, hi - lo)
+                lo = hi
+                if role == 0:
+                    if at != where:
+                        at, reps, x, parts = where, [], [], []
+                    for r in rows.to_pylist():
+                        first = sum(map(len, reps))
+                        reps.append(np.frombuffer(r["reps"], np.int64))
+                        x.append(np.frombuffer(r["vectors"], np.float64).reshape(-1, r["dims"]))
+                        edges = np.frombuffer(r["edges"], np.int32).reshape(len(x[-1]), -1).astype(np.int64) if r["edges"] else None
+                        parts.append((r["top"], np.arange(first, first + len(x[-1])), edges, np.frombuffer(r["entries"], np.int64)))
+                elif at == where:
+                    if len(x) > 1:
+                        reps, x = [np.concatenate(reps)], [np.concatenate(x)]
+                    q = np.stack(rows.column("embedding").to_numpy(zero_copy_only=False)).astype(np.float64)
+                    ids, score = search(x[0], parts, q, k + 1)
+                    r, c = np.nonzero(ids >= 0)
+                    yield table({"query": rows.column("query").to_numpy()[r], "rep": reps[0][ids[r, c]], "score": score[r, c]}, schema)
 
     return run
 
@@ -257,14 +311,19 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, shards: int | None =
     if shards is None:
         shards = max(SHARDS, -(-reps.count() // SHARD_ROWS))
     q = usable(queries)
-    asked = q.groupBy("embedding").agg(F.min("vec_id").alias("query"))
-    points = reps.withColumn("dims", F.size("embedding")).withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(shards)))
-    walks = asked.withColumn("dims", F.size("embedding")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<long>")))
-    found = points.groupBy("dims", "shard").cogroup(walks.groupBy("dims", "shard")).applyInPandas(_search_shard(k), "query long, rep long, score double")
-    found = materialise(found, "found")
+    asked = materialise(q.groupBy("embedding").agg(F.min("vec_id").alias("query")).withColumn("dims", F.size("embedding")), "queries")
+    points = reps.withColumn("dims", F.size("embedding")).withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("long"))
+    # More partitions than keys, so that few tasks get two shards.
+    built = points.repartition(SPREAD * shards, "dims", "shard").groupBy("dims", "shard").applyInPandas(_built, "shard long, part int, top double, entries binary, dims int, reps binary, vectors binary, edges binary")
+    built = materialise(built, "graphs")
+    pieces = -(-asked.count() // PIECE)
+    graphs = built.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(max(pieces, 1) - 1)))).withColumns({"role": F.lit(0), "query": F.lit(None).cast("long"), "embedding": F.lit(None).cast("array<double>")})
+    walks = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<long>"))).withColumns({"piece": F.pmod(F.xxhash64("query"), F.lit(max(pieces, 1))).cast("int"), "role": F.lit(1)})
+    dealt = graphs.unionByName(walks, allowMissingColumns=True).repartition(SPREAD * shards * max(pieces, 1), "dims", "shard", "piece").sortWithinPartitions("dims", "shard", "piece", "role", "part")
+    found = materialise(dealt.mapInArrow(_walk(k), "query long, rep long, score double"), "found")
     best = W.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     lists = found.join(v.select("rep", "vec_id"), "rep").withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k + 1).select("query", "vec_id", "score")
-    ids = q.join(asked, "embedding").select(F.col("vec_id").alias("query_id"), "query").distinct()
+    ids = q.join(asked.drop("dims"), "embedding").select(F.col("vec_id").alias("query_id"), "query").distinct()
     own = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     out = ids.join(lists, "query").where("vec_id != query_id").withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k)
     return out.select("query_id", "rank", "vec_id", "score")
