@@ -567,3 +567,19 @@ def test_neighbours_in_pieces_and_clashing_columns(spark, monkeypatch):
         want = [i for i in np.lexsort((np.arange(400), -s)) if i != q][:6]
         right += sum(got[q, k + 1] == w for k, w in enumerate(want))
     assert right >= 0.95 * 80 * 6
+
+
+@pytest.mark.parametrize("frequent", [0, 3])
+def test_frequent_anchors_give_the_same_repeats(spark, frequent):
+    rng = random.Random(31)
+    phrase = text(rng, 12)  # shorter than a window, in every document
+    t = [f"{text(rng, 15)} {phrase} {text(rng, 15)}" for _ in range(60)]
+    t += [t[3], t[9] + " " + t[3], f"{text(rng, 9)} {t[5]}", text(rng, 6000) + " " + t[7] + " " + text(rng, 6000)]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in rlz_dedup.remove_repeats(docs(spark, *t), frequent=frequent).collect()}
+    assert got == dict(enumerate(removed(t)))
+
+
+def test_parse_is_greedy():
+    start, windows, doc, at = (np.array(x, np.int64) for x in ([0, 5, 0, 3, 9, 20], [5, 4, 3, 9, 1, 2], [1, 1, 2, 3, 4, 1], [0, 5, 7, 1, 9, 9]))
+    got = [tuple(int(v) for v in r) for r in zip(*rlz_dedup.greedy(start, windows, doc, at, 20))]
+    assert got == [(0, 28, 1, 0), (3, 28, 3, 1), (20, 21, 1, 9)]

@@ -58,6 +58,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import components
+from .sketch import BLOCK_ROWS, BLOCKS, SKETCH, blocks, counter, gathered
 from .store import discard, materialise
 from .vectext import BASE_A, BASE_B, grams, mix, signed, slices, table, words
 
@@ -66,8 +67,6 @@ PERCENT = 85
 LEAF = 32
 SAMPLED = 8
 PIECE = 1024
-#: Counters of the frequency sketch (constant size, whatever the input), and in how many blocks and groups they are added up.
-SKETCH, BLOCKS, GROUPS = 2**20, 64, 16
 #: Bits of the bitmap of documents that take part in pairs (4 MB).
 MARKS = 2**25
 #: A shingle is very frequent if its counter is so much above the mean counter.
@@ -97,10 +96,6 @@ def shingle_sets(col: pa.Array, k: int):
     return row, h, np.bincount(row, minlength=len(col)).astype(np.int64)
 
 
-def _counter(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(40)).astype(np.int64) % SKETCH
-
-
 def _fingerprints(h: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit sums of each row's set; 0 for empty ones."""
     a, b = np.zeros(len(size), np.uint64), np.zeros(len(size), np.uint64)
@@ -121,7 +116,7 @@ def _sets(k: int):
         for batch in batches:
             for part in slices(batch, "text"):
                 _, h, size = shingle_sets(part.column("text"), k)
-                count += np.bincount(_counter(h), minlength=SKETCH)
+                count += np.bincount(counter(h), minlength=SKETCH)
                 a, b = _fingerprints(h, size)
                 n = part.num_rows
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size), pa.array(signed(a)), pa.array(signed(b)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], schema=schema)
@@ -132,30 +127,6 @@ def _sets(k: int):
     return run
 
 
-def _merge(put):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for b, raw in zip(batch.column("block").to_pylist(), batch.column("counts")):
-                c = np.frombuffer(raw.as_py(), np.int64)
-                total[b] = put(total[b], c) if b in total else c
-        for b, c in total.items():
-            yield pa.RecordBatch.from_pydict({"block": [b], "counts": [c.tobytes()]})
-
-    return run
-
-
-def _gathered(blocks: DataFrame, put) -> np.ndarray:
-    """The blocks of all tasks put together, in two rounds; constant size."""
-    schema = "block long, counts binary"
-    grouped = blocks.select("block", "counts", F.pmod(F.spark_partition_id(), F.lit(GROUPS)).alias("group")).repartition(BLOCKS * GROUPS // 8, "block", "group")
-    once = grouped.select("block", "counts").mapInArrow(_merge(put), schema)
-    out: dict[int, np.ndarray] = {}
-    for r in once.repartition(BLOCKS // 8, "block").mapInArrow(_merge(put), schema).collect():  # BLOCKS rows and no more
-        out[r.block] = np.frombuffer(bytes(r.counts), np.int64)
-    return np.concatenate([out[b] for b in sorted(out)])
-
-
 def _prefixes(k: int, percent: int, counts, frequent: int):
     """Map: for each text the shingles of its prefix, once for equal sets of a slice.
     salt is 0, but for very frequent shingles a number above it that follows from the document."""
@@ -179,7 +150,7 @@ def _prefixes(k: int, percent: int, counts, frequent: int):
                 alone[o[first]] = True
                 keep = alone[row]
                 row, h = row[keep], h[keep]
-                f = freq[_counter(h)]
+                f = freq[counter(h)]
                 o = np.lexsort((h, f, row))  # rarest first
                 row, h, f = row[o], h[o], f[o]
                 kept = np.where(alone, size, 0)
@@ -292,8 +263,7 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bits = np.zeros(MARKS, np.uint8)
     for batch in batches:
         bits[_place(batch.column("doc_id").to_numpy())] = 1
-    for b, part in enumerate(np.packbits(bits).reshape(BLOCKS, -1)):
-        yield pa.RecordBatch.from_pydict({"block": [b], "counts": [part.tobytes()]})
+    yield from blocks(np.packbits(bits))
 
 
 def _place(doc_id: np.ndarray) -> np.ndarray:
@@ -303,7 +273,7 @@ def _place(doc_id: np.ndarray) -> np.ndarray:
 def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The documents whose id is among ids.  A bitmap of constant size, by hash,
     spares the others the shuffle; the semi-join decides."""
-    bits = _gathered(ids.mapInArrow(_mark, "block long, counts binary"), np.bitwise_or).view(np.uint8)
+    bits = gathered(ids.mapInArrow(_mark, BLOCK_ROWS), np.bitwise_or).view(np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     @F.pandas_udf("boolean")
@@ -423,8 +393,8 @@ def _voronoi(k: int, percent: int, counts):
                     for j in np.flatnonzero(d <= d[nearest] + reach):
                         c = centres[j]
                         own, others = np.setdiff1d(x, c, assume_unique=True), np.setdiff1d(c, x, assume_unique=True)
-                        own = own[np.lexsort((own, counts.value[_counter(own)]))]
-                        others = others[np.lexsort((others, counts.value[_counter(others)]))]
+                        own = own[np.lexsort((own, counts.value[counter(own)]))]
+                        others = others[np.lexsort((others, counts.value[counter(others)]))]
                         key = int(mix(mix(np.array([region], np.int64).view(np.uint64)) + np.uint64(j + 1))[0].view(np.int64))
                         differs = signed(np.concatenate([own, others]))
                         for col, v in zip(out, (key, doc, component, len(x), (100 + percent) * len(differs) - (100 - percent) * len(x), d[j], j == nearest, differs)):
@@ -533,8 +503,7 @@ def join_sets(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT, le
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     sets = materialise(docs.mapInArrow(_sets(k), "doc_id long, n long, a long, b long, block long, counts binary"), "sets")
-    blocks = sets.where("block is not null").select("block", "counts")
-    counts = spark.sparkContext.broadcast(_gathered(blocks, np.add) if not blocks.isEmpty() else np.zeros(SKETCH, np.int64))
+    counts = spark.sparkContext.broadcast(gathered(sets.where("block is not null").select("block", "counts"), np.add))
     sets = sets.where("block is null").select("doc_id", "n", "a", "b")
     docs = docs.where("doc_id is not null")
     full = sets.where("n > 0 and doc_id is not null")
