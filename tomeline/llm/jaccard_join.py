@@ -468,6 +468,10 @@ def _join_regions(large: DataFrame, links: DataFrame, texts: DataFrame, counts,
         # Regions whose documents are all connected already are done.
         open_ = large.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("region")
         large = materialise(large.join(open_, "region").withColumn("pieces", F.ceil(F.col("size") / PIECE)), "regions")
+        if large.isEmpty():
+            break
+        # Only these documents' texts are needed from here on; each round has fewer.
+        texts = materialise(texts.hint("merge").join(large.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"), "texts")
         sample = large.withColumn("nth", F.row_number().over(W.partitionBy("region").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("nth") <= SAMPLED)
         centres = sample.join(texts, "doc_id").select("region", "text").groupBy("region").applyInArrow(_centres(k), "region long, centre array<long>")
         centres = centres.join(sample.groupBy("region").agg(F.first("pieces").alias("pieces")), "region")
