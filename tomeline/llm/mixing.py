@@ -5,14 +5,16 @@
    words; what is above that is shared again by weight.  The fixed point is
    min(cap, level * weight), and the level is found with two running sums.
 2. Packing.  Each source's documents are laid end to end, in an order that
-   follows from a hash of doc_id, and cut into blocks of BLOCK words.  The places
+   follows from a hash of doc_id and text, and cut into blocks of BLOCK words.  The places
    are prefix sums in two levels (bucket, then inside a bucket), so a source that
    holds a third of all rows is many small groups.
-3. Draws.  A source's slots are its target in blocks.  Their numbers per output
-   shard are multinomial, given that they add up to the target: a node of shards
-   deals its slots to up to FAN children until single shards are left.  A slot's
-   number goes through the pseudorandom permutation of its source and epoch, so a
-   block is taken again only when all have been.
+3. Draws.  A source's slots are its target in blocks.  Every output shard has
+   SHARD_SLOTS slots (the last one what is left), and a multinomial draw says how many of
+   them each source gets; its weights are what the sources have left of their targets,
+   and what it gives a source above that is drawn again, so the targets are met to the
+   block.  A node of shards draws for up to FAN children, and so on until single shards
+   are left.  A slot's number goes through the pseudorandom permutation of its source
+   and epoch, so a block is taken again only when all have been.
 4. Join of slots and packed pieces on (source, block).
 
 All numbers come from hashes of SEED, source and place: reruns agree.
@@ -42,14 +44,14 @@ SHARE = 1.5
 REPEAT = 2
 BLOCK = 64
 SHARD_SLOTS = 4096
-FAN = 256
+FAN = 64
 BUCKET_ROWS = 10_000
 SEED = 20_240_501
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def sizes(documents: DataFrame) -> DataFrame:
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("doc_id", "text", F.lit(SEED)).alias("sign"))
 
 
 def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, repeat: float = REPEAT) -> DataFrame:
@@ -71,10 +73,10 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, repe
 def packed(sized: DataFrame, sources: DataFrame) -> DataFrame:
     """The documents with their place in their source: sid, doc_id, size, source_size, target, first."""
     d = sized.withColumnRenamed("source", "s").join(sources, F.col("s").eqNullSafe(F.col("source")))
-    d = d.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.floor(F.col("source_rows") / BUCKET_ROWS) + 1))
+    d = d.withColumn("bucket", F.pmod("sign", F.floor(F.col("source_rows") / BUCKET_ROWS) + 1))
     sums = d.groupBy("sid", "bucket").agg(F.sum("size").alias("n"))
     base = sums.select("sid", "bucket", (F.sum("n").over(W.partitionBy("sid").orderBy("bucket")) - F.col("n")).alias("base"))
-    inside = F.sum("size").over(W.partitionBy("sid", "bucket").orderBy("doc_id", "size").rowsBetween(W.unboundedPreceding, 0))
+    inside = F.sum("size").over(W.partitionBy("sid", "bucket").orderBy("sign", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0))
     d = d.withColumn("inside", inside - F.col("size")).join(base, ["sid", "bucket"])
     return d.select("sid", "source", "doc_id", "size", "source_size", "target", (F.col("base") + F.col("inside")).alias("first"))
 
@@ -104,22 +106,41 @@ def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-_NODE = "sid int, blocks long, shard long, shards long, at long, slots long"
-_NODE_SCHEMA = pa.schema([("sid", pa.int32()), ("blocks", pa.int64()), ("shard", pa.int64()), ("shards", pa.int64()), ("at", pa.int64()), ("slots", pa.int64())])
+_NODE = "shard long, shards long, sources array<struct<sid:int,blocks:long,at:long,slots:long>>"
+_SOURCE = pa.struct([("sid", pa.int32()), ("blocks", pa.int64()), ("at", pa.int64()), ("slots", pa.int64())])
+_NODE_SCHEMA = pa.schema([("shard", pa.int64()), ("shards", pa.int64()), ("sources", pa.list_(_SOURCE))])
 
 
-def _deal(seed: int):
-    """Map: deal the slots of each node of shards to its children, by a multinomial draw."""
+def draw_counts(rng: np.random.Generator, size: int, left: np.ndarray) -> np.ndarray:
+    """How many of size slots each source gets: a multinomial draw by what they have left.
+    What goes beyond that is drawn again among the others."""
+    got = np.zeros(len(left), np.int64)
+    while size:
+        open_ = left - got
+        got = got + rng.multinomial(size, open_ / open_.sum())
+        size = int(np.maximum(got - left, 0).sum())
+        got = np.minimum(got, left)
+    return got
+
+
+def _deal(seed: int, size: int):
+    """Map: deal the slots of each node of shards to its children, size to each shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                n = min(FAN, r["shards"])
-                width = np.diff(np.linspace(0, r["shards"], n + 1).astype(np.int64)) if n else np.zeros(0, np.int64)
-                draw = np.random.Generator(np.random.Philox(key=[seed + r["sid"], r["shard"] * 64 + int(r["shards"]).bit_length()]))
-                got = draw.multinomial(r["slots"], width / width.sum())
-                shard = r["shard"] + np.cumsum(width) - width
-                yield table({"sid": np.full(n, r["sid"]), "blocks": np.full(n, r["blocks"]), "shard": shard, "shards": width, "at": r["at"] + np.cumsum(got) - got, "slots": got}, _NODE_SCHEMA)
+            for i in range(batch.num_rows):
+                shard, shards = batch.column("shard")[i].as_py(), batch.column("shards")[i].as_py()
+                s = batch.column("sources")[i].values
+                sid, blocks, at, left = (s.field(n).to_numpy(zero_copy_only=False) for n in ("sid", "blocks", "at", "slots"))
+                n = min(FAN, shards)
+                width = np.diff(np.linspace(0, shards, n + 1).astype(np.int64))
+                rng = np.random.Generator(np.random.Philox(key=[seed, shard * 64 + int(shards).bit_length()]))
+                for w in width:
+                    got = draw_counts(rng, min(int(w) * size, int(left.sum())), left)
+                    some = np.flatnonzero(got)
+                    part = pa.StructArray.from_arrays([pa.array(c[some]) for c in (sid, blocks, at, got)], fields=list(_SOURCE))
+                    yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([w], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), part)], schema=_NODE_SCHEMA)
+                    shard, at, left = shard + int(w), at + got, left - got
 
     return run
 
@@ -130,31 +151,33 @@ def _take(seed: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                for lo in range(0, r["slots"], 1 << 18):
-                    k = np.arange(r["at"] + lo, r["at"] + min(lo + (1 << 18), r["slots"]))
-                    n = np.full(len(k), r["blocks"])
-                    key = scramble((k // n).astype(np.uint64) + np.uint64((seed + r["sid"]) * 2**20))
-                    yield table({"shard": np.full(len(k), r["shard"]), "sid": np.full(len(k), r["sid"]), "slot": k, "block": permuted(k % n, n, key)}, schema)
+            for i in range(batch.num_rows):  # a shard's slots, SHARD_SLOTS at most
+                s = batch.column("sources")[i].values
+                sid, blocks, at, count = (s.field(n).to_numpy(zero_copy_only=False) for n in ("sid", "blocks", "at", "slots"))
+                k = np.repeat(at - np.cumsum(count) + count, count) + np.arange(count.sum())
+                sid, n = np.repeat(sid, count), np.repeat(blocks, count)
+                key = scramble((k // n).astype(np.uint64) + (sid.astype(np.uint64) + np.uint64(seed)) * np.uint64(2**20))
+                yield table({"shard": np.full(len(k), batch.column("shard")[i].as_py()), "sid": sid, "slot": k, "block": permuted(k % n, n, key)}, schema)
 
     return run
 
 
-def slots(sources: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
+def slots(sources: DataFrame, block: int = BLOCK, seed: int = SEED, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """The mix: shard, sid, slot (number within the source), block."""
     n = F.ceil(F.col("source_size") / block)
     # Whole epochs, and of the last one as many blocks as come nearest.
     epochs = F.floor(F.col("target") / F.col("source_size"))
     rest = F.round((F.col("target") - epochs * F.col("source_size")) * n / F.col("source_size"))
     s = sources.where("source_size > 0").select("sid", n.cast("long").alias("blocks"), (epochs * n + rest).cast("long").alias("slots"))
-    total = s.agg(F.ceil(F.coalesce(F.sum("slots"), F.lit(0)) / SHARD_SLOTS).cast("long").alias("shards"))
+    total = s.agg(F.ceil(F.coalesce(F.sum("slots"), F.lit(0)) / shard_slots).cast("long").alias("shards"))
     shards = total.first()["shards"]  # one number
-    nodes = s.where("slots > 0").select(F.col("sid").cast("int"), "blocks", F.lit(0).cast("long").alias("shard"), F.lit(shards).cast("long").alias("shards"), F.lit(0).cast("long").alias("at"), "slots")
+    every = F.array_sort(F.collect_list(F.struct(F.col("sid").cast("int").alias("sid"), "blocks", F.lit(0).cast("long").alias("at"), "slots")))
+    nodes = s.where("slots > 0").agg(every.alias("sources")).where("size(sources) > 0").select(F.lit(0).cast("long").alias("shard"), F.lit(shards).cast("long").alias("shards"), "sources")
     width = shards
     while True:
-        nodes = nodes.mapInArrow(_deal(seed), _NODE).where("slots > 0")
+        nodes = nodes.mapInArrow(_deal(seed, shard_slots), _NODE)
         width = -(-width // FAN)
-        nodes = nodes.repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sid", "shard")
+        nodes = nodes.repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard")
         if width <= 1:
             break
     return nodes.mapInArrow(_take(seed), "shard long, sid int, slot long, block long")
