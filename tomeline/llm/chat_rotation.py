@@ -90,7 +90,6 @@ def op8_chat_rotation(spark, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "speaker", "part", "piece", F.col("n_turns").cast("long").alias("n_turns"), "text", written.alias("masks"))
 
 
-#: Holds where no part has more than CROWD rows, so that piece is 0.
 OP8_SQL = f"""
 WITH c AS (
   SELECT DISTINCT conv_id, coalesce(CAST(conv_id AS VARCHAR), 'null') AS conv, turn,
@@ -98,20 +97,21 @@ WITH c AS (
          coalesce(replace(text, '<|', '< |'), '') AS text,
          CAST(floor(coalesce(turn, 0) / {TURNS}) AS BIGINT) AS part
   FROM conversations),
+p AS (SELECT *, CAST((row_number() OVER (PARTITION BY conv, part ORDER BY turn NULLS FIRST, speaker, text) - 1) // {CROWD} AS BIGINT) AS piece FROM c),
 who AS (SELECT DISTINCT conv, speaker AS me FROM c),
 s AS (
-  SELECT c.*, me, speaker = me AS mine,
+  SELECT p.*, me, speaker = me AS mine,
          CASE WHEN speaker = me THEN '<|assistant|>' || chr(10) ELSE '<|user name=' || speaker || '|>' || chr(10) END AS head,
          text || '{END}' AS body
-  FROM c JOIN who USING (conv)),
+  FROM p JOIN who USING (conv)),
 o AS (
   SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (
-         PARTITION BY conv, me, part ORDER BY turn NULLS FIRST, speaker, text
+         PARTITION BY conv, me, part, piece ORDER BY turn NULLS FIRST, speaker, text
          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_
   FROM s)
-SELECT conv_id, me AS speaker, part, CAST(0 AS BIGINT) AS piece, count(*) AS n_turns,
+SELECT conv_id, me AS speaker, part, piece, count(*) AS n_turns,
        string_agg(head || body || chr(10), '' ORDER BY turn NULLS FIRST, speaker, text) AS text,
        coalesce(string_agg(CASE WHEN mine THEN CAST(CAST(at_ + length(head) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(at_ + length(head) + length(body) AS BIGINT) AS VARCHAR) END, ','
          ORDER BY turn NULLS FIRST, speaker, text), '') AS masks
-FROM o GROUP BY conv, conv_id, me, part
+FROM o GROUP BY conv, conv_id, me, part, piece
 """
