@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .store import materialise
+
 #: The kinds in listed order and their patterns.  Runs of one
 #: class which are too short to count are left out by the pattern itself, as no
 #: other match can begin inside them; assign is filtered after matching.
@@ -98,7 +100,7 @@ def _telling(spans: DataFrame, scope: int) -> DataFrame:
 
 
 def _spans(docs: DataFrame, scope: int) -> DataFrame:
-    located = _located(docs)
+    located = materialise(_located(docs), "located")  # short rows, used three times; the texts are read once
     base = located.where(F.col("kind") < len(BASE))
     return base.unionByName(_telling(located, scope))
 
