@@ -18,7 +18,8 @@ lower case; punctuation and white space don't matter.
 
 Scale: the item grams are broadcast only while they are at most GRAMS_AT_MOST
 (8 bytes each); beyond that the documents' grams are joined with them by a
-shuffle.  Texts are shuffled for the alignment once, by document.
+shuffle, with the same result.  Of the texts only those of candidates are shuffled for
+the alignment, once, by document.
 
 Defined results: null or empty texts match nothing; an item of fewer than GRAM
 words matches nothing.  Null doc_id or item_id: left out.  Rows that repeat a
@@ -35,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .sketch import perhaps
 from .store import materialise
 from .vectext import ALNUM, BASE_A, grams, signed, slices, table, words
 
@@ -152,13 +154,13 @@ def _score(least: float):
     return run
 
 
-def contaminated(documents: DataFrame, benchmark: DataFrame, match: float = MATCH, k: int = GRAM) -> DataFrame:
+def contaminated(documents: DataFrame, benchmark: DataFrame, match: float = MATCH, k: int = GRAM, at_most: int = GRAMS_AT_MOST) -> DataFrame:
     """One row per leaked item and document: doc_id, item_id, score, start, stop
     (words of the document)."""
-    found = candidates(documents, benchmark, k)
+    found = materialise(candidates(documents, benchmark, k, at_most), "candidates")
     items = _texts(benchmark, "item_id").select(F.col("id").alias("item_id"), F.col("text").alias("item_text"))
     docs = _texts(documents, "doc_id").withColumnRenamed("id", "doc_id")
-    rows = found.join(items, "item_id").join(docs, "doc_id").select("doc_id", "item_id", "text", "item_text", "hits")
+    rows = found.join(items, "item_id").join(perhaps(docs, found), "doc_id").select("doc_id", "item_id", "text", "item_text", "hits")
     scored = rows.mapInArrow(_score(match), "doc_id long, item_id long, score double, start long, stop long")
     best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", (-F.col("start")).alias("s"), "stop")).alias("x"))
     return best.select("doc_id", "item_id", "x.score", (-F.col("x.s")).alias("start"), "x.stop")

@@ -51,14 +51,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import components
-from .sketch import BLOCK_ROWS, BLOCKS, SKETCH, blocks, counter, gathered
+from .sketch import BLOCKS, SKETCH, counter, gathered, only
 from .store import discard, materialise
 from .vectext import BASE_A, BASE_B, grams, mix, signed, slices, table, words
 
@@ -67,8 +66,6 @@ PERCENT = 85
 LEAF = 32
 SAMPLED = 8
 PIECE = 1024
-#: Bits of the bitmap of documents that take part in pairs (4 MB).
-MARKS = 2**25
 #: A shingle is very frequent if its counter is so much above the mean counter.
 FREQUENT = 20_000
 #: Rounding of a distance is below this; windows are wider by it.
@@ -259,31 +256,6 @@ def _leaves(percent: int, leaf: int):
     return run
 
 
-def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros(MARKS, np.uint8)
-    for batch in batches:
-        bits[_place(batch.column("doc_id").to_numpy())] = 1
-    yield from blocks(np.packbits(bits))
-
-
-def _place(doc_id: np.ndarray) -> np.ndarray:
-    return (mix(doc_id.astype(np.int64).view(np.uint64)) % np.uint64(MARKS)).astype(np.int64)
-
-
-def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose id is among ids.  A bitmap of constant size, by hash,
-    spares the others the shuffle; the semi-join decides."""
-    bits = gathered(ids.mapInArrow(_mark, BLOCK_ROWS), np.bitwise_or).view(np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
-
-    @F.pandas_udf("boolean")
-    def marked(doc_id: pd.Series) -> pd.Series:
-        at = _place(doc_id.to_numpy())
-        return pd.Series((shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1)
-
-    return docs.where(marked("doc_id")).join(ids.hint("merge"), "doc_id", "left_semi")
-
-
 def _common(x: np.ndarray, y: np.ndarray) -> int:
     """Size of the intersection of two sorted sets."""
     if len(x) > len(y):

@@ -9,12 +9,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .vectext import mix
+
 #: Counters of a frequency sketch, whatever the input; in how many blocks and groups they are added up.
 SKETCH, BLOCKS, GROUPS = 2**20, 64, 16
+#: Bits of a bitmap of ids (4 MB).
+MARKS = 2**25
 BLOCK_ROWS = "block long, counts binary"
 
 
@@ -49,3 +54,33 @@ def gathered(rows: DataFrame, put) -> np.ndarray:
     for r in once.repartition(BLOCKS // 8, "block").mapInArrow(_merge(put), BLOCK_ROWS).collect():  # BLOCKS rows and no more
         out[r.block] = np.frombuffer(bytes(r.counts), np.int64)
     return np.concatenate([out[b] for b in sorted(out)]) if out else np.zeros(SKETCH, np.int64)
+
+
+def _place(doc_id: np.ndarray) -> np.ndarray:
+    return (mix(doc_id.astype(np.int64).view(np.uint64)) % np.uint64(MARKS)).astype(np.int64)
+
+
+def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros(MARKS, np.uint8)
+    for batch in batches:
+        bits[_place(batch.column("doc_id").to_numpy())] = 1
+    yield from blocks(np.packbits(bits))
+
+
+def perhaps(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose id is among ids, and some others, by a bitmap of hashes of constant
+    size.  It only spares texts a shuffle: a join has to decide."""
+    bits = gathered(ids.select("doc_id").mapInArrow(_mark, BLOCK_ROWS), np.bitwise_or).view(np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def marked(doc_id: pd.Series) -> pd.Series:
+        at = _place(doc_id.to_numpy()) % (8 * len(shared.value))
+        return pd.Series((shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1)
+
+    return docs.where(marked("doc_id"))
+
+
+def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose id is among ids."""
+    return perhaps(docs, ids).join(ids.hint("merge"), "doc_id", "left_semi")
