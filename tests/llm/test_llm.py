@@ -583,3 +583,89 @@ def test_parse_is_greedy():
     start, windows, doc, at = (np.array(x, np.int64) for x in ([0, 5, 0, 3, 9, 20], [5, 4, 3, 9, 1, 2], [1, 1, 2, 3, 4, 1], [0, 5, 7, 1, 9, 9]))
     got = [tuple(int(v) for v in r) for r in zip(*rlz_dedup.greedy(start, windows, doc, at, 20))]
     assert got == [(0, 28, 1, 0), (3, 28, 3, 1), (20, 21, 1, 9)]
+
+
+def test_shards_are_full_and_drawn(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    sources = mixing.source_targets(mixing.sizes(d))
+    counts = []
+    for seed in (1, 2):
+        rows = mixing.slots(sources, block=8, seed=seed, shard_slots=128).collect()
+        of = Counter(r.shard for r in rows)
+        assert [of[k] for k in range(len(of) - 1)] == [128] * (len(of) - 1) and 0 < of[len(of) - 1] <= 128
+        per = Counter(r.sid for r in rows)
+        assert all(sorted(r.slot for r in rows if r.sid == s) == list(range(n)) for s, n in per.items())
+        counts.append((per, Counter((r.shard, r.sid) for r in rows)))
+    assert counts[0][0] == counts[1][0] and counts[0][1] != counts[1][1]
+    # Draws spread as a multinomial's do, not as equal shares.
+    share = {s: n / sum(counts[0][0].values()) for s, n in counts[0][0].items()}
+    spread = np.mean([(n - 128 * share[s]) ** 2 / (128 * share[s] * (1 - share[s])) for (k, s), n in counts[0][1].items() if k < max(c for c, _ in counts[0][1])])
+    assert 0.5 < spread < 1.6
+
+
+def test_draws_never_give_more_than_is_left():
+    rng = np.random.Generator(np.random.PCG64(0))
+    for _ in range(200):
+        left = rng.integers(0, 20, 6)
+        size = int(rng.integers(0, left.sum() + 1))
+        got = mixing.draw_counts(rng, size, left)
+        assert got.sum() == size and (got <= left).all()
+
+
+def test_mix_of_repeated_ids_and_clashing_columns(spark):
+    rows = [(7, f"{text(random.Random(i), 30)}", "en", "s", 1, "x", "y") for i in range(40)] + [(7, "same words here", "en", None, 1, "x", "y")] * 3 + [(8, text(random.Random(1), 30_000), None, "s", None, None, None)]
+    d = spark.createDataFrame(rows, DOCS).withColumns({"sid": F.lit(1), "first": F.lit("x"), "block": F.lit(None).cast("int"), "size": F.lit("z")})
+    one, two = (sorted((r.doc_id, r.size, r.taken) for r in mixing.taken_words(d).collect()) for _ in range(2))
+    assert one == two and len(one) == 44 and all(t <= 2 * n for _, n, t in one)
+
+
+def test_crowded_parts_are_those_of_the_sql(tmp_path, spark):
+    """Over CROWD rows in one part: repeated turns, null ones, and a null conversation."""
+    c = spark.range(1700).select(
+        F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id") % 2).alias("conv_id"), F.when(F.col("id") % 7 == 0, None).otherwise(F.col("id") % 70).alias("turn"), F.when(F.col("id") % 11 == 0, None).otherwise(F.concat(F.lit("r"), (F.col("id") % 3).cast("string"))).alias("role"), F.concat(F.lit("t é"), (F.col("id") % 900).cast("string")).alias("text"), F.lit("x").alias("speaker"), F.lit(1).alias("piece")
+    )
+    c.write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted((tuple(r) for r in chat_rotation.op8_chat_rotation(spark, str(tmp_path)).select("conv_id", "speaker", "part", "piece", "n_turns", "text", "masks").collect()), key=str)
+    db = duckdb.connect()
+    db.sql(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    want = sorted((tuple(r) for r in db.sql(f"select conv_id, speaker, part, piece, n_turns, text, masks from ({chat_rotation.OP8_SQL})").fetchall()), key=str)
+    assert max(r[3] for r in got) > 0 and got == want
+
+
+def test_alignment_is_that_of_the_whole_table():
+    rng = random.Random(5)
+    for _ in range(150):
+        a, b = ([rng.randrange(4) for _ in range(rng.randrange(1, 25))] for _ in range(2))
+        h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a, 1):
+            for j, y in enumerate(b, 1):
+                h[i][j] = max(0, h[i - 1][j - 1] + (2 if x == y else -1), h[i - 1][j] - 1, h[i][j - 1] - 1)
+        best, end = decontamination.align(np.array(a, np.uint64), np.array(b, np.uint64))
+        assert best == max(map(max, h)) and (best == 0 or max(h[end]) == best)
+
+
+def test_leaks_are_those_of_all_pairs(spark):
+    """Every pair of document and item aligned over the whole text, against what seeds find."""
+    rng = random.Random(14)
+    items = [text(rng, rng.choice([12, 40, 90]), 300) for _ in range(12)]
+    t = []
+    for _ in range(60):
+        w = rng.choice(items).split()
+        for _ in range(rng.choice([0, 1, 3, 8, 20])):
+            k = rng.randrange(len(w))
+            w[k : k + 1] = rng.choice([[], ["new"], ["two", "new"]])
+        t.append(text(rng, rng.randrange(0, 200), 300) + " " + " ".join(w) + " " + text(rng, rng.randrange(0, 200), 300))
+    t += [text(rng, 200, 300) for _ in range(20)] + [text(rng, 40_000, 3000) + " " + items[3] + " " + text(rng, 10, 300), items[0], items[0]]
+    bench = spark.createDataFrame([(i, x, "x", 0) for i, x in enumerate(items)], "item_id long, text string, hits string, start int")
+    for at_most in (10**6, 0):
+        got = {(r.doc_id, r.item_id): r.score for r in decontamination.contaminated(docs(spark, *t), bench, at_most=at_most).collect()}
+        h = lambda x: np.array([hash(w) for w in x.split()])
+        want = {(d, i): decontamination.align(h(x), h(y))[0] / (2 * len(y.split())) for d, x in enumerate(t) for i, y in enumerate(items)}
+        assert got == pytest.approx({k: v for k, v in want.items() if v >= decontamination.MATCH})
+
+
+def test_leaks_on_odd_input(spark):
+    bench = spark.createDataFrame([(1, "the cat sat on the mat", "x"), (1, "the cat sat on the mat", "y"), (2, None, None)], "item_id long, text string, doc_id string")
+    got = [(r.doc_id, r.item_id, r.score) for r in decontamination.contaminated(odd(spark), bench).collect()]
+    assert got == [(3, 1, 1.0)]
+    assert decontamination.contaminated(odd(spark).limit(0), bench).count() == 0
