@@ -26,9 +26,10 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    norm = lambda v: F.sqrt(dot(v, v))
-    return F.round(dot(a, b) / F.when(norm(a) * norm(b) == 0, 1.0).otherwise(norm(a) * norm(b)), 6)
+def unit(v: Column) -> Column:
+    """The vector over its length; a zero vector stays."""
+    n = F.sqrt(dot(v, v))
+    return F.when(n == 0, v.cast("array<double>")).otherwise(F.transform(v, lambda x: x.cast("double") / n))
 
 
 def audience_filter(audiences: Column, audience: Column) -> Column:
@@ -61,14 +62,16 @@ def order(name: str = "qid") -> W:
 
 
 def scored(queries: DataFrame, passages: DataFrame, block: int = BLOCK) -> DataFrame:
-    """All visible pairs with score (cosine) and effective (with boosts).  Requests
-    are few beside passages; they are broadcast in blocks of bounded size, and the
-    passages stay where they are."""
-    q = queries.select("qid", F.col("embedding").alias("q_embedding"), "audiences", F.col("product").alias("q_product"))
+    """All visible pairs with score (cosine) and effective (with boosts), without the
+    passages' texts.  Requests are few beside passages; they are broadcast in blocks of
+    bounded size, and the passages stay where they are.  Lengths are divided out once a
+    vector, so a pair costs one product."""
+    q = queries.select("qid", unit(F.col("embedding")).alias("q_embedding"), "audiences", F.col("product").alias("q_product"))
+    passages = passages.drop("content", "section").withColumn("embedding", unit(F.col("embedding")))
     parts = []
     for b in _blocks(q, block):
         j = passages.join(F.broadcast(b), audience_filter(F.col("audiences"), F.col("audience")))
-        j = j.withColumn("score", cosine(F.col("q_embedding"), F.col("embedding"))).drop("embedding", "q_embedding", "audiences")
+        j = j.withColumn("score", F.round(dot(F.col("q_embedding"), F.col("embedding")), 6)).drop("embedding", "q_embedding", "audiences")
         parts.append(j.withColumn("effective", F.round(F.col("score") + product_boost(F.col("q_product"), F.col("product")) + authority_bonus(F.col("authority")), 6)))
     return reduce(DataFrame.unionByName, parts)
 
@@ -82,10 +85,16 @@ def ranked(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order())).where(F.col("rank") <= k)
 
 
-def topk(queries: DataFrame, passages: DataFrame, k: int = 5, cap: int = 3) -> DataFrame:
+def best(queries: DataFrame, passages: DataFrame, k: int = 5, cap: int = 3) -> DataFrame:
+    """The k best visible passages of each request, without their texts."""
     return ranked(per_document_cap(scored(queries, passages), cap), k)
 
 
+def topk(queries: DataFrame, passages: DataFrame, k: int = 5, cap: int = 3) -> DataFrame:
+    """The same with texts, which only the hits' passages bring along."""
+    return best(queries, passages, k, cap).join(passages.select("passage_id", "section", "content"), "passage_id")
+
+
 def distinct_passages(hits: DataFrame, k: int = 5) -> DataFrame:
     """Hits of different text, the better ranked kept, then k."""
     w = W.partitionBy("qid", F.sha2(squash(F.col("content")), 256)).orderBy("rank")
@@ -108,8 +117,8 @@ def find_passages(requests: DataFrame, passages: DataFrame, limit: int = 3, bloc
     parts = []
     for b in _blocks(requests.select("qid", "audiences", F.col("product").alias("q_product"), "terms").where(F.size("terms") > 0), block):
         on = audience_filter(F.col("audiences"), F.col("audience")) & ((F.col("q_product") == "") | product_match(F.col("q_product"), F.col("product"))) & F.exists("terms", lambda x: F.contains(F.col("body"), F.lower(x)))
-        parts.append(p.join(F.broadcast(b), on))
-    return reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).withColumn("score", F.lit(0.0)).drop("body", "audiences", "terms")
+        parts.append(p.join(F.broadcast(b), on).drop("body", "content", "audiences", "terms"))  # texts are met, not carried on
+    return reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).withColumn("score", F.lit(0.0))
 
 
 def expand_query(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
@@ -132,9 +141,9 @@ def topk_per_product(queries: DataFrame, passages: DataFrame, k: int = 5, cap: i
     """One window for each of the first products named (products: array), put together by score."""
     each = queries.select(F.posexplode(F.slice("products", 1, products)).alias("nth", "product"), F.col("qid").alias("of"), "embedding", "audiences")
     each = each.withColumn("qid", F.concat_ws("/", F.col("of").cast("string"), F.col("nth").cast("string")))
-    hits = topk(each, passages, k, cap).withColumn("of", F.substring_index("qid", "/", 1).cast("long"))
-    best = hits.groupBy("of", "passage_id").agg(F.max("score").alias("score"))
-    return best.select(F.col("of").alias("qid"), "passage_id", "score", F.row_number().over(W.partitionBy("of").orderBy(F.desc("score"), "passage_id")).alias("rank"))
+    hits = best(each, passages, k, cap).withColumn("of", F.substring_index("qid", "/", 1).cast("long"))
+    once = hits.groupBy("of", "passage_id").agg(F.max("score").alias("score"))
+    return once.select(F.col("of").alias("qid"), "passage_id", "score", F.row_number().over(W.partitionBy("of").orderBy(F.desc("score"), "passage_id")).alias("rank"))
 
 
 def property_evidence(queries: DataFrame, hits: DataFrame, passages: DataFrame, fields: DataFrame, limit: int = 3) -> DataFrame:
@@ -155,12 +164,13 @@ def missed_evidence(queries: DataFrame, hits: DataFrame, passages: DataFrame, no
     q = q.join(have, "qid", "left").withColumn("missing", F.array_except(F.array_except("asked", F.coalesce("have", F.array().cast("array<string>"))), F.array(*map(F.lit, noise))))
     wanted = q.select("qid", "audiences", "asked", F.explode("missing").alias("word"))
     p = passages.select("passage_id", "audience", content_words(F.concat_ws(" ", "section", "content"), 5).alias("w"))
-    post = p.select("passage_id", "audience", "w", F.explode("w").alias("word")).join(wanted.select("word").distinct(), "word", "left_semi")
+    # Only words and ids are shuffled for the frequencies; a passage's words come back for the rare ones' passages.
+    post = p.select("passage_id", F.explode("w").alias("word")).join(wanted.select("word").distinct(), "word", "left_semi")
     df = post.groupBy("word").agg(F.count("*").alias("df")).where(F.col("df") <= rare)
-    found = wanted.join(df, "word").join(post, "word").where(audience_filter(F.col("audiences"), F.col("audience")) & (F.size(F.array_intersect("asked", "w")) > shared))
-    best = found.groupBy("qid", "passage_id").agg(F.min(F.struct("df", "word")).alias("x"))
+    found = wanted.join(df, "word").join(post, "word").join(p, "passage_id").where(audience_filter(F.col("audiences"), F.col("audience")) & (F.size(F.array_intersect("asked", "w")) > shared))
+    once = found.groupBy("qid", "passage_id").agg(F.min(F.struct("df", "word")).alias("x"))
     n = F.row_number().over(W.partitionBy("qid").orderBy("x.df", "x.word", "passage_id"))
-    return best.withColumn("rank", n).where(F.col("rank") <= most).select("qid", "passage_id", F.col("x.word").alias("word"), "rank")
+    return once.withColumn("rank", n).where(F.col("rank") <= most).select("qid", "passage_id", F.col("x.word").alias("word"), "rank")
 
 
 def gate_second_chance(queries: DataFrame, hits: DataFrame, passages: DataFrame, limit: int = 3) -> DataFrame:

@@ -24,19 +24,19 @@ def answers(s, d):
     """Assistant turns; the first sentence of every other one cites [1], figures come from the turn's length."""
     t = m.turns(s, d).where("role = 'assistant'")
     figure = F.concat(F.lit(" up to "), (F.col("conv_id") % 40).cast("string"), F.lit(" mm [2]. Acme Solo is not waterproof [3]."))
-    return t.select((F.col("conv_id") * 100 + F.col("turn")).alias("aid"), F.lit("How thick is 7 mm?").alias("question"), F.concat(F.regexp_replace("text", "^([^.]*)\\.", "$1 [1]."), figure).alias("text"), (F.col("conv_id") % 200).alias("doc"))
+    return t.select((F.col("conv_id") * 100 + F.col("turn")).alias("aid"), F.lit("How thick is 7 mm?").alias("question"), F.concat(F.regexp_replace("text", "^([^.]*)\\.", "$1 [1]."), figure).alias("text"), F.col("conv_id").alias("doc"))
 
 
 def evidence(s, d):
-    """Three passages for each answer: documents conv_id % 200 and the two after it."""
+    """Three passages for each answer: the document of the conversation's number, counted round, and the two after it."""
     a = answers(s, d).select("aid", F.explode(F.sequence(F.lit(0), F.lit(2)).cast("array<long>")).alias("i"), "doc")
     docs = s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
-    x = a.join(docs, (F.col("doc") + F.col("i")) % 200 == F.col("doc_id"))
-    return x.select("aid", (F.col("i") + 1).alias("marker"), v.F.element_at(F.array(*map(F.lit, PRODUCTS)), (F.col("doc_id") % 5 + 1).cast("int")).alias("product"), F.concat(F.lit("Part "), F.col("i").cast("string")).alias("section"), F.concat(F.substring("text", 1, 600), F.lit(" Cover up to "), (F.col("doc_id") % 40).cast("string"), F.lit(" mm. It is not waterproof.")).alias("content"))
+    x = a.crossJoin(F.broadcast(docs.agg(F.count("*").alias("docs")))).join(docs, (F.col("doc") + F.col("i")) % F.col("docs") == F.col("doc_id"))
+    return x.select("aid", (F.col("i") + 1).alias("marker"), v.F.element_at(F.array(*map(F.lit, PRODUCTS)), (F.col("doc_id") % 5 + 1).cast("int")).alias("product"), F.concat(F.lit("Part "), F.col("i").cast("string")).alias("section"), F.concat("text", F.lit(" Cover up to "), (F.col("doc_id") % 40).cast("string"), F.lit(" mm. It is not waterproof.")).alias("content"))
 
 
-_A = """an AS (SELECT conv_id * 100 + turn AS aid, 'How thick is 7 mm?' AS question, regexp_replace(text, '^([^.]*)\\.', '\\1 [1].') || ' up to ' || CAST(conv_id % 40 AS VARCHAR) || ' mm [2]. Acme Solo is not waterproof [3].' AS text, conv_id % 200 AS doc FROM turns WHERE role = 'assistant'),
-ev AS (SELECT aid, i + 1 AS marker, (['the', 'und', 'que', 'of', 'la'])[CAST(doc_id % 5 AS INT) + 1] AS product, 'Part ' || CAST(i AS VARCHAR) AS section, left(documents.text, 600) || ' Cover up to ' || CAST(doc_id % 40 AS VARCHAR) || ' mm. It is not waterproof.' AS content FROM (SELECT aid, doc, unnest(range(3)) AS i FROM an) JOIN documents ON (doc + i) % 200 = doc_id)"""
+_A = """an AS (SELECT conv_id * 100 + turn AS aid, 'How thick is 7 mm?' AS question, regexp_replace(text, '^([^.]*)\\.', '\\1 [1].') || ' up to ' || CAST(conv_id % 40 AS VARCHAR) || ' mm [2]. Acme Solo is not waterproof [3].' AS text, conv_id AS doc FROM turns WHERE role = 'assistant'),
+ev AS (SELECT aid, i + 1 AS marker, (['the', 'und', 'que', 'of', 'la'])[CAST(doc_id % 5 AS INT) + 1] AS product, 'Part ' || CAST(i AS VARCHAR) AS section, documents.text || ' Cover up to ' || CAST(doc_id % 40 AS VARCHAR) || ' mm. It is not waterproof.' AS content FROM (SELECT aid, doc, unnest(range(3)) AS i FROM an) JOIN documents ON (doc + i) % (SELECT count(*) FROM documents) = doc_id)"""
 _C = f"""cl AS (SELECT aid, i AS seq, l[i + 1] AS sentence, list_transform(regexp_extract_all(l[i + 1], '\\[([0-9]+)\\]', 1), lambda x: CAST(x AS INT)) AS markers FROM (SELECT aid, {_S('text')} AS l FROM an), unnest(range(len(l))) u(i)),
 ct AS (SELECT aid, seq, sentence, markers, coalesce((SELECT string_agg(section || chr(10) || content, chr(10) ORDER BY marker) FROM ev WHERE ev.aid = cl.aid AND list_contains(cl.markers, ev.marker)), '') AS cited, coalesce((SELECT list(product) FROM ev WHERE ev.aid = cl.aid AND list_contains(cl.markers, ev.marker)), []) AS own FROM cl)"""
 _all = (m.TURNS, _A, _C)

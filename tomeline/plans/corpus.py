@@ -71,16 +71,22 @@ add("b9_source_counts", lambda s, d: b.source_counts(_pages(s, d).select(m.pick(
 add("c2_verify_hashes", lambda s, d: v.verify_hashes(m.release(s, d, "B").withColumn("content_hash", F.when(F.col("page_id") % 13 == 0, F.lit("other")).otherwise(F.col("content_hash")))).groupBy("valid").agg(F.count("*").alias("n")), m.RELEASES, "SELECT page_id % 13 <> 0 AS valid, count(*) AS n FROM release_b WHERE html IS NOT NULL GROUP BY 1")
 
 
+def _cut(pages, *cols):
+    """A row for each 1,000 characters of html: cols, i, content."""
+    parts = F.posexplode(F.sequence(F.lit(0), F.floor(F.length("html") / 1000).cast("int"))).alias("i", "x")
+    return pages.select(*cols, "html", parts).withColumn("content", F.expr("substring(html, i * 1000 + 1, 1000)")).drop("html", "x")
+
+
 def tables(s, d) -> v.Tables:
     """Snapshot tables of release A: pages as documents, a chunk for each 1,000 characters of html."""
     p = m.release(s, d, "A").dropDuplicates(["url"])
     one = F.lit(1).cast("long").alias("version")
     audience = m.pick(["public", "trade", "staff", "public"], F.col("page_id") % 4).alias("audience")
-    chunk = p.select("url", one, "page_id", audience, F.posexplode(F.sequence(F.lit(0), F.floor(F.length("html") / 1000).cast("int"))).alias("i", "x"), "html")
+    chunk = _cut(p, "url", one, "page_id", audience)
     return {
         "documents": p.select("url", F.concat(F.lit("Page "), F.col("page_id").cast("string")).alias("title"), "document_type", (F.col("page_id") % 6 + 1).alias("authority"), audience, F.concat(F.lit("p"), (F.col("page_id") % 10).cast("string")).alias("product")),
         "versions": p.select("url", one, "content_hash", F.lit(True).alias("is_active"), F.lit(FIRST).alias("fetched_at"), F.lit(None).cast("string").alias("supersedes")),
-        "chunks": chunk.select("url", "version", F.col("i").cast("long").alias("chunk_index"), F.expr("substring(html, i * 1000 + 1, 1000)").alias("content"), "audience", F.when(F.col("page_id") % 9 != 0, F.array(F.lit(1.0))).alias("embedding")),
+        "chunks": chunk.select("url", "version", F.col("i").cast("long").alias("chunk_index"), "content", "audience", F.when(F.col("page_id") % 9 != 0, F.array(F.lit(1.0))).alias("embedding")),
         "caveats": p.where("page_id % 5 = 0").select("url", one, F.lit("diy").alias("type"), F.concat(F.lit("Caveat "), F.col("page_id").cast("string")).alias("sentence")),
         "excluded": b.corpus_boundary(_pages(s, d), _rules(s)).where("not keep").select("url", "reason"),
     }
@@ -94,7 +100,7 @@ def updated(s, d) -> v.Tables:
     up = {
         "documents": p.select("url", F.concat(F.lit("Page "), F.col("page_id").cast("string"), F.lit(" B")).alias("title"), "document_type", (F.col("page_id") % 6 + 1).alias("authority"), F.lit("public").alias("audience"), F.concat(F.lit("p"), (F.col("page_id") % 10).cast("string")).alias("product")),
         "versions": p.select("url", "content_hash", F.lit(NOW).alias("fetched_at")),
-        "chunks": p.select("url", F.lit(0).cast("long").alias("chunk_index"), F.substring("html", 1, 1000).alias("content"), F.lit("public").alias("audience"), F.array(F.lit(1.0)).alias("embedding")),
+        "chunks": _cut(p, "url").select("url", F.col("i").cast("long").alias("chunk_index"), "content", F.lit("public").alias("audience"), F.array(F.lit(1.0)).alias("embedding")),
         "caveats": p.where("page_id % 5 = 0").select("url", F.lit("diy").alias("type"), F.concat(F.lit("Caveat B "), F.col("page_id").cast("string")).alias("sentence")),
     }
     return v.apply_delta(t, up, change.where("change = 'removed'"))
@@ -107,7 +113,7 @@ rm AS (SELECT url FROM delta WHERE change = 'removed'),
 v1 AS (SELECT url, CAST(1 AS BIGINT) AS version, content_hash, url NOT IN (SELECT url FROM pb) AND url NOT IN (SELECT url FROM rm) AS is_active, '{FIRST}' AS fetched_at, CAST(NULL AS VARCHAR) AS supersedes FROM pa),
 vs AS (SELECT * FROM v1 UNION ALL SELECT pb.url, CASE WHEN v1.url IS NULL THEN 1 ELSE 2 END, pb.content_hash, true, '{NOW}', v1.content_hash FROM pb LEFT JOIN v1 USING (url)),
 ck AS (SELECT url, CAST(1 AS BIGINT) AS version, i AS chunk_index, substr(html, CAST(i * 1000 + 1 AS BIGINT), 1000) AS content, {_AUD} AS audience, page_id % 9 <> 0 AS embedded FROM (SELECT *, unnest(range(length(html) // 1000 + 1)) AS i FROM pa)
-  UNION ALL SELECT url, vs.version, 0, left(html, 1000), 'public', true FROM pb JOIN vs USING (url, content_hash) WHERE vs.fetched_at = '{NOW}'),
+  UNION ALL SELECT url, vs.version, i, substr(html, CAST(i * 1000 + 1 AS BIGINT), 1000), 'public', true FROM (SELECT *, unnest(range(length(html) // 1000 + 1)) AS i FROM pb) pb JOIN vs USING (url, content_hash) WHERE vs.fetched_at = '{NOW}'),
 dc AS (SELECT url, 'Page ' || CAST(page_id AS VARCHAR) AS title, document_type, page_id % 6 + 1 AS authority, {_AUD} AS audience, 'p' || CAST(page_id % 10 AS VARCHAR) AS product FROM pa WHERE url NOT IN (SELECT url FROM pb)
   UNION ALL SELECT url, 'Page ' || CAST(page_id AS VARCHAR) || ' B', document_type, page_id % 6 + 1, 'public', 'p' || CAST(page_id % 10 AS VARCHAR) FROM pb),
 cv AS (SELECT url, CAST(1 AS BIGINT) AS version, 'diy' AS type, 'Caveat ' || CAST(page_id AS VARCHAR) AS sentence FROM pa WHERE page_id % 5 = 0

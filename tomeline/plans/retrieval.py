@@ -27,7 +27,7 @@ def _hits(s, d):
 
 
 _SHORT = ("qid", "rank", "passage_id", "score")
-add("g1_topk", lambda s, d: _hits(s, d).select(*_SHORT), *_H, "SELECT qid, rank, passage_id, score FROM hits")
+add("g1_topk", lambda s, d: r.best(q(s, d), p(s, d)).select(*_SHORT), *_H, "SELECT qid, rank, passage_id, score FROM hits")
 add("g2_audience_filter", lambda s, d: r.scored(q(s, d), p(s, d)).groupBy("qid", "audience").agg(F.count("*").alias("n")), m.PASSAGES, m.QUERIES, "SELECT qid, audience, count(*) AS n FROM passages p JOIN queries q ON list_contains(audiences, audience) GROUP BY ALL")
 add("g3_product_boost", lambda s, d: r.scored(q(s, d), p(s, d)).where(r.product_match(F.col("q_product"), F.col("product"))).groupBy("qid").agg(F.count("*").alias("boosted")), m.PASSAGES, m.QUERIES, f"SELECT qid, count(*) AS boosted FROM passages p JOIN queries q ON list_contains(audiences, audience) WHERE {_MATCH('q.product', 'p.product')} GROUP BY ALL")
 add("g4_authority_bonus", lambda s, d: p(s, d).select("passage_id", F.round(r.authority_bonus(F.col("authority")), 6).alias("bonus")), m.PASSAGES, "SELECT passage_id, round((6 - authority) * 0.02::DOUBLE / 6, 6) AS bonus FROM passages")
@@ -70,8 +70,8 @@ _MERGE = lambda a, b: f"SELECT qid, passage_id, score, row_number() OVER (PARTIT
 FIELDS = [("cover", ["section 1", "anhea"]), ("mix", ["section 2"])]
 add("g12_property_evidence", lambda s, d: r.property_evidence(q(s, d).withColumn("fields", F.array(F.lit("cover"), F.lit("mix"))), _hits(s, d), p(s, d), s.createDataFrame(FIELDS, "field string, terms array<string>")), *_H,
     *[f"a{i} AS (SELECT qid, audiences, product, {t} AS terms FROM queries)" for i, (_, t) in enumerate(FIELDS)], f"more AS (SELECT * FROM ({_LEX('a0')}) UNION ALL SELECT * FROM ({_LEX('a1')}))", _MERGE("hits", "more"))
-_qt = lambda s, d: q(s, d).join(s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id"), F.substring("text", 1, 300).alias("text")), F.col("qid") == F.col("doc_id")).drop("doc_id")
-QT = "qt AS (SELECT q.*, left(text, 300) AS text FROM queries q JOIN documents ON doc_id = qid)"
+_qt = lambda s, d: q(s, d).join(s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), F.col("qid") == F.col("doc_id")).drop("doc_id")
+QT = "qt AS (SELECT q.*, text FROM queries q JOIN documents ON doc_id = qid)"
 _CW = lambda c, n: f"list_distinct(list_filter(regexp_extract_all(lower({c}), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+'), lambda w: length(w) >= {n}))"
 add("g13_missed_evidence", lambda s, d: r.missed_evidence(_qt(s, d), _hits(s, d), p(s, d), ["about"]), *_H, QT,
     f"pw AS (SELECT passage_id, audience, {_CW('concat_ws(chr(32), section, content)', 5)} AS w FROM passages), aw AS (SELECT qid, audiences, {_CW('text', 5)} AS asked FROM qt)",

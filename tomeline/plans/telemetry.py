@@ -94,7 +94,7 @@ add("m18_fingerprint", lambda s, d: m.questions(s, d).select("qid", t.fingerprin
 
 
 def _attributes(s, d):
-    return m.turns(s, d).where("turn % 2 = 1").select((F.col("conv_id") * 100 + F.col("turn")).alias("span_id"), F.col("conv_id").alias("trace_id"), F.lit("note").alias("key"), F.substring("text", 1, 400).alias("value"))
+    return m.turns(s, d).where("turn % 2 = 1").select((F.col("conv_id") * 100 + F.col("turn")).alias("span_id"), F.col("conv_id").alias("trace_id"), F.lit("note").alias("key"), F.col("text").alias("value"))
 
 
 def _texts(s, d):
@@ -103,7 +103,7 @@ def _texts(s, d):
 
 add(
     "m19_privacy_scan", lambda s, d: t.privacy_scan(_attributes(s, d), _texts(s, d)), m.TURNS,
-    "SELECT a.conv_id * 100 + a.turn AS span_id, 'note' AS key, 'turn ' || CAST(b.turn AS VARCHAR) AS kind FROM turns a JOIN turns b ON a.conv_id = b.conv_id WHERE a.turn % 2 = 1 AND b.turn % 2 = 1 AND length(b.text) > 0 AND contains(left(a.text, 400), b.text)",
+    "SELECT a.conv_id * 100 + a.turn AS span_id, 'note' AS key, 'turn ' || CAST(b.turn AS VARCHAR) AS kind FROM turns a JOIN turns b ON a.conv_id = b.conv_id WHERE a.turn % 2 = 1 AND b.turn % 2 = 1 AND length(b.text) > 0 AND contains(a.text, b.text)",
 )
 
 

@@ -64,32 +64,34 @@ SPANS = f"""spans AS (
 
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embedded chunks of served documents, four to a document."""
-    v = _table(spark, sf_dir, "embeddings").withColumn("doc_no", F.expr("vec_id div 4"))
-    d = _table(spark, sf_dir, "documents").select(F.col("doc_id"), F.col("text").alias("content"))
-    return v.join(d, F.col("vec_id") % 200 == F.col("doc_id")).select(
+    """Embedded passages: every row of documents with its whole text, four of them to a
+    document served, each with the vector whose number is its own, counted round."""
+    v = _table(spark, sf_dir, "embeddings")
+    n = v.agg(F.count("*").alias("vectors"))  # one number
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"), F.expr("doc_id div 4").alias("doc_no")).crossJoin(F.broadcast(n))
+    return d.join(v, F.col("doc_id") % F.col("vectors") == F.col("vec_id")).select(
         F.concat(F.lit("doc://"), F.col("doc_no").cast("string")).alias("canonical_url"),
         F.lit(1).cast("long").alias("version"),
-        (F.col("vec_id") % 4).alias("chunk_index"),
+        (F.col("doc_id") % 4).alias("chunk_index"),
         F.concat(F.lit("p"), F.col("label").cast("string")).alias("product"),
         (F.col("doc_no") % 6 + 1).alias("authority"),
         pick(TYPES, F.col("doc_no") % 6).alias("document_type"),
         F.when(F.col("doc_no") % 10 == 0, "staff").when(F.col("doc_no") % 10 <= 2, "trade").otherwise("public").alias("audience"),
         F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_no") % 28).cast("int")).alias("source_date"),
-        F.concat(F.lit("Section "), (F.col("vec_id") % 7).cast("string")).alias("section"),
+        F.concat(F.lit("Section "), (F.col("doc_id") % 7).cast("string")).alias("section"),
         "content",
         "embedding",
-        F.col("vec_id").alias("passage_id"),
+        F.col("doc_id").alias("passage_id"),
     )
 
 
 PASSAGES = f"""passages AS (
-  SELECT 'doc://' || CAST(vec_id // 4 AS VARCHAR) AS canonical_url, CAST(1 AS BIGINT) AS version, vec_id % 4 AS chunk_index,
-    'p' || CAST(label AS VARCHAR) AS product, vec_id // 4 % 6 + 1 AS authority, {_sql_pick(TYPES, 'vec_id // 4 % 6')} AS document_type,
-    CASE WHEN vec_id // 4 % 10 = 0 THEN 'staff' WHEN vec_id // 4 % 10 <= 2 THEN 'trade' ELSE 'public' END AS audience,
-    DATE '2024-01-01' + CAST(vec_id // 4 % 28 AS INT) AS source_date, 'Section ' || CAST(vec_id % 7 AS VARCHAR) AS section,
-    text AS content, embedding, vec_id AS passage_id
-  FROM embeddings JOIN documents ON vec_id % 200 = doc_id)"""
+  SELECT 'doc://' || CAST(doc_id // 4 AS VARCHAR) AS canonical_url, CAST(1 AS BIGINT) AS version, doc_id % 4 AS chunk_index,
+    'p' || CAST(label AS VARCHAR) AS product, doc_id // 4 % 6 + 1 AS authority, {_sql_pick(TYPES, 'doc_id // 4 % 6')} AS document_type,
+    CASE WHEN doc_id // 4 % 10 = 0 THEN 'staff' WHEN doc_id // 4 % 10 <= 2 THEN 'trade' ELSE 'public' END AS audience,
+    DATE '2024-01-01' + CAST(doc_id // 4 % 28 AS INT) AS source_date, 'Section ' || CAST(doc_id % 7 AS VARCHAR) AS section,
+    text AS content, embedding, doc_id AS passage_id
+  FROM documents JOIN embeddings ON doc_id % (SELECT count(*) FROM embeddings) = vec_id)"""
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
