@@ -17,6 +17,18 @@ def one(spark, **columns):
     return spark.range(1).select(*[F.lit(v).alias(k) for k, v in columns.items()])
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        (f"<html><head><title>no</title></head><body><header>Site</header><article><p>{'An article that stays. ' * 3}</p></article><footer>no</footer></body>", "Site" + ("An article that stays. " * 3).rstrip()),
+        (f"<p>{'Text around a form. ' * 3}</p><form>a<script>x</script>secret field</form >", ("Text around a form. " * 3).rstrip()),
+    ],
+)
+def test_html_sections_end_elements_at_their_own_tags(spark, html, text):
+    got = sections.html_sections(spark.createDataFrame([(1, html)], "doc_id long, html string")).where("seq >= 0").collect()
+    assert [(r.heading, r.text) for r in got] == [("", text)]
+
+
 def test_html_sections_split_at_headings_and_drop_what_is_no_content(spark):
     body = "word " * 30
     html = f"<head><title>t</title></head><script>x('</p>')</script><h1>Solo</h1><p>{body}</p><h2>Mixing &amp; use</h2><p>{body}</p><h2>Short</h2><p>tiny</p><form>{body}</form><h2>Cover</h2><ul><li>{body}</li></ul>"

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 
 LEAST_BODY, LEAST_TOTAL, LEAD = 40, 300, 8
+#: Elements that are no text; each ends with its own end tag, at the first one.
+NOT_SHOWN = ("script", "style", "noscript", "form", "svg", "head", "nav", "footer")
+_NOT_SHOWN = "(?s)<!--.*?-->|" + "|".join(rf"<{n}\b[^>]*>.*?</{n}\s*>" for n in NOT_SHOWN)
 
 
 def _plain(c: Column) -> Column:
@@ -22,14 +25,14 @@ def html_sections(pages: DataFrame, skip_headings=(), tail: str | None = None) -
     level 1 to 5; text after the tail marker and skipped headings are left out; so
     are bodies under 40 characters.  A page with under 300 characters in all gets a
     lead of up to 8 paragraphs of over 60 characters in front."""
-    body = F.regexp_replace("html", "(?s)<!--.*?-->|<(script|style|noscript|form|svg|head|nav|footer)[^>]*>.*?</(script|style|noscript|form|svg|head|nav|footer)>", "")
+    body = F.regexp_replace("html", _NOT_SHOWN, "")
     if tail:
         body = F.substring_index(body, tail, 1)
     p = pages.select("doc_id", body.alias("body"))
     parts = p.select("doc_id", F.posexplode(F.split(F.regexp_replace("body", "<h[1-5][^>]*>", t.MARK), t.MARK)).alias("seq", "part"))
-    cut = F.regexp_extract("part", "(?s)^(.*?)</h[1-5]>(.*)$", 1)
-    rest = F.when(F.regexp_like("part", F.lit("(?s)^.*?</h[1-5]>")), F.regexp_extract("part", "(?s)^(.*?)</h[1-5]>(.*)$", 2)).otherwise(F.col("part"))
-    s = parts.select("doc_id", F.col("seq").cast("long").alias("seq"), _plain(cut).alias("heading"), _plain(rest).alias("text"))
+    two = F.split("part", "</h[1-5]>", 2)  # heading and rest, or all of it as the rest
+    s = parts.select("doc_id", F.col("seq").cast("long").alias("seq"), F.array_size(two).alias("n"), two.alias("two"))
+    s = s.select("doc_id", "seq", _plain(F.when(F.col("n") == 2, F.col("two")[0]).otherwise("")).alias("heading"), _plain(F.element_at("two", -1)).alias("text"))
     s = s.where((F.length("text") >= LEAST_BODY) & ~F.lower("heading").isin(*[h.lower() for h in skip_headings], "\x00"))
     total = s.groupBy("doc_id").agg(F.sum(F.length("text")).alias("total"))
     paragraphs = F.filter(F.transform(F.regexp_extract_all("body", F.lit("(?s)<p[^>]*>(.*?)</p>"), F.lit(1)), _plain), lambda x: F.length(x) > 60)

@@ -33,7 +33,7 @@ _NOISE = lambda c: f"{c} || ' 1.5 m 2 at 8 ° C, 5 % x'"
 add("d1_clean_text", lambda s, d: _docs(s, d).select("doc_id", F.sha2(t.clean_text(F.concat("text", F.lit("   1.5 m 2 at 8 ° C, 5 % x"))), 256).alias("digest")),
     f"SELECT doc_id, sha256({CLEAN('text || chr(32) || chr(160) || chr(32) || ' + repr('1.5 m 2 at 8 ° C, 5 % x'))}) AS digest FROM documents")
 _NOT_SHOWN = "|".join(("script", "style", "noscript", "form", "svg", "head", "nav", "footer"))
-_STRIP = "regexp_replace(html, '(?s)<!--.*?-->|" + "|".join(f"<{n}[^>]*>.*?</{n}>" for n in _NOT_SHOWN.split("|")) + "', '', 'g')"
+_STRIP = "regexp_replace(html, '(?s)<!--.*?-->|" + "|".join(f"<{n}\\b[^>]*>.*?</{n}\\s*>" for n in _NOT_SHOWN.split("|")) + "', '', 'g')"
 _UNESC = "replace(replace(replace(replace(replace(replace(replace({c}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&apos;', chr(39)), '&nbsp;', ' '), '&amp;', '&')"
 PLAIN = lambda c: CLEAN(_UNESC.replace("{c}", f"regexp_replace(regexp_replace({c}, '<br */?>', chr(10), 'g'), '<[^>]*>', '', 'g')"))
 _SECTIONS = f"""body AS (SELECT page_id AS doc_id, {_STRIP} AS body FROM pages),
