@@ -5,13 +5,15 @@ STAGES lists (name, function).  A function takes (spark, docs, sf_dir) and retur
 a DataFrame; all but the last return the columns of documents.  run() applies them
 in order to the documents table.
 
-Defined results: rows with null text or without letters go in the first stage.
-Rows that repeat a doc_id are one document after the second.  Null doc_ids pass.
+Every stage works on all rows that it gets, whole, and gives an empty table for an empty
+one.  Texts of any length are taken whole.  Columns beyond those that a stage names are
+carried along, whatever they are called.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tomeline.llm import crf_langid, decontamination, jaccard_join, mixing, secret_scan
@@ -24,35 +26,55 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents with a recognised main language."""
+    """Keep the documents with a recognised main language.
+
+    Null or empty texts and those without letters go.  Null doc_id or lang, repeated rows
+    and ties make no difference: each row is judged by its text alone, and equal texts alike.
+    Without any labelled document nothing is recognised and all go."""
     predicted = crf_langid.predict(docs, crf_langid.fit(docs), docs.columns)
     return predicted.where((F.col("lang_pred") != crf_langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SHARE)).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies keep the document with the least doc_id."""
+    """Of each group of near copies keep the document with the least doc_id.
+
+    Rows that repeat a doc_id are one document, of which the row that comes first by text and
+    then by the other columns stays.  Rows with a null doc_id pass as they are, and so do
+    texts without words, which are copies of nothing."""
     classes = materialise(jaccard_join.near_duplicate_classes(docs, NEAR_WORDS, NEAR_PERCENT), "classes")
-    kept = docs.join(classes.where("component_id < doc_id").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
-    repeated = classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    if not repeated.isEmpty():
-        named = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-        kept = named.unionByName(kept.where("doc_id is null"))
-    return kept
+    kept = docs.join(classes.where("component_id < doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    repeated = materialise(classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return kept
+    others = kept.join(repeated, "doc_id", "left_anti").select(docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    first = W.partitionBy("id").orderBy("said", "rest")
+    again = kept.join(repeated, "doc_id", "left_semi").select(row.alias("row")).select("row", F.col("row.doc_id").alias("id"), F.col("row.text").alias("said"), F.to_json("row").alias("rest"))
+    return others.unionByName(again.withColumn("nth", F.row_number().over(first)).where("nth = 1").select("row.*"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that hold a benchmark item or an edited copy of one."""
+    """Drop the documents that hold a benchmark item or an edited copy of one.
+
+    All rows of such a doc_id go.  Null texts and rows with a null doc_id stay; so does
+    everything if benchmark is empty or its items are null or too short for a seed."""
     leaks = decontamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace the secrets in the texts; all documents stay."""
+    """Replace the secrets in the texts; all rows stay, and n_chars follows where a text changes.
+
+    Null texts stay null.  Every row is handled by its own text, so null or repeated doc_ids
+    make no difference."""
     return secret_scan.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes: doc_id, source, size, source_size, target, taken."""
+    """The documents that the mix takes: doc_id, source, size, source_size, target, taken.
+
+    Null source is a source, null text has no words and is not taken, and rows that repeat a
+    doc_id are taken each for itself."""
     return mixing.taken_words(docs).where("taken > 0")
 
 
