@@ -133,13 +133,25 @@ def intent(questions: DataFrame, gate: DataFrame, rules: list[tuple[str, str]],
     return questions.join(gate, "qid", "left").select("qid", F.when(F.col("topic").isNotNull(), "escalate").otherwise(kind).alias("intent"))
 
 
-def compares_products(questions: DataFrame, named: DataFrame, words_: str = "versus|compare|better than|difference") -> DataFrame:
-    """qid, compares, topic_product: an explicit comparison of two products or more, or the
-    one product that is the topic.  named: qid, product."""
-    n = named.groupBy("qid").agg(F.count("*").alias("n"), F.min("product").alias("product"))
+def compares_products(questions: DataFrame, aliases: DataFrame, words_: str = "versus|compare|better than|difference", choice: str = "should i|which", alternative: str = "or", window: int = 3) -> DataFrame:
+    """qid, compares, topic_product, compared.
+
+    A question compares if it has an explicit comparison anywhere, or the alternative word
+    with a product within window words of it.  The one product named where nothing is
+    compared is the topic; two or more named in an explicit comparison without a word of
+    choice are the compared ones (sorted).  aliases: alias, product."""
+    n = mentions(questions, aliases).groupBy("qid").agg(F.array_sort(F.collect_set("product")).alias("named"))
+    w = F.split(F.trim("text"), "[ \\t\\r\\n]+")
+    bare = F.transform("w", lambda x: F.regexp_replace(F.lower(x), "^[,.;:?!]+|[,.;:?!]+$", ""))
+    beside = lambda i: F.concat_ws(" ", F.slice("w", F.greatest(F.lit(1), i - window), F.least(i - 1, F.lit(window))), F.slice("w", i + 1, window))
+    at = F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: F.element_at("bare", i) == alternative)
+    q = questions.select("qid", "text", w.alias("w")).withColumn("bare", bare).select("qid", "text", F.transform(at, beside).alias("around"))
+    near = q.select("qid", F.explode("around").alias("text")).join(F.broadcast(aliases.select("alias")), whole_word(F.col("text"), F.col("alias"))).select("qid").distinct().withColumn("near", F.lit(True))
     explicit = F.regexp_like(F.lower("text"), F.lit(words_))
-    j = questions.join(n, "qid", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return j.select("qid", (explicit & (F.col("n") >= 2)).alias("compares"), F.when((F.col("n") == 1) & ~explicit, F.col("product")).alias("topic_product"))
+    j = q.join(n, "qid", "left").join(near, "qid", "left").withColumn("named", F.coalesce("named", F.array().cast("array<string>")))
+    compares = explicit | F.coalesce("near", F.lit(False))
+    sides = explicit & ~F.regexp_like(F.lower("text"), F.lit(choice)) & (F.size("named") >= 2)
+    return j.select("qid", compares.alias("compares"), F.when(~compares & (F.size("named") == 1), F.element_at("named", 1)).alias("topic_product"), F.when(sides, F.col("named")).otherwise(F.array().cast("array<string>")).alias("compared"))
 
 
 def asked_terms(questions: DataFrame, properties: DataFrame, terms: DataFrame, phrase: str) -> DataFrame:
@@ -169,9 +181,6 @@ def relevance_gate(asked: DataFrame, hits: DataFrame) -> DataFrame:
     return j.groupBy("qid").agg(F.max((F.size("terms") == 0) | met).alias("met"))
 
 
-ROUTES = ("refuse", "refuse", "diagnosis", "refuse", "refuse", "ask_back", "extract", "extract", "extract", "compose")
-
-
 def route(facts: DataFrame) -> DataFrame:
     """qid, path, step from boolean facts, in this order: below the threshold, deferral,
     cause asked, property absent, substrate absent, substrate needed, calculation, one
@@ -192,6 +201,11 @@ def needs_substrate(text: Column, choice: str, own: str, comparison: str) -> Col
     return F.regexp_like(low, F.lit(choice)) & F.regexp_like(low, F.lit(own)) & ~F.regexp_like(low, F.lit(comparison))
 
 
+def location_matters(asked: DataFrame, sensitive: list[str]) -> DataFrame:
+    """qid, matters: a property is asked for whose answer depends on where the work is.  asked: qid, value."""
+    return asked.groupBy("qid").agg(F.max(F.col("value").isin(*sensitive)).alias("matters"))
+
+
 def askback_answer(text: Column, has_slot: Column, most: int = 10) -> Column:
     """A short reply, no question, which holds a building slot."""
     return (F.size(words(text)) <= most) & ~F.trim(text).endswith("?") & has_slot

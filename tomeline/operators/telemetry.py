@@ -123,27 +123,39 @@ def traces(spans: DataFrame, limit: int, session_id: int | None = None) -> DataF
 
 
 def span_tree(spans: DataFrame) -> DataFrame:
-    """Depth and path from the roots; a span whose parent is absent is a root.
+    """Depth, path from the roots and nth, the place by start among the children of the same
+    parent (or the roots of the trace); a span whose parent is absent is a root.
 
     Levels are joined on the trace until none is left; each is written, so that a plan
     holds one level.  A span comes but once in a path, even where ids repeat."""
-    s = materialise(spans.select("trace_id", "span_id", "parent_id"), "spans")
+    s = materialise(spans.select("trace_id", "span_id", "parent_id", "started_at"), "spans")
     present = s.select(F.col("trace_id").alias("t"), F.col("span_id").alias("p")).distinct()
     rooted = s.join(present, (F.col("trace_id") == F.col("t")) & (F.col("parent_id") == F.col("p")), "left")
-    level = rooted.where("p is null").select("trace_id", "span_id", F.lit(0).alias("depth"), F.col("span_id").cast("string").alias("path"), F.array("span_id").alias("above"))
-    below = materialise(rooted.where("p is not null").select(F.col("trace_id").alias("t"), F.col("span_id").alias("child"), "parent_id"), "below")
+    rooted = rooted.withColumn("nth", F.row_number().over(W.partitionBy("trace_id", "p").orderBy("started_at", "span_id")).cast("long"))
+    level = rooted.where("p is null").select("trace_id", "span_id", "nth", F.lit(0).alias("depth"), F.col("span_id").cast("string").alias("path"), F.array("span_id").alias("above"))
+    below = materialise(rooted.where("p is not null").select(F.col("trace_id").alias("t"), F.col("span_id").alias("child"), "parent_id", F.col("nth").alias("child_nth")), "below")
     level = materialise(level, "level")
     out = level
     while not level.isEmpty():
         deeper = level.join(below, (F.col("trace_id") == F.col("t")) & (F.col("span_id") == F.col("parent_id"))).where(~F.array_contains("above", F.col("child")))
         level = materialise(
-            deeper.select("trace_id", F.col("child").alias("span_id"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.lit("/"), F.col("child").cast("string")).alias("path"), F.concat("above", F.array("child")).alias("above")),
+            deeper.select("trace_id", F.col("child").alias("span_id"), F.col("child_nth").alias("nth"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.lit("/"), F.col("child").cast("string")).alias("path"), F.concat("above", F.array("child")).alias("above")),
             "level",
         )
         out = out.unionByName(level)
     return out.drop("above")
 
 
+def trace_identity(spans: DataFrame) -> DataFrame:
+    """trace_id, span_id, name, source, session_id of each trace's first root (by start), its
+    number of spans, and failed: the names of its spans that went wrong, sorted."""
+    present = spans.select(F.col("trace_id").alias("t"), F.col("span_id").alias("p")).distinct()
+    root = spans.join(present, (F.col("trace_id") == F.col("t")) & (F.col("parent_id") == F.col("p")), "left_anti")
+    first = root.groupBy("trace_id").agg(F.min(F.struct("started_at", "span_id", "name", "source", "session_id")).alias("x"))
+    of = spans.groupBy("trace_id").agg(F.count("*").alias("spans"), F.array_sort(F.collect_set(F.when(F.col("status") != "ok", F.col("name")))).alias("failed"))
+    return first.join(of, "trace_id").select("trace_id", "x.span_id", "x.name", "x.source", "x.session_id", "spans", "failed")
+
+
 def self_time(spans: DataFrame) -> DataFrame:
     """Duration less that of the direct children."""
     below = spans.where("parent_id is not null").groupBy(F.col("trace_id").alias("t"), F.col("parent_id").alias("p")).agg(F.sum("duration_ms").alias("below"))
@@ -158,9 +170,17 @@ def recent_traces(spans: DataFrame, n: int) -> DataFrame:
 
 
 def retain(spans: DataFrame, newest, days: int = 14, rows: int = 200_000) -> DataFrame:
-    """Drop what is older than the window, then keep the newest rows by id."""
+    """Drop what is older than the window, then keep the newest rows by id.
+
+    Ids are dealt by range, newest first; counts of the ranges before say how many rows of
+    a range stay, so no task sees all rows that do."""
     kept = spans.where(F.col("started_at") >= F.lit(newest) - F.expr(f"interval {days} days"))
-    return kept.orderBy(F.desc("span_id")).limit(rows)
+    n = int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialise(kept.repartitionByRange(n, F.desc("span_id")).withColumn("range", F.spark_partition_id()), "spans")
+    sums = dealt.groupBy("range").agg(F.count("*").alias("n"))  # a row for each range
+    before = sums.select("range", (F.sum("n").over(W.orderBy("range")) - F.col("n")).alias("before")).where(F.col("before") < rows)
+    nth = F.row_number().over(W.partitionBy("range").orderBy(F.desc("span_id")))
+    return dealt.join(before, "range").withColumn("nth", nth).where(F.col("before") + F.col("nth") <= rows).select(spans.columns)
 
 
 def span_sessions(spans: DataFrame, gap: str = "30 minutes") -> DataFrame:

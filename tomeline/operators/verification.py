@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import content_words, sentences, squash, words
+from ..store import materialise
 from .labelling import whole_word
 
 FIGURE = "[0-9]+(?:[.,][0-9]+)? ?(?:mm|cm|m2|m|kg|litres|hours|days|%)"
@@ -187,15 +188,16 @@ def published_numbers(answers: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def verify(answers: DataFrame, evidence: DataFrame, products: list[str], registry: DataFrame, common: list[str]) -> DataFrame:
-    """All failures of all answers: aid, seq, check, note."""
-    c = cited(claims(answers), evidence)
-    parts = [check_citation(c), check_overlap(c), check_numbers(c), check_attribution(c, products), check_qualifiers(c), check_names(c, registry, common), check_relations(c, products), check_sensitive(c), check_numeric_binding(c, products)]
+    """All failures of all answers: aid, seq, check, note.  answers may have terms and asked
+    (arrays) for the checks of property and scope; without them these find nothing.
+    What the claims cite is written once, as every check reads it."""
+    none = F.array().cast(_STRINGS)
+    answers = answers.withColumns({c: none for c in ("terms", "asked") if c not in answers.columns})
+    c = materialise(cited(claims(answers), evidence), "cited")
+    parts = [check_property(answers, evidence), check_scope(c, products, answers.select("aid", "asked")), check_citation(c), check_overlap(c), check_numbers(c), check_attribution(c, products), check_qualifiers(c), check_names(c, registry, common), check_relations(c, products), check_sensitive(c), check_numeric_binding(c, products)]
     return reduce(DataFrame.unionByName, parts)
 
 
 def printable(answers: DataFrame, failures: DataFrame) -> DataFrame:
     return answers.join(failures.select("aid").distinct(), "aid", "left_anti")
 
-
-def word_count(c: Column) -> Column:
-    return F.size(words(c))

@@ -67,8 +67,15 @@ add("j9_check_scope", lambda s, d: v.check_scope(_cited(s, d), PRODUCTS, answers
     "SELECT aid, seq, CAST(7 AS BIGINT) AS \"check\", array_to_string(o, ',') AS note FROM sx WHERE len(o) > 0")
 add("j10_check_relations", lambda s, d: v.check_relations(_cited(s, d), PRODUCTS))
 add("j10_relations", lambda s, d: v.relations(_claims(s, d).select(F.col("aid").alias("id"), F.col("sentence").alias("s")), ["the", "of", "that", "erth"]))
-add("j11_check_sensitive", lambda s, d: v.check_sensitive(_cited(s, d)))
-add("j12_check_numeric_binding", lambda s, d: v.check_numeric_binding(_cited(s, d), PRODUCTS))
+_NO = lambda c: f"regexp_matches(lower({c}), '(^|[^a-z])(not|never|no)([^a-z]|$)')"
+_SENS = "regexp_extract(lower(sentence), '(?:^|[^a-z])(waterproof|structural|certified)(?:[^a-z]|$)', 1)"
+add("j11_check_sensitive", lambda s, d: v.check_sensitive(_cited(s, d).withColumn("cited", F.when(F.col("aid") % 4 == 0, F.replace("cited", F.lit("It is not waterproof"), F.lit("It is waterproof"))).otherwise(F.col("cited")))), *_all,
+    f"SELECT aid, seq, CAST(8 AS BIGINT) AS \"check\", {_SENS} AS note FROM (SELECT * REPLACE (CASE WHEN aid % 4 = 0 THEN replace(cited, 'It is not waterproof', 'It is waterproof') ELSE cited END AS cited) FROM ct) WHERE {_SENS} <> '' AND len(list_filter({_S('cited')}, lambda x: contains(lower(x), {_SENS}) AND {_NO('x')} = {_NO('sentence')})) = 0")
+_la = lambda c: c.withColumns({"sentence": F.when(F.col("aid") % 3 == 0, F.concat(F.lit("la "), "sentence")).otherwise(F.col("sentence")), "cited": F.when(F.col("aid") % 2 == 0, F.replace("cited", F.lit("Cover up"), F.lit("For la up"))).otherwise(F.col("cited"))})
+add("j12_check_numeric_binding", lambda s, d: v.check_numeric_binding(_la(_cited(s, d)), PRODUCTS), *_all,
+    "cl2 AS (SELECT * REPLACE (CASE WHEN aid % 3 = 0 THEN 'la ' || sentence ELSE sentence END AS sentence, CASE WHEN aid % 2 = 0 THEN replace(cited, 'Cover up', 'For la up') ELSE cited END AS cited) FROM ct)",
+    f"nb AS (SELECT aid, seq, cited, list_filter(['the', 'und', 'que', 'of', 'la'], lambda p: {_WW('sentence', 'p')}) AS named, unnest({_FIG('sentence')}) AS figure FROM cl2)",
+    f"SELECT aid, seq, CAST(8 AS BIGINT) AS \"check\", string_agg(DISTINCT figure, ',' ORDER BY figure) AS note FROM nb WHERE len(named) > 0 AND len(list_filter({_S('cited')}, lambda x: list_contains({_FIG('x')}, figure) AND len(list_filter(named, lambda p: {_WW('x', 'p')})) > 0)) = 0 GROUP BY aid, seq")
 _pairs = lambda s, d: answers(s, d).select("aid", F.col("text").alias("original"), F.expr("CASE aid % 5 WHEN 0 THEN text WHEN 1 THEN '' WHEN 2 THEN replace(text, '[2]', '[1]') WHEN 3 THEN replace(text, ' mm', '1 mm') ELSE replace(text, ' not ', ' ') END").alias("rewritten"))
 add("j13_rewrite_preserved", lambda s, d: v.rewrite_preserved(_pairs(s, d)), *_all, "SELECT aid, CASE aid % 5 WHEN 1 THEN 'empty' WHEN 2 THEN 'markers' WHEN 3 THEN 'figures' WHEN 4 THEN CASE WHEN NOT regexp_matches(lower(replace(text, ' not ', ' ')), '(^|[^a-z])(not|never|only|unless|except)([^a-z]|$)') THEN 'limitation' END END AS reason FROM an")
 _H = (m.PASSAGES, m.QUERIES, SCORED, HITS)
@@ -76,7 +83,7 @@ _hits = lambda s, d: r.topk(m.queries(s, d), m.passages(s, d))
 add("j14_field_answers", lambda s, d: v.field_answers(m.queries(s, d).select("qid", F.array(F.lit("a"), F.lit("b")).alias("fields")), _hits(s, d), s.createDataFrame([("a", "ation$|ation[.]"), ("b", "zzz")], "field string, pattern string")).select("qid", "field", F.sha2("answer", 256).alias("digest")), *_H,
     f"fs AS (SELECT qid, rank, i AS nth, l[i + 1] AS s FROM (SELECT qid, rank, {_S('content')} AS l FROM hits), unnest(range(len(l))) u(i)), fo AS (SELECT qid, min((rank, nth, s)) AS x FROM fs WHERE regexp_matches(lower(s), 'ation$|ation[.]') GROUP BY qid, lower(trim(regexp_replace(s, '[ \\t\\r\\n]+', ' ', 'g'), ' ')))",
     "SELECT qid, 'a' AS field, sha256(coalesce((SELECT string_agg(x[3], ' ' ORDER BY x[1], x[2]) FROM fo WHERE fo.qid = q.qid), '')) AS digest FROM queries q UNION ALL SELECT qid, 'b', sha256('') FROM queries")
-add("j15_verify", lambda s, d: v.verify(answers(s, d), evidence(s, d), PRODUCTS, s.createDataFrame([("Duo",)], "name string"), ["in"]))
+add("j15_verify", lambda s, d: v.verify(_terms(s, d).withColumn("asked", F.when(F.col("aid") % 5 == 0, F.array(F.lit("la"))).otherwise(F.array().cast("array<string>"))), evidence(s, d), PRODUCTS, s.createDataFrame([("Duo",)], "name string"), ["in"]))
 _NU = lambda c: f"list_distinct(regexp_extract_all(regexp_replace({c}, '\\[[0-9]+\\]', '', 'g'), '[0-9]+(?:\\.[0-9]+)?|\\.[0-9]+'))"
 add("j16_published_numbers", lambda s, d: v.published_numbers(answers(s, d), evidence(s, d)).select("aid", F.array_join("strange", ",").alias("strange")), *_all,
     f"kn AS (SELECT aid, flatten(list({_NU('content')})) AS known FROM ev GROUP BY aid)", f"SELECT aid, array_to_string(list_sort(list_filter({_NU('text')}, lambda n: NOT list_contains(known, n) AND n <> '7')), ',') AS strange FROM an JOIN kn USING (aid)")
@@ -180,7 +187,7 @@ def _probes(s, d):
 
 add("p2_check_probes", lambda s, d: j.check_probes(_results(s, d).withColumn("answer", F.concat("answer", F.when(F.col("step") == "4", F.lit(" call 01234 567 890")).otherwise(F.lit("")))).withColumnRenamed("case_id", "probe_id"), _probes(s, d), ["0999999999"]), m.QUESTIONS, _P,
     """SELECT qid AS probe_id, CASE WHEN low IS NULL THEN 'no result' WHEN contains(low, 'nicht') THEN 'banned text' WHEN length(text) % 11 = 0 AND length(text) % 8 <> 5 THEN 'not refused' WHEN length(text) % 2 = 0 AND NOT contains(low, 'the') THEN 'nothing wanted' WHEN length(text) % 3 = 0 THEN 'restricted source' WHEN length(text) % 9 = 4 THEN 'unknown phone number' END AS fault FROM questions LEFT JOIN rs ON case_id = qid""")
-add("p3_audience_leak", lambda s, d: j.audience_leak(_hits(s, d).where("qid % 3 = 0"), m.passages(s, d).where("audience != 'public'")).select("qid", "passage_id"), *_H, "SELECT qid, passage_id FROM hits WHERE qid % 3 = 0 AND audience <> 'public'")
+add("p3_audience_leak", lambda s, d: j.audience_leak(_hits(s, d).where("qid % 3 = 0"), m.passages(s, d).where("audience != 'public' or passage_id % 4 = 0")).select("qid", "passage_id"), *_H, "SELECT qid, passage_id FROM hits WHERE qid % 3 = 0 AND (audience <> 'public' OR passage_id % 4 = 0)")
 _gold = lambda s, d: s.read.parquet(f"{d}/labels.parquet").select(F.col("doc_id").alias("case_id"), F.when(F.col("quality") == 1, "answer").otherwise("abstain").alias("expected"), (F.col("doc_id") % 3 != 0).alias("answered"), (F.col("doc_id") % 5 != 0).alias("supported"))
 _G = "gd AS (SELECT CASE WHEN quality = 1 THEN 'answer' ELSE 'abstain' END AS expected, doc_id % 3 <> 0 AS answered, doc_id % 5 <> 0 AS supported FROM labels)"
 add("p4_gold_metrics", lambda s, d: j.gold_metrics(_gold(s, d)), _G, "SELECT expected, count(*) AS total, count(*) FILTER (CASE WHEN expected = 'answer' THEN answered AND supported ELSE NOT answered END) AS passed, count(*) FILTER (expected = 'answer' AND NOT answered) AS over_refusals, count(*) FILTER (answered AND NOT supported) AS unsupported FROM gd GROUP BY expected")

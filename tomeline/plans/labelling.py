@@ -53,8 +53,10 @@ add("h8_denied_slots", lambda s, d: lb.denied_slots(qs(s, d), _vocab(s), "and|of
 _gate = lambda s, d: lb.topic_gate(qs(s, d), TOPICS[:1])
 _INT = "CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{n}'" for n, p in INTENTS) + " ELSE 'unknown' END"
 add("h10_intent", lambda s, d: lb.intent(qs(s, d), _gate(s, d), INTENTS), _Q, f"SELECT qid, CASE WHEN regexp_matches(lower(text), '{TOPICS[0][1]}') THEN 'escalate' ELSE {_INT} END AS intent FROM questions")
-add("h9_compares_products", lambda s, d: lb.compares_products(qs(s, d), lb.mentions(qs(s, d), _al(s)), "with|avec"), _Q, _AL, _MN,
-    "SELECT q.qid, regexp_matches(lower(text), 'with|avec') AND coalesce(n, 0) >= 2 AS compares, CASE WHEN n = 1 AND NOT regexp_matches(lower(text), 'with|avec') THEN product END AS topic_product FROM questions q LEFT JOIN (SELECT qid, count(*) AS n, min(product) AS product FROM mn GROUP BY qid) USING (qid)")
+add("h9_compares_products", lambda s, d: lb.compares_products(qs(s, d), _al(s), "with|avec", "and").withColumn("compared", F.array_join("compared", ",")), _Q, _AL, _MN,
+    "wd AS (SELECT qid, string_split_regex(trim(text, ' '), '[ \\t\\r\\n]+') AS w FROM questions), bs AS (SELECT qid, array_to_string(w[greatest(1, i - 3):i - 1] || w[i + 1:i + 3], ' ') AS around FROM wd, unnest(range(1, len(w) + 1)) u(i) WHERE regexp_replace(lower(w[i]), '^[,.;:?!]+|[,.;:?!]+$', '', 'g') = 'or')",
+    f"nr AS (SELECT DISTINCT qid FROM bs, al WHERE {_WW('around', 'alias')}), nm AS (SELECT qid, list_sort(list_distinct(list(product))) AS named FROM mn GROUP BY qid), cq AS (SELECT q.qid, text, coalesce(named, []) AS named, regexp_matches(lower(text), 'with|avec') AS ex, q.qid IN (SELECT qid FROM nr) AS near FROM questions q LEFT JOIN nm USING (qid))",
+    "SELECT qid, ex OR near AS compares, CASE WHEN NOT (ex OR near) AND len(named) = 1 THEN named[1] END AS topic_product, CASE WHEN ex AND NOT contains(lower(text), 'and') AND len(named) >= 2 THEN array_to_string(named, ',') ELSE '' END AS compared FROM cq")
 _TERMS = [("cover", ["zeta", "alpha"]), ("mix", ["beta"])]
 add("h11_asked_terms", lambda s, d: lb.asked_terms(qs(s, d), lb.primary_properties(_scores(s, d), "property"), s.createDataFrame(_TERMS, "property string, terms array<string>"), "(?:^| )die ([a-z]+)").select("qid", F.array_join("terms", ",").alias("terms")), _Q, _V, _SC,
     "pp AS (SELECT qid, value FROM (SELECT *, max(score) OVER (PARTITION BY qid) AS top FROM sc WHERE slot = 'property') WHERE 2 * score >= top AND (NOT ask_only OR score = top))",
@@ -81,6 +83,8 @@ rt AS (SELECT qid, CASE WHEN below THEN ('refuse', '1') WHEN defers THEN ('refus
 add("h15_route", lambda s, d: lb.route(_facts(s, d)), *_H, _MET, _ROUTE, "SELECT qid, r[1] AS path, r[2] AS step FROM rt")
 add("h16_needs_substrate", lambda s, d: qs(s, d).join(lb.detect_slots(_scores(s, d)).where("slot = 'substrate'").select("qid", "value"), "qid", "left").select("qid", lb.needs_substrate(F.col("text"), "the", "in", "with").alias("needs"), lb.askback_answer(F.col("text"), F.col("value").isNotNull(), 40).alias("answers")), _Q, _V, _SC,
     f"SELECT qid, contains(lower(text), 'the') AND contains(lower(text), 'in') AND NOT contains(lower(text), 'with') AS needs, {_NW('text')} <= 40 AND trim(text, ' ') NOT LIKE '%?' AND qid IN (SELECT qid FROM sc WHERE slot = 'substrate') AS answers FROM questions")
+add("h16_location_matters", lambda s, d: lb.location_matters(lb.primary_properties(_scores(s, d), "property"), ["cover", "dry"]), _Q, _V, _SC,
+    "pp AS (SELECT qid, value FROM (SELECT *, max(score) OVER (PARTITION BY qid) AS top FROM sc WHERE slot = 'property') WHERE 2 * score >= top AND (NOT ask_only OR score = top))", "SELECT qid, bool_or(value IN ('cover', 'dry')) AS matters FROM pp GROUP BY qid")
 add("h17_resolve_audience", lambda s, d: m.queries(s, d).select("qid", F.array_join(lb.resolve_audience(F.when(F.col("qid") % 2 == 0, F.array(F.lit(" Staff"), F.lit("PUBLIC"))).otherwise(F.array(F.lit("nobody"))), F.col("audiences")), ",").alias("audience")), m.QUERIES,
     "SELECT qid, CASE WHEN qid % 2 = 1 THEN array_to_string(audiences, ',') WHEN qid % 3 = 2 THEN 'staff,public' ELSE 'public' END AS audience FROM queries")
 

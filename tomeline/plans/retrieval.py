@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import embeddings as emb
 from ..operators import retrieval as r
 from ..sources import model as m
 from .base import collection
@@ -82,7 +83,11 @@ add("g13_missed_evidence", lambda s, d: r.missed_evidence(_qt(s, d), _hits(s, d)
 _rare = lambda s, d: q(s, d).withColumn("terms", F.array(F.lit("Section 5")))
 add("g14_gate_second_chance", lambda s, d: r.gate_second_chance(_rare(s, d), _hits(s, d), p(s, d)), *_H, "rr AS (SELECT qid, audiences, product, ['section 5'] AS terms FROM queries WHERE qid NOT IN (SELECT qid FROM hits WHERE contains(lower(concat_ws(chr(10), section, content)), 'section 5')))", f"more AS ({_LEX('rr')})", _MERGE("hits", "more"))
 _again = lambda s, d: r.topk(q(s, d).join(q(s, d).select((F.col("qid") + 25).alias("qid"), F.col("embedding").alias("e")), "qid").withColumn("embedding", F.when(F.col("qid") % 3 == 0, F.col("e")).otherwise(F.col("embedding"))).drop("e"), p(s, d))
-add("g15_contextual_retry", lambda s, d: r.contextual_retry(q(s, d), _hits(s, d).where("rank > 1"), _again(s, d)))
+add("g15_contextual_retry", lambda s, d: r.contextual_retry(q(s, d), _hits(s, d).where("rank > 1"), _again(s, d)), *_H,
+    "q2 AS (SELECT q.* REPLACE (CASE WHEN q.qid % 3 = 0 THEN e.embedding ELSE q.embedding END AS embedding) FROM queries q JOIN queries e ON q.qid = e.qid + 25)", SCORED.replace("scored AS", "scored2 AS", 1).replace("JOIN queries q", "JOIN q2 q"), HITS.replace("hits AS", "hits2 AS", 1).replace("FROM scored)", "FROM scored2)"),
+    "ad AS (SELECT qid FROM (SELECT qid, max(score) AS b FROM hits2 GROUP BY qid) LEFT JOIN (SELECT qid, max(score) AS a FROM hits WHERE rank > 1 GROUP BY qid) USING (qid) WHERE coalesce(a, 0) < 0.45 AND b > coalesce(a, 0))",
+    "bh AS (SELECT 0 AS pass, qid, passage_id, rank, score FROM hits2 WHERE qid IN (SELECT qid FROM ad) UNION ALL SELECT 1, qid, passage_id, rank, score FROM hits WHERE rank > 1)",
+    "SELECT qid, passage_id, score, row_number() OVER (PARTITION BY qid ORDER BY pass, r, passage_id) AS rank FROM (SELECT qid, passage_id, min((pass, rank, score)) AS x, x[1] AS pass, x[2] AS r, x[3] AS score FROM bh GROUP BY qid, passage_id)")
 add("g16_diagnostic_passages", lambda s, d: r.diagnostic_passages(_hits(s, d)).select("qid", "rank", "passage_id"), *_H, "SELECT qid, passage_id, row_number() OVER (PARTITION BY qid ORDER BY document_type IN ('product_page', 'commercial'), hits.rank) AS rank FROM hits QUALIFY row_number() OVER (PARTITION BY qid ORDER BY document_type IN ('product_page', 'commercial'), hits.rank) <= 3")
 _man = lambda s, d: s.read.parquet(f"{d}/pages.parquet").select(F.col("url").alias("canonical_url"), (F.col("page_id") % 6 + 1).alias("authority"), F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("title"), F.lit("zz").alias("product"), m.pick(m.TYPES, F.col("page_id") % 6).alias("document_type")).dropDuplicates(["canonical_url"])
 _WORDS = lambda c: f"list_distinct(regexp_extract_all(lower({c}), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+'))"
@@ -111,3 +116,5 @@ add("g22_source_rows", lambda s, d: r.source_rows(_hits(s, d)), *_H, "SELECT qid
 _ans = lambda s, d: q(s, d).select("qid", F.expr("CASE WHEN qid % 50 = 0 THEN 'A [4] then [2], [4].' ELSE 'B [2] and [9].' END").alias("text"))
 add("g22_renumber_citations", lambda s, d: r.renumber_citations(_ans(s, d), r.source_rows(_hits(s, d)))[0], m.QUERIES, "SELECT qid, CASE WHEN qid % 50 = 0 THEN 'A [2] then [1], [2].' ELSE 'B [2] and [9].' END AS text FROM queries")
 add("g23_approved_evidence", lambda s, d: r.approved_evidence(q(s, d).select("qid", F.array(F.lit("P1"), F.lit("p5")).alias("approved")), _hits(s, d)).select("qid", "passage_id"), *_H, "SELECT qid, passage_id FROM hits QUALIFY product IN ('p1', 'p5') OR NOT max(product IN ('p1', 'p5')) OVER (PARTITION BY qid)")
+_gold = lambda s, d: q(s, d).select("qid", F.lit("tion").alias("text"), F.concat(F.lit("doc://"), F.expr("qid div 4").cast("string")).alias("url"))
+add("f8_recall_at_k", lambda s, d: emb.recall_at_k(_hits(s, d).withColumnRenamed("canonical_url", "url"), _gold(s, d)), *_H, "SELECT count(*) AS queries, round(avg(CASE WHEN EXISTS (SELECT 1 FROM hits h WHERE h.qid = q.qid AND contains(content, 'tion') AND contains(canonical_url, 'doc://' || CAST(q.qid // 4 AS VARCHAR))) THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall FROM queries q")

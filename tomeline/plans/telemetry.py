@@ -64,8 +64,12 @@ add(
 add("m10_traces", lambda s, d: t.traces(m.spans(s, d), 100).select("span_id", "trace_id", "name"), m.SPANS, "SELECT span_id, trace_id, name FROM spans ORDER BY started_at DESC, span_id DESC LIMIT 100")
 add(
     "m11_span_tree", lambda s, d: t.span_tree(m.spans(s, d)),
-    "RECURSIVE " + m.SPANS, "tree AS (SELECT trace_id, span_id, 0 AS depth, CAST(span_id AS VARCHAR) AS path FROM spans s WHERE NOT EXISTS (SELECT 1 FROM spans p WHERE p.trace_id = s.trace_id AND p.span_id = s.parent_id) UNION ALL SELECT s.trace_id, s.span_id, tree.depth + 1, tree.path || '/' || CAST(s.span_id AS VARCHAR) FROM tree JOIN spans s ON s.trace_id = tree.trace_id AND s.parent_id = tree.span_id)", "SELECT * FROM tree",
+    "RECURSIVE " + m.SPANS, "sp AS (SELECT s.trace_id, s.span_id, p.span_id AS above, row_number() OVER (PARTITION BY s.trace_id, p.span_id ORDER BY s.started_at, s.span_id) AS nth FROM spans s LEFT JOIN spans p ON p.trace_id = s.trace_id AND p.span_id = s.parent_id)",
+    "tree AS (SELECT trace_id, span_id, nth, 0 AS depth, CAST(span_id AS VARCHAR) AS path FROM sp WHERE above IS NULL UNION ALL SELECT s.trace_id, s.span_id, s.nth, tree.depth + 1, tree.path || '/' || CAST(s.span_id AS VARCHAR) FROM tree JOIN sp s ON s.trace_id = tree.trace_id AND s.above = tree.span_id)", "SELECT * FROM tree",
 )
+add("m11_trace_identity", lambda s, d: t.trace_identity(m.spans(s, d)).withColumn("failed", F.array_join("failed", ",")), m.SPANS,
+    "rt AS (SELECT * FROM spans s WHERE NOT EXISTS (SELECT 1 FROM spans p WHERE p.trace_id = s.trace_id AND p.span_id = s.parent_id) QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY started_at, span_id) = 1)",
+    "SELECT rt.trace_id, rt.span_id, rt.name, rt.source, rt.session_id, count(*) AS spans, coalesce(string_agg(DISTINCT CASE WHEN s.status <> 'ok' THEN s.name END, ',' ORDER BY CASE WHEN s.status <> 'ok' THEN s.name END), '') AS failed FROM rt JOIN spans s USING (trace_id) GROUP BY ALL")
 add("m12_self_time", lambda s, d: t.self_time(m.spans(s, d)), m.SPANS, "SELECT trace_id, span_id, name, duration_ms - coalesce((SELECT sum(c.duration_ms) FROM spans c WHERE c.trace_id = s.trace_id AND c.parent_id = s.span_id), 0) AS self_ms FROM spans s")
 add("m13_recent_traces", lambda s, d: t.recent_traces(m.spans(s, d), 50).drop("started_at"), m.SPANS, "SELECT trace_id, span_id, name, status FROM (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY started_at DESC, span_id DESC) AS r FROM spans WHERE parent_id IS NULL) WHERE r = 1 ORDER BY started_at DESC, span_id DESC LIMIT 50")
 

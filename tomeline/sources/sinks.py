@@ -11,14 +11,23 @@ class StaleParent(RuntimeError):
 
 
 def current_snapshot(spark: SparkSession, root: str) -> str | None:
-    """The id in the pointer table, or None before the first publication."""
+    """The id with the greatest number in the pointer table, or None before the first publication."""
+    return _newest(spark, f"{root}/pointer")[1]
+
+
+def _newest(spark: SparkSession, path: str) -> tuple[int, str | None]:
     try:
-        row = spark.read.schema("snapshot_id string").parquet(f"{root}/pointer").first()
+        row = spark.read.schema("n long, id string").parquet(path).agg(F.max(F.struct("n", "id")).alias("x")).first()
     except Exception as e:  # no pointer yet
         if "PATH_NOT_FOUND" in str(e):
-            return None
+            return 0, None
         raise
-    return row.snapshot_id if row else None
+    return (row.x.n, row.x.id) if row.x else (0, None)
+
+
+def _point(spark: SparkSession, path: str, to: str) -> None:
+    """A row more, numbered; nothing is replaced, so readers always find one of the two ids."""
+    spark.createDataFrame([(_newest(spark, path)[0] + 1, to)], "n long, id string").coalesce(1).write.mode("append").parquet(path)
 
 
 def guard_parent(spark: SparkSession, root: str, parent: str | None) -> None:
@@ -33,12 +42,14 @@ def write_snapshot(spark: SparkSession, tables: dict[str, DataFrame], snapshot_i
     for name, df in tables.items():
         df.write.mode("errorifexists").parquet(f"{root}/snapshot_id={snapshot_id}/{name}")
     guard_parent(spark, root, parent)
-    spark.createDataFrame([(snapshot_id,)], "snapshot_id string").coalesce(1).write.mode("overwrite").parquet(f"{root}/pointer")
+    _point(spark, f"{root}/pointer", snapshot_id)
 
 
 def read_snapshot(spark: SparkSession, root: str, names: list[str]) -> dict[str, DataFrame]:
     """The tables of the current snapshot, resolved once."""
     at = current_snapshot(spark, root)
+    if at is None:
+        raise LookupError(f"nothing is published below {root}")
     return {n: spark.read.parquet(f"{root}/snapshot_id={at}/{n}") for n in names}
 
 
@@ -48,11 +59,21 @@ def append_answer_log(df: DataFrame, path: str) -> None:
     d.withColumn("day", F.to_date("asked_at")).write.mode("append").partitionBy("day").parquet(path)
 
 
-def write_curated(df: DataFrame, statistics: DataFrame, root: str, version: str) -> None:
-    """Cases and statistics in a new directory, then the pointer."""
-    df.write.parquet(f"{root}/{version}/cases")
-    statistics.write.parquet(f"{root}/{version}/statistics")
-    df.sparkSession.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").parquet(f"{root}/pointer")
+def write_curated(df: DataFrame, statistics: DataFrame, root: str, version: str, at=None) -> None:
+    """Cases and statistics, each row with version and time (now if not given), in a new
+    directory; then the pointer."""
+    stamp = {"version": F.lit(version), "curated_at": F.current_timestamp() if at is None else F.lit(at).cast("timestamp")}
+    df.withColumns(stamp).write.parquet(f"{root}/{version}/cases")
+    statistics.withColumns(stamp).write.parquet(f"{root}/{version}/statistics")
+    _point(df.sparkSession, f"{root}/pointer", version)
+
+
+def read_curated(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """Cases and statistics of the current version."""
+    at = _newest(spark, f"{root}/pointer")[1]
+    if at is None:
+        raise LookupError(f"nothing is published below {root}")
+    return spark.read.parquet(f"{root}/{at}/cases"), spark.read.parquet(f"{root}/{at}/statistics")
 
 
 def metric_lines(metrics: DataFrame, families: DataFrame) -> DataFrame:

@@ -94,3 +94,16 @@ def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFra
     q = stream.writeStream.outputMode(mode).foreachBatch(append_once(f"{path}/rows")).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows").select(stream.columns)
+
+
+def with_span_defaults(spans: DataFrame, now=None) -> DataFrame:
+    """Spans as they are stored: status ok, source unknown and the time now where they are missing."""
+    at = F.current_timestamp() if now is None else F.lit(now).cast("timestamp")
+    blank = lambda c, default: F.when(F.trim(F.coalesce(c, F.lit(""))) == "", F.lit(default)).otherwise(F.col(c))
+    return spans.withColumns({"status": blank("status", "ok"), "source": blank("source", "unknown"), "started_at": F.coalesce(F.col("started_at").cast("timestamp"), at)})
+
+
+def append_spans(path: str, now=None):
+    """foreachBatch writer of spans: defaults first, and a batch is there as a whole or not at all."""
+    write = append_once(path)
+    return lambda df, batch: write(with_span_defaults(df, now), batch)
