@@ -197,3 +197,44 @@ def test_appended_rows_are_not_held_by_the_driver(spark, tmp_path):
     got = streams.run_available(stream, "appended")
     assert sorted(r.id for r in got.collect()) == list(range(50)) and got.columns == ["id"]
     assert len(got.inputFiles()) > 0 and not spark.catalog.tableExists("appended")
+
+
+def test_curated_versions_carry_version_and_time(spark, tmp_path):
+    root = str(tmp_path / "curated")
+    for v in ("v1", "v2"):
+        sinks.write_curated(spark.range(2).withColumnRenamed("id", "case_id"), spark.range(1), root, v, "2024-01-01 00:00:00")
+    got, statistics = sinks.read_curated(spark, root)
+    assert [(r.version, str(r.curated_at)) for r in got.collect()] == [("v2", "2024-01-01 00:00:00")] * 2 and statistics.count() == 1
+    assert spark.read.parquet(f"{root}/pointer").count() == 2  # nothing is replaced
+    with pytest.raises(LookupError):
+        sinks.read_snapshot(spark, str(tmp_path / "none"), ["t"])
+
+
+def test_spans_get_defaults(spark, tmp_path):
+    df = spark.sql("select 1L span_id, cast(null as string) status, ' ' source, cast(null as timestamp) started_at union all select 2L, 'error', 'cli', timestamp'2024-01-02 00:00:00'")
+    write = streams.append_spans(str(tmp_path), "2024-01-01 00:00:00")
+    write(df, 0)
+    write(df, 0)  # the same batch again
+    got = sorted((r.span_id, r.status, r.source, str(r.started_at)) for r in spark.read.parquet(str(tmp_path)).collect())
+    assert got == [(1, "ok", "unknown", "2024-01-01 00:00:00"), (2, "error", "cli", "2024-01-02 00:00:00")]
+
+
+def test_alternatives_near_a_product_compare(spark):
+    aliases = spark.createDataFrame([("duro", "Duro"), ("solo", "Solo")], "alias string, product string")
+    q = spark.createDataFrame([("a", "Duro or Solo, what is drier?"), ("b", "Can Duro go on old brick or stone?"), ("c", "Compare Duro and Solo"), ("d", "Compare Duro and Solo: which one?")], "qid string, text string")
+    got = {r.qid: (r.compares, r.topic_product, r.compared) for r in labelling.compares_products(q, aliases).collect()}
+    assert got == {"a": (True, None, []), "b": (False, "Duro", []), "c": (True, None, ["Duro", "Solo"]), "d": (True, None, [])}
+
+
+def test_answers_fail_on_property_and_scope(spark):
+    answers = spark.createDataFrame([(1, "q", "Duro is thin [1].", ["thick"], ["Solo"])], "aid long, question string, text string, terms array<string>, asked array<string>")
+    evidence = spark.createDataFrame([(1, 1, "Duro", "s", "Duro is thin.")], "aid long, marker long, product string, section string, content string")
+    got = {r.check for r in verification.verify(answers, evidence, ["duro", "solo"], spark.createDataFrame([("x",)], "name string"), []).collect()}
+    assert {6, 7} <= got
+
+
+def test_retention_keeps_the_newest_ids(spark):
+    s = spark.range(1000).selectExpr("id % 700 as span_id", "timestamp'2024-01-10 00:00:00' - make_dt_interval(cast(id % 20 as int)) as started_at")
+    got = sorted(r.span_id for r in telemetry.retain(s, "2024-01-10 00:00:00", 14, 101).collect())
+    want = sorted((r.span_id for r in s.where("started_at >= timestamp'2023-12-27 00:00:00'").collect()))[-101:]
+    assert got == want

@@ -124,14 +124,16 @@ def traces(spans: DataFrame, limit: int, session_id: int | None = None) -> DataF
 
 def span_tree(spans: DataFrame) -> DataFrame:
     """Depth, path from the roots and nth, the place by start among the children of the same
-    parent (or the roots of the trace); a span whose parent is absent is a root.
+    parent (or the roots of the trace; by id without started_at); a span whose parent is
+    absent is a root.
 
     Levels are joined on the trace until none is left; each is written, so that a plan
     holds one level.  A span comes but once in a path, even where ids repeat."""
-    s = materialise(spans.select("trace_id", "span_id", "parent_id", "started_at"), "spans")
+    by = [c for c in ("started_at", "span_id") if c in spans.columns]
+    s = materialise(spans.select("trace_id", "parent_id", *by), "spans")
     present = s.select(F.col("trace_id").alias("t"), F.col("span_id").alias("p")).distinct()
     rooted = s.join(present, (F.col("trace_id") == F.col("t")) & (F.col("parent_id") == F.col("p")), "left")
-    rooted = rooted.withColumn("nth", F.row_number().over(W.partitionBy("trace_id", "p").orderBy("started_at", "span_id")).cast("long"))
+    rooted = rooted.withColumn("nth", F.row_number().over(W.partitionBy("trace_id", "p").orderBy(*by)).cast("long"))
     level = rooted.where("p is null").select("trace_id", "span_id", "nth", F.lit(0).alias("depth"), F.col("span_id").cast("string").alias("path"), F.array("span_id").alias("above"))
     below = materialise(rooted.where("p is not null").select(F.col("trace_id").alias("t"), F.col("span_id").alias("child"), "parent_id", F.col("nth").alias("child_nth")), "below")
     level = materialise(level, "level")
