@@ -25,14 +25,19 @@ LEAST_LANGUAGE_SHARE = 0.4
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
+def _columns(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents with a recognised main language.
 
     Null or empty texts and those without letters go.  Null doc_id or lang, repeated rows
     and ties make no difference: each row is judged by its text alone, and equal texts alike.
     Without any labelled document nothing is recognised and all go."""
-    predicted = crf_langid.predict(docs, crf_langid.fit(docs), docs.columns)
-    return predicted.where((F.col("lang_pred") != crf_langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SHARE)).select(docs.columns)
+    rows = docs.select(F.struct(*_columns(docs)).alias("row"), "text")  # whatever the columns are called
+    predicted = crf_langid.predict(rows, crf_langid.fit(docs), ["row"])
+    return predicted.where((F.col("lang_pred") != crf_langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SHARE)).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,12 +47,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     then by the other columns stays.  Rows with a null doc_id pass as they are, and so do
     texts without words, which are copies of nothing."""
     classes = materialise(jaccard_join.near_duplicate_classes(docs, NEAR_WORDS, NEAR_PERCENT), "classes")
-    kept = docs.join(classes.where("component_id < doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    kept = docs.join(classes.where("component_id < doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*_columns(docs))
     repeated = materialise(classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     if repeated.isEmpty():
         return kept
-    others = kept.join(repeated, "doc_id", "left_anti").select(docs.columns)
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    others = kept.join(repeated, "doc_id", "left_anti").select(*_columns(docs))
+    row = F.struct(*_columns(docs))
     first = W.partitionBy("id").orderBy("said", "rest")
     again = kept.join(repeated, "doc_id", "left_semi").select(row.alias("row")).select("row", F.col("row.doc_id").alias("id"), F.col("row.text").alias("said"), F.to_json("row").alias("rest"))
     return others.unionByName(again.withColumn("nth", F.row_number().over(first)).where("nth = 1").select("row.*"))
@@ -59,7 +64,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     All rows of such a doc_id go.  Null texts and rows with a null doc_id stay; so does
     everything if benchmark is empty or its items are null or too short for a seed."""
     leaks = decontamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(*_columns(docs))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
