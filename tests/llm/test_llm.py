@@ -669,3 +669,62 @@ def test_leaks_on_odd_input(spark):
     got = [(r.doc_id, r.item_id, r.score) for r in decontamination.contaminated(odd(spark), bench).collect()]
     assert got == [(3, 1, 1.0)]
     assert decontamination.contaminated(odd(spark).limit(0), bench).count() == 0
+
+
+def stage_rows(spark):
+    """Null ids and texts, empty texts, repeated rows, one doc_id with several texts, one very long text."""
+    rng = random.Random(21)
+    long = " ".join(rng.choice(["the", "of", "and", "that", "with", f"w{rng.randrange(900)}"]) for _ in range(20_000)) + " password: hunter22hunter "
+    said = "the cat and the dog of the house that is with the others in a garden by the sea"
+    rows = [(None, said, "en", "s"), (1, None, None, None), (2, "", "en", "s"), (3, "123 456", "en", None), (4, said, "en", "s"), (4, said, "en", "s"), (4, said + " and more of it", None, "s"), (5, said + " x", None, None), (6, long, "en", "s"), (7, long, "en", "t"), (8, "token: abcdefgh " * 3000, None, "s")]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, start string, row string, id string, nth int, `a.b` string"
+    return spark.createDataFrame([(*r, len(r[1] or ""), "x", "y", "z", 1, "dot") for r in rows], kinds)
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES[1:4])
+def test_stages_on_odd_input(spark, tmp_path, name, stage):
+    d = stage_rows(spark)
+    spark.createDataFrame([(1, "unrelated item of the benchmark that is nowhere else"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = stage(spark, d, str(tmp_path))
+    assert out.columns == d.columns
+    key = lambda r: (str(r.doc_id), str(r.text))
+    got, again = sorted(map(key, out.collect())), sorted(map(key, stage(spark, d, str(tmp_path)).collect()))
+    assert got == again
+    before = sorted(map(key, d.collect()))
+    if name == "decontaminate":
+        assert got == before
+    elif name == "redact_secrets":
+        assert [i for i, _ in got] == sorted(i for i, _ in before) and not any("hunter22" in t or "abcdefgh" in t for _, t in got)
+    else:
+        assert sorted(i for i, _ in got) == ["1", "2", "3", "4", "6", "8", "None"]
+        assert [t for i, t in got if i == "4"] == [min(t for i, t in before if i == "4")]
+    assert stage(spark, d.limit(0), str(tmp_path)).count() == 0
+
+
+def test_first_and_last_stage_on_odd_input(spark, sf):
+    d = stage_rows(spark)
+    known = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select([F.col(c) if c in ("text", "lang", "source") else (F.col("doc_id") + 100).alias("doc_id") if c == "doc_id" else F.lit(None).cast(t).alias(c) for c, t in d.dtypes])
+    (_, first), (_, last) = corpus_pipeline.STAGES[0], corpus_pipeline.STAGES[-1]
+    out = first(spark, d.unionByName(known), sf)
+    assert out.columns == d.columns
+    ids = Counter(r.doc_id for r in out.where("doc_id is null or doc_id < 100").collect())
+    assert not {1, 2, 3} & set(ids) and ids[4] == 3 and ids[None] == 1 and ids[6] == ids[7] == 1
+    assert first(spark, d.limit(0), sf).count() == 0 and last(spark, d.limit(0), sf).count() == 0
+    took = last(spark, d, sf).collect()
+    assert took and all(0 < r.taken <= 2 * r.size for r in took) and not {1, 2} & {r.doc_id for r in took}
+
+
+def test_very_long_texts(spark):
+    """20,000 words and more, whole, through the operators on documents."""
+    rng = random.Random(6)
+    w = [f"w{rng.randrange(5000)}" for _ in range(20_000)]
+    other = list(w)
+    for k in range(0, 20_000, 400):
+        other[k] = "edited"
+    d = docs(spark, " ".join(w), " ".join(other), "x" * 300_000, "AKIA" + "Z" * 30 + " " + "é " * 100_000 + "secret=abcdef123")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicate_classes(d).collect()}
+    assert got == dict(enumerate(classes([r.text for r in d.orderBy("doc_id").collect()])))
+    spans_ = {r.doc_id: r.found for r in secret_scan.scan(d).collect()}
+    assert [(s["start"], s["kind"], s["stop"]) for s in spans_[3] if s["kind"] < 3] == [(0, 1, 34), (200_035, 0, 200_051)]
+    c = d.select(F.lit(1).cast("long").alias("conv_id"), F.col("doc_id").alias("turn"), F.lit("a").alias("role"), "text")
+    assert [r.masks[0].stop for r in chat_rotation.rotate(c).collect()][0] > 100_000

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .vectext import mix, raw_bytes, slices, span_hash
 
@@ -264,7 +265,7 @@ def predict(documents: DataFrame, model: Model | None, keep: list[str] | None =
     key = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("key")
     docs = documents.select(key, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = docs.select("key", "text", F.col("text").rlike(r"\p{L}").alias("lettered"))
-    schema = f"key {docs.schema['key'].dataType.simpleString()}, lang_pred string, score double, n_words long"
+    schema = T.StructType([T.StructField("key", docs.schema["key"].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("n_words", T.LongType())])
     out = docs.mapInArrow(_predict(documents.sparkSession.sparkContext.broadcast(model)), schema)
     return out.select(*[F.col("key").getField(c).alias(c) for c in keep], "lang_pred", "score", "n_words")
 
