@@ -214,26 +214,34 @@ def train(pages: list[str]) -> tuple[dict[str, float], dict[str, float]]:
                 within = max(0, within + (1 if kind[1] != "/" else -1))
                 continue
             (inside if within else outside)[kind] += len(value.split()) if kind[0] != "<" else 1
-        within = 0
+        within, open_ = 0, []
         for m in _TOKEN.finditer(page):
-            if (name := (m[4] or "").lower()) in CONTENT:
+            name = (m[4] or "").lower()
+            if name in CONTENT:
                 within = max(0, within + (-1 if m[3] else 1))
-            elif name and not m[3] and m[5]:
-                # An element around the content element holds it; it is no sign of anything.
-                (names_in if within else names_out).update({w for words in _names(m[5]) for w in words})
+                open_ = [] if not m[3] else open_  # what is open around the content element holds it: no sign of anything
+            elif name and m[3]:
+                at = next((i for i in range(len(open_) - 1, max(len(open_) - 50, 0) - 1, -1) if open_[i][0] == name), None)
+                if at is not None:
+                    for _, inner, words in open_[at:]:
+                        (names_in if inner else names_out).update(words)
+                    del open_[at:]
+            elif name and name not in VOID and not (m[5] or "").rstrip().endswith("/"):
+                open_.append((name, within > 0, {w for words in _names(m[5] or "") for w in words}))
     if not inside:
         return DEFAULTS, PRIOR
     total_in, total_out = sum(inside.values()), sum(outside.values())
     odds = {k: math.log((inside[k] + 0.5) / (total_in + 1)) - math.log((outside[k] + 0.5) / (total_out + 1)) for k in inside | outside}
     # Tags that the sample never shows inside still occur in other articles.
     out = {k: min(max(v, TAG_SCORES[0]), TAG_SCORES[1]) if k[0] == "<" else v for k, v in odds.items()}
-    # Only words of which something is known before are learned as signs of asides: a class that the sample
-    # has outside only may as well be a frame around the content of other pages.
+    # Only words that are signs of asides before can become stronger ones: a class that the sample has outside
+    # only may as well be a frame around the content of other pages.
     names = dict(PRIOR)
     for w in names_in | names_out:
         n = names_in[w] + names_out[w]
         v = math.log((names_in[w] + 0.5) / (names_out[w] + 0.5)) * n / (n + HALF)
-        names[w] = min(max(PRIOR.get(w, 0.0) + v, -LEARNED), LEARNED) if w in PRIOR or v > 0 else 0.0
+        floor = -LEARNED if PRIOR.get(w, 0.0) < 0 else 0.0
+        names[w] = min(max(PRIOR.get(w, 0.0) + v, floor), LEARNED)
     return DEFAULTS | out | {"word": max(odds.get("word", 0.3), 0.3)}, names
 
 
