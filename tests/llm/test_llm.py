@@ -262,6 +262,13 @@ def test_frames_keep_their_text(page):
         assert html_extract.content(page, model) == SAID
 
 
+def test_frames_of_labelled_pages_are_no_asides():
+    labelled = [f'<div class="content wide"><div class="ad">buy</div><article><p>{SAID}</p></article></div>'] * 40
+    model = html_extract.train(labelled)
+    assert html_extract.content(f'<div class="content wide"><p>{SAID}</p><div class="ad">more</div></div>', model) == SAID
+    assert model[1]["content"] >= 0 and model[1]["ad"] < 0
+
+
 def test_titles_in_headers_of_articles_stay():
     page = f'<div class="article-header"><h1>Title of it</h1></div><p>{SAID}</p>'
     assert html_extract.content(page, (html_extract.DEFAULTS, html_extract.PRIOR)) == f"Title of it\n\n{SAID}"
