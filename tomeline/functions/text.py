@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 MARK = "\x01"  # put between pieces before splitting
 
@@ -19,6 +23,13 @@ def clean_text(c: Column) -> Column:
     return F.trim(c)
 
 
+@F.pandas_udf(StringType())
+def nfc(c: pd.Series) -> pd.Series:
+    """Composed forms of letters and marks (Unicode NFC), which no built-in function gives; to be put
+    before clean_text where texts may hold decomposed ones."""
+    return c.map(lambda s: s if s is None or s.isascii() else unicodedata.normalize("NFC", s))
+
+
 def squash(c: Column) -> Column:
     """Lower case, runs of white space as one space, trimmed."""
     return F.lower(F.trim(F.regexp_replace(c, "[ \\t\\r\\n]+", " ")))

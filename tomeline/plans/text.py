@@ -30,8 +30,8 @@ CLEAN = lambda c: f"trim(regexp_replace(regexp_replace(regexp_replace(regexp_rep
 SENTENCES = lambda c: f"list_filter(list_transform(string_split(regexp_replace(regexp_replace({c}, '([.!?])[ \\t\\r\\n]+', '\\1' || {MARK}, 'g'), '\\n+', {MARK}, 'g'), {MARK}), lambda s: trim(s, ' ')), lambda s: s <> '')"
 _NOISE = lambda c: f"{c} || ' 1.5 m 2 at 8 ° C, 5 % x'"
 
-add("d1_clean_text", lambda s, d: _docs(s, d).select("doc_id", F.sha2(t.clean_text(F.concat("text", F.lit("   1.5 m 2 at 8 ° C, 5 % x"))), 256).alias("digest")),
-    f"SELECT doc_id, sha256({CLEAN('text || chr(32) || chr(160) || chr(32) || ' + repr('1.5 m 2 at 8 ° C, 5 % x'))}) AS digest FROM documents")
+add("d1_clean_text", lambda s, d: _docs(s, d).select("doc_id", F.sha2(t.clean_text(t.nfc(F.concat("text", F.lit("   1.5 m 2 at 8 ° C, 5 % x e\u0301a\u030a")))), 256).alias("digest")),
+    f"SELECT doc_id, sha256({CLEAN('nfc_normalize(text || chr(32) || chr(160) || chr(32) || ' + repr('1.5 m 2 at 8 ° C, 5 % x e\u0301a\u030a') + ')')}) AS digest FROM documents")
 _NOT_SHOWN = "|".join(("script", "style", "noscript", "form", "svg", "head", "nav", "footer"))
 _STRIP = "regexp_replace(html, '(?s)<!--.*?-->|" + "|".join(f"<{n}\\b[^>]*>.*?</{n}\\s*>" for n in _NOT_SHOWN.split("|")) + "', '', 'g')"
 _UNESC = "replace(replace(replace(replace(replace(replace(replace({c}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&apos;', chr(39)), '&nbsp;', ' '), '&amp;', '&')"
