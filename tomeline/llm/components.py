@@ -20,10 +20,9 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     if large:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        out = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        least = links.groupBy("u").agg(F.min("v").alias("m"))
-        out = links.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        return both.join(least, "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))  # repeats go in the next step
+    least = links.groupBy("u").agg(F.min("v").alias("m"))
+    out = links.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     return out.where("u != v").distinct()
 
 

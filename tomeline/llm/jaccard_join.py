@@ -19,16 +19,21 @@ close at all, and pivots work within them.
    A region takes up to SAMPLED documents, gathers those within distance 1/2, and takes the
    centre of each gathering (the shingles that more than half of them hold; any set would
    do) as a pivot.  Every document is measured against all pivots of its region.  It
-   belongs to the Voronoi region of the nearest, and is replicated to that of pivot p if
-   d(x, p) <= d(x, nearest) + 2 E: as d is a metric, whoever is linked to x and belongs to
-   p is then met there.  In a Voronoi region, with r(x) = |x ^ p|:
+   belongs to the Voronoi region of the nearest if that is within INNER, and is replicated
+   to that of pivot p if d(x, p) <= min(d(x, nearest) + 2 E, INNER + E): as d is a metric,
+   whoever is linked to x and belongs to p is then met there.  What is farther from all
+   pivots belongs to the outer region, of which the centre of all sampled documents is the
+   pivot; two such documents meet there, so it needs no replicas, and a document that
+   nothing is near to is never replicated.  In a Voronoi region, with r(x) = |x ^ p|:
    * x and y are linked for sure if r(x) + r(y) <= K (|x| + |y|), K = E / (2 - E), so
      the document nearest to the pivot (the hub) takes in most copies of a family
      without comparing any pair; all others are compared with the hub;
    * others meet in the cells of the shingles in which they differ from the pivot, as
      |x ^ y| = r(x) + r(y) - 2 |(x ^ p) & (y ^ p)|; how long a prefix is needed
      follows from the overlap needed.  These cells are joined pair by pair within the
-     windows |d(x, p) - d(y, p)| <= E if small, and are regions for the next round if not.
+     windows |d(x, p) - d(y, p)| <= E if small, and are regions for the next round if not
+   (put together by their pivot again).  What counts as small doubles with each round, up
+   to WIDEST.
 
 Every link between different texts is found or implied by links found, so components
 are exact.  Links are decided on whole sets, computed again from the texts.
@@ -65,6 +70,9 @@ SHINGLE = 4
 PERCENT = 85
 LEAF = 32
 SAMPLED = 8
+INNER = 0.5
+#: Regions that are split again and again are joined pair by pair from this size down: twice LEAF after a round, and so on.
+WIDEST = 512
 PIECE = 1024
 #: A shingle is very frequent if its counter is so much above the mean counter.
 FREQUENT = 20_000
@@ -312,8 +320,9 @@ def _linked(percent: int):
 
 
 def _centres(k: int):
-    """Group: of a region's sampled texts the centres of those within distance 1/2 of each other."""
-    schema = pa.schema([("region", pa.int64()), ("centre", pa.list_(pa.int64()))])
+    """Group: of a region's sampled texts the centre of all (nth 0), and those of such as lie
+    within distance 1/2 of each other."""
+    schema = pa.schema([("region", pa.int64()), ("nth", pa.int64()), ("centre", pa.list_(pa.int64()))])
 
     def run(group: pa.Table) -> pa.Table:
         gathered: list[list[np.ndarray]] = []
@@ -327,19 +336,19 @@ def _centres(k: int):
             else:
                 gathered.append([x])
         centres = []
-        for near in gathered:
+        for i, near in enumerate([[x for near in gathered for x in near], *gathered]):
             u, n = np.unique(np.concatenate(near), return_counts=True)
             c = u[2 * n > len(near)]
-            centres.append(signed(c if len(c) else near[0]))
-        return pa.table({"region": pa.array([group.column("region")[0].as_py()] * len(centres), pa.int64()), "centre": pa.array(centres, pa.list_(pa.int64()))}, schema=schema)
+            centres.append(signed(c if len(c) or not i else near[0]))
+        return pa.table({"region": pa.array([group.column("region")[0].as_py()] * len(centres), pa.int64()), "nth": pa.array(range(len(centres)), pa.int64()), "centre": pa.array(centres, pa.list_(pa.int64()))}, schema=schema)
 
     return run
 
 
 def _voronoi(k: int, percent: int, counts):
-    """Reduce over rows sorted by (region, piece, role): each document (role 1) is measured
-    against all centres of its region (role 0).  One row for each Voronoi region in which
-    it belongs: its distance there, f = (100 + percent) |x ^ p| - (100 - percent) |x|, and
+    """Reduce over rows sorted by (region, piece, role, doc_id): each document (role 1) is measured
+    against all centres of its region (role 0, doc_id their number).  One row for each Voronoi region
+    in which it belongs: its distance there, f = (100 + percent) |x ^ p| - (100 - percent) |x|, and
     the shingles in which it differs: its own first, rarest first, then the pivot's."""
     schema = pa.schema([("region", pa.int64()), ("doc_id", pa.int64()), ("component", pa.int64()), ("n", pa.int64()), ("f", pa.int64()), ("near", pa.float64()), ("native", pa.bool_()), ("differs", pa.list_(pa.int64()))])
     reach = 2 * (1 - percent / 100) + SLACK
@@ -361,8 +370,12 @@ def _voronoi(k: int, percent: int, counts):
                     x = h[start[i] : start[i] + size[i]]
                     same = [_common(x, c) for c in centres]
                     d = np.array([1 - s / (len(x) + len(c) - s) for s, c in zip(same, centres)])
-                    nearest = int(d.argmin())
-                    for j in np.flatnonzero(d <= d[nearest] + reach):
+                    nearest = 1 + int(d[1:].argmin())
+                    met = 1 + np.flatnonzero(d[1:] <= min(d[nearest] + reach, INNER + reach / 2))
+                    if d[nearest] > INNER:
+                        nearest = 0
+                        met = np.append(0, met)
+                    for j in met:
                         c = centres[j]
                         own, others = np.setdiff1d(x, c, assume_unique=True), np.setdiff1d(c, x, assume_unique=True)
                         own = own[np.lexsort((own, counts.value[counter(own)]))]
@@ -378,14 +391,20 @@ def _voronoi(k: int, percent: int, counts):
 
 def _sized(rows: DataFrame, leaf: int) -> tuple[DataFrame, DataFrame]:
     """Rows of the regions of 2 to leaf documents, and of larger ones with their size."""
-    sized = rows.join(rows.groupBy("region").agg(F.count("*").alias("size")).where("size > 1"), "region")
+    sized = materialise(rows.join(rows.groupBy("region").agg(F.count("*").alias("size")).where("size > 1"), "region"), "sized")
     return sized.where(F.col("size") <= leaf), sized.where(F.col("size") > leaf)
 
 
+def _by_pivot(rows: DataFrame, *more) -> DataFrame:
+    """Regions with the same pivot (the member with the least hash) are one: (region, doc_id, more)."""
+    pivot = rows.groupBy("region").agg(F.min(F.struct(F.xxhash64("doc_id"), "doc_id")).alias("pivot"))
+    return rows.join(pivot, "region").select(F.col("pivot.doc_id").alias("region"), "doc_id", *more)
+
+
 def _leaf_pairs(rows: DataFrame, percent: int, leaf: int) -> DataFrame:
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.select("region", "doc_id", "n", "component", "far", "native", "near").repartition(n, "region").sortWithinPartitions("region", "doc_id")
-    return dealt.mapInArrow(_leaves(percent, leaf), "a long, b long").distinct()
+    return dealt.mapInArrow(_leaves(percent, leaf), "a long, b long")  # a pair may come from several regions
 
 
 def _candidates(docs: DataFrame, reps: DataFrame, counts, k: int, percent: int, leaf: int, frequent: int) -> tuple[DataFrame, DataFrame]:
@@ -398,9 +417,7 @@ def _candidates(docs: DataFrame, reps: DataFrame, counts, k: int, percent: int,
     named = met.join(reps.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb")), "b")
     pairs = named.where("ra != rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
     large = cells.where("b is null").select("region", F.col("a").alias("doc_id")).join(reps, "doc_id").select("region", F.col("rep").alias("doc_id"), "n").distinct()
-    # Regions with the same pivot are one.
-    pivot = large.groupBy("region").agg(F.min(F.struct(F.xxhash64("doc_id"), "doc_id")).alias("pivot"), F.count("*").alias("size")).where("size > 1")
-    large = materialise(large.join(pivot, "region").select(F.col("pivot.doc_id").alias("region"), "doc_id", "n").distinct(), "regions")
+    large = materialise(_by_pivot(large, "n").distinct(), "regions")
     plain = large.withColumns({"component": F.col("doc_id"), "far": F.lit(True), "native": F.lit(True), "near": F.lit(0.0)})
     small, large = _sized(plain, leaf)
     pairs = materialise(pairs.unionByName(_leaf_pairs(small, percent, leaf)).distinct(), "pairs")
@@ -445,31 +462,36 @@ def _join_regions(large: DataFrame, links: DataFrame, texts: DataFrame, counts,
         # Only these documents' texts are needed from here on; each round has fewer.
         texts = materialise(texts.hint("merge").join(large.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"), "texts")
         sample = large.withColumn("nth", F.row_number().over(W.partitionBy("region").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("nth") <= SAMPLED)
-        centres = sample.join(texts, "doc_id").select("region", "text").groupBy("region").applyInArrow(_centres(k), "region long, centre array<long>")
+        centres = sample.join(texts, "doc_id").select("region", "text").groupBy("region").applyInArrow(_centres(k), "region long, nth long, centre array<long>")
         centres = centres.join(sample.groupBy("region").agg(F.first("pieces").alias("pieces")), "region")
         none = F.lit(None).cast("long")
-        ones = centres.select("region", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"), F.lit(0).alias("role"), none.alias("doc_id"), none.alias("component"), F.lit(None).cast("string").alias("text"), "centre")
+        ones = centres.select("region", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"), F.lit(0).alias("role"), F.col("nth").alias("doc_id"), none.alias("component"), F.lit(None).cast("string").alias("text"), "centre")
         piece = F.pmod(F.xxhash64("doc_id"), F.col("pieces")).cast("long")
         others = large.hint("merge").join(texts.hint("merge"), "doc_id").select("region", piece.alias("piece"), F.lit(1).alias("role"), "doc_id", "component", "text", F.lit(None).cast("array<long>").alias("centre"))
-        dealt = ones.unionByName(others).repartition(n, "region", "piece").sortWithinPartitions("region", "piece", "role")
+        dealt = ones.unionByName(others).repartition(n, "region", "piece").sortWithinPartitions("region", "piece", "role", "doc_id")
         held = dealt.mapInArrow(_voronoi(k, percent, counts), "region long, doc_id long, component long, n long, f long, near double, native boolean, differs array<long>")
         held = materialise(held, "voronoi")
-        hub = held.groupBy("region").agg(F.min(F.struct("f", "doc_id")).alias("hub"), F.max("f").alias("top"))
+        hub = held.groupBy("region").agg(F.min(F.struct("f", "doc_id", "component")).alias("hub"), F.max("f").alias("top"))
         away = held.join(hub, "region").where("not (doc_id = hub.doc_id and f = hub.f)").withColumn("far", F.col("f") + F.col("hub.f") > 0)
+        away = materialise(away, "away")  # read four times
         links = links.unionByName(away.where("not far").select(F.col("hub.doc_id").alias("u"), F.col("doc_id").alias("v")))
         with_hub = away.where("far and doc_id != hub.doc_id").select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b"))
         # What is far may be near another document that differs from the pivot likewise.
-        rest = away.where("top + hub.f > 0").drop("hub", "top")
-        ends = rest.groupBy("region").agg(F.min("f").alias("any_f"), F.min(F.when(F.col("far"), F.col("f"))).alias("far_f"))
+        rest = away.where("top + hub.f > 0").withColumn("hubs", F.col("hub.component")).drop("hub", "top")
+        ends = rest.groupBy("region").agg(F.min("f").alias("any_f"), F.min(F.when(F.col("far"), F.col("f"))).alias("far_f"), F.min(F.when(~F.col("far"), F.col("component"))).alias("nearby"))
         overlap = F.greatest(F.lit(1), F.ceil((F.col("f") + F.when(F.col("far"), F.col("any_f")).otherwise(F.col("far_f"))) / (2 * (100 + percent))))
-        rest = rest.join(ends, "region").where("far_f is not null").withColumn("prefix", (F.size("differs") - overlap + 1).cast("int")).where("prefix > 0")
+        # What is near is connected over the hub, so within the region it has one component from here on.
+        rest = rest.join(ends, "region").where("far_f is not null").withColumn("component", F.when(F.col("far"), F.col("component")).otherwise(F.least("nearby", "hubs")))
+        rest = rest.withColumn("prefix", (F.size("differs") - overlap + 1).cast("int")).where("prefix > 0")
         each = rest.select("region", "doc_id", "n", "component", "far", "native", "near", F.explode(F.slice("differs", F.lit(1), F.col("prefix"))).alias("shingle"))
         each = materialise(each.withColumn("region", F.xxhash64("region", "shingle")).drop("shingle"), "cells")
         small, large = _sized(each, leaf)
         pairs = materialise(_leaf_pairs(small, percent, leaf).unionByName(with_hub).distinct(), "pairs")
         measured = materialise(measure(pairs, texts, k), "measured")
         links = links.unionByName(measured.where(_linked(percent)).select(F.col("a").alias("u"), F.col("b").alias("v")))
-        large = materialise(large.select("region", "doc_id", "size", "component").distinct(), "regions")
+        large = _by_pivot(large, "component").groupBy("region", "doc_id").agg(F.min("component").alias("component"))
+        large = materialise(large.join(large.groupBy("region").agg(F.count("*").alias("size")), "region"), "regions")
+        leaf = min(2 * leaf, WIDEST)
     return links
 
 
