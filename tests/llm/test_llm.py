@@ -136,8 +136,10 @@ def test_large_family_of_edited_copies(spark, monkeypatch, leaf, piece):
     assert got == dict(enumerate(classes(t)))
 
 
-def test_families_with_a_common_passage(spark):
+@pytest.mark.parametrize("rounds", [6, 0])
+def test_families_with_a_common_passage(spark, monkeypatch, rounds):
     """Three families and single documents that share half of their words: several Voronoi regions, and pairs on their borders."""
+    monkeypatch.setattr(jaccard_join, "ROUNDS", rounds)
     rng = random.Random(12)
     common, t = text(rng, 40), []
     for family in range(3):

@@ -73,6 +73,8 @@ SAMPLED = 8
 INNER = 0.5
 #: Regions that are split again and again are joined pair by pair from this size down: twice LEAF after a round, and so on.
 WIDEST = 512
+#: Rounds in which regions with the same pivot are put together wherever they come from, later only within their own.
+ROUNDS = 6
 PIECE = 1024
 #: A shingle is very frequent if its counter is so much above the mean counter.
 FREQUENT = 20_000
@@ -395,10 +397,12 @@ def _sized(rows: DataFrame, leaf: int) -> tuple[DataFrame, DataFrame]:
     return sized.where(F.col("size") <= leaf), sized.where(F.col("size") > leaf)
 
 
-def _by_pivot(rows: DataFrame, *more) -> DataFrame:
-    """Regions with the same pivot (the member with the least hash) are one: (region, doc_id, more)."""
+def _by_pivot(rows: DataFrame, *more, within: bool = False) -> DataFrame:
+    """Regions with the same pivot (the member with the least hash) are one, or those of the same
+    parent if within: (region, doc_id, more)."""
     pivot = rows.groupBy("region").agg(F.min(F.struct(F.xxhash64("doc_id"), "doc_id")).alias("pivot"))
-    return rows.join(pivot, "region").select(F.col("pivot.doc_id").alias("region"), "doc_id", *more)
+    region = F.xxhash64("parent", "pivot.doc_id") if within else F.col("pivot.doc_id")
+    return rows.join(pivot, "region").select(region.alias("region"), "doc_id", *more)
 
 
 def _leaf_pairs(rows: DataFrame, percent: int, leaf: int) -> DataFrame:
@@ -453,6 +457,7 @@ def _join_regions(large: DataFrame, links: DataFrame, texts: DataFrame, counts,
     n = int(large.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     links = materialise(links, "links")
     large = large.join(components(links).withColumnRenamed("node", "doc_id"), "doc_id", "left").select("region", "doc_id", "size", F.coalesce("component", "doc_id").alias("component"))
+    rounds = 0
     while not large.isEmpty():
         # Regions whose documents are all connected already are done.
         open_ = large.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("region")
@@ -484,14 +489,15 @@ def _join_regions(large: DataFrame, links: DataFrame, texts: DataFrame, counts,
         rest = rest.join(ends, "region").where("far_f is not null").withColumn("component", F.when(F.col("far"), F.col("component")).otherwise(F.least("nearby", "hubs")))
         rest = rest.withColumn("prefix", (F.size("differs") - overlap + 1).cast("int")).where("prefix > 0")
         each = rest.select("region", "doc_id", "n", "component", "far", "native", "near", F.explode(F.slice("differs", F.lit(1), F.col("prefix"))).alias("shingle"))
-        each = materialise(each.withColumn("region", F.xxhash64("region", "shingle")).drop("shingle"), "cells")
+        each = materialise(each.withColumn("parent", F.col("region")).withColumn("region", F.xxhash64("region", "shingle")).drop("shingle"), "cells")
         small, large = _sized(each, leaf)
         pairs = materialise(_leaf_pairs(small, percent, leaf).unionByName(with_hub).distinct(), "pairs")
         measured = materialise(measure(pairs, texts, k), "measured")
         links = links.unionByName(measured.where(_linked(percent)).select(F.col("a").alias("u"), F.col("b").alias("v")))
-        large = _by_pivot(large, "component").groupBy("region", "doc_id").agg(F.min("component").alias("component"))
+        # A Voronoi region has lost its hub, so regions put together within it get smaller for sure: the rounds end.
+        large = _by_pivot(large, "component", within=rounds >= ROUNDS).groupBy("region", "doc_id").agg(F.min("component").alias("component"))
         large = materialise(large.join(large.groupBy("region").agg(F.count("*").alias("size")), "region"), "regions")
-        leaf = min(2 * leaf, WIDEST)
+        leaf, rounds = min(2 * leaf, WIDEST), rounds + 1
     return links
 
 
