@@ -1,7 +1,7 @@
 """Conversation turns folded into facts, sessions and state.
 
 facts: conv_id, case_id, turn, slot, value, provenance (stated, observed, carried,
-denied).  turns: conv_id, turn, role, text, at.
+denied), and optionally nth (order in the turn) and keep.  turns: conv_id, turn, role, text, at.
 """
 
 from __future__ import annotations
@@ -13,35 +13,81 @@ from pyspark.sql import functions as F
 MOST_FACTS, TRANSCRIPT, CUT, SESSIONS = 24, 8, 400, 512
 
 
+#: What a slot knows: its value with origin, turn and status (active or conflicting; all null: nothing), the
+#: values given up and those seen beside it.
+FOLDED = "struct<value:string,provenance:string,turn:bigint,status:string,superseded:array<string>,conflicting:array<string>>"
+_FIELDS = ("value", "provenance", "turn", "status", "superseded", "conflicting")
+
+
+def _with(state, **changed):
+    return F.struct(*(changed.get(n, state[n]).alias(n) for n in _FIELDS)).cast(FOLDED)
+
+
+def _step(a, x):
+    """One fact x put to what a slot knows: see merge_facts."""
+    held, person = a["value"].isNotNull(), a["provenance"].isin("stated", "carried")
+    same, nothing = a["value"] == x["value"], F.lit(None)
+    fact = {"value": x["value"], "provenance": x["provenance"], "turn": x["turn"], "status": F.lit("active")}
+    none = F.array().cast("array<string>")
+    older = F.array_append(a["superseded"], a["value"])
+    beside = _with(a, conflicting=F.array_append(a["conflicting"], x["value"]))
+    return (
+        F.when(x["provenance"] == "denied", F.when(held & (x["value"].isNull() | same), _with(a, value=nothing, provenance=nothing, turn=nothing, status=nothing, superseded=older, conflicting=none)).otherwise(a))
+        .when(~held, _with(a, **fact))
+        .when(x["provenance"] == "stated", F.when(same & person, _with(a, **fact)).otherwise(_with(a, **fact, superseded=older, conflicting=none)))
+        .when((x["provenance"] == "observed") & person, F.when(same, a).when(a["turn"] == x["turn"], beside).otherwise(_with(beside, status=F.lit("conflicting"))))
+        .when((x["provenance"] == "carried") & person, a)
+        .otherwise(_with(a, **fact))
+    )
+
+
+def fold_fact(state: dict | None, fact: dict) -> dict:
+    """The same for one fact as Python values, for folds that go on from a stored state."""
+    a = state or {"value": None, "provenance": None, "turn": None, "status": None, "superseded": [], "conflicting": []}
+    x = {"value": fact["value"], "provenance": fact["provenance"], "turn": fact["turn"], "status": "active"}
+    person, same = a["provenance"] in ("stated", "carried"), a["value"] == x["value"]
+    if x["provenance"] == "denied":
+        if a["value"] is None or x["value"] is not None and not same:
+            return a
+        return {"value": None, "provenance": None, "turn": None, "status": None, "superseded": [*a["superseded"], a["value"]], "conflicting": []}
+    if a["value"] is None:
+        return a | x
+    if x["provenance"] == "stated":
+        return a | x if same and person else a | x | {"superseded": [*a["superseded"], a["value"]], "conflicting": []}
+    if not person:
+        return a | x
+    if x["provenance"] == "observed" and not same:
+        beside = a | {"conflicting": [*a["conflicting"], x["value"]]}
+        return beside if a["turn"] == x["turn"] else beside | {"status": "conflicting"}
+    return a
+
+
+def counted_facts(facts: DataFrame) -> DataFrame:
+    """The facts that count, with nth: at most MOST_FACTS of a turn, in the order given by nth
+    (without that column: by slot, value and provenance); of the turn that opens a later case
+    those with keep (without that column: those that aren't carried).  A fact without a value is
+    a denial of whatever the slot holds, or nothing."""
+    f = facts if "nth" in facts.columns else facts.withColumn("nth", F.lit(0))
+    keep = F.coalesce(F.col("keep"), F.lit(True)) if "keep" in facts.columns else F.col("provenance") != "carried"
+    f = f.withColumn("n", F.row_number().over(W.partitionBy("conv_id", "turn").orderBy("nth", "slot", "value", "provenance")))
+    f = f.withColumn("opens", (F.col("case_id") > 0) & (F.col("turn") == F.min("turn").over(W.partitionBy("conv_id", "case_id"))))
+    f = f.where((F.col("n") <= MOST_FACTS) & (~F.col("opens") | keep) & (F.col("value").isNotNull() | (F.col("provenance") == "denied")))
+    return f.select("conv_id", "case_id", "slot", F.col("turn").cast("long").alias("turn"), F.col("n").cast("long").alias("nth"), "provenance", "value")
+
+
 def merge_facts(facts: DataFrame) -> DataFrame:
-    """conv_id, case_id, slot, value, provenance, turn, superseded, conflicting.
-
-    A fold by turn: a stated value beats all (a new one supersedes the old, any one
-    clears conflicts); an observed value fills or replaces what no person said, and
-    disagreement with a stated value is kept as a conflict; a carried one fills gaps
-    only; a denial retires a matching value.  At most MOST_FACTS facts of a turn count.
-    A slot of a conversation is a group, so groups are as small as a dialogue."""
-    f = facts.withColumn("n", F.row_number().over(W.partitionBy("conv_id", "turn").orderBy("slot", "value", "provenance"))).where(F.col("n") <= MOST_FACTS)
-    g = f.groupBy("conv_id", "case_id", "slot").agg(F.array_sort(F.collect_list(F.struct("turn", "provenance", "value"))).alias("x"))
-    kind = "struct<value:string,provenance:string,turn:bigint,superseded:array<string>,conflicting:array<string>>"
-    none = F.struct(F.lit(None).cast("string").alias("value"), F.lit(None).cast("string").alias("provenance"), F.lit(None).cast("bigint").alias("turn"), F.array().cast("array<string>").alias("superseded"), F.array().cast("array<string>").alias("conflicting")).cast(kind)
-
-    def make(x, superseded, conflicting):
-        return F.struct(x["value"].alias("value"), x["provenance"].alias("provenance"), x["turn"].cast("bigint").alias("turn"), superseded.alias("superseded"), conflicting.alias("conflicting")).cast(kind)
-
-    def step(a, x):
-        empty = F.array().cast("array<string>")
-        old = F.when(a["value"].isNotNull() & (a["value"] != x["value"]), F.array_append(a["superseded"], a["value"])).otherwise(a["superseded"])
-        gone = F.struct(F.lit(None).cast("string").alias("value"), F.lit(None).cast("string").alias("provenance"), F.lit(None).cast("bigint").alias("turn"), F.array_append(a["superseded"], x["value"]).alias("superseded"), a["conflicting"].alias("conflicting")).cast(kind)
-        stated = a["provenance"] == "stated"
-        return (
-            F.when(x["provenance"] == "denied", F.when(F.equal_null(a["value"], x["value"]), gone).otherwise(a))
-            .when(x["provenance"] == "stated", make(x, old, empty))
-            .when(x["provenance"] == "observed", F.when(stated & (a["value"] != x["value"]), F.struct(a["value"].alias("value"), a["provenance"].alias("provenance"), a["turn"].alias("turn"), a["superseded"].alias("superseded"), F.array_union(a["conflicting"], F.array(x["value"])).alias("conflicting")).cast(kind)).when(stated, a).otherwise(make(x, old, a["conflicting"])))
-            .otherwise(F.when(a["value"].isNull(), make(x, a["superseded"], a["conflicting"])).otherwise(a))
-        )
-
-    return g.select("conv_id", "case_id", "slot", F.aggregate("x", none, step).alias("f")).select("conv_id", "case_id", "slot", "f.*")
+    """conv_id, case_id, slot, value, provenance, turn, status, superseded, conflicting.
+
+    A fold by turn and order in the turn.  A stated value beats all: restated, it is refreshed;
+    changed, the old one is superseded and conflicts are settled.  An observed value fills a gap
+    or replaces what no person said; against a person's word of the same turn it is noted beside
+    it, against an older one the slot is conflicting.  A carried value, a person's of an earlier
+    turn, fills gaps and replaces observed ones.  A denial retires a matching value, and leaves a
+    gap.  A new case starts empty, but for what the turn that opens it keeps (counted_facts).
+    A slot of a case is a group, so groups are as small as a dialogue."""
+    g = counted_facts(facts).groupBy("conv_id", "case_id", "slot").agg(F.array_sort(F.collect_list(F.struct("turn", "nth", "provenance", "value"))).alias("x"))
+    none = F.struct(*(F.lit(None).alias(n) for n in _FIELDS[:4]), F.array().alias("superseded"), F.array().alias("conflicting")).cast(FOLDED)
+    return g.select("conv_id", "case_id", "slot", F.aggregate("x", none, _step).alias("f")).select("conv_id", "case_id", "slot", "f.*")
 
 
 def case_boundaries(turns: DataFrame, opener: str, correction: str) -> DataFrame:
@@ -84,11 +130,13 @@ def resume_pending(turns: DataFrame) -> DataFrame:
 
 
 def active_facts(folded: DataFrame) -> DataFrame:
-    return folded.where("value is not null").select("conv_id", "case_id", "slot", "value", "provenance")
+    """Settled values that a later turn may take over."""
+    return folded.where("status = 'active'").select("conv_id", "case_id", "slot", "value", "provenance")
 
 
 def unsettled(folded: DataFrame) -> DataFrame:
-    return folded.where(F.size("conflicting") > 0).select("conv_id", "case_id", "slot")
+    """Slots on which a person and a picture of another turn disagree."""
+    return folded.where("status = 'conflicting'").select("conv_id", "case_id", "slot")
 
 
 def drop_observations(facts: DataFrame) -> DataFrame:

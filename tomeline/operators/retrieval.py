@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import content_words, sentences, squash, words
+from .search import bounded
 
 BOOST, AUTHORITY_SPAN, THRESHOLD = 0.15, 0.02, 0.45
 #: Requests broadcast at a time; more go in further blocks.
@@ -61,21 +62,6 @@ def order(name: str = "qid") -> W:
     return W.partitionBy(name).orderBy(F.desc("effective"), F.desc_nulls_last("source_date"), "canonical_url", "chunk_index")
 
 
-def scored(queries: DataFrame, passages: DataFrame, block: int = BLOCK) -> DataFrame:
-    """All visible pairs with score (cosine) and effective (with boosts), without the
-    passages' texts.  Requests are few beside passages; they are broadcast in blocks of
-    bounded size, and the passages stay where they are.  Lengths are divided out once a
-    vector, so a pair costs one product."""
-    q = queries.select("qid", unit(F.col("embedding")).alias("q_embedding"), "audiences", F.col("product").alias("q_product"))
-    passages = passages.drop("content", "section").withColumn("embedding", unit(F.col("embedding")))
-    parts = []
-    for b in _blocks(q, block):
-        j = passages.join(F.broadcast(b), audience_filter(F.col("audiences"), F.col("audience")))
-        j = j.withColumn("score", F.round(dot(F.col("q_embedding"), F.col("embedding")), 6)).drop("embedding", "q_embedding", "audiences")
-        parts.append(j.withColumn("effective", F.round(F.col("score") + product_boost(F.col("q_product"), F.col("product")) + authority_bonus(F.col("authority")), 6)))
-    return reduce(DataFrame.unionByName, parts)
-
-
 def per_document_cap(hits: DataFrame, cap: int) -> DataFrame:
     w = W.partitionBy("qid", "canonical_url").orderBy(F.desc("effective"), F.desc_nulls_last("source_date"), "canonical_url", "chunk_index")
     return hits.withColumn("in_document", F.row_number().over(w)).where(F.col("in_document") <= cap).drop("in_document")
@@ -86,8 +72,23 @@ def ranked(hits: DataFrame, k: int) -> DataFrame:
 
 
 def best(queries: DataFrame, passages: DataFrame, k: int = 5, cap: int = 3) -> DataFrame:
-    """The k best visible passages of each request, without their texts."""
-    return ranked(per_document_cap(scored(queries, passages), cap), k)
+    """The k best visible passages of each request, without their texts.  score is the
+    cosine, effective the score with boosts; tasks give k rows a request, and only those
+    are shuffled, once."""
+    return ranked(per_document_cap(bounded(queries, passages, k, cap, BOOST, AUTHORITY_SPAN).repartition("qid"), cap), k)
+
+
+def best_of_documents(queries: DataFrame, passages: DataFrame, cap: int = 3) -> DataFrame:
+    """The cap best visible passages of each request and document."""
+    return per_document_cap(bounded(queries, passages, None, cap, BOOST, AUTHORITY_SPAN), cap)
+
+
+def visible_counts(queries: DataFrame, passages: DataFrame) -> DataFrame:
+    """qid, audience, product, n, boosted: how many passages of each audience and product a request
+    may see, and whether the product boost is theirs.  Passages are counted before requests meet them."""
+    n = passages.groupBy("audience", "product").agg(F.count("*").alias("n"))
+    q = queries.select("qid", F.explode(F.array_distinct("audiences")).alias("audience"), F.col("product").alias("q_product"))
+    return q.join(n, "audience").select("qid", "audience", "product", "n", product_match(F.col("q_product"), F.col("product")).alias("boosted"))
 
 
 def topk(queries: DataFrame, passages: DataFrame, k: int = 5, cap: int = 3) -> DataFrame:

@@ -97,7 +97,41 @@ def facts(s, d):
     return t.select("conv_id", F.lit(0).cast("long").alias("case_id"), "turn", F.element_at(F.array(F.lit("substrate"), F.lit("location")), (F.length("text") % 2 + 1).cast("int")).alias("slot"), F.concat(F.lit("v"), (F.length("text") % 3).cast("string")).alias("value"), F.expr(_fact).alias("provenance"))
 
 
-add("k1_merge_facts", lambda s, d: cv.merge_facts(facts(s, d)).withColumns({c: F.array_join(c, ",") for c in ("superseded", "conflicting")}))
+joined = lambda df: df.withColumns({c: F.array_join(c, ",") for c in ("superseded", "conflicting")})
+_NEW = "value := x.value, provenance := x.provenance, turn := x.turn, status := 'active'"
+_MADE = lambda new, old, beside: f"struct_pack({new}, superseded := {old}, conflicting := {beside})"
+_OLDER = "list_append(a.superseded, a.value)"
+#: facts f (conv_id, case_id, slot, turn, nth, provenance, value), those that count, folded.
+FOLD = f"""folded AS (SELECT conv_id, case_id, slot, unnest(list_reduce(l, lambda a, x: CASE
+  WHEN x.provenance = 'denied' THEN CASE WHEN a.value IS NOT NULL AND coalesce(x.value = a.value, true) THEN {_MADE("value := NULL::VARCHAR, provenance := NULL::VARCHAR, turn := NULL::BIGINT, status := NULL::VARCHAR", _OLDER, "[]::VARCHAR[]")} ELSE a END
+  WHEN a.value IS NULL THEN {_MADE(_NEW, "a.superseded", "a.conflicting")}
+  WHEN x.provenance = 'stated' THEN CASE WHEN a.value = x.value AND a.provenance IN ('stated', 'carried') THEN {_MADE(_NEW, "a.superseded", "a.conflicting")} ELSE {_MADE(_NEW, _OLDER, "[]::VARCHAR[]")} END
+  WHEN a.provenance = 'observed' THEN {_MADE(_NEW, "a.superseded", "a.conflicting")}
+  WHEN x.provenance = 'carried' OR a.value = x.value THEN a
+  ELSE {_MADE("value := a.value, provenance := a.provenance, turn := a.turn, status := CASE WHEN a.turn = x.turn THEN a.status ELSE 'conflicting' END", "a.superseded", "list_append(a.conflicting, x.value)")} END,
+  {_MADE("value := NULL::VARCHAR, provenance := NULL::VARCHAR, turn := NULL::BIGINT, status := NULL::VARCHAR", "[]::VARCHAR[]", "[]::VARCHAR[]")})) FROM (
+  SELECT conv_id, case_id, slot, list({_MADE("value := value, provenance := provenance, turn := turn, status := NULL::VARCHAR", "[]::VARCHAR[]", "[]::VARCHAR[]")} ORDER BY turn, nth) AS l FROM f GROUP BY ALL))"""
+_F1 = f"f AS (SELECT conv_id, CAST(0 AS BIGINT) AS case_id, (['substrate', 'location'])[CAST(length(text) % 2 AS INT) + 1] AS slot, turn, CAST(1 AS BIGINT) AS nth, {_fact} AS provenance, 'v' || CAST(length(text) % 3 AS VARCHAR) AS value FROM turns)"
+KNOWN = "SELECT conv_id, case_id, slot, value, provenance, turn, status, array_to_string(superseded, ',') AS superseded, array_to_string(conflicting, ',') AS conflicting FROM folded"
+add("k1_merge_facts", lambda s, d: joined(cv.merge_facts(facts(s, d))), m.TURNS, _F1, FOLD, KNOWN)
+
+FACT_KINDS = (
+    "CASE length(text) % 3 WHEN 0 THEN 'carried' WHEN 1 THEN 'stated' ELSE 'observed' END",
+    "CASE length(text) % 4 WHEN 0 THEN 'stated' WHEN 1 THEN 'denied' ELSE 'observed' END",
+)
+
+
+def case_facts(s, d):
+    """Two facts a turn, a case of every four turns; what a case's first turn doesn't keep stays behind."""
+    t = m.turns(s, d)
+    slot = lambda n: F.element_at(F.array(F.lit("substrate"), F.lit("location")), (F.length("text") % n % 2 + 1).cast("int"))
+    row = lambda nth, by, kind: t.select("conv_id", F.expr("turn div 4").alias("case_id"), "turn", F.lit(nth).alias("nth"), slot(by).alias("slot"), F.concat(F.lit("v"), (F.length("text") % by % 3).cast("string")).alias("value"), F.expr(kind).alias("provenance"), (F.length("text") % 3 != 0).alias("keep"))
+    return row(0, 7, FACT_KINDS[0]).unionByName(row(1, 5, FACT_KINDS[1]))
+
+
+_CASE = lambda nth, by, kind: f"SELECT conv_id, turn // 4 AS case_id, turn, {nth} AS nth, (['substrate', 'location'])[CAST(length(text) % {by} % 2 AS INT) + 1] AS slot, 'v' || CAST(length(text) % {by} % 3 AS VARCHAR) AS value, {kind} AS provenance, length(text) % 3 <> 0 AS keep FROM turns"
+CASES = f"f AS (SELECT * FROM ({_CASE(0, 7, FACT_KINDS[0])} UNION ALL {_CASE(1, 5, FACT_KINDS[1])}) WHERE turn % 4 <> 0 OR case_id = 0 OR keep)"
+add("k1_merge_cases", lambda s, d: joined(cv.merge_facts(case_facts(s, d))), m.TURNS, CASES, FOLD, KNOWN)
 add("k2_case_boundaries", lambda s, d: cv.case_boundaries(m.turns(s, d), "the|und", "not|nicht"), m.TURNS, "SELECT conv_id, turn, CAST(sum(CASE WHEN role = 'user' AND turn > 0 AND regexp_matches(lower(text), 'the|und') AND NOT regexp_matches(lower(text), 'not|nicht') THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS case_id FROM turns")
 _slots = lambda s, d: m.turns(s, d).withColumns({"substrate": F.when(F.length("text") % 3 == 0, F.substring("text", 1, 3)), "location": F.when(F.length("text") % 5 == 0, F.col("role"))})
 add("k3_carried_slots", lambda s, d: cv.carried_slots(_slots(s, d), ["substrate", "location"]), m.TURNS, "SELECT conv_id, turn, last_value(CASE WHEN length(text) % 3 = 0 THEN left(text, 3) END IGNORE NULLS) OVER w AS substrate, last_value(CASE WHEN length(text) % 5 = 0 THEN role END IGNORE NULLS) OVER w AS location FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
@@ -109,7 +143,7 @@ add("k7_resume_pending", lambda s, d: cv.resume_pending(_pend(s, d)), m.TURNS, "
 _simple = lambda s, d: facts(s, d).where("provenance = 'stated'")
 _FOLD = "fold AS (SELECT conv_id, slot, max_by(value, turn) AS value, count(*) AS n FROM (SELECT conv_id, turn, (['substrate', 'location'])[CAST(length(text) % 2 AS INT) + 1] AS slot, 'v' || CAST(length(text) % 3 AS VARCHAR) AS value FROM turns WHERE turn % 4 = 0) GROUP BY ALL)"
 add("k9_active_facts", lambda s, d: cv.active_facts(cv.merge_facts(_simple(s, d))).select("conv_id", "slot", "value"), m.TURNS, _FOLD, "SELECT conv_id, slot, value FROM fold")
-add("k9_unsettled", lambda s, d: cv.unsettled(cv.merge_facts(facts(s, d))))
+add("k9_unsettled", lambda s, d: cv.unsettled(cv.merge_facts(facts(s, d))), m.TURNS, _F1, FOLD, "SELECT conv_id, case_id, slot FROM folded WHERE status = 'conflicting'")
 add("k9_drop_observations", lambda s, d: cv.drop_observations(facts(s, d)).groupBy("provenance").agg(F.count("*").alias("n")), m.TURNS, f"SELECT {_fact} AS provenance, count(*) AS n FROM turns WHERE turn % 4 <> 1 GROUP BY 1")
 _askst = lambda s, d: m.turns(s, d).select("conv_id", F.lit("substrate").alias("slot")).distinct()
 add("k10_recall_state", lambda s, d: cv.recall_state(_askst(s, d), cv.merge_facts(_simple(s, d)).drop("case_id")), m.TURNS, _FOLD, "SELECT t.conv_id, 'substrate' AS slot, CASE WHEN value IS NULL THEN 'not stated' ELSE 'stated' END AS kind, value FROM (SELECT DISTINCT conv_id FROM turns) t LEFT JOIN fold ON fold.conv_id = t.conv_id AND fold.slot = 'substrate'")

@@ -10,7 +10,10 @@ from ..operators import telemetry as t
 from ..sources import model as m
 from ..sources import readers as rd
 from ..sources import sinks as sk
+from ..store import shared_dir
 from ..streaming import streams as st
+from .answers import CASES, FACT_KINDS, FOLD, KNOWN
+from .answers import joined as _joined
 from .base import collection
 
 QUERIES, ORACLES, add = collection()
@@ -89,3 +92,29 @@ def _turn_stream(s, d):
 
 add("k8_conversation_state", lambda s, d: _run(st.conversation_state(_turn_stream(s, d))).where("not expired").select("conv_id", "turn", "substrate", "location", "turns"), m.TURNS,
     "SELECT conv_id, turn, last_value(CASE WHEN length(text) % 3 = 0 THEN left(text, 3) END IGNORE NULLS) OVER w AS substrate, last_value(CASE WHEN length(text) % 5 = 0 THEN role END IGNORE NULLS) OVER w AS location, count(*) OVER w AS turns FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
+
+
+def _fact_stream(s, d):
+    """Turns with two facts each and a case of every four turns, as a stream (as case_facts has them in a table)."""
+    c = s.read.parquet(f"{d}/conversations.parquet")
+    r = s.readStream.schema(c.schema).option("pathGlobFilter", "conversations.parquet").parquet(d)
+    at = F.expr("timestampadd(MINUTE, cast(conv_id * 60 + turn * 20 + CASE WHEN turn >= 4 THEN 120 ELSE 0 END as int), timestamp'2024-01-01 00:00:00')")
+    n = F.length("text")
+    slot = lambda by: F.element_at(F.array(F.lit("substrate"), F.lit("location")), (n % by % 2 + 1).cast("int"))
+    fact = lambda by, kind: F.struct(slot(by).alias("slot"), F.concat(F.lit("v"), (n % by % 3).cast("string")).alias("value"), F.expr(kind).alias("provenance"), (n % 3 != 0).alias("keep"))
+    both = F.array(fact(7, FACT_KINDS[0]), fact(5, FACT_KINDS[1]))
+    return r.select("conv_id", F.expr("turn div 4").alias("case_id"), "turn", at.alias("at"), F.expr("turn % 4 = 0 and turn > 0").alias("opens"), both.alias("facts"))
+
+
+def _upserted(stream, keys):
+    spark = stream.sparkSession
+    return st.run_upserts(stream, keys, f"{shared_dir(spark)}/upserts-{uuid.uuid4().hex}").read(spark)
+
+
+def _session_facts(s, d):
+    return _upserted(st.session_facts(_fact_stream(s, d)), ["conv_id", "case_id", "slot"])
+
+
+add("k8_session_facts", lambda s, d: _joined(_session_facts(s, d).drop("touched", "expired")), m.TURNS, CASES, FOLD, KNOWN)
+add("k8_session_rows", lambda s, d: st.session_rows(_session_facts(s, d)).select("conv_id", "cases", "slots"), m.TURNS, CASES, FOLD,
+    "SELECT conv_id, count(DISTINCT case_id) AS cases, count(*) FILTER (case_id = last AND status = 'active') AS slots FROM (SELECT *, max(case_id) OVER (PARTITION BY conv_id) AS last FROM folded) GROUP BY conv_id")
