@@ -67,18 +67,27 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from blocks(np.packbits(bits))
 
 
-def perhaps(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose id is among ids, and some others, by a bitmap of hashes of constant
-    size.  It only spares texts a shuffle: a join has to decide."""
+def bitmap(ids: DataFrame):
+    """A broadcast bitmap of hashes of the ids, of constant size: marked() tells of a doc_id whether it
+    is perhaps among them.  It only spares texts a shuffle: a join has to decide."""
     bits = gathered(ids.select("doc_id").mapInArrow(_mark, BLOCK_ROWS), np.bitwise_or).view(np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    return ids.sparkSession.sparkContext.broadcast(bits)
+
+
+def marked(bits: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
+    at = _place(doc_id) % (8 * len(bits))
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+
+
+def perhaps(docs: DataFrame, ids: DataFrame, shared=None) -> DataFrame:
+    """The documents whose id is among ids, and some others.  shared: the bitmap of ids, if it is there."""
+    shared = shared or bitmap(ids)
 
     @F.pandas_udf("boolean")
-    def marked(doc_id: pd.Series) -> pd.Series:
-        at = _place(doc_id.to_numpy()) % (8 * len(shared.value))
-        return pd.Series((shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1)
+    def there(doc_id: pd.Series) -> pd.Series:
+        return pd.Series(marked(shared.value, doc_id.to_numpy()))
 
-    return docs.where(marked("doc_id"))
+    return docs.where(there("doc_id"))
 
 
 def only(docs: DataFrame, ids: DataFrame) -> DataFrame:

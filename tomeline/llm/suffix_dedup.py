@@ -38,19 +38,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .sketch import BLOCK_ROWS, SKETCH, blocks, counter, gathered
+from .sketch import BLOCK_ROWS, SKETCH, bitmap, blocks, counter, gathered, marked, perhaps
 from .store import discard, materialise
-from .vectext import BASE_A, BASE_B, grams, mix, raw_bytes, signed, slices, span_hash
+from .vectext import BASE_A, BASE_B, grams, mix, raw_bytes, signed, slices, span_hash, text_lengths
 
 WINDOW, ANCHOR = 200, 32
 #: An anchor is very frequent if its counter is so much above the mean counter.
 FREQUENT = 5_000
 #: Windows of a text that are looked at together.
-PIECE = 2_000_000
+PIECE = 400_000
 #: Anchors that the borders of ranges are chosen from, the most ranges, and about how many suffixes a range holds.
-SAMPLE, RANGES, PER_RANGE = 65_536, 4_096, 20_000
+SAMPLE, RANGES, PER_RANGE = 65_536, 4_096, 8_000
 #: Bytes of differing suffixes whose windows are compared together, if their anchors allow.
-HELD = 2_000_000
+HELD = 1_000_000
 
 _ORDER = (1 << 24) - 1
 _NUMBERS = np.random.Generator(np.random.PCG64(11)).integers(1, 2**63, 256, dtype=np.uint64)
@@ -59,7 +59,8 @@ _NUMBERS = np.random.Generator(np.random.PCG64(11)).integers(1, 2**63, 256, dtyp
 def anchor_runs(data: np.ndarray, offsets: np.ndarray, window: int, anchor: int):
     """Of each run of windows with one anchor: row, the anchor's place, the first and the last
     window (places in data), and the anchor's hash; piece by piece."""
-    span = window - anchor + 1
+    span, sizes = window - anchor + 1, np.diff(offsets)
+    rows, ends = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), np.repeat(offsets[1:], sizes)
     for at in range(0, len(data) - window + 1, PIECE):
         d = data[at : at + PIECE + window - 1]
         g = grams(_NUMBERS[d], anchor, BASE_A)
@@ -70,12 +71,10 @@ def anchor_runs(data: np.ndarray, offsets: np.ndarray, window: int, anchor: int)
         ahead, behind = np.minimum.accumulate(wide, 1).ravel(), np.minimum.accumulate(wide[:, ::-1], 1)[:, ::-1].ravel()
         n = len(d) - window + 1
         least = (np.minimum(behind[:n], ahead[span - 1 : span - 1 + n]) & np.uint64(_ORDER)).astype(np.int64)
-        first = np.arange(n) + at
-        row = np.searchsorted(offsets, first, "right") - 1
-        inside = np.flatnonzero(first + window <= offsets[row + 1])
+        inside = np.flatnonzero(np.arange(at + window, at + window + n) <= ends[at : at + n])
         if not len(inside):
             continue
-        least, first, row = least[inside], first[inside], row[inside]
+        least, first, row = least[inside], inside + at, rows[at : at + n][inside]
         new = np.ones(len(least), bool)
         new[1:] = (least[1:] != least[:-1]) | (first[1:] != first[:-1] + 1) | (row[1:] != row[:-1])
         new = np.flatnonzero(new)
@@ -239,6 +238,18 @@ def _suffixes(window: int, borders, anchor: int, parts: int):
 _SPANS = "doc_id long, start long, stop long, key long, known boolean"
 
 
+def _distinct(entries: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct owners of all entries: the entry's number and the owner, in order, and how
+    many of them each entry has."""
+    owner = np.concatenate([a for e in entries for a in e[2]])
+    entry = np.repeat(np.arange(len(entries)), [sum(map(len, e[2])) for e in entries])
+    o = np.lexsort((owner[:, 1], owner[:, 0], entry))
+    owner, entry = owner[o], entry[o]
+    new = np.ones(len(o), bool)
+    new[1:] = (entry[1:] != entry[:-1]) | (owner[1:] != owner[:-1]).any(1)
+    return entry[new], owner[new], np.bincount(entry[new], minlength=len(entries))
+
+
 def _windows(held: list[tuple], window: int) -> Iterator[pa.RecordBatch]:
     """Spans of the repeated windows among the held entries (entry, often, owners); of very
     frequent anchors also each window, once, with the key that it meets the other tasks' by."""
@@ -246,8 +257,9 @@ def _windows(held: list[tuple], window: int) -> Iterator[pa.RecordBatch]:
         return
     back, count = (np.array([e[0][i] for e in held], np.int64) for i in (1, 2))
     often = np.array([e[1] for e in held], bool)
-    several = np.array([len(e[2]) > 1 for e in held])
-    owner = np.concatenate([e[2][:1] for e in held])
+    of, owners, many = _distinct(held)
+    several, leads = many > 1, np.append(True, of[1:] != of[:-1])
+    owner = owners[leads]
     texts = [s[len(s) - b :][::-1] + s[: len(s) - b] for (s, b, _), _, _ in held]
     data = np.frombuffer(b"".join(texts), np.uint8)
     begin = np.cumsum([0] + [len(t) for t in texts[:-1]])
@@ -259,19 +271,26 @@ def _windows(held: list[tuple], window: int) -> Iterator[pa.RecordBatch]:
     new = np.flatnonzero(again & ~np.concatenate([[False], again[:-1] & (entry[1:] == entry[:-1])]))
     end = np.flatnonzero(again & ~np.append(again[1:] & (entry[1:] == entry[:-1]), False))
     lo = owner[:, 1] - back
-    doc, start, stop = [owner[entry[new], 0]], [lo[entry[new]] + nth[new]], [lo[entry[end]] + nth[end] + window]
-    for i in np.flatnonzero(several):  # the further owners
-        more = held[i][2][1:]
-        doc.append(more[:, 0])
-        start.append(more[:, 1] - back[i])
-        stop.append(more[:, 1] - back[i] + count[i] - 1 + window)
-    doc, start, stop = (np.concatenate(x) for x in (doc, start, stop))
-    yield _spans(doc, start, stop)
+    yield _spans(owner[entry[new], 0], lo[entry[new]] + nth[new], lo[entry[end]] + nth[end] + window)
+    yield _whole_spans(owners[~leads], back[of[~leads]], count[of[~leads]], window)
     one = one[often[entry[one]]]
     if len(one):
         yield _spans(owner[entry[one], 0], lo[entry[one]] + nth[one], lo[entry[one]] + nth[one] + window, signed(key[one]), again[one])
 
 
+def _whole(entries: list[tuple], window: int) -> Iterator[pa.RecordBatch]:
+    """The spans of entries with several owners, of which every window is repeated."""
+    if entries:
+        of, owner, many = _distinct(entries)
+        back, count = (np.array([e[0][i] for e in entries], np.int64)[of] for i in (1, 2))
+        some = many[of] > 1
+        yield _whole_spans(owner[some], back[some], count[some], window)
+
+
+def _whole_spans(owner, back, count, window: int) -> pa.RecordBatch:
+    return _spans(owner[:, 0], owner[:, 1] - back, owner[:, 1] - back + count - 1 + window)
+
+
 def _spans(doc, start, stop, key=None, known=None) -> pa.RecordBatch:
     n = len(doc)
     return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start), pa.array(stop), pa.nulls(n, pa.int64()) if key is None else pa.array(key), pa.nulls(n, pa.bool_()) if known is None else pa.array(known)], names=["doc_id", "start", "stop", "key", "known"])
@@ -279,45 +298,50 @@ def _spans(doc, start, stop, key=None, known=None) -> pa.RecordBatch:
 
 def _one_order(runs: list[list[bytes]], window: int, anchor: int) -> Iterator[pa.RecordBatch]:
     """The repeated windows of a range."""
-    held, size, group = [], 0, []
+    held, size, group, whole = [], 0, [], []
 
     def closed() -> None:
         """A group of one anchor is complete."""
         nonlocal size
-        if len(group) > 1 or group and (group[0][1] or len(group[0][2]) > 1):
+        if len(group) > 1 or group and group[0][1]:
             held.extend(group)
             size += sum(len(e[0][0]) for e in group)
+        elif group and (len(group[0][2]) > 1 or len(group[0][2][0]) > 1):  # equal suffixes only
+            whole.append(group[0])
         group.clear()
 
     for p, entry, often, owners in merged([decoded(r) for r in runs]):
         if group and p == len(entry[0]) and entry == group[-1][0]:
-            group[-1][2] = np.unique(np.concatenate([group[-1][2], owners]), axis=0)
+            group[-1][2].append(owners)
             continue
         if group and (p < anchor or often):  # windows of a very frequent anchor meet later
             closed()
-            if size > HELD:
+            if size > HELD or len(whole) > PER_RANGE:
                 yield from _windows(held, window)
-                held, size = [], 0
-        group.append([entry, often, owners if len(owners) == 1 else np.unique(owners, axis=0)])
+                yield from _whole(whole, window)
+                held, size, whole = [], 0, []
+        group.append([entry, often, [owners]])
     closed()
     yield from _windows(held, window)
+    yield from _whole(whole, window)
 
 
 def _ranges(window: int, anchor: int):
     """Reduce over rows sorted by part: the repeated windows of each part."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, runs = None, []
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[0] != part and runs:
+            for i in range(batch.num_rows):
+                number, *run = (c[i].as_py() for c in batch.columns)
+                if number != part and runs:
                     yield from _one_order(runs, window, anchor)
                     runs = []
-                part = row[0]
-                runs.append(list(row[1:]))
+                part = number
+                runs.append(run)
         yield from _one_order(runs, window, anchor)
 
-    return run
+    return mapped
 
 
 def _borders(anchors: DataFrame, anchor: int, per_range: int) -> tuple[np.ndarray, int]:
@@ -344,16 +368,18 @@ def repeated_spans(documents: DataFrame, window: int = WINDOW, anchor: int = ANC
     cut, parts = _borders(anchors, anchor, per_range)
     borders = spark.sparkContext.broadcast(cut)
     runs = anchors.groupBy("doc_id").agg(F.collect_set(F.struct("place", "back", "windows", "often")).alias("runs"))
-    suffixes = docs.join(runs.hint("merge"), "doc_id").select("doc_id", "text", "runs").mapInArrow(_suffixes(window, borders, anchor, parts), _RUN_DDL)
+    suffixes = perhaps(docs, anchors).join(runs.hint("merge"), "doc_id").select("doc_id", "text", "runs").mapInArrow(_suffixes(window, borders, anchor, parts), _RUN_DDL)
     found = materialise(suffixes.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_ranges(window, anchor), _SPANS), "spans")
     discard(anchors)
     one = found.where("key IS NOT NULL").withColumn("n", F.count("*").over(meet)).withColumn("again", F.max("known").over(meet)).where("again OR n > 1")
     return found.where("key IS NULL").select("doc_id", "start", "stop").unionByName(one.select("doc_id", "start", "stop"))
 
 
+_SPAN = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Map: each text without its spans."""
-    span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
     for batch in batches:
         for part in slices(batch, "text"):
             data, offsets = raw_bytes(part.column("text"))
@@ -372,21 +398,40 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             stop = np.flatnonzero(gone & (row_edge[1:] | ~np.append(gone[1:], False))) + 1
             of = np.searchsorted(offsets, start, "right") - 1
             lists = np.searchsorted(of, np.arange(part.num_rows + 1)).astype(np.int32)
-            spans = pa.ListArray.from_arrays(lists, pa.StructArray.from_arrays([pa.array(start - offsets[of]), pa.array(stop - offsets[of])], names=["start", "stop"])).cast(span)
+            spans = pa.ListArray.from_arrays(lists, pa.StructArray.from_arrays([pa.array(start - offsets[of]), pa.array(stop - offsets[of])], names=["start", "stop"]))
             stays = data[~gone].tobytes()
             where = np.append(0, np.cumsum(np.diff(offsets) - left))
             kept = [stays[a:b] for a, b in zip(where[:-1].tolist(), where[1:].tolist())]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(offsets)), pa.array(left), spans, pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
 
+def _uncut(bits):
+    """Map: the texts that certainly have no spans, as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id")
+            known = marked(bits.value, ids.fill_null(0).to_numpy()) & ids.is_valid().to_numpy(zero_copy_only=False)
+            rest = batch.filter(pa.array(~known))
+            for part in slices(rest, "text"):
+                n = text_lengths(part.column("text"))
+                none = pa.ListArray.from_arrays(np.zeros(part.num_rows + 1, np.int32), pa.array([], _SPAN))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(n * 0), none, part.column("text").fill_null("").cast(pa.binary())], names=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
+
+    return run
+
+
 def remove_repeated_bytes(documents: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, frequent: int = FREQUENT, per_range: int = PER_RANGE) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, spans (removed stretches as start and
     stop, maximal, in order) and kept (the remaining bytes)."""
-    spans = repeated_spans(documents, window, anchor, frequent, per_range)
+    spans = materialise(repeated_spans(documents, window, anchor, frequent, per_range), "repeated")
     runs = spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("runs"))
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     none = F.array().cast("array<struct<start:long,stop:long>>")
-    return docs.join(runs, "doc_id", "left").select("doc_id", "text", F.coalesce("runs", none).alias("runs")).mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, kept binary")
+    whole = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, kept binary"
+    shared = bitmap(spans)
+    touched = perhaps(docs.where("doc_id is not null"), spans, shared).join(runs, "doc_id", "left").select("doc_id", "text", F.coalesce("runs", none).alias("runs"))
+    return touched.mapInArrow(_cut, whole).unionByName(docs.mapInArrow(_uncut(shared), whole))  # most texts stay where they are
 
 
 def op11_suffix_dedup(spark, sf_dir: str) -> DataFrame:
