@@ -103,7 +103,8 @@ def test_texts_in_pieces_have_the_same_windows(monkeypatch):
 
 
 def test_odd_documents_keep_what_they_have(spark):
-    long = "".join(random.Random(1).choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(300_000))
+    rnd = random.Random(1)
+    long = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(300_000))
     docs = [(1, None), (2, ""), (3, "x" * 199), (None, "y" * 500), (4, "z" * 500), (4, "z" * 500), (5, long), (6, "q" + long)]
     df = spark.createDataFrame(docs, DOC).selectExpr("doc_id", "text", "'s' AS runs", "1 AS start", "2 AS kept")
     got = {(r.doc_id, r.n_bytes): (r.n_removed, len(r.spans), bytes(r.kept)) for r in suffix_dedup.remove_repeated_bytes(df).collect()}

@@ -47,10 +47,10 @@ PART = 4096
 
 def integer_vectors(vectors: DataFrame, dim: int = DIM, scale: int = SCALE) -> DataFrame:
     """vec_id and v, the components as integers, of the vectors that take part."""
-    scaled = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("double"))
-    kept = vectors.select("vec_id", F.when(F.size("embedding") == dim, scaled).alias("v"))
+    x2 = lambda x: x.cast("double") * scale
     # A null makes forall null; NaN is greater than any number in Spark.
-    return kept.where(F.forall("v", lambda x: (x >= -LARGEST) & (x <= LARGEST))).select("vec_id", F.col("v").cast("array<int>").alias("v"))
+    part = (F.size("embedding") == dim) & F.forall("embedding", lambda x: (x2(x) >= -LARGEST) & (x2(x) < LARGEST))
+    return vectors.where(part).select("vec_id", F.transform("embedding", lambda x: F.floor(x2(x)).cast("int")).alias("v"))
 
 
 def starts(vectors: DataFrame, k: int, salt: str) -> np.ndarray:
