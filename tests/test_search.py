@@ -71,3 +71,19 @@ def test_no_pairs_are_shuffled(spark):
     assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
     rows = search.bounded(spark.createDataFrame(q, QUERY), spark.createDataFrame(p, PASSAGE).coalesce(1), 5, 3, 0.15, 0.02)
     assert rows.groupBy("qid").count().agg(F.max("count")).first()[0] <= 5
+
+
+@pytest.mark.parametrize("block", [4, 20_000])
+def test_documents_by_words_in_common_equal_counting_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(search, "PRODUCTS", 60)
+    rnd = random.Random(8)
+    pick = lambda k: ["the", *{f"w{rnd.randint(0, 30)}" for _ in range(rnd.randint(0, k))}]  # noqa: E731  a word in every text
+    docs = [(f"d{i}", rnd.randint(1, 3), pick(12)) for i in range(90)] + [("none", 1, None), ("empty", 1, [])]
+    asks = [(i, pick(6)) for i in range(9)] + [(98, []), (99, ["nowhere"])]
+    got = search.overlapping(spark.createDataFrame(asks, "qid long, words array<string>"), spark.createDataFrame(docs, "canonical_url string, authority long, words array<string>").repartition(3), 4, block)
+    best = {}
+    for r in sorted(got.collect(), key=lambda r: (r.qid, -r.overlap, r.authority, r.canonical_url)):
+        best.setdefault(r.qid, []).append((-r.overlap, r.authority, r.canonical_url))
+    want = {q: sorted((-len(set(w) & set(d)), a, u) for u, a, d in docs if d and set(w) & set(d))[:4] for q, w in asks}
+    assert {q: b[:4] for q, b in best.items()} == {q: w for q, w in want.items() if w}
+    assert got.groupBy("qid").count().agg(F.max("count")).first()[0] <= 4 * 3

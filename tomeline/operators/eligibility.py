@@ -7,11 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import sentences
-from .labelling import whole_word
+from .matching import occurrences, with_terms
 from .retrieval import product_match
 
 
-
 def missing_facts(requests: DataFrame, requirements: DataFrame) -> DataFrame:
     """qid, missing: required slots of the objective (always, or when a slot has a value),
     less known ones, plus unsettled ones.  requests: qid, objective, known (map),
@@ -50,7 +49,7 @@ def compatible(requests: DataFrame, rules: DataFrame) -> DataFrame:
     """qid, product, compatible (null without a rule: not permission), caveats of the first
     rule.  requests: qid, product, substrate, location (inside, outside or null);
     rules: nth, product, substrate, interior, exterior, recommended, caveats."""
-    r = F.broadcast(rules.select("nth", F.lower("product").alias("p"), F.lower("substrate").alias("s"), "interior", "exterior", "recommended", "caveats"))
+    r = rules.select("nth", F.lower("product").alias("p"), F.lower("substrate").alias("s"), "interior", "exterior", "recommended", "caveats")
     j = requests.join(r, (F.lower("product") == F.col("p")) & (F.lower("substrate") == F.col("s")), "left")
     side = F.when(F.col("location") == "inside", F.col("interior")).when(F.col("location") == "outside", F.col("exterior")).otherwise(F.col("interior") | F.col("exterior"))
     g = j.groupBy("qid", "product").agg(F.min_by(F.struct((side & F.col("recommended")).alias("ok"), "caveats"), "nth").alias("x"))
@@ -71,12 +70,13 @@ def decide(missing: DataFrame, assessments: DataFrame) -> DataFrame:
 def recommended_products(answers: DataFrame, registry: DataFrame, phrases: str = "recommend|suitable|use ") -> DataFrame:
     """qid, product: registry products named in sentences that recommend."""
     s = answers.select("qid", F.explode(sentences(F.col("text"))).alias("text")).where(F.regexp_like(F.lower("text"), F.lit(phrases)))
-    return s.join(F.broadcast(registry), whole_word(F.col("text"), F.col("product"))).select("qid", "product").distinct()
+    return with_terms(occurrences(s, registry.select("product")).select("qid", "term").distinct(), registry, "product").select("qid", "product").distinct()
 
 
 def unapproved(answers: DataFrame, registry: DataFrame, decisions: DataFrame) -> DataFrame:
     """qid, product: registry products in the text that are neither approved nor part of an approved name."""
-    named = answers.join(F.broadcast(registry), whole_word(F.col("text"), F.col("product"))).select("qid", "product").distinct()
+    found = occurrences(answers.select("qid", "text"), registry.select("product")).select("qid", "term").distinct()
+    named = with_terms(found, registry, "product").select("qid", "product").distinct()
     j = named.join(decisions.select("qid", "approved"), "qid", "left")
     ok = F.exists(F.coalesce("approved", F.array().cast("array<string>")), lambda a: F.contains(F.lower(a), F.lower("product")))
     return j.where(~ok).select("qid", "product")

@@ -1,6 +1,6 @@
 """Labels of questions: topics, slots, intents, products, routes.
 
-Vocabularies and patterns are parameters: small tables which are broadcast, or
+Vocabularies are tables of any size, which the dictionary matcher reads in shards; patterns are
 short lists that become literal expressions.
 """
 
@@ -13,12 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import MARK, sentences, words
-
-
-def whole_word(text: Column, term: Column) -> Column:
-    """term stands in text between other characters than letters and digits."""
-    padded = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), "[^a-z0-9\\x{80}-\\x{10FFFF}]+", " "), F.lit(" "))
-    return F.contains(padded, F.concat(F.lit(" "), F.lower(term), F.lit(" ")))
+from .matching import longest, occurrences, with_terms
 
 
 def topic_gate(questions: DataFrame, topics: list[tuple[str, str]], source_only: str | None = None) -> DataFrame:
@@ -54,7 +49,8 @@ def slot_scores(questions: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """qid, slot, value, score: sum of the lengths of the whole-word terms found.
     vocabulary: slot, value, term, ask_only.  Ask-only terms count only where the
     value's own terms score nothing."""
-    hit = questions.join(F.broadcast(vocabulary), whole_word(F.col("text"), F.col("term")))
+    found = occurrences(questions.select("qid", "text"), vocabulary.select("term")).select("qid", "term").distinct()
+    hit = with_terms(found, vocabulary.distinct(), "term")
     g = hit.groupBy("qid", "slot", "value").agg(F.sum(F.when(~F.col("ask_only"), F.length("term"))).alias("own"), F.sum(F.when(F.col("ask_only"), F.length("term"))).alias("asked"))
     return g.select("qid", "slot", "value", F.coalesce("own", "asked").alias("score"), F.col("own").isNull().alias("ask_only"))
 
@@ -94,12 +90,18 @@ def product_aliases(registry: DataFrame, brand: str, generic: list[str]) -> Data
 
 
 def mentions(texts: DataFrame, aliases: DataFrame) -> DataFrame:
-    """qid, product: products of which an alias stands in the text as whole words; an
-    alias inside a longer one that matches too doesn't count."""
-    hit = texts.join(F.broadcast(aliases), whole_word(F.col("text"), F.col("alias"))).select("qid", "alias", "product")
-    longer = hit.select("qid", F.col("alias").alias("long"), F.col("product").alias("other"))
-    covered = hit.join(longer, "qid").where((F.length("long") > F.length("alias")) & F.contains("long", "alias") & (F.col("other") != F.col("product"))).select("qid", "alias", "product").distinct()
-    return hit.join(covered, ["qid", "alias", "product"], "left_anti").select("qid", "product").distinct()
+    """qid, product: products of which an alias stands in the text as whole words; where a
+    longer alias stands, those inside it don't count."""
+    found = longest(occurrences(texts.select("qid", "text"), aliases.select("alias")), "qid").select("qid", "term").distinct()
+    return with_terms(found, aliases, "alias").select("qid", "product").distinct()
+
+
+def same_product(named: Column, candidate: Column, brand: str, apart: str = "primer") -> Column:
+    """Whether two names are of one product: without the brand, equal or one the other's first
+    words, and both or neither with the word that sets products apart.  Empty and null ones: no."""
+    a, b = (F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), f"^{brand} ", "")) for c in (named, candidate))
+    has = lambda c: F.regexp_like(c, F.lit(f"\\b{apart}\\b"))
+    return (a != "") & (b != "") & (has(a) == has(b)) & ((a == b) | F.startswith(a, F.concat(b, F.lit(" "))) | F.startswith(b, F.concat(a, F.lit(" "))))
 
 
 def reference_text(text: Column, aside: str) -> Column:
@@ -118,11 +120,9 @@ def scenario_only(text: Column, opener: str, suited: str, claim: str) -> Column:
 
 def denied_slots(questions: DataFrame, vocabulary: DataFrame, negation: str = "not|no|never|without") -> DataFrame:
     """qid, slot, value where every occurrence of the value's terms is shortly after a negation."""
-    low = F.concat(F.lit(" "), F.regexp_replace(F.lower("text"), "[^a-z0-9\\x{80}-\\x{10FFFF}]+", " "), F.lit(" "))
-    j = questions.join(F.broadcast(vocabulary), whole_word(F.col("text"), F.col("term"))).select("qid", "slot", "value", low.alias("low"), F.lower("term").alias("term"))
-    all_ = F.regexp_count("low", F.concat(F.lit("(?= "), "term", F.lit(" )")))
-    none = F.regexp_count("low", F.concat(F.lit(f"(?= (?:{negation}) (?:[^ ]+ ){{0,2}}"), "term", F.lit(" )")))
-    return j.groupBy("qid", "slot", "value").agg(F.sum(all_).alias("n"), F.sum(none).alias("negated")).where("n <= negated").select("qid", "slot", "value")
+    found = with_terms(occurrences(questions.select("qid", "text"), vocabulary.select("term"), before=3), vocabulary.distinct(), "term")
+    negated = F.exists("before", lambda w: F.regexp_like(w, F.lit(f"^(?:{negation})$")))
+    return found.groupBy("qid", "slot", "value").agg(F.count("*").alias("n"), F.count_if(negated).alias("negated")).where("n = negated").select("qid", "slot", "value")
 
 
 def intent(questions: DataFrame, gate: DataFrame, rules: list[tuple[str, str]], default: str = "unknown") -> DataFrame:
@@ -146,7 +146,7 @@ def compares_products(questions: DataFrame, aliases: DataFrame, words_: str = "v
     beside = lambda i: F.concat_ws(" ", F.slice("w", F.greatest(F.lit(1), i - window), F.least(i - 1, F.lit(window))), F.slice("w", i + 1, window))
     at = F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: F.element_at("bare", i) == alternative)
     q = questions.select("qid", "text", w.alias("w")).withColumn("bare", bare).select("qid", "text", F.transform(at, beside).alias("around"))
-    near = q.select("qid", F.explode("around").alias("text")).join(F.broadcast(aliases.select("alias")), whole_word(F.col("text"), F.col("alias"))).select("qid").distinct().withColumn("near", F.lit(True))
+    near = occurrences(q.select("qid", F.explode("around").alias("text")), aliases.select("alias")).select("qid").distinct().withColumn("near", F.lit(True))
     explicit = F.regexp_like(F.lower("text"), F.lit(words_))
     j = q.join(n, "qid", "left").join(near, "qid", "left").withColumn("named", F.coalesce("named", F.array().cast("array<string>")))
     compares = explicit | F.coalesce("near", F.lit(False))
@@ -156,7 +156,7 @@ def compares_products(questions: DataFrame, aliases: DataFrame, words_: str = "v
 
 def asked_terms(questions: DataFrame, properties: DataFrame, terms: DataFrame, phrase: str) -> DataFrame:
     """qid, terms: the terms of the detected properties, else the noun phrase that a pattern finds."""
-    own = properties.join(F.broadcast(terms), properties["value"] == terms["property"]).groupBy("qid").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("terms")))).alias("own"))
+    own = properties.join(terms, properties["value"] == terms["property"]).groupBy("qid").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("terms")))).alias("own"))
     noun = F.regexp_extract(F.lower("text"), phrase, 1)
     return questions.join(own, "qid", "left").select("qid", F.coalesce("own", F.when(noun != "", F.array(noun)).otherwise(F.array().cast("array<string>"))).alias("terms"))
 
@@ -167,7 +167,7 @@ def asked_substrate(questions: DataFrame, slots: DataFrame, classes: DataFrame)
     word = F.regexp_extract(F.lower("text"), "(?:^| )(?:on|onto|over|against) ([a-z]+)", 1)
     s = slots.where("slot = 'substrate'").select("qid", "value")
     j = questions.join(s, "qid", "left").select("qid", F.coalesce("value", F.nullif(word, F.lit(""))).alias("substrate"))
-    return j.join(F.broadcast(classes), "substrate", "left").select("qid", "substrate", "published")
+    return j.join(classes, "substrate", "left").select("qid", "substrate", "published")
 
 
 def is_deferral(hits: DataFrame, pattern: str) -> DataFrame:

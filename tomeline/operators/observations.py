@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .labelling import whole_word
+from ..functions.text import whole_word
 
 HIGH, UNCERTAIN, LIKELY = 0.80, 0.50, 0.65
 COUNTED = ("substrate", "existing_finish", "location", "exposure")

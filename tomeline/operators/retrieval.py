@@ -16,11 +16,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import content_words, sentences, squash, words
-from .search import bounded
+from .matching import containing
+from .search import bounded, overlapping
 
 BOOST, AUTHORITY_SPAN, THRESHOLD = 0.15, 0.02, 0.45
-#: Requests broadcast at a time; more go in further blocks.
-BLOCK = 20_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -53,11 +52,6 @@ def authority_bonus(authority: Column) -> Column:
     return (6 - F.greatest(F.lit(1), F.least(F.lit(6), authority))) * AUTHORITY_SPAN / 6
 
 
-def _blocks(queries: DataFrame, block: int) -> list[DataFrame]:
-    n = -(-queries.count() // block)
-    return [queries] if n <= 1 else [queries.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == i) for i in range(n)]
-
-
 def order(name: str = "qid") -> W:
     return W.partitionBy(name).orderBy(F.desc("effective"), F.desc_nulls_last("source_date"), "canonical_url", "chunk_index")
 
@@ -110,16 +104,21 @@ def abstain(queries: DataFrame, hits: DataFrame, threshold: float = THRESHOLD) -
     return j.withColumn("below", F.col("top_score") < threshold)
 
 
-def find_passages(requests: DataFrame, passages: DataFrame, limit: int = 3, block: int = BLOCK) -> DataFrame:
+def find_passages(requests: DataFrame, passages: DataFrame, limit: int = 3) -> DataFrame:
     """Lexical lookup: product containment (empty: any) and any term as a substring of
-    content or section; by authority, date, url, chunk.  No terms: nothing."""
-    w = W.partitionBy("qid").orderBy("authority", F.desc_nulls_last("source_date"), "canonical_url", "chunk_index")
-    p = passages.drop("embedding").withColumn("body", F.lower(F.concat_ws("\n", "section", "content")))
-    parts = []
-    for b in _blocks(requests.select("qid", "audiences", F.col("product").alias("q_product"), "terms").where(F.size("terms") > 0), block):
-        on = audience_filter(F.col("audiences"), F.col("audience")) & ((F.col("q_product") == "") | product_match(F.col("q_product"), F.col("product"))) & F.exists("terms", lambda x: F.contains(F.col("body"), F.lower(x)))
-        parts.append(p.join(F.broadcast(b), on).drop("body", "content", "audiences", "terms"))  # texts are met, not carried on
-    return reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).withColumn("score", F.lit(0.0))
+    content or section; by authority, date, url, chunk.  No terms: nothing.
+
+    Every passage is read once for all terms; of the passages with a term, only the first limit
+    of each audience and product are held against the requests, as no other can be among the
+    first limit of a request."""
+    order = ("authority", F.desc_nulls_last("source_date"), "canonical_url", "chunk_index")
+    asked = requests.select("qid", "audiences", F.col("product").alias("q_product"), F.explode(F.array_distinct(F.transform("terms", F.lower))).alias("term"))
+    body = passages.withColumn("body", F.lower(F.concat_ws("\n", "section", "content"))).drop("embedding", "content")
+    found = containing(body, "body", asked.select("term"))
+    first = found.withColumn("n", F.row_number().over(W.partitionBy("term", "audience", "product").orderBy(*order))).where(F.col("n") <= limit).drop("n")
+    met = first.join(asked, "term").where(audience_filter(F.col("audiences"), F.col("audience")) & ((F.col("q_product") == "") | product_match(F.col("q_product"), F.col("product"))))
+    once = met.drop("term", "audiences").dropDuplicates(["qid", "passage_id"])
+    return once.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(*order))).where(F.col("rank") <= limit).withColumn("score", F.lit(0.0))
 
 
 def expand_query(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
@@ -198,11 +197,11 @@ def diagnostic_passages(hits: DataFrame, marketing=("product_page", "commercial"
 
 def documents_for(queries: DataFrame, manifest: DataFrame, n: int = 6) -> DataFrame:
     """Documents by word overlap of question and name + product, then authority; none: the
-    first n datasheets.  The overlap goes through the words, not over all pairs."""
-    qw = queries.select("qid", F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
-    dw = manifest.select("canonical_url", "authority", F.explode(F.array_distinct(words(F.concat_ws(" ", "title", "product")))).alias("word"))
-    hit = qw.join(dw, "word").groupBy("qid", "canonical_url", "authority").agg(F.count("*").alias("overlap"))
-    hit = hit.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("overlap"), "authority", "canonical_url"))).where(F.col("rank") <= n).select("qid", "canonical_url", "rank")
+    first n datasheets.  Tasks give the n best of each question, and only those are shuffled."""
+    q = queries.select("qid", F.array_distinct(words(F.col("text"))).alias("words"))
+    d = manifest.select("canonical_url", "authority", F.array_distinct(words(F.concat_ws(" ", "title", "product"))).alias("words"))
+    best = W.partitionBy("qid").orderBy(F.desc("overlap"), "authority", "canonical_url")
+    hit = overlapping(q, d, n).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n).select("qid", "canonical_url", "rank")
     sheets = manifest.where("document_type = 'datasheet'").orderBy("authority", "canonical_url").limit(n).select("canonical_url", F.row_number().over(W.orderBy("authority", "canonical_url")).alias("rank"))
     none = queries.select("qid").join(hit, "qid", "left_anti").crossJoin(F.broadcast(sheets))  # n rows
     return hit.unionByName(none.select("qid", "canonical_url", "rank"))

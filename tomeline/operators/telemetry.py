@@ -16,7 +16,9 @@ from ..store import materialise
 SOURCES = ("cli", "web", "evaluation", "unknown")
 NAMES = ("turn", "part", "retrieval", "cache_lookup", "generation", "checks")
 OUTCOMES = {"compose": "answered", "extract": "answered", "diagnosis": "answered", "state": "answered", "refuse": "refused", "topic_gate": "handoff", "ask_back": "handoff"}
-BOUNDS = (0.1, 0.2, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.7, 0.8, 0.9)
+# Upper bounds of the buckets of retrieval scores.
+BOUNDS = (0.3, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.9, 1.0)
+QUANTILES, ACCURACY = (0.5, 0.9, 0.95, 0.99), 1_000
 CHECKS = tuple(f"check {i}" for i in range(1, 9))
 
 
@@ -92,11 +94,52 @@ def score_histogram(spans: DataFrame, bounds=BOUNDS) -> DataFrame:
     return sums.select("source", F.explode(F.arrays_zip(named.alias("bound"), F.col("counts").alias("n"))).alias("x"), "total", F.col("n").alias("observed")).select("source", "x.bound", F.col("x.n").alias("n"), "total", "observed")
 
 
-def latency_quantiles(spans: DataFrame, quantiles=(0.5, 0.9, 0.95, 0.99)) -> DataFrame:
-    """Observed (nearest rank) duration quantiles, sum and count per source and span."""
+def latency_quantiles(spans: DataFrame, quantiles=QUANTILES, accuracy: int = ACCURACY) -> DataFrame:
+    """Observed (nearest rank) duration quantiles, sum and count per source and span.
+
+    By selection: a sketch of bounded size brackets each rank between two observed values;
+    one more pass counts what lies below each bracket and how often each value inside it
+    occurs, and the value at the rank follows from running sums over those.  No group's rows
+    are held; a bracket has about 4 / accuracy of them."""
     timed = spans.where("duration_ms is not null")
-    columns = [F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY duration_ms)").alias(f"q{str(q)[2:]}") for q in quantiles]
-    return timed.groupBy("source", "name").agg(*columns, F.sum("duration_ms").alias("total"), F.count("*").alias("n"))
+    g = ["source", "name"]
+    asked = [(float(q), min(max(q + d / accuracy, 0.0), 1.0)) for q in quantiles for d in (-2.0, 2.0)]
+    sketch = timed.groupBy(*g).agg(F.percentile_approx("duration_ms", [p for _, p in asked], accuracy).alias("p"), F.sum("duration_ms").alias("total"), F.count("*").alias("n"))
+    rank = lambda q: F.greatest(F.lit(1), F.ceil(F.round(F.col("n") * F.lit(float(q)), 6))).cast("long")  # noqa: E731  n * 0.9 isn't always exact
+    brackets = sketch.select(*g, "total", "n", F.array(*[F.struct(F.lit(i).alias("i"), rank(q).alias("rank"), F.get("p", F.lit(2 * i)).alias("low"), F.get("p", F.lit(2 * i + 1)).alias("high")) for i, q in enumerate(quantiles)]).alias("b"))
+    met = timed.join(brackets.select(*g, "b"), g).select(*g, "duration_ms", F.explode("b").alias("b"))
+    # A row for each bracket's values, and one for all below it; equal values are added up before they are shuffled.
+    inside = F.when((F.col("duration_ms") >= F.col("b.low")) & (F.col("duration_ms") <= F.col("b.high")), F.col("duration_ms"))
+    counted = met.where(F.col("duration_ms") <= F.col("b.high")).groupBy(*g, F.col("b.i").alias("i"), F.col("b.rank").alias("rank"), inside.alias("v")).agg(F.count("*").alias("k"))
+    w = W.partitionBy(*g, "i").orderBy(F.asc_nulls_first("v"))
+    at = counted.withColumn("upto", F.sum("k").over(w)).where("v is not null and upto >= rank").groupBy(*g, "i").agg(F.min("v").alias("v"))
+    wide = at.groupBy(*g).pivot("i", list(range(len(quantiles)))).agg(F.first("v"))
+    return sketch.select(*g, "total", "n").join(wide, g).select(*g, *[F.col(str(i)).alias(f"q{str(q)[2:]}") for i, q in enumerate(quantiles)], "total", "n")
+
+
+def window_measures(paths, outcomes=OUTCOMES, checks=CHECKS, bounds=BOUNDS, quantiles=QUANTILES, accuracy: int = ACCURACY) -> list[Column]:
+    """One pass over the normalised spans of a group, as mergeable aggregates: n, errors,
+    lookups, hits, total_ms, paths, outcomes and failures (counts in the order of paths, of the
+    sorted outcomes and of checks), runs, scores (counts of top scores up to each bound, then
+    all of them), scored (their sum) and quantiles of the durations, whose ranks are within
+    1 / accuracy of the group's rows of those of latency_quantiles."""
+    part, run, score = F.col("name") == "part", F.col("name") == "checks", F.when(F.col("name") == "retrieval", F.col("top_score"))
+    same = lambda c: lambda x: x == c
+    of = {o: [p for p in paths if outcomes.get(p) == o] for o in sorted(set(outcomes.values()))}
+    return [
+        F.count("*").alias("n"),
+        F.count_if(F.col("status") != "ok").alias("errors"),
+        F.count_if(F.col("name") == "cache_lookup").alias("lookups"),
+        F.count_if(F.col("hit") & (F.col("name") == "cache_lookup")).alias("hits"),
+        F.sum("duration_ms").alias("total_ms"),
+        F.array(*[F.count_if(part & (F.col("path") == p)) for p in paths]).alias("paths"),
+        F.array(*[F.count_if(part & F.col("path").isin(*ps)) for ps in of.values()]).alias("outcomes"),
+        F.count_if(run).alias("runs"),
+        F.array(*[F.sum(F.when(run & F.col("failed").isNotNull(), F.size(F.filter("failed", same(c)))).otherwise(0)) for c in checks]).alias("failures"),
+        F.array(*[F.count_if(score <= b) for b in bounds], F.count(score)).alias("scores"),
+        F.round(F.sum(score), 6).alias("scored"),
+        F.percentile_approx("duration_ms", [float(q) for q in quantiles], accuracy).alias("quantiles"),
+    ]
 
 
 def span_errors(spans: DataFrame) -> DataFrame:
@@ -125,27 +168,34 @@ def traces(spans: DataFrame, limit: int, session_id: int | None = None) -> DataF
 def span_tree(spans: DataFrame) -> DataFrame:
     """Depth, path from the roots and nth, the place by start among the children of the same
     parent (or the roots of the trace; by id without started_at); a span whose parent is
-    absent is a root.
+    absent is a root.  Spans that lead to no root, being in a circle, are left out.
 
-    Levels are joined on the trace until none is left; each is written, so that a plan
-    holds one level.  A span comes but once in a path, even where ids repeat."""
+    Pointers are doubled: a span knows an ancestor and the way down from it, and in each
+    round takes over the ancestor's own; so rounds grow with the logarithm of the depth.  Each
+    is written, so that a plan holds one.  A span comes but once in a path, even where ids repeat."""
     by = [c for c in ("started_at", "span_id") if c in spans.columns]
     s = materialise(spans.select("trace_id", "parent_id", *by), "spans")
-    present = s.select(F.col("trace_id").alias("t"), F.col("span_id").alias("p")).distinct()
-    rooted = s.join(present, (F.col("trace_id") == F.col("t")) & (F.col("parent_id") == F.col("p")), "left")
+    ids = s.groupBy("trace_id", "span_id").agg(F.count("*").alias("k"))
+    present = ids.select(F.col("trace_id").alias("t"), F.col("span_id").alias("p"))
+    repeats = ids.groupBy("trace_id").agg((F.max("k") > 1).alias("repeats"))
+    rooted = s.join(present, (F.col("trace_id") == F.col("t")) & (F.col("parent_id") == F.col("p")), "left").join(repeats, "trace_id")
     rooted = rooted.withColumn("nth", F.row_number().over(W.partitionBy("trace_id", "p").orderBy(*by)).cast("long"))
-    level = rooted.where("p is null").select("trace_id", "span_id", "nth", F.lit(0).alias("depth"), F.col("span_id").cast("string").alias("path"), F.array("span_id").alias("above"))
-    below = materialise(rooted.where("p is not null").select(F.col("trace_id").alias("t"), F.col("span_id").alias("child"), "parent_id", F.col("nth").alias("child_nth")), "below")
-    level = materialise(level, "level")
-    out = level
-    while not level.isEmpty():
-        deeper = level.join(below, (F.col("trace_id") == F.col("t")) & (F.col("span_id") == F.col("parent_id"))).where(~F.array_contains("above", F.col("child")))
-        level = materialise(
-            deeper.select("trace_id", F.col("child").alias("span_id"), F.col("child_nth").alias("nth"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.lit("/"), F.col("child").cast("string")).alias("path"), F.concat("above", F.array("child")).alias("above")),
-            "level",
-        )
-        out = out.unionByName(level)
-    return out.drop("above")
+    at = materialise(rooted.select("trace_id", "span_id", "nth", F.col("p").alias("up"), F.lit(0).alias("depth"), F.col("span_id").cast("string").alias("path"), "repeats"), "pointers")
+    out, rounds = at.where("up is null"), 0
+    most = ids.groupBy("trace_id").agg(F.sum("k").alias("n")).agg(F.max("n")).first()[0] or 0
+    known = at  # where each span's way up leads, by as many steps as rounds have doubled
+    left = at.where("up is not null")
+    while 2**rounds <= 2 * most and not left.isEmpty():
+        above = known.select(F.col("trace_id").alias("t"), F.col("span_id").alias("a"), F.col("up").alias("above_up"), F.col("depth").alias("above_depth"), F.col("path").alias("above_path"))
+        step = left.join(above, (F.col("trace_id") == F.col("t")) & (F.col("up") == F.col("a")))
+        path = F.concat("above_path", F.lit("/"), "path")
+        step = step.select("trace_id", "span_id", "nth", F.col("above_up").alias("up"), (F.col("depth") + F.col("above_depth") + 1).alias("depth"), path.alias("path"), "repeats")
+        once = F.size(F.array_distinct(F.split("path", "/"))) == F.col("depth") + 1
+        moved = materialise(step.where(~F.col("repeats") | once), "pointers")
+        out = out.unionByName(moved.where("up is null"))
+        left, rounds = moved.where("up is not null"), rounds + 1
+        known = out.unionByName(left)
+    return out.select("trace_id", "span_id", "nth", "depth", "path")
 
 
 def trace_identity(spans: DataFrame) -> DataFrame:

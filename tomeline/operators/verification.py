@@ -12,9 +12,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import content_words, sentences, squash, words
+from ..functions.text import content_words, sentences, squash, whole_word, words
 from ..store import materialise
-from .labelling import whole_word
+from .relations import QUALIFIER, found_set, limits, relations, without_markers
 
 FIGURE = "[0-9]+(?:[.,][0-9]+)? ?(?:mm|cm|m2|m|kg|litres|hours|days|%)"
 _STRINGS = "array<string>"
@@ -89,7 +89,7 @@ def check_names(c: DataFrame, registry: DataFrame, common: list[str], brand: str
     body = F.regexp_replace(F.regexp_replace("sentence", "\\[[0-9]+\\]", ""), "^[^ ]+ ", "")
     x = c.select("aid", "seq", F.lower("cited").alias("low"), F.explode(F.array_distinct(F.regexp_extract_all(body, F.lit("[A-Z][a-z]+(?: [A-Z][a-z]+)*"), F.lit(0)))).alias("name"))
     x = x.where(~F.lower("name").isin(*common) & ~F.contains("low", F.lower("name")))
-    x = x.withColumn("key", F.lower(F.trim(F.regexp_replace("name", f"^{brand}", "")))).join(F.broadcast(registry.select(F.lower("name").alias("key")).distinct()), "key", "left_anti")
+    x = x.withColumn("key", F.lower(F.trim(F.regexp_replace("name", f"^{brand}", "")))).join(registry.select(F.lower("name").alias("key")).distinct(), "key", "left_anti")
     return x.groupBy("aid", "seq").agg(F.array_sort(F.collect_set("name")).alias("names")).select("aid", "seq", F.lit(5).cast("long").alias("check"), F.array_join("names", ",").alias("note"))
 
 
@@ -110,31 +110,34 @@ def check_scope(c: DataFrame, products: list[str], asked: DataFrame) -> DataFram
     return _fails(j, 7, F.size(out) > 0, F.array_join(F.array_sort(out), ","))
 
 
-def relations(sentences_: DataFrame, aliases: list[str]) -> DataFrame:
-    """id, layer, base, kind, negated, condition of sentences(id, s): 'A over B', 'A
-    onto B' (layer, directed) and 'A with B' (pair, in order of name)."""
-    alias = "|".join(aliases)
-    low = F.lower("s")
-    layer = F.regexp_extract_all(low, F.lit(f"(?:^|[^a-z])({alias}) (?:[a-z]+ ){{0,3}}?(?:over|onto|on) (?:[a-z]+ ){{0,2}}?({alias})(?:[^a-z]|$)"), F.lit(1))
-    base = F.regexp_extract_all(low, F.lit(f"(?:^|[^a-z])({alias}) (?:[a-z]+ ){{0,3}}?(?:over|onto|on) (?:[a-z]+ ){{0,2}}?({alias})(?:[^a-z]|$)"), F.lit(2))
-    one = F.regexp_extract_all(low, F.lit(f"(?:^|[^a-z])({alias}) (?:[a-z]+ ){{0,3}}?with (?:[a-z]+ ){{0,2}}?({alias})(?:[^a-z]|$)"), F.lit(1))
-    two = F.regexp_extract_all(low, F.lit(f"(?:^|[^a-z])({alias}) (?:[a-z]+ ){{0,3}}?with (?:[a-z]+ ){{0,2}}?({alias})(?:[^a-z]|$)"), F.lit(2))
-    directed = F.transform(F.arrays_zip(layer.alias("a"), base.alias("b")), lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), F.lit("layer").alias("kind")))
-    pair = F.transform(F.arrays_zip(one.alias("a"), two.alias("b")), lambda x: F.struct(F.least(x["a"], x["b"]).alias("a"), F.greatest(x["a"], x["b"]).alias("b"), F.lit("pair").alias("kind")))
-    x = sentences_.select("id", low.alias("low"), F.explode(F.concat(directed, pair)).alias("x"))
-    return x.select("id", F.col("x.a").alias("layer"), F.col("x.b").alias("base"), F.col("x.kind").alias("kind"), F.regexp_like("low", F.lit("(^|[^a-z])(not|never|no)([^a-z]|$)")).alias("negated"), F.nullif(F.regexp_extract("low", "(?:^|[^a-z])((?:if|when|once|after) [^,.;]*)", 1), F.lit("")).alias("condition"))
-
-
-def check_relations(c: DataFrame, aliases: list[str]) -> DataFrame:
-    """8: an asserted relation isn't stated so, with the same polarity and condition, in a cited sentence."""
-    said = relations(c.select(F.struct("aid", "seq").alias("id"), F.col("sentence").alias("s")), aliases)
-    known = relations(c.select(F.struct("aid", "seq").alias("id"), F.explode(sentences(F.col("cited"))).alias("s")), aliases).distinct()
-    keys = ["id", "layer", "base", "kind", "negated"]
-    s, k = said.withColumn("w", F.coalesce("condition", F.lit(""))), known.withColumn("w", F.coalesce("condition", F.lit("")))
-    lost = s.join(k, [*keys, "w"], "left_anti").groupBy("id").agg(F.array_sort(F.collect_set(F.concat_ws(" ", "layer", "kind", "base"))).alias("x"))
+def check_relations(c: DataFrame, names: list[str]) -> DataFrame:
+    """8: a relation of a claim isn't stated so in a cited sentence: with the same direction, polarity,
+    certainty and states, and equal sets of conditions, state words and warnings."""
+    said = relations(c.select(F.struct("aid", "seq").alias("id"), F.col("sentence").alias("s")), names)
+    known = relations(c.select(F.struct("aid", "seq").alias("id"), F.explode(sentences(F.col("cited"))).alias("s")).where("not endswith(s, '?')"), names)
+    lost = said.join(known, said.columns, "left_anti").groupBy("id").agg(F.array_sort(F.collect_set(F.concat_ws(" ", "layer", "kind", "base"))).alias("x"))
     return lost.select("id.aid", "id.seq", F.lit(8).cast("long").alias("check"), F.array_join("x", ",").alias("note"))
 
 
+def check_unestablished(c: DataFrame, names: list[str], linking: str = "over|under|beneath|onto|compatible|incompatible|finished|coated") -> DataFrame:
+    """8: a claim names two products and links them, but says nothing that can be checked, and
+    doesn't stand word for word in a cited sentence."""
+    said = relations(c.select(F.struct("aid", "seq").alias("id"), F.col("sentence").alias("s")), names).select("id.aid", "id.seq").distinct()
+    plain = F.trim(F.lower(without_markers(F.col("sentence"))), F.lit(" ."))
+    named = F.size(F.filter(F.array(*map(F.lit, names)), lambda p: whole_word(F.col("sentence"), p)))
+    bad = (named > 1) & F.regexp_like(F.lower("sentence"), F.lit(f"(^|[^a-z])({linking})([^a-z]|$)")) & ~F.exists(sentences(F.col("cited")), lambda s: F.contains(F.lower(s), plain))
+    return _fails(c.join(said, ["aid", "seq"], "left_anti"), 8, bad, "relation")
+
+
+def check_requested_relations(answers: DataFrame, c: DataFrame, names: list[str]) -> DataFrame:
+    """8: a relation of the question is stated nowhere in the answer, whatever its polarity."""
+    keys = ["aid", "kind", "layer", "base"]
+    asked = relations(answers.select(F.col("aid").alias("id"), F.explode(sentences(F.col("question"))).alias("s")), names).withColumnRenamed("id", "aid").select(*keys).distinct()
+    said = relations(c.select(F.col("aid").alias("id"), F.col("sentence").alias("s")), names).withColumnRenamed("id", "aid").select(*keys)
+    lost = asked.join(said, keys, "left_anti").groupBy("aid").agg(F.array_sort(F.collect_set(F.concat_ws(" ", "layer", "kind", "base"))).alias("x"))
+    return lost.select("aid", F.lit(-1).cast("long").alias("seq"), F.lit(8).cast("long").alias("check"), F.array_join("x", ",").alias("note"))
+
+
 def check_sensitive(c: DataFrame, claims_: str = "waterproof|structural|certified") -> DataFrame:
     """8: a sensitive claim without a cited sentence that makes it with the same polarity."""
     word = F.regexp_extract(F.lower("sentence"), f"(?:^|[^a-z])({claims_})(?:[^a-z]|$)", 1)
@@ -151,6 +154,17 @@ def check_numeric_binding(c: DataFrame, products: list[str]) -> DataFrame:
     return x.where(~about).groupBy("aid", "seq").agg(F.array_sort(F.collect_set("figure")).alias("f")).select("aid", "seq", F.lit(8).cast("long").alias("check"), F.array_join("f", ",").alias("note"))
 
 
+def check_numeric_limits(c: DataFrame, products: list[str]) -> DataFrame:
+    """4: a figure of a named product is published, but every cited sentence that binds it has a
+    qualifier that the claim leaves out, or other conditions, state words or warnings."""
+    named = F.filter(F.array(*map(F.lit, products)), lambda p: whole_word(F.col("sentence"), p))
+    x = c.withColumn("named", named).where(F.size("named") > 0).select("aid", "seq", F.lower("sentence").alias("low"), limits(F.col("sentence")).alias("own"), "named", sentences(F.col("cited")).alias("s"), F.explode(figures(F.col("sentence"))).alias("figure"))
+    bound = F.filter("s", lambda s: F.array_contains(figures(s), F.col("figure")) & F.exists("named", lambda p: whole_word(s, p)))
+    kept = lambda s: F.forall(found_set(F.lower(s), QUALIFIER), lambda q: F.contains(F.col("low"), q)) & (limits(s) == F.col("own"))
+    lost = x.withColumn("bound", bound).where((F.size("bound") > 0) & ~F.exists("bound", kept))
+    return lost.groupBy("aid", "seq").agg(F.array_sort(F.collect_set("figure")).alias("f")).select("aid", "seq", F.lit(4).cast("long").alias("check"), F.array_join("f", ",").alias("note"))
+
+
 def rewrite_preserved(pairs: DataFrame, internal: str = "chunk|embedding") -> DataFrame:
     """aid, reason (null if the rewrite is faithful): same markers, same figures, no lost
     limitation, no new internal words, not empty.  pairs: aid, original, rewritten."""
@@ -194,7 +208,7 @@ def verify(answers: DataFrame, evidence: DataFrame, products: list[str], registr
     none = F.array().cast(_STRINGS)
     answers = answers.withColumns({c: none for c in ("terms", "asked") if c not in answers.columns})
     c = materialise(cited(claims(answers), evidence), "cited")
-    parts = [check_property(answers, evidence), check_scope(c, products, answers.select("aid", "asked")), check_citation(c), check_overlap(c), check_numbers(c), check_attribution(c, products), check_qualifiers(c), check_names(c, registry, common), check_relations(c, products), check_sensitive(c), check_numeric_binding(c, products)]
+    parts = [check_property(answers, evidence), check_scope(c, products, answers.select("aid", "asked")), check_citation(c), check_overlap(c), check_numbers(c), check_attribution(c, products), check_qualifiers(c), check_names(c, registry, common), check_relations(c, products), check_unestablished(c, products), check_requested_relations(answers, c, products), check_sensitive(c), check_numeric_binding(c, products), check_numeric_limits(c, products)]
     return reduce(DataFrame.unionByName, parts)
 
 

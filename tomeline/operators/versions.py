@@ -11,6 +11,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 Tables = dict[str, DataFrame]
@@ -98,6 +99,26 @@ def recent_runs(runs: DataFrame, n: int) -> DataFrame:
     return runs.orderBy(F.desc("started_at"), F.desc("run_id")).limit(n)
 
 
+def as_of(asks: DataFrame, versions: DataFrame, bucket: str = "day") -> DataFrame:
+    """answer_id, chunk_id, as_of: the version of the ask's url fetched last by asked_at (of several
+    at one time, the greatest); none: no row.
+
+    A merge in time: asks and versions of a url are one sequence, and the latest version is
+    carried along it.  Within a bucket of time it is a running maximum; from bucket to bucket
+    the buckets' maxima are carried.  So rows are asks plus versions, however many a url has
+    of both, and no task has more of a url than a bucket's, or a row a bucket."""
+    kind = "struct<fetched_at:timestamp,version:bigint>"
+    seen = versions.where("fetched_at is not null").select("url", F.col("fetched_at").cast("timestamp").alias("at"), F.lit(0).alias("asks"), F.struct(F.col("fetched_at").cast("timestamp"), F.col("version").cast("long")).cast(kind).alias("v"))
+    asked = asks.where("asked_at is not null").select("url", F.col("asked_at").cast("timestamp").alias("at"), F.lit(1).alias("asks"), F.lit(None).cast(kind).alias("v"), F.struct("answer_id", "chunk_id").alias("of"))
+    rows = seen.withColumn("of", F.lit(None).cast(asked.schema["of"].dataType)).unionByName(asked).withColumn("bucket", F.date_trunc(bucket, "at"))
+    before = W.partitionBy("url").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    carried = rows.groupBy("url", "bucket").agg(F.max("v").alias("latest"), F.max("asks").alias("asked")).withColumn("carried", F.max("latest").over(before)).where("asked = 1").select("url", "bucket", "carried")
+    within = W.partitionBy("url", "bucket").orderBy("at", "asks").rowsBetween(W.unboundedPreceding, 0)
+    last = rows.withColumn("here", F.max("v").over(within)).where("asks = 1").join(carried, ["url", "bucket"], "left")
+    found = last.select("of.*", F.greatest("here", "carried")["version"].alias("as_of")).where("as_of is not null")
+    return found.groupBy("answer_id", "chunk_id").agg(F.max("as_of").alias("as_of"))
+
+
 def audit_lineage(log: DataFrame, tables: Tables) -> DataFrame:
     """Per logged answer and chunk id (url#vN-i): what was served then and whether
     it still is.  Without a snapshot the version is the latest one fetched by then."""
@@ -105,7 +126,7 @@ def audit_lineage(log: DataFrame, tables: Tables) -> DataFrame:
     x = log.select("answer_id", "asked_at", "snapshot_id", F.explode("chunk_ids").alias("chunk_id"))
     x = x.select("*", F.regexp_extract("chunk_id", pattern, 1).alias("url"), F.expr(f"try_cast(regexp_extract(chunk_id, r'{pattern}', 2) as bigint)").alias("stated"), F.expr(f"try_cast(regexp_extract(chunk_id, r'{pattern}', 3) as bigint)").alias("chunk_index"))
     v = tables["versions"].select("url", "version", "is_active", "fetched_at")
-    then = x.where("snapshot_id is null").join(v, "url").where("fetched_at <= asked_at").groupBy("answer_id", "chunk_id").agg(F.max_by("version", F.struct("fetched_at", "version")).alias("as_of"))
+    then = as_of(x.where("snapshot_id is null").select("answer_id", "chunk_id", "url", "asked_at"), v)
     x = x.join(then, ["answer_id", "chunk_id"], "left").withColumn("version", F.when(F.col("snapshot_id").isNull(), F.col("as_of")).otherwise(F.col("stated")))
     c = tables["chunks"].select("url", "version", "chunk_index", "content")
     return x.join(v.select("url", "version", "is_active"), ["url", "version"], "left").join(c, ["url", "version", "chunk_index"], "left").select("answer_id", "chunk_id", "url", "version", "content", F.coalesce("is_active", F.lit(False)).alias("still_active"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..operators import conversation as cv
 from ..operators import jobs as j
 from ..operators import observations as ob
+from ..operators import relations as rl
 from ..operators import retrieval as r
 from ..operators import verification as v
 from ..sources import model as m
@@ -65,8 +68,45 @@ add("j8_check_property", lambda s, d: v.check_property(_terms(s, d), evidence(s,
 add("j9_check_scope", lambda s, d: v.check_scope(_cited(s, d), PRODUCTS, answers(s, d).select("aid", F.array(F.lit("la")).alias("asked"))), *_all,
     f"sx AS (SELECT aid, seq, list_sort(list_filter(['the', 'und', 'que', 'of'], lambda p: {_WW('sentence', 'p')} AND NOT contains(b, p))) AS o FROM (SELECT *, lower(coalesce((SELECT string_agg(content, chr(10)) FROM ev WHERE ev.aid = cl.aid AND list_contains(cl.markers, ev.marker) AND product = 'la'), '')) AS b FROM cl))",
     "SELECT aid, seq, CAST(7 AS BIGINT) AS \"check\", array_to_string(o, ',') AS note FROM sx WHERE len(o) > 0")
-add("j10_check_relations", lambda s, d: v.check_relations(_cited(s, d), PRODUCTS))
-add("j10_relations", lambda s, d: v.relations(_claims(s, d).select(F.col("aid").alias("id"), F.col("sentence").alias("s")), ["the", "of", "that", "erth"]))
+_REL = ["the", "of", "that", "in", "der", "die", "que"]
+_JOINTS = [(" and ", " over "), (" und ", " over "), (" to ", " not under "), (" la ", " with ")]  # so that the texts link names
+
+_q = lambda p: "'" + p.replace("'", "''") + "'"
+_SET = lambda t, p, g=0: f"list_sort(list_distinct(list_transform(regexp_extract_all({t}, {_q(p)}, {g}), lambda x: trim(regexp_replace(x, '[ \\t\\r\\n]+', ' ', 'g'), ' .'))))"
+_BARE = lambda t: f"lower(regexp_replace({t}, ' ?\\[[0-9]+\\]', '', 'g'))"
+LIMITS = lambda t: "concat_ws('#', " + ", ".join(f"array_to_string({_SET(_BARE(t), p, g)}, '|')" for p, g in ((rl.CONDITION, 0), (rl.MODIFIER, 0), (rl.WARNING, 1))) + ")"
+
+
+def relation_sql(name, source, names):
+    """The relations of a table source(id, s) as a table expression."""
+    part = lambda g: f"regexp_extract_all(doubled, {_q(rl.pair_pattern(names))}, {g})"
+    cut = f"regexp_replace(regexp_replace({_BARE('s')}, {_q(rl.BREAKS)}, chr(1), 'g'), {_q(rl.PROHIBITION)}, chr(1) || '\\1', 'g')"
+    main = f"regexp_replace(regexp_replace(clause, {_q(rl.FIRST_CONDITION)}, ''), {_q(rl.LATER_CONDITION)}, '')"
+    b_state = f"regexp_extract(after, {_q(chr(92) + 'b(' + '|'.join(rl.STATES) + ') $')}, 1)"
+    of = lambda n: f"CASE WHEN a = {n} THEN coalesce(state, '') ELSE {b_state} END"
+    coated = f"regexp_matches(between_, {_q(rl.COATED)})"
+    return f"""{name}_c AS (SELECT id, {LIMITS('s')} AS limits, unnest(string_split({cut}, chr(1))) AS clause FROM {source}),
+{name}_d AS (SELECT *, regexp_replace(clause, {_q(rl.twice_pattern(names))}, '\\1\\2  \\1\\2', 'g') AS doubled FROM {name}_c),
+{name}_x AS (SELECT id, limits, regexp_matches({main}, {_q(rl.NEGATED)}) AS negated, regexp_matches({main}, {_q(rl.DOUBTED)}) AS uncertain, unnest({part(1)}) AS state, unnest({part(2)}) AS a, unnest({part(3)}) AS between_, unnest({part(4)}) AS link, unnest({part(5)}) AS after, unnest({part(6)}) AS b FROM {name}_d),
+{name}_k AS (SELECT *, CASE WHEN NOT {coated} AND link = 'with' THEN 'pair' WHEN link IN ('over', 'onto', 'on top of', 'on', 'under', 'beneath', 'below') OR {coated} THEN 'layer' END AS kind FROM {name}_x WHERE a <> b),
+{name}_l AS (SELECT *, CASE WHEN kind = 'pair' THEN least(a, b) WHEN link IN ('over', 'onto', 'on top of', 'on') THEN a ELSE b END AS layer FROM {name}_k WHERE kind IS NOT NULL),
+{name} AS (SELECT id, kind, layer, CASE WHEN layer = a THEN b ELSE a END AS base, negated, uncertain, CASE WHEN kind = 'pair' THEN '' ELSE concat_ws(',', {of('layer')}, {of('CASE WHEN layer = a THEN b ELSE a END')}) END AS states, limits FROM {name}_l)"""
+
+
+_jointed = lambda c: reduce(lambda x, ab: F.replace(x, F.lit(ab[0]), F.lit(ab[1])), _JOINTS, F.col(c))
+_JOINTED = lambda c: reduce(lambda x, ab: f"replace({x}, '{ab[0]}', '{ab[1]}')", _JOINTS, c)
+_THAT = f"replace({_JOINTED('text')}, ' the ', ' that ')"
+_linked = lambda c: c.withColumns({n: _jointed(n) for n in ("sentence", "cited") if n in c.columns})
+_rel = lambda s, d: rl.relations(_linked(_claims(s, d)).select(F.struct("aid", "seq").alias("id"), F.col("sentence").alias("s")), _REL)
+_SAID = f"sd0 AS (SELECT (aid, seq) AS id, {_JOINTED('sentence')} AS s FROM ct)"
+_KNOWN = f"kn0 AS (SELECT * FROM (SELECT (aid, seq) AS id, unnest({_S(_JOINTED('cited'))}) AS s FROM ct) WHERE s NOT LIKE '%?')"
+add("j10_relations", lambda s, d: _rel(s, d).select("id.aid", "id.seq", "kind", "layer", "base", "negated", "uncertain", "states", "limits"), *_all, _SAID, relation_sql("sd", "sd0", _REL),
+    "SELECT id[1] AS aid, id[2] AS seq, kind, layer, base, negated, uncertain, states, limits FROM sd")
+add("j10_check_relations", lambda s, d: v.check_relations(_linked(_cited(s, d)), _REL), *_all, _SAID, relation_sql("sd", "sd0", _REL), _KNOWN, relation_sql("kn", "kn0", _REL),
+    "SELECT id[1] AS aid, id[2] AS seq, CAST(8 AS BIGINT) AS \"check\", string_agg(x, ',' ORDER BY x) AS note FROM (SELECT DISTINCT id, layer || ' ' || kind || ' ' || base AS x FROM (SELECT * FROM sd EXCEPT SELECT * FROM kn)) GROUP BY id")
+add("j10_requested_relations", lambda s, d: v.check_requested_relations(answers(s, d).withColumn("question", F.replace(_jointed("text"), F.lit(" the "), F.lit(" that "))), _linked(_claims(s, d)), _REL), *_all, _SAID, relation_sql("sd", "sd0", _REL),
+    f"as0 AS (SELECT aid AS id, unnest({_S(_THAT)}) AS s FROM an)", relation_sql("rq", "as0", _REL),
+    "SELECT id AS aid, CAST(-1 AS BIGINT) AS seq, CAST(8 AS BIGINT) AS \"check\", string_agg(layer || ' ' || kind || ' ' || base, ',' ORDER BY layer || ' ' || kind || ' ' || base) AS note FROM (SELECT DISTINCT id, kind, layer, base FROM rq WHERE (id, kind, layer, base) NOT IN (SELECT (id[1], kind, layer, base) FROM sd)) GROUP BY id")
 _NO = lambda c: f"regexp_matches(lower({c}), '(^|[^a-z])(not|never|no)([^a-z]|$)')"
 _SENS = "regexp_extract(lower(sentence), '(?:^|[^a-z])(waterproof|structural|certified)(?:[^a-z]|$)', 1)"
 add("j11_check_sensitive", lambda s, d: v.check_sensitive(_cited(s, d).withColumn("cited", F.when(F.col("aid") % 4 == 0, F.replace("cited", F.lit("It is not waterproof"), F.lit("It is waterproof"))).otherwise(F.col("cited")))), *_all,
@@ -76,6 +116,15 @@ add("j12_check_numeric_binding", lambda s, d: v.check_numeric_binding(_la(_cited
     "cl2 AS (SELECT * REPLACE (CASE WHEN aid % 3 = 0 THEN 'la ' || sentence ELSE sentence END AS sentence, CASE WHEN aid % 2 = 0 THEN replace(cited, 'Cover up', 'For la up') ELSE cited END AS cited) FROM ct)",
     f"nb AS (SELECT aid, seq, cited, list_filter(['the', 'und', 'que', 'of', 'la'], lambda p: {_WW('sentence', 'p')}) AS named, unnest({_FIG('sentence')}) AS figure FROM cl2)",
     f"SELECT aid, seq, CAST(8 AS BIGINT) AS \"check\", string_agg(DISTINCT figure, ',' ORDER BY figure) AS note FROM nb WHERE len(named) > 0 AND len(list_filter({_S('cited')}, lambda x: list_contains({_FIG('x')}, figure) AND len(list_filter(named, lambda p: {_WW('x', 'p')})) > 0)) = 0 GROUP BY aid, seq")
+_LOW2 = "CASE WHEN aid % 4 = 0 THEN replace(sentence, 'up to', 'near') ELSE sentence END"
+_OWN = "cited || ' Take la up to ' || regexp_extract(sentence, '([0-9]+) mm', 1) || ' mm' || CASE WHEN aid % 5 = 0 THEN ' if dry.' ELSE '.' END"
+_less = lambda c: c.withColumns({"sentence": F.when(F.col("aid") % 4 == 0, F.replace("sentence", F.lit("up to"), F.lit("near"))).otherwise(F.col("sentence")), "cited": F.expr(_OWN)})
+add("j12_check_numeric_limits", lambda s, d: v.check_numeric_limits(_less(_la(_cited(s, d))), PRODUCTS), *_all,
+    "cl2 AS (SELECT * REPLACE (CASE WHEN aid % 3 = 0 THEN 'la ' || sentence ELSE sentence END AS sentence, CASE WHEN aid % 2 = 0 THEN replace(cited, 'Cover up', 'For la up') ELSE cited END AS cited) FROM ct)",
+    f"cl3 AS (SELECT * REPLACE ({_LOW2} AS sentence, {_OWN} AS cited) FROM cl2), nb AS (SELECT aid, seq, cited, lower(sentence) AS low, {LIMITS('sentence')} AS own, list_filter(['the', 'und', 'que', 'of', 'la'], lambda p: {_WW('sentence', 'p')}) AS named, unnest({_FIG('sentence')}) AS figure FROM cl3)",
+    f"bn AS (SELECT aid, seq, low, own, figure, unnest(list_filter({_S('cited')}, lambda x: list_contains({_FIG('x')}, figure) AND len(list_filter(named, lambda p: {_WW('x', 'p')})) > 0)) AS s FROM nb WHERE len(named) > 0)",
+    f"lk AS (SELECT aid, seq, figure FROM bn GROUP BY aid, seq, figure HAVING NOT bool_or(len(list_filter({_SET('lower(s)', rl.QUALIFIER)}, lambda q: NOT contains(low, q))) = 0 AND {LIMITS('s')} = own))",
+    "SELECT aid, seq, CAST(4 AS BIGINT) AS \"check\", string_agg(DISTINCT figure, ',' ORDER BY figure) AS note FROM lk GROUP BY aid, seq")
 _pairs = lambda s, d: answers(s, d).select("aid", F.col("text").alias("original"), F.expr("CASE aid % 5 WHEN 0 THEN text WHEN 1 THEN '' WHEN 2 THEN replace(text, '[2]', '[1]') WHEN 3 THEN replace(text, ' mm', '1 mm') ELSE replace(text, ' not ', ' ') END").alias("rewritten"))
 add("j13_rewrite_preserved", lambda s, d: v.rewrite_preserved(_pairs(s, d)), *_all, "SELECT aid, CASE aid % 5 WHEN 1 THEN 'empty' WHEN 2 THEN 'markers' WHEN 3 THEN 'figures' WHEN 4 THEN CASE WHEN NOT regexp_matches(lower(replace(text, ' not ', ' ')), '(^|[^a-z])(not|never|only|unless|except)([^a-z]|$)') THEN 'limitation' END END AS reason FROM an")
 _H = (m.PASSAGES, m.QUERIES, SCORED, HITS)
@@ -221,7 +270,7 @@ def _probes(s, d):
 
 add("p2_check_probes", lambda s, d: j.check_probes(_results(s, d).withColumn("answer", F.concat("answer", F.when(F.col("step") == "4", F.lit(" call 01234 567 890")).otherwise(F.lit("")))).withColumnRenamed("case_id", "probe_id"), _probes(s, d), ["0999999999"]), m.QUESTIONS, _P,
     """SELECT qid AS probe_id, CASE WHEN low IS NULL THEN 'no result' WHEN contains(low, 'nicht') THEN 'banned text' WHEN length(text) % 11 = 0 AND length(text) % 8 <> 5 THEN 'not refused' WHEN length(text) % 2 = 0 AND NOT contains(low, 'the') THEN 'nothing wanted' WHEN length(text) % 3 = 0 THEN 'restricted source' WHEN length(text) % 9 = 4 THEN 'unknown phone number' END AS fault FROM questions LEFT JOIN rs ON case_id = qid""")
-add("p3_audience_leak", lambda s, d: j.audience_leak(_hits(s, d).where("qid % 3 = 0"), m.passages(s, d).where("audience != 'public' or passage_id % 4 = 0")).select("qid", "passage_id"), *_H, "SELECT qid, passage_id FROM hits WHERE qid % 3 = 0 AND (audience <> 'public' OR passage_id % 4 = 0)")
+add("p3_audience_leak", lambda s, d: j.audience_leak(_hits(s, d), m.passages(s, d).where("audience != 'public' or document_type = 'commercial'")).select("qid", "passage_id"), *_H, "SELECT qid, passage_id FROM hits WHERE audience <> 'public' OR document_type = 'commercial'")
 _gold = lambda s, d: s.read.parquet(f"{d}/labels.parquet").select(F.col("doc_id").alias("case_id"), F.when(F.col("quality") == 1, "answer").otherwise("abstain").alias("expected"), (F.col("doc_id") % 3 != 0).alias("answered"), (F.col("doc_id") % 5 != 0).alias("supported"))
 _G = "gd AS (SELECT CASE WHEN quality = 1 THEN 'answer' ELSE 'abstain' END AS expected, doc_id % 3 <> 0 AS answered, doc_id % 5 <> 0 AS supported FROM labels)"
 add("p4_gold_metrics", lambda s, d: j.gold_metrics(_gold(s, d)), _G, "SELECT expected, count(*) AS total, count(*) FILTER (CASE WHEN expected = 'answer' THEN answered AND supported ELSE NOT answered END) AS passed, count(*) FILTER (expected = 'answer' AND NOT answered) AS over_refusals, count(*) FILTER (answered AND NOT supported) AS unsupported FROM gd GROUP BY expected")

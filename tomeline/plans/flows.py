@@ -71,16 +71,38 @@ def _span_stream(s, d):
         F.col("event_id").alias("span_id"), F.coalesce(F.try_element_at(name, F.col("event_type")), F.lit("odd one")).alias("name"), F.col("ts").cast("timestamp").alias("started_at"),
         F.when(F.col("event_id") % 97 == 0, -F.round(F.col("value") * 10)).otherwise(F.round(F.col("value") * 10)).alias("duration_ms"), F.col("user_id").alias("session_id"),
         F.when(F.col("event_type") == "error", "error").otherwise("ok").alias("status"), m.pick(m.SOURCES, F.col("user_id") % 5).alias("source"), (k % 2 == 0).alias("hit"),
+        (k / 100.0).cast("double").alias("top_score"), m.pick(m.PATHS, k % 8).alias("path"), F.when(k % 3 == 0, F.array(F.concat(F.lit("check "), (k % 9).cast("string")))).alias("failed"),
     )
 
 
-def _run(df, mode="append"):
-    return st.run_available(df, f"t{uuid.uuid4().hex}", mode)
+def _run(df):
+    return st.run_available(df, f"t{uuid.uuid4().hex}")
 
 
-add("m15_metrics_stream", lambda s, d: _run(st.metrics_stream(_span_stream(s, d)), "update").withColumns({c: F.unix_micros(c) for c in ("start", "stop")}), m.SPANS,
-    f"n AS (SELECT span_id, epoch_us(time_bucket(INTERVAL 1 HOUR, started_at)) AS start, CASE WHEN lower(source) IN ('cli', 'web', 'evaluation', 'unknown') THEN lower(source) ELSE 'other' END AS source, CASE WHEN name IN ({', '.join(repr(x) for x in t.NAMES)}) THEN name ELSE 'other' END AS name, CASE WHEN duration_ms >= 0 THEN duration_ms END AS duration_ms, status, hit FROM spans)",
-    "SELECT start, start + 3600000000 AS stop, source, name, count(*) AS n, count(*) FILTER (status <> 'ok') AS errors, count(*) FILTER (hit AND name = 'cache_lookup') AS hits, sum(duration_ms) AS total_ms FROM n GROUP BY ALL")
+def _upserted(stream, keys):
+    spark = stream.sparkSession
+    return st.run_upserts(stream, keys, f"{shared_dir(spark)}/upserts-{uuid.uuid4().hex}").read(spark)
+
+
+def _windows(s, d, *columns, slide=None):
+    out = _upserted(st.metrics_stream(_span_stream(s, d), m.PATHS[:-1], "1 hour", slide), ["start", "source", "name"])
+    flat = {c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",") for c, kind in out.dtypes if kind.startswith("array") and c in columns}
+    return out.select("start", "stop", "source", "name", *columns).withColumns({c: F.unix_micros(c) for c in ("start", "stop")} | flat)
+
+
+_SPAN_ROWS = f"n AS (SELECT span_id, epoch_us(time_bucket(INTERVAL 1 HOUR, started_at)) AS start, epoch_us(time_bucket(INTERVAL 15 MINUTE, started_at)) AS quarter, CASE WHEN lower(source) IN ('cli', 'web', 'evaluation', 'unknown') THEN lower(source) ELSE 'other' END AS source, CASE WHEN name IN ({', '.join(repr(x) for x in t.NAMES)}) THEN name ELSE 'other' END AS name, CASE WHEN duration_ms >= 0 THEN duration_ms END AS duration_ms, status, hit, path, failed, top_score FROM spans)"
+_MEASURES = "count(*) AS n, count(*) FILTER (status <> 'ok') AS errors, count(*) FILTER (hit AND name = 'cache_lookup') AS hits, sum(duration_ms) AS total_ms"
+_COUNTS = lambda what: "array_to_string([" + ", ".join(f"count(*) FILTER ({x})" for x in what) + "], ',')"
+_OUTCOME = {o: [p for p in m.PATHS[:-1] if t.OUTCOMES.get(p) == o] for o in sorted(set(t.OUTCOMES.values()))}
+add("m15_metrics_stream", lambda s, d: _windows(s, d, "n", "errors", "hits", "total_ms"), m.SPANS, _SPAN_ROWS, f"SELECT start, start + 3600000000 AS stop, source, name, {_MEASURES} FROM n GROUP BY ALL")
+add("m15_sliding_windows", lambda s, d: _windows(s, d, "n", "errors", "hits", "total_ms", slide="15 minutes"), m.SPANS, _SPAN_ROWS,
+    f"SELECT s AS start, s + 3600000000 AS stop, source, name, {_MEASURES} FROM (SELECT *, unnest([quarter, quarter - 900000000, quarter - 1800000000, quarter - 2700000000]) AS s FROM n) GROUP BY ALL")
+add("m15_routes_checks_scores", lambda s, d: _windows(s, d, "paths", "outcomes", "lookups", "runs", "failures", "scores"), m.SPANS, _SPAN_ROWS,
+    f"""SELECT start, start + 3600000000 AS stop, source, name, {_COUNTS(f"name = 'part' AND path = '{p}'" for p in m.PATHS[:-1])} AS paths, {_COUNTS("name = 'part' AND path IN (" + ", ".join(repr(p) for p in ps) + ")" for ps in _OUTCOME.values())} AS outcomes,
+    count(*) FILTER (name = 'cache_lookup') AS lookups, count(*) FILTER (name = 'checks') AS runs, {_COUNTS(f"name = 'checks' AND list_contains(failed, '{c}')" for c in t.CHECKS)} AS failures, {_COUNTS([*(f"name = 'retrieval' AND top_score <= {b}" for b in t.BOUNDS), "name = 'retrieval' AND top_score IS NOT NULL"])} AS scores FROM n GROUP BY ALL""")
+add("m16_session_stream", lambda s, d: _run(st.session_stream(_span_stream(s, d))).withColumns({c: F.unix_micros(c) for c in ("start", "stop")}), m.SPANS,
+    "x AS (SELECT session_id, started_at AS t, status, CASE WHEN started_at < lag(started_at) OVER (PARTITION BY session_id ORDER BY started_at) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM spans WHERE session_id IS NOT NULL), y AS (SELECT *, sum(new) OVER (PARTITION BY session_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM x)",
+    "SELECT session_id, epoch_us(min(t)) AS start, epoch_us(max(t) + INTERVAL 30 MINUTE) AS stop, count(*) AS spans, count(*) FILTER (status <> 'ok') AS errors FROM y GROUP BY session_id, k HAVING max(t) + INTERVAL 30 MINUTE <= (SELECT max(started_at) - INTERVAL 10 MINUTE FROM spans)")
 
 
 def _turn_stream(s, d):
@@ -106,11 +128,6 @@ def _fact_stream(s, d):
     return r.select("conv_id", F.expr("turn div 4").alias("case_id"), "turn", at.alias("at"), F.expr("turn % 4 = 0 and turn > 0").alias("opens"), both.alias("facts"))
 
 
-def _upserted(stream, keys):
-    spark = stream.sparkSession
-    return st.run_upserts(stream, keys, f"{shared_dir(spark)}/upserts-{uuid.uuid4().hex}").read(spark)
-
-
 def _session_facts(s, d):
     return _upserted(st.session_facts(_fact_stream(s, d)), ["conv_id", "case_id", "slot"])
 
@@ -118,3 +135,6 @@ def _session_facts(s, d):
 add("k8_session_facts", lambda s, d: _joined(_session_facts(s, d).drop("touched", "expired")), m.TURNS, CASES, FOLD, KNOWN)
 add("k8_session_rows", lambda s, d: st.session_rows(_session_facts(s, d)).select("conv_id", "cases", "slots"), m.TURNS, CASES, FOLD,
     "SELECT conv_id, count(DISTINCT case_id) AS cases, count(*) FILTER (case_id = last AND status = 'active') AS slots FROM (SELECT *, max(case_id) OVER (PARTITION BY conv_id) AS last FROM folded) GROUP BY conv_id")
+add("k5_turn_sessions", lambda s, d: _run(st.turn_sessions(_turn_stream(s, d))).select("conv_id", "first", "last", "turns"), m.TURNS,
+    "x AS (SELECT conv_id, turn, turns.\"at\" AS t, CASE WHEN turns.\"at\" < lag(turns.\"at\") OVER (PARTITION BY conv_id ORDER BY turns.\"at\", turn) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM turns), y AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY t, turn) AS k FROM x)",
+    "SELECT conv_id, min(turn) AS first, max(turn) AS last, count(*) AS turns FROM y GROUP BY conv_id, k HAVING max(t) + INTERVAL 30 MINUTE <= (SELECT max(turns.\"at\") - INTERVAL 10 MINUTE FROM turns)")

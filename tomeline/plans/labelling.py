@@ -8,6 +8,7 @@ from ..operators import eligibility as el
 from ..operators import labelling as lb
 from ..operators import retrieval as r
 from ..sources import model as m
+from ..store import materialise
 from .base import collection
 from .retrieval import HITS, SCORED
 
@@ -72,9 +73,10 @@ add("h14_relevance_gate", lambda s, d: lb.relevance_gate(_asked(s, d), _hits(s,
 
 
 def _facts(s, d):
-    top = r.abstain(m.queries(s, d), _hits(s, d), 0.3)
-    one = _hits(s, d).groupBy("qid").agg((F.count_distinct("canonical_url") == 1).alias("one_document"), F.min(F.col("audience") == "staff").alias("staff_only"))
-    j = top.join(lb.relevance_gate(_asked(s, d), _hits(s, d)), "qid").join(lb.is_deferral(_hits(s, d), "ation"), "qid").join(one, "qid")
+    hits = materialise(_hits(s, d), "hits")  # read four times
+    top = r.abstain(m.queries(s, d), hits, 0.3)
+    one = hits.groupBy("qid").agg((F.count_distinct("canonical_url") == 1).alias("one_document"), F.min(F.col("audience") == "staff").alias("staff_only"))
+    j = top.join(lb.relevance_gate(_asked(s, d), hits), "qid").join(lb.is_deferral(hits, "ation"), "qid").join(one, "qid")
     return j.select("*", (F.col("qid") % 7 == 0).alias("asks_cause"), (~F.col("met")).alias("property_absent"), F.lit(False).alias("substrate_absent"), (F.col("qid") % 11 == 0).alias("needs_substrate"), (F.col("qid") % 13 == 0).alias("calculation"))
 
 
@@ -121,17 +123,19 @@ _CAND = "cd AS (SELECT qid, product, row_number() OVER (PARTITION BY qid ORDER B
 add("i2_discover", _candidates, *_H, _CAND, "SELECT * FROM cd")
 
 
+CAVEATS, EXCLUDED = ("p2", "p5"), ("p3",)  # products with a published caveat, and those ruled out
+
+
 def _assess(s, d):
-    ev = m.passages(s, d).select(F.when(F.col("authority") == 1, "substrate").otherwise("cover").alias("property"), "product", "passage_id").where("passage_id % 3 = 0")
-    cav = m.passages(s, d).where("passage_id < 6").select("product")
-    out = m.passages(s, d).where("passage_id < 2").select("product")
+    ev = m.passages(s, d).select(F.when((F.col("authority") == 1) & (F.col("audience") == "staff"), "substrate").otherwise("cover").alias("property"), "product", "passage_id")
+    cav, out = (s.createDataFrame([(x,) for x in names], "product string") for names in (CAVEATS, EXCLUDED))
     prop = m.queries(s, d).select("qid", F.explode(F.array(F.lit("substrate"), F.lit("cover"))).alias("property"))
     return el.assess(_candidates(s, d), prop, ev, cav, out)
 
 
-_ASSESS = """ev AS (SELECT DISTINCT product, CASE WHEN authority = 1 THEN 'substrate' ELSE 'cover' END AS property FROM passages WHERE passage_id % 3 = 0),
+_ASSESS = """ev AS (SELECT DISTINCT product, CASE WHEN authority = 1 AND audience = 'staff' THEN 'substrate' ELSE 'cover' END AS property FROM passages),
 ax AS (SELECT qid, product, coalesce(list(property) FILTER (ok), []) AS s, coalesce(list(property) FILTER (NOT ok), []) AS u FROM (SELECT qid, product, property, (product, property) IN (SELECT (product, property) FROM ev) AS ok FROM cd, (VALUES ('substrate'), ('cover')) v(property)) GROUP BY ALL),
-ay AS (SELECT qid, product, CASE WHEN product IN (SELECT product FROM passages WHERE passage_id < 2) THEN 'incompatible' WHEN list_contains(u, 'substrate') THEN 'insufficient' WHEN len(u) > 0 OR product IN (SELECT product FROM passages WHERE passage_id < 6) THEN 'conditional' ELSE 'supported' END AS status, list_sort(s) AS s, list_sort(u) AS u FROM ax)"""
+ay AS (SELECT qid, product, CASE WHEN product IN ('p3') THEN 'incompatible' WHEN list_contains(u, 'substrate') THEN 'insufficient' WHEN len(u) > 0 OR product IN ('p2', 'p5') THEN 'conditional' ELSE 'supported' END AS status, list_sort(s) AS s, list_sort(u) AS u FROM ax)"""
 add("i3_assess", lambda s, d: _assess(s, d).select("qid", "product", "status", F.array_join("supported", ",").alias("supported"), F.array_join("unsupported", ",").alias("unsupported")), *_H, _CAND, _ASSESS, "SELECT qid, product, status, array_to_string(s, ',') AS supported, array_to_string(u, ',') AS unsupported FROM ay")
 RULES = [(0, "P1", "brick", True, False, True, ["prime first"]), (1, "p1", "brick", False, True, True, []), (2, "p2", "Brick", True, True, False, []), (3, "p3", "stone", True, True, True, [])]
 _compat = lambda s, d: el.compatible(_candidates(s, d).select("qid", "product", F.lit("brick").alias("substrate"), F.when(F.col("qid") % 3 == 0, "outside").when(F.col("qid") % 3 == 1, "inside").alias("location")), s.createDataFrame(RULES, "nth int, product string, substrate string, interior boolean, exterior boolean, recommended boolean, caveats array<string>"))

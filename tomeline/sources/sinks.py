@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,38 +14,67 @@ class StaleParent(RuntimeError):
 
 
 def current_snapshot(spark: SparkSession, root: str) -> str | None:
-    """The id with the greatest number in the pointer table, or None before the first publication."""
+    """The id in the pointer file with the greatest number, or None before the first publication."""
     return _newest(spark, f"{root}/pointer")[1]
 
 
+def _files(spark: SparkSession, path: str):
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return jvm, p, p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
 def _newest(spark: SparkSession, path: str) -> tuple[int, str | None]:
+    """Number and id of the newest pointer; (0, None) if there is none."""
+    _, p, fs = _files(spark, path)
+    if not fs.exists(p) or not any(f.getPath().getName().endswith(".parquet") for f in fs.listStatus(p)):
+        return 0, None
+    row = spark.read.schema("n long, id string").parquet(path).agg(F.max(F.struct("n", "id")).alias("x")).first()
+    return row.x.n, row.x.id
+
+
+def _claim(spark: SparkSession, path: str, number: int, to: str) -> bool:
+    """Make the pointer file of this number, whole or not at all; False if another writer has it.
+    The file is written aside and linked or renamed to its name, which fails where there is one."""
+    jvm, p, fs = _files(spark, path)
+    aside = jvm.org.apache.hadoop.fs.Path(p, f"_{uuid.uuid4().hex}")  # readers pass over such names
+    spark.createDataFrame([(number, to)], "n long, id string").coalesce(1).write.parquet(aside.toString())
+    written = next(f.getPath() for f in fs.listStatus(aside) if f.getPath().getName().endswith(".parquet"))
+    target = jvm.org.apache.hadoop.fs.Path(p, f"{number:012d}.parquet")
     try:
-        row = spark.read.schema("n long, id string").parquet(path).agg(F.max(F.struct("n", "id")).alias("x")).first()
-    except Exception as e:  # no pointer yet
-        if "PATH_NOT_FOUND" in str(e):
-            return 0, None
+        if fs.getScheme() == "file":  # a local rename replaces, a link doesn't
+            local = lambda x: jvm.java.io.File(x.toUri().getPath()).toPath()
+            jvm.java.nio.file.Files.createLink(local(fs.makeQualified(target)), local(written))
+        else:
+            none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), fs.getConf()).rename(written, target, none)
+    except Py4JJavaError as e:
+        if "AlreadyExists" in str(e.java_exception):
+            return False
         raise
-    return (row.x.n, row.x.id) if row.x else (0, None)
+    finally:
+        fs.delete(aside, True)
+    return True
 
 
-def _point(spark: SparkSession, path: str, to: str) -> None:
-    """A row more, numbered; nothing is replaced, so readers always find one of the two ids."""
-    spark.createDataFrame([(_newest(spark, path)[0] + 1, to)], "n long, id string").coalesce(1).write.mode("append").parquet(path)
-
-
-def guard_parent(spark: SparkSession, root: str, parent: str | None) -> None:
-    now = current_snapshot(spark, root)
+def guard_parent(spark: SparkSession, root: str, parent: str | None) -> int:
+    """The parent's number, if it is the current snapshot."""
+    n, now = _newest(spark, f"{root}/pointer")
     if now != parent:
         raise StaleParent(f"parent is {parent}, current is {now}")
+    return n
 
 
 def write_snapshot(spark: SparkSession, tables: dict[str, DataFrame], snapshot_id: str, root: str, parent: str | None) -> None:
-    """All tables below snapshot_id=..., then the pointer: readers see all or nothing."""
-    guard_parent(spark, root, parent)
+    """All tables below snapshot_id=..., then the pointer: readers see all or nothing.
+
+    The pointer after the parent's has one number, and only one writer can have it: of
+    several that start from one parent, one publishes and the others get StaleParent."""
+    n = guard_parent(spark, root, parent)
     for name, df in tables.items():
         df.write.mode("errorifexists").parquet(f"{root}/snapshot_id={snapshot_id}/{name}")
-    guard_parent(spark, root, parent)
-    _point(spark, f"{root}/pointer", snapshot_id)
+    if not _claim(spark, f"{root}/pointer", n + 1, snapshot_id):
+        raise StaleParent(f"parent {parent} was succeeded by another snapshot meanwhile")
 
 
 def read_snapshot(spark: SparkSession, root: str, names: list[str]) -> dict[str, DataFrame]:
@@ -65,7 +97,9 @@ def write_curated(df: DataFrame, statistics: DataFrame, root: str, version: str,
     stamp = {"version": F.lit(version), "curated_at": F.current_timestamp() if at is None else F.lit(at).cast("timestamp")}
     df.withColumns(stamp).write.parquet(f"{root}/{version}/cases")
     statistics.withColumns(stamp).write.parquet(f"{root}/{version}/statistics")
-    _point(df.sparkSession, f"{root}/pointer", version)
+    pointer = f"{root}/pointer"
+    while not _claim(df.sparkSession, pointer, _newest(df.sparkSession, pointer)[0] + 1, version):
+        pass  # another version came first; this one comes after it
 
 
 def read_curated(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:

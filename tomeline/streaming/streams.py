@@ -24,23 +24,30 @@ from ..store import shared_dir
 LATE = "10 minutes"
 
 
-def metrics_stream(spans: DataFrame, window: str = "1 hour", slide: str | None = None, late: str = LATE) -> DataFrame:
-    """Counts, errors, outcomes, cache hits and time by event-time window, source and
-    span.  Repeated span ids within the watermark count once; later rows are dropped by
-    the watermark (Spark reports them as numRowsDroppedByWatermark)."""
+def metrics_stream(spans: DataFrame, paths, window: str = "1 hour", slide: str | None = None, late: str = LATE) -> DataFrame:
+    """The measures of telemetry.window_measures by event-time window (tumbling, or sliding by
+    slide), source and span.  Repeated span ids within the watermark count once; later rows
+    are dropped by the watermark and counted (run_upserts)."""
     s = t.normalise_spans(spans.withColumn("started_at", F.col("started_at").cast("timestamp")))
     s = s.withWatermark("started_at", late).dropDuplicatesWithinWatermark(["span_id"])
     w = F.window("started_at", window, slide) if slide else F.window("started_at", window)
-    g = s.groupBy(w.alias("w"), "source", "name").agg(
-        F.count("*").alias("n"), F.count_if(F.col("status") != "ok").alias("errors"), F.count_if(F.col("hit") & (F.col("name") == "cache_lookup")).alias("hits"), F.sum("duration_ms").alias("total_ms")
-    )
-    return g.select(F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "source", "name", "n", "errors", "hits", "total_ms")
+    g = s.groupBy(w.alias("w"), "source", "name").agg(*t.window_measures(paths))
+    return g.select(F.col("w.start").alias("start"), F.col("w.end").alias("stop"), *[c for c in g.columns if c != "w"])
 
 
 def session_stream(spans: DataFrame, gap: str = "30 minutes", late: str = LATE) -> DataFrame:
+    """Activity sessions of each session id, once the watermark has passed their end."""
     return t.span_sessions(spans.withColumn("started_at", F.col("started_at").cast("timestamp")).withWatermark("started_at", late), gap)
 
 
+def turn_sessions(turns: DataFrame, idle: str = "30 minutes", late: str = LATE) -> DataFrame:
+    """Sessions of each conversation, once the watermark has passed their end: conv_id, start,
+    stop, turns, first, last.  A turn that comes later than that starts another one."""
+    t_ = turns.withColumn("at", F.col("at").cast("timestamp")).withWatermark("at", late)
+    g = t_.groupBy("conv_id", F.session_window("at", idle).alias("w")).agg(F.count("*").alias("turns"), F.min("turn").alias("first"), F.max("turn").alias("last"))
+    return g.select("conv_id", F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "turns", "first", "last")
+
+
 def append_once(path: str):
     """foreachBatch writer: a batch that is run again replaces its own rows only."""
 
@@ -200,10 +207,12 @@ def _exists(spark, path: str) -> bool:
 
 def run_upserts(stream: DataFrame, keys: list[str], path: str) -> Upserts:
     """Run a stream over what its source has now, into the keyed table path/rows; run again
-    with the same path, it goes on from there."""
+    with the same path, it goes on from there.  late_rows of the table: how many rows this run
+    dropped as later than the watermark."""
     table = Upserts(f"{path}/rows", keys, stream.schema)
     q = stream.writeStream.outputMode("update").foreachBatch(table.write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
+    table.late_rows = sum(o["numRowsDroppedByWatermark"] for p in q.recentProgress for o in p["stateOperators"])
     return table
 
 
@@ -215,19 +224,13 @@ def session_rows(folded: DataFrame) -> DataFrame:
     return g.select("conv_id", "cases", "slots", "touched", "expired")
 
 
-def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what its source has now and return the result table.
-
-    Appended rows go to the shared folder batch by batch and are read back; the driver
-    holds only results in other modes, which have a row for each group."""
+def run_available(stream: DataFrame, name: str) -> DataFrame:
+    """Run an appending stream over what its source has now and return the result table.
+    Rows go to the shared folder batch by batch and are read back."""
     spark = stream.sparkSession
-    if mode != "append":
-        q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-        q.awaitTermination()
-        return spark.table(name)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     spark.createDataFrame([], stream.schema).write.parquet(f"{path}/rows/batch=-1")  # a source may have nothing
-    q = stream.writeStream.outputMode(mode).foreachBatch(append_once(f"{path}/rows")).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    q = stream.writeStream.outputMode("append").foreachBatch(append_once(f"{path}/rows")).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows").select(stream.columns)
 
