@@ -1,4 +1,4 @@
-"""Publication by one writer only, versions as of a time, and trees of any depth."""
+"""Publication by one writer only, versions as of a time, trees of any depth, headings by layout."""
 
 import random
 import threading
@@ -6,7 +6,10 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from tomeline.operators import telemetry, versions
+from pyspark.sql import functions as F
+
+from tomeline.functions import text
+from tomeline.operators import sections, telemetry, versions
 from tomeline.sources import sinks
 
 START = datetime(2024, 1, 1)
@@ -89,3 +92,18 @@ def test_quantiles_are_the_observed_nearest_ranks(spark):
     for accuracy in (1_000, 40):  # with a coarse sketch brackets are wider, and the values the same
         got = {(r.source, r["name"]): (r.q5, r.q9, r.q95, r.q99) for r in telemetry.latency_quantiles(df, accuracy=accuracy).collect()}
         assert got == want
+
+
+def test_plain_headings_are_told_by_the_line_that_follows(spark):
+    long = "This line goes on for rather more than fifty-five characters, as a body does."
+    page = ["Mixing", long, "Add water", "Short line", "Coverage", long, "n/a", long, "ends with a stop.", long, "lower case", long, "Nine words are too many for a heading here", long, "Contents:", long, "Tools:", long, "Stop:", long]
+    rows = [("d", 0, i, t, 10.0, False) for i, t in enumerate(page)] + [("e", 0, 0, "Title", 12.0, False), ("e", 0, 1, "x", 10.0, False), ("e", 0, 2, "y" * 30, 10.0, False), ("f", 0, 0, "only", 10.0, False)]
+    got = sections.lines_to_sections(spark.createDataFrame(rows, "doc_id string, page long, line long, text string, size double, bold boolean")).collect()
+    heads = {d: [r.heading for r in sorted(got, key=lambda r: r.seq) if r.doc_id == d] for d in "def"}
+    assert heads == {"d": ["Mixing", "Coverage", "Contents:", "Tools:"], "e": ["Title"], "f": [""]}
+
+
+def test_product_names_from_titles_and_urls(spark):
+    rows = [("Solo Mortar for Old Walls, Duo | Brand", "", "u", "Solo Mortar"), ("  ", "Duo - | x", "u", "Duo"), ("A", "", "http://h/a/fine%20lime-mortar_2.PDF", "Fine Lime Mortar 2"), (None, None, "http://h/trio/", "Trio"), ("Format: ", "", "u", "Format")]
+    df = spark.createDataFrame(rows, "entry string, title string, url string, want string")
+    assert [r.got for r in df.select(text.product_name(F.col("entry"), F.col("title"), F.col("url")).alias("got")).collect()] == [r[3] for r in rows]

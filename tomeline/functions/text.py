@@ -77,10 +77,13 @@ def iso_date(c: Column, fallback: Column) -> Column:
 
 
 def product_name(entry: Column, title: Column, url: Column) -> Column:
-    """Name before the pipe, first of a list, without a 'for ...' tail; else from the url's last part; at most 80 characters."""
-    name = F.trim(F.regexp_replace(F.element_at(F.split(F.substring_index(F.coalesce(F.nullif(F.trim(entry), F.lit("")), title), "|", 1), "[/,]"), 1), " for .*$", ""))
-    slug = F.initcap(F.regexp_replace(F.regexp_extract(url, "([^/?#]*)(?:[?#].*)?$", 1), "[-_]+", " "))
-    return F.substring(F.when(F.length(name) >= 3, name).otherwise(slug), 1, 80)
+    """Name before the pipe, first of a list, without a 'for ...' tail and marks at its ends; under three
+    characters, the url's last part without its ending, %20 and dashes as spaces; at most 80 characters."""
+    name = F.element_at(F.split(F.substring_index(F.coalesce(F.nullif(F.trim(entry), F.lit("")), title), "|", 1), "[/,]"), 1)
+    name = F.trim(F.regexp_replace(name, "(?i)[ \\t]*\\bfor\\b.*$", ""), F.lit(" -–:"))
+    slug = F.regexp_replace(F.regexp_extract(url, "([^/?#]*)/*(?:[?#].*)?$", 1), "(?i)[.](?:pdf|html?)$", "")
+    slug = F.initcap(F.regexp_replace(F.replace(slug, F.lit("%20"), F.lit(" ")), "[-_]+", " "))
+    return F.trim(F.substring(F.when(F.length(name) >= 3, name).otherwise(slug), 1, 80))
 
 
 def citation_name(link_text: Column, title: Column, url: Column) -> Column:

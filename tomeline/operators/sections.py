@@ -47,20 +47,35 @@ def faq_sections(pages: DataFrame) -> DataFrame:
     return pages.select("doc_id", x).select("doc_id", F.col("seq").cast("long").alias("seq"), _plain(F.col("x.q")).alias("heading"), _plain(F.col("x.a")).alias("text"))
 
 
-def lines_to_sections(lines: DataFrame, share: float = 0.6) -> DataFrame:
+# What a cell prints that has nothing to report, and the longest heading.
+PLACEHOLDERS, HEADING = ("none", "nil", "n/a", "na", "tbc", "tba", "-", "–", "—"), 60
+
+
+def heading_like(line: Column) -> Column:
+    """Whether a line has the shape of a heading: 3 to 60 characters and at most eight words, with a
+    letter, a capital or a figure first, no mark of a sentence last, and no placeholder."""
+    c = F.trim(line)
+    ends = F.regexp_like(c, F.lit("[.,;:]$")) & ~c.endswith("s:")
+    shape = F.length(c).between(3, HEADING) & F.regexp_like(c, F.lit("^[A-Z0-9]")) & F.regexp_like(c, F.lit("[A-Za-z]")) & (F.size(F.regexp_extract_all(c, F.lit("[^ \\t]+"), F.lit(0))) <= 8)
+    return shape & ~ends & ~F.lower(c).isin(*PLACEHOLDERS)
+
+
+def lines_to_sections(lines: DataFrame, share: float = 0.6, body_line: int = 55) -> DataFrame:
     """doc_id, seq, heading, text from lines(doc_id, page, line, text, size, bold).
 
     Furniture: the same short line on max(3, share of the pages) pages or more.
-    Body size: the size with the most characters.  A heading is short and larger
-    than the body, or bold.  Headings start sections; a document without any has
-    one section for each page."""
+    Body size: the size with the most characters.  A heading has the shape of one, and is
+    larger than the body, or bold, or stands before a line of over body_line characters that
+    has not.  Headings start sections; a document without any has one section for each page."""
+    ahead = F.coalesce(F.lead("text").over(W.partitionBy("doc_id").orderBy("page", "line")), F.lit(""))
+    lines = lines.withColumn("leads", (F.length(ahead) > body_line) & ~heading_like(ahead))
     pages = lines.groupBy("doc_id").agg(F.count_distinct("page").alias("pages"))
     seen = lines.where(F.length("text") <= 90).groupBy("doc_id", "text").agg(F.count_distinct("page").alias("on"))
     furniture = seen.join(pages, "doc_id").where(F.col("on") >= F.greatest(F.lit(3), F.floor(F.col("pages") * share))).select("doc_id", "text")
     kept = lines.join(furniture, ["doc_id", "text"], "left_anti")
     by_size = kept.groupBy("doc_id", "size").agg(F.sum(F.length("text")).alias("chars"))
     body = by_size.groupBy("doc_id").agg(F.max_by("size", F.struct("chars", "size")).alias("body"))
-    head = (F.length("text") <= 90) & ~F.col("text").endswith(".") & ((F.col("size") > F.col("body") + 0.4) | (F.col("bold") & (F.col("size") >= F.col("body") - 0.2)))
+    head = heading_like(F.col("text")) & ((F.col("size") > F.col("body") + 0.4) | (F.col("bold") & (F.col("size") >= F.col("body") - 0.2)) | F.col("leads"))
     k = kept.join(body, "doc_id").withColumn("head", head)
     order = W.partitionBy("doc_id").orderBy("page", "line")
     k = k.withColumn("heads", F.sum(F.col("head").cast("long")).over(order)).withColumn("all_heads", F.max("heads").over(W.partitionBy("doc_id")))

@@ -66,12 +66,15 @@ def _lines(s, d):
     return rows.select("doc_id", F.floor(F.col("i") / 10).alias("page"), (F.col("i") % 10).cast("long").alias("line"), F.when(F.col("i") % 10 == 9, F.lit("Page footer")).otherwise(F.col("text")).alias("text"), F.when(F.col("i") % 7 == 3, 12.0).otherwise(10.0).alias("size"), (F.col("i") % 11 == 5).alias("bold"))
 
 
-_LN = f"""ln AS (SELECT doc_id, i // 10 AS page, i % 10 AS line, CASE WHEN i % 10 = 9 THEN 'Page footer' ELSE l[i + 1] END AS text, CASE WHEN i % 7 = 3 THEN 12.0::DOUBLE ELSE 10.0 END AS size, i % 11 = 5 AS bold FROM (SELECT doc_id, {_LINES} AS l FROM documents), unnest(range(len(l))) u(i)),
+_HEAD = lambda c: f"(length(trim({c}, ' ')) BETWEEN 3 AND {x.HEADING} AND regexp_matches(trim({c}, ' '), '^[A-Z0-9]') AND regexp_matches({c}, '[A-Za-z]') AND len(regexp_extract_all({c}, '[^ \\t]+')) <= 8 AND NOT (regexp_matches(trim({c}, ' '), '[.,;:]$') AND NOT ends_with(trim({c}, ' '), 's:')) AND lower(trim({c}, ' ')) NOT IN ({', '.join(repr(p) for p in x.PLACEHOLDERS)}))"
+_LN = f"""l0 AS (SELECT doc_id, i // 10 AS page, i % 10 AS line, CASE WHEN i % 10 = 9 THEN 'Page footer' ELSE l[i + 1] END AS text, CASE WHEN i % 7 = 3 THEN 12.0::DOUBLE ELSE 10.0 END AS size, i % 11 = 5 AS bold FROM (SELECT doc_id, {_LINES} AS l FROM documents), unnest(range(len(l))) u(i)),
+l1 AS (SELECT *, coalesce(lead(text) OVER (PARTITION BY doc_id ORDER BY page, line), '') AS ahead FROM l0),
+ln AS (SELECT * EXCLUDE (ahead), length(ahead) > 55 AND NOT {_HEAD('ahead')} AS leads FROM l1),
 pg AS (SELECT doc_id, count(DISTINCT page) AS pages FROM ln GROUP BY doc_id),
 fu AS (SELECT doc_id, text FROM ln JOIN pg USING (doc_id) WHERE length(text) <= 90 GROUP BY doc_id, text, pages HAVING count(DISTINCT page) >= greatest(3, floor(0.6 * pages))),
 kp AS (SELECT ln.* FROM ln ANTI JOIN fu USING (doc_id, text)),
 bd AS (SELECT doc_id, max_by(size, (chars, size)) AS body FROM (SELECT doc_id, size, sum(length(text)) AS chars FROM kp GROUP BY ALL) GROUP BY doc_id),
-hd AS (SELECT kp.*, length(text) <= 90 AND text NOT LIKE '%.' AND (size > body + 0.4 OR (bold AND size >= body - 0.2)) AS head FROM kp JOIN bd USING (doc_id)),
+hd AS (SELECT kp.*, {_HEAD('text')} AND (size > body + 0.4 OR (bold AND size >= body - 0.2) OR leads) AS head FROM kp JOIN bd USING (doc_id)),
 sq AS (SELECT *, sum(CAST(head AS INT)) OVER (PARTITION BY doc_id ORDER BY page, line) AS heads FROM hd),
 s2 AS (SELECT *, CASE WHEN max(heads) OVER (PARTITION BY doc_id) > 0 THEN heads ELSE page END AS seq FROM sq)"""
 add("d5_lines_to_sections", lambda s, d: x.lines_to_sections(_lines(s, d)).select("doc_id", "seq", "heading", F.sha2("text", 256).alias("digest")), _LN,
