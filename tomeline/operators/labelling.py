@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import MARK, sentences, words
+from ..functions.text import MARK, same_product, sentences, words
 from .matching import longest, occurrences, with_terms
 
 
@@ -96,14 +96,6 @@ def mentions(texts: DataFrame, aliases: DataFrame) -> DataFrame:
     return with_terms(found, aliases, "alias").select("qid", "product").distinct()
 
 
-def same_product(named: Column, candidate: Column, brand: str, apart: str = "primer") -> Column:
-    """Whether two names are of one product: without the brand, equal or one the other's first
-    words, and both or neither with the word that sets products apart.  Empty and null ones: no."""
-    a, b = (F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), f"^{brand} ", "")) for c in (named, candidate))
-    has = lambda c: F.regexp_like(c, F.lit(f"\\b{apart}\\b"))
-    return (a != "") & (b != "") & (has(a) == has(b)) & ((a == b) | F.startswith(a, F.concat(b, F.lit(" "))) | F.startswith(b, F.concat(a, F.lit(" "))))
-
-
 def reference_text(text: Column, aside: str) -> Column:
     """Text without quotations and without hypothetical or negated sentences."""
     return F.concat_ws(" ", F.filter(sentences(F.regexp_replace(text, '"[^"]*"', " ")), lambda s: ~F.regexp_like(F.lower(s), F.lit(aside))))

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import content_words, sentences, squash, words
+from ..functions.text import content_words, same_product, sentences, squash, whole_word, words
+from ..store import materialise
 from .matching import containing
 from .search import bounded, overlapping
 
@@ -149,25 +150,31 @@ def topk_per_product(queries: DataFrame, passages: DataFrame, k: int = 5, cap: i
 def property_evidence(queries: DataFrame, hits: DataFrame, passages: DataFrame, fields: DataFrame, limit: int = 3) -> DataFrame:
     """Up to limit lexical hits for each product and field asked for, after the scored
     ones.  queries: qid, audiences, product, fields (array); fields: field, terms."""
-    ask = queries.select("qid", "audiences", "product", F.explode("fields").alias("field")).join(F.broadcast(fields), "field")
+    ask = queries.select("qid", "audiences", "product", F.explode("fields").alias("field")).join(fields, "field")
     ask = ask.withColumn("of", F.col("qid")).withColumn("qid", F.concat_ws("/", F.col("of").cast("string"), "field"))
     found = find_passages(ask, passages, limit).select(F.substring_index("qid", "/", 1).cast("long").alias("qid"), "passage_id", "score", "rank")
     return merge_hits(hits, found)
 
 
 def missed_evidence(queries: DataFrame, hits: DataFrame, passages: DataFrame, noise: list[str], rare: int = 6, shared: int = 3, most: int = 3) -> DataFrame:
-    """Passages that hold a rare word of the question which no hit has, and share at
-    least shared other content words with it: qid, word, passage_id, at most most.
-    queries: qid, text, audiences.  Document frequencies cover all passages."""
-    q = queries.select("qid", "audiences", content_words(F.col("text"), 5).alias("asked"))
-    have = hits.join(passages.select("passage_id", content_words(F.concat_ws(" ", "section", "content"), 5).alias("w")), "passage_id").groupBy("qid").agg(F.array_distinct(F.flatten(F.collect_list("w"))).alias("have"))
+    """Passages that hold a rare word of the question which no hit has, and share more than
+    shared content words with it: qid, word, passage_id, at most most.  queries: qid, text,
+    audiences, product.  A word is looked up among the passages of the product, and where these
+    don't have it, or no product is named, among all; it is rare if so many of them hold it.
+    Passages are cut into words once; counts cover all of them."""
+    q = queries.select("qid", "audiences", F.col("product").alias("q_product"), content_words(F.col("text"), 5).alias("asked"))
+    p = materialise(passages.select("passage_id", "audience", "product", content_words(F.concat_ws(" ", "section", "content"), 5).alias("w")), "words")
+    have = hits.select("qid", "passage_id").join(p.select("passage_id", "w"), "passage_id").groupBy("qid").agg(F.array_distinct(F.flatten(F.collect_list("w"))).alias("have"))
     q = q.join(have, "qid", "left").withColumn("missing", F.array_except(F.array_except("asked", F.coalesce("have", F.array().cast("array<string>"))), F.array(*map(F.lit, noise))))
-    wanted = q.select("qid", "audiences", "asked", F.explode("missing").alias("word"))
-    p = passages.select("passage_id", "audience", content_words(F.concat_ws(" ", "section", "content"), 5).alias("w"))
-    # Only words and ids are shuffled for the frequencies; a passage's words come back for the rare ones' passages.
-    post = p.select("passage_id", F.explode("w").alias("word")).join(wanted.select("word").distinct(), "word", "left_semi")
-    df = post.groupBy("word").agg(F.count("*").alias("df")).where(F.col("df") <= rare)
-    found = wanted.join(df, "word").join(post, "word").join(p, "passage_id").where(audience_filter(F.col("audiences"), F.col("audience")) & (F.size(F.array_intersect("asked", "w")) > shared))
+    wanted = q.select("qid", "audiences", "q_product", "asked", F.explode("missing").alias("word"))
+    # Only words and ids are shuffled for the counts; a passage's words come back for the rare ones' passages.
+    post = p.select("passage_id", "product", F.explode("w").alias("word")).join(wanted.select("word").distinct(), "word", "left_semi")
+    per = post.groupBy("word", "product").agg(F.count("*").alias("n"))
+    own = wanted.join(per, "word").where(product_match(F.col("q_product"), F.col("product"))).groupBy("qid", "word").agg(F.sum("n").alias("own"))
+    all_ = per.groupBy("word").agg(F.sum("n").alias("n"))
+    scope = wanted.join(all_, "word").join(own, ["qid", "word"], "left").select("qid", "audiences", "q_product", "asked", "word", F.coalesce("own", "n").alias("df"), F.col("own").isNotNull().alias("inside")).where(F.col("df") <= rare)
+    within = scope.join(post, "word").where(~F.col("inside") | F.coalesce(product_match(F.col("q_product"), F.col("product")), F.lit(False))).drop("product")
+    found = within.join(p.drop("product"), "passage_id").where(audience_filter(F.col("audiences"), F.col("audience")) & (F.size(F.array_intersect("asked", "w")) > shared))
     once = found.groupBy("qid", "passage_id").agg(F.min(F.struct("df", "word")).alias("x"))
     n = F.row_number().over(W.partitionBy("qid").orderBy("x.df", "x.word", "passage_id"))
     return once.withColumn("rank", n).where(F.col("rank") <= most).select("qid", "passage_id", F.col("x.word").alias("word"), "rank")
@@ -214,16 +221,18 @@ def scoped_evidence(queries: DataFrame, hits: DataFrame) -> DataFrame:
     return j.where((F.size("products") == 0) | mine).drop("products")
 
 
-def evidence_binding(queries: DataFrame, hits: DataFrame, properties: DataFrame, most: int = 2) -> DataFrame:
+def evidence_binding(queries: DataFrame, hits: DataFrame, properties: DataFrame, most: int = 2, brand: str = "") -> DataFrame:
     """qid, property, passage_id, strength: for each property the passages with the
     longest matched term, + 100 if one sentence holds it and a figure; the best, with
-    ties, at most most.  queries: qid, properties; properties: property, terms."""
-    ask = queries.select("qid", F.explode("properties").alias("property")).join(F.broadcast(properties), "property")
-    j = hits.select("qid", "passage_id", "content", "rank").join(ask, "qid")
-    s = j.select("qid", "property", "passage_id", "rank", "terms", F.explode(sentences(F.col("content"))).alias("s"))
+    ties, at most most.  Where a product is named, its own passages come first, then those that
+    name it, then others.  queries: qid, product, properties; properties: property, terms."""
+    ask = queries.select("qid", F.col("product").alias("named"), F.explode("properties").alias("property")).join(properties, "property")
+    j = hits.select("qid", "passage_id", "product", "content", "rank").join(ask, "qid")
+    tier = F.when(F.coalesce("named", F.lit("")) == "", 0).when(same_product(F.col("named"), F.col("product"), brand), 0).when(whole_word(F.col("content"), F.col("named")), 1).otherwise(2)
+    s = j.select("qid", "property", "passage_id", "rank", "terms", tier.alias("tier"), F.explode(sentences(F.col("content"))).alias("s"))
     longest = F.array_max(F.transform(F.filter("terms", lambda t: F.contains(F.lower("s"), F.lower(t))), F.length))
-    g = s.withColumn("term", longest).where("term is not null").groupBy("qid", "property", "passage_id", "rank").agg((F.max("term") + F.max(F.when(F.regexp_like("s", F.lit("[0-9]")), 100).otherwise(0))).alias("strength"))
-    w = W.partitionBy("qid", "property").orderBy(F.desc("strength"))
+    g = s.withColumn("term", longest).where("term is not null").groupBy("qid", "property", "passage_id", "rank", "tier").agg((F.max("term") + F.max(F.when(F.regexp_like("s", F.lit("[0-9]")), 100).otherwise(0))).alias("strength"))
+    w = W.partitionBy("qid", "property").orderBy("tier", F.desc("strength"))
     g = g.withColumn("place", F.rank().over(w)).where("place = 1").withColumn("nth", F.row_number().over(W.partitionBy("qid", "property").orderBy("rank", "passage_id")))
     return g.where(F.col("nth") <= most).select("qid", "property", "passage_id", F.col("strength").cast("long").alias("strength"))
 

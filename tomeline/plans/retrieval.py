@@ -75,10 +75,11 @@ _qt = lambda s, d: q(s, d).join(s.read.parquet(f"{d}/documents.parquet").select(
 QT = "qt AS (SELECT q.*, text FROM queries q JOIN documents ON doc_id = qid)"
 _CW = lambda c, n: f"list_distinct(list_filter(regexp_extract_all(lower({c}), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+'), lambda w: length(w) >= {n}))"
 add("g13_missed_evidence", lambda s, d: r.missed_evidence(_qt(s, d), _hits(s, d), p(s, d), ["about"]), *_H, QT,
-    f"pw AS (SELECT passage_id, audience, {_CW('concat_ws(chr(32), section, content)', 5)} AS w FROM passages), aw AS (SELECT qid, audiences, {_CW('text', 5)} AS asked FROM qt)",
-    "hv AS (SELECT qid, flatten(list(w)) AS have FROM hits JOIN pw USING (passage_id) GROUP BY qid), ms AS (SELECT qid, audiences, asked, unnest(list_filter(asked, lambda x: NOT list_contains(coalesce(have, []), x) AND x <> 'about')) AS word FROM aw LEFT JOIN hv USING (qid))",
-    "ps AS (SELECT passage_id, audience, w, unnest(w) AS word FROM pw), df AS (SELECT word, count(*) AS df FROM ps GROUP BY word HAVING count(*) <= 6)",
-    "fd AS (SELECT qid, passage_id, min((df, ms.word)) AS x FROM ms JOIN df ON ms.word = df.word JOIN ps ON ps.word = ms.word WHERE list_contains(audiences, audience) AND len(list_intersect(asked, w)) > 3 GROUP BY ALL)",
+    f"pw AS (SELECT passage_id, audience, product, {_CW('concat_ws(chr(32), section, content)', 5)} AS w FROM passages), aw AS (SELECT qid, audiences, product AS q_product, {_CW('text', 5)} AS asked FROM qt)",
+    "hv AS (SELECT qid, flatten(list(w)) AS have FROM hits JOIN pw USING (passage_id) GROUP BY qid), ms AS (SELECT qid, audiences, q_product, asked, unnest(list_filter(asked, lambda x: NOT list_contains(coalesce(have, []), x) AND x <> 'about')) AS word FROM aw LEFT JOIN hv USING (qid))",
+    "ps AS (SELECT passage_id, audience, product, w, unnest(w) AS word FROM pw), pc AS (SELECT word, product, count(*) AS n FROM ps GROUP BY ALL), al AS (SELECT word, sum(n) AS n FROM pc GROUP BY word)",
+    f"ow AS (SELECT qid, ms.word, sum(n) AS own FROM ms JOIN pc ON pc.word = ms.word AND {_MATCH('q_product', 'product')} GROUP BY ALL), sc AS (SELECT ms.*, coalesce(own, al.n) AS df, own IS NOT NULL AS inside FROM ms JOIN al ON al.word = ms.word LEFT JOIN ow ON ow.qid = ms.qid AND ow.word = ms.word)",
+    f"fd AS (SELECT qid, passage_id, min((df, sc.word)) AS x FROM sc JOIN ps ON ps.word = sc.word AND (NOT inside OR {_MATCH('q_product', 'product')}) WHERE df <= 6 AND list_contains(audiences, audience) AND len(list_intersect(asked, w)) > 3 GROUP BY ALL)",
     "SELECT qid, passage_id, x[2] AS word, row_number() OVER (PARTITION BY qid ORDER BY x[1], x[2], passage_id) AS rank FROM fd QUALIFY rank <= 3")
 _rare = lambda s, d: q(s, d).withColumn("terms", F.array(F.lit("Section 5")))
 add("g14_gate_second_chance", lambda s, d: r.gate_second_chance(_rare(s, d), _hits(s, d), p(s, d)), *_H, "rr AS (SELECT qid, audiences, product, ['section 5'] AS terms FROM queries WHERE qid NOT IN (SELECT qid FROM hits WHERE contains(lower(concat_ws(chr(10), section, content)), 'section 5')))", f"more AS ({_LEX('rr')})", _MERGE("hits", "more"))
@@ -100,9 +101,9 @@ add("g18_scoped_evidence", lambda s, d: r.scoped_evidence(_products(s, d), _hits
 PROPS = [("p", ["the", "und", "inger"]), ("q", ["der", "que"])]
 _SENT = "list_filter(list_transform(string_split(regexp_replace(regexp_replace(content, '([.!?])[ \\t\\r\\n]+', '\\1' || chr(1), 'g'), '\\n+', chr(1), 'g'), chr(1)), lambda s: trim(s, ' ')), lambda s: s <> '')"
 BIND = f"""pr AS (SELECT * FROM (VALUES ('p', ['the', 'und', 'inger']), ('q', ['der', 'que'])) v(property, terms)),
-sb AS (SELECT qid, property, passage_id, rank, list_max(list_transform(list_filter(terms, lambda t: contains(lower(s), t)), lambda t: length(t))) AS term, regexp_matches(s, '[0-9]') AS fig FROM (SELECT qid, passage_id, rank, unnest({_SENT}) AS s FROM hits), pr),
-gb AS (SELECT qid, property, passage_id, rank, max(term) + max(CASE WHEN fig THEN 100 ELSE 0 END) AS strength FROM sb WHERE term IS NOT NULL GROUP BY ALL),
-bd AS (SELECT qid, property, passage_id, strength FROM (SELECT * FROM gb QUALIFY rank() OVER (PARTITION BY qid, property ORDER BY strength DESC) = 1) QUALIFY row_number() OVER (PARTITION BY qid, property ORDER BY rank, passage_id) <= 2)"""
+sb AS (SELECT qid, property, passage_id, rank, tier, list_max(list_transform(list_filter(terms, lambda t: contains(lower(s), t)), lambda t: length(t))) AS term, regexp_matches(s, '[0-9]') AS fig FROM (SELECT qid, passage_id, rank, CASE WHEN q_product = '' OR lower(q_product) = lower(product) THEN 0 WHEN contains(' ' || regexp_replace(lower(content), '[^a-z0-9\\x{{80}}-\\x{{10FFFF}}]+', ' ', 'g') || ' ', ' ' || lower(q_product) || ' ') THEN 1 ELSE 2 END AS tier, unnest({_SENT}) AS s FROM hits), pr),
+gb AS (SELECT qid, property, passage_id, rank, tier, max(term) + max(CASE WHEN fig THEN 100 ELSE 0 END) AS strength FROM sb WHERE term IS NOT NULL GROUP BY ALL),
+bd AS (SELECT qid, property, passage_id, strength FROM (SELECT * FROM gb QUALIFY rank() OVER (PARTITION BY qid, property ORDER BY tier, strength DESC) = 1) QUALIFY row_number() OVER (PARTITION BY qid, property ORDER BY rank, passage_id) <= 2)"""
 _bind = lambda s, d: r.evidence_binding(q(s, d).withColumn("properties", F.array(F.lit("p"), F.lit("q"))), _hits(s, d), s.createDataFrame(PROPS, "property string, terms array<string>"))
 add("g19_evidence_binding", _bind, *_H, BIND, "SELECT qid, property, passage_id, CAST(strength AS BIGINT) AS strength FROM bd")
 add("g20_binding_distinguishes", lambda s, d: r.binding_distinguishes(_bind(s, d)), *_H, BIND, "SELECT qid, max(n) = 1 AS distinguishes FROM (SELECT qid, passage_id, count(DISTINCT property) AS n FROM bd GROUP BY ALL) GROUP BY qid")
