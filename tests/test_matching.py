@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from tomeline.functions import text
 from tomeline.operators import labelling, matching, relations, retrieval, verification
 
 WORD = re.compile(r"[a-z0-9\x80-\U0010ffff]+")
@@ -55,7 +56,7 @@ def test_longest_occurrences_and_mentions(spark):
 def test_same_product_is_stricter_than_containment(spark):
     rows = [("Acme Duo", "duo", True), ("Duo", "Acme Duo Fine", True), ("Duo", "Duofix", False), ("Duo Primer", "Duo", False), ("Duo primer", "Acme Duo Primer Fine", True), ("", "duo", False), (None, "duo", False), ("ultra duo", "duo", False)]
     df = spark.createDataFrame(rows, "a string, b string, same boolean")
-    assert df.where(labelling.same_product(F.col("a"), F.col("b"), "acme") != F.col("same")).count() == 0
+    assert df.where(text.same_product(F.col("a"), F.col("b"), "acme") != F.col("same")).count() == 0
 
 
 def test_substrings_equal_contains(spark):

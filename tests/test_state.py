@@ -107,3 +107,31 @@ def test_idle_slots_end_late_turns_are_left_out_and_a_new_one_starts_empty(spark
     assert seen[3][1] == ("b", [], False) and seen[3][9] == ("y", ["z"], False)
     sessions = {r.conv_id: (r.cases, r.slots, r.expired) for r in st.session_rows(table.read(spark)).collect()}
     assert sessions == {1: (1, 1, False), 9: (1, 1, False)}
+
+
+SPAN = "span_id long, name string, started_at timestamp, duration_ms double, session_id long, status string, source string, hit boolean, top_score double, path string, failed array<string>"
+
+
+def test_windowed_measures_have_close_quantiles_and_late_rows_are_counted(spark, tmp_path):
+    rnd = random.Random(9)
+    at = lambda m: START + timedelta(minutes=m)
+    span = lambda i, m, ms=None, name="generation": (i, name, at(m), ms, 1, "ok", "cli", None, None, None, None)
+    times = [float(rnd.randint(0, 10**6)) for _ in range(4_000)]
+    first = [span(i, rnd.randint(0, 59), ms) for i, ms in enumerate(times)]
+    first += [span(0, 1, 5.0), (5_000, "checks", at(5), 1.0, 1, "error", "cli", None, None, None, ["check 1", "check 1", "odd"]), (5_001, "retrieval", at(5), 1.0, 1, "ok", "cli", None, 0.3, None, None), (5_002, "part", at(5), 1.0, 1, "ok", "cli", None, None, "refuse", None)]
+    steps = [first, [span(6_000, 180, 1.0)], [span(6_001, 5, 1.0), span(6_002, 185, 3.0)]]
+    source, path, late = f"{tmp_path}/in", f"{tmp_path}/out", []
+    for i, rows in enumerate(steps):
+        spark.createDataFrame(rows, SPAN).coalesce(1).write.parquet(f"{source}/f{i}")
+        stream = spark.readStream.schema(SPAN).parquet(f"{source}/*")
+        table = st.run_upserts(st.metrics_stream(stream, ["compose", "refuse"]), ["start", "source", "name"], path)
+        late.append(table.late_rows)
+    assert late == [0, 0, 1]
+    got = {(r.start.hour - START.hour, r["name"]): r for r in table.read(spark).collect()}
+    r = got[0, "generation"]
+    assert (r.n, got[3, "generation"].n, got[3, "generation"].total_ms) == (4_000, 2, 4.0)  # a repeated id counts once
+    times.sort()
+    for q, value in zip((0.5, 0.9, 0.95, 0.99), r.quantiles):
+        assert abs(times.index(value) + 1 - q * len(times)) <= len(times) / 1_000 + 1
+    assert got[0, "checks"].runs == got[0, "checks"].errors == 1 and got[0, "checks"].failures[:2] == [2, 0]
+    assert got[0, "retrieval"].scores[:2] == [1, 1] and got[0, "part"].paths == [0, 1]

@@ -23,16 +23,6 @@ from .search import bounded, overlapping
 BOOST, AUTHORITY_SPAN, THRESHOLD = 0.15, 0.02, 0.45
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def unit(v: Column) -> Column:
-    """The vector over its length; a zero vector stays."""
-    n = F.sqrt(dot(v, v))
-    return F.when(n == 0, v.cast("array<double>")).otherwise(F.transform(v, lambda x: x.cast("double") / n))
-
-
 def audience_filter(audiences: Column, audience: Column) -> Column:
     """Who may see a passage; part of the join condition, so it comes before scoring."""
     return F.array_contains(audiences, audience)

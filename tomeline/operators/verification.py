@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import content_words, sentences, squash, whole_word, words
+from ..functions.text import content_words, sentences, squash, whole_word
 from ..store import materialise
 from .relations import QUALIFIER, found_set, limits, relations, without_markers
 

@@ -50,7 +50,9 @@ _RT = f"array_to_string(list_filter({_S('text')}, lambda s: NOT regexp_matches(l
 add("h7_reference_text", lambda s, d: qs(s, d).select("qid", lb.reference_text(F.col("text"), "(^| )(of|nicht) ").alias("reference"), lb.asserted_text(F.col("text"), "(^| )(of|nicht) ", "(^| )that ").alias("asserted")), _Q,
     f"SELECT qid, {_RT} AS reference, array_to_string(list_filter({_S(_RT)}, lambda s: NOT (regexp_matches(lower(s), '(^| )that ') OR s LIKE '%?')), ' ') AS asserted FROM questions")
 add("h8_scenario_only", lambda s, d: qs(s, d).select("qid", lb.scenario_only(F.col("text"), "the", "of", "with").alias("scenario")), _Q, "SELECT qid, contains(lower(text), 'the') AND contains(lower(text), 'of') AND NOT contains(lower(text), 'with') AS scenario FROM questions")
-add("h8_denied_slots", lambda s, d: lb.denied_slots(qs(s, d), _vocab(s), "and|of|der"))
+add("h8_denied_slots", lambda s, d: lb.denied_slots(qs(s, d), _vocab(s), "and|of|der"), _Q, _V, "qw AS (SELECT qid, regexp_extract_all(lower(text), '[a-z0-9\\x{80}-\\x{10FFFF}]+') AS w FROM questions)",
+    "oc AS (SELECT qid, slot, value, len(list_filter(w[greatest(1, i - 3):i - 1], lambda x: x IN ('and', 'of', 'der'))) > 0 AS negated FROM qw, vocab, unnest(range(1, len(w) + 1)) u(i) WHERE w[i] = lower(term))",
+    "SELECT qid, slot, value FROM oc GROUP BY ALL HAVING bool_and(negated)")
 _gate = lambda s, d: lb.topic_gate(qs(s, d), TOPICS[:1])
 _INT = "CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{n}'" for n, p in INTENTS) + " ELSE 'unknown' END"
 add("h10_intent", lambda s, d: lb.intent(qs(s, d), _gate(s, d), INTENTS), _Q, f"SELECT qid, CASE WHEN regexp_matches(lower(text), '{TOPICS[0][1]}') THEN 'escalate' ELSE {_INT} END AS intent FROM questions")
