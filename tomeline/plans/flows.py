@@ -60,7 +60,7 @@ add("a14_store_images", lambda s, d: sk.store_images(m.cases(s, d).select(F.col(
 def _stream(s, d, columns):
     """The events table as a stream, by way of its schema."""
     e = s.read.parquet(f"{d}/events.parquet")
-    return s.readStream.schema(e.schema).option("pathGlobFilter", "events.parquet").parquet(d), columns
+    return s.readStream.schema(e.schema).parquet(f"{d}/events.parquet*"), columns  # a file or a folder of files
 
 
 def _span_stream(s, d):
@@ -107,7 +107,7 @@ add("m16_session_stream", lambda s, d: _run(st.session_stream(_span_stream(s, d)
 
 def _turn_stream(s, d):
     c = s.read.parquet(f"{d}/conversations.parquet")
-    r = s.readStream.schema(c.schema).option("pathGlobFilter", "conversations.parquet").parquet(d)
+    r = s.readStream.schema(c.schema).parquet(f"{d}/conversations.parquet*")
     at = F.expr("timestampadd(MINUTE, cast(conv_id * 60 + turn * 20 + CASE WHEN turn >= 4 THEN 120 ELSE 0 END as int), timestamp'2024-01-01 00:00:00')")
     return r.select("conv_id", "turn", at.alias("at"), F.when(F.length("text") % 3 == 0, F.substring("text", 1, 3)).alias("substrate"), F.when(F.length("text") % 5 == 0, F.col("role")).alias("location"))
 
@@ -119,7 +119,7 @@ add("k8_conversation_state", lambda s, d: _run(st.conversation_state(_turn_strea
 def _fact_stream(s, d):
     """Turns with two facts each and a case of every four turns, as a stream (as case_facts has them in a table)."""
     c = s.read.parquet(f"{d}/conversations.parquet")
-    r = s.readStream.schema(c.schema).option("pathGlobFilter", "conversations.parquet").parquet(d)
+    r = s.readStream.schema(c.schema).parquet(f"{d}/conversations.parquet*")
     at = F.expr("timestampadd(MINUTE, cast(conv_id * 60 + turn * 20 + CASE WHEN turn >= 4 THEN 120 ELSE 0 END as int), timestamp'2024-01-01 00:00:00')")
     n = F.length("text")
     slot = lambda by: F.element_at(F.array(F.lit("substrate"), F.lit("location")), (n % by % 2 + 1).cast("int"))
