@@ -11,39 +11,40 @@ close at all, and pivots work within them.
    their first n - ceil(percent n / 100) + 2, so documents meet in the cells of these.
    The order comes from a sketch of shingle frequencies over the whole input; results
    don't depend on it.
-3. Pairs of small cells (up to LEAF documents) that meet at least twice are candidates.
-   Every document takes as pivot, of those it is paired with, the one with the most
-   candidates, and its distance to it is measured.  A pair around the same pivot p needs
-   |d(x, p) - d(y, p)| <= E, and none if both are linked to p; the rest is measured.
-4. Larger cells are regions, put together by their pivot, the member with the least hash.
-   A region takes up to SAMPLED documents, gathers those within distance 1/2, and takes the
-   centre of each gathering (the shingles that more than half of them hold; any set would
-   do) as a pivot.  Every document is measured against all pivots of its region.  It
-   belongs to the Voronoi region of the nearest if that is within INNER, and is replicated
-   to that of pivot p if d(x, p) <= min(d(x, nearest) + 2 E, INNER + E): as d is a metric,
-   whoever is linked to x and belongs to p is then met there.  What is farther from all
-   pivots belongs to the outer region, of which the centre of all sampled documents is the
-   pivot; two such documents meet there, so it needs no replicas, and a document that
+3. Regions.  A cell's pivot is its member with the least hash, and the cells of one pivot are
+   a region: a row for each document and pivot, and none for pairs.  In cells of up to FEW sets
+   each is a pivot for those after it, and counts with those which it meets twice.  So two
+   linked documents are in one region at least.
+4. Regions of up to LEAF documents are for one task, which has their whole sets.  Up to
+   SAMPLED pivots, each the farthest from those before, are measured against all.  From a
+   document the search goes on to those linked with it that aren't reached yet, and from
+   them on; x is measured against y only if |d(x, p) - d(y, p)| <= E for every pivot p.
+   A family of copies is reached in a step or two, and the links are no more than its
+   documents.
+5. Larger regions are split.  A region takes up to SAMPLED documents, gathers those within
+   distance 1/2, and takes the centre of each gathering (the shingles that more than half of
+   them hold; any set would do) as a pivot.  Every document is measured against all pivots
+   of its region.  It belongs to the Voronoi region of the nearest if that is within INNER,
+   and is replicated to that of pivot p if d(x, p) <= min(d(x, nearest) + 2 E, INNER + E): as
+   d is a metric, whoever is linked to x and belongs to p is then met there.  What is farther
+   from all pivots belongs to the outer region, of which the centre of all sampled documents
+   is the pivot; two such documents meet there, so it needs no replicas, and a document that
    nothing is near to is never replicated.  In a Voronoi region, with r(x) = |x ^ p|:
-   * x and y are linked for sure if r(x) + r(y) <= K (|x| + |y|), K = E / (2 - E), so
-     the document nearest to the pivot (the hub) takes in most copies of a family
-     without comparing any pair; all others are compared with the hub;
-   * others meet in the cells of the shingles in which they differ from the pivot, as
-     |x ^ y| = r(x) + r(y) - 2 |(x ^ p) & (y ^ p)|; how long a prefix is needed
-     follows from the overlap needed.  These cells are joined pair by pair within the
-     windows |d(x, p) - d(y, p)| <= E if small, and are regions for the next round if not
-   (put together by their pivot again).  What counts as small doubles with each round, up
-   to WIDEST.
+   * the document nearest to the pivot is the hub, and all others are compared with it by
+     their differences from the pivot: |x ^ y| = r(x) + r(y) - 2 |(x ^ p) & (y ^ p)|;
+   * of the others two are left to compare if one isn't linked with the hub.  They meet in the
+     cells of the shingles in which they differ from the pivot; how long a prefix is needed
+     follows from the overlap needed.  These cells are put together by their pivots again and
+     are the regions of the next round.
 
 Every link between different texts is found or implied by links found, so components
 are exact.  Links are decided on whole sets, computed again from the texts.
 
-Scale: shingles never leave a task except those in prefixes; a text goes to a task once
-for each pivot it is compared with, not for each pair; a pivot with many partners is
-dealt to pieces of PIECE documents.  Cells of shingles that the sketch shows to be very
-frequent (counter FREQUENT above the mean) are dealt by document, not by shingle, and are
-regions at once.  What is done with regions are aggregations and joins that adaptive
-execution can split.
+Scale: shingles never leave a task except those in prefixes and differences; a text goes to
+a task once for each region it is in, and a larger region is dealt to pieces of PIECE
+documents.  Cells of shingles that the sketch shows to be very frequent (counter FREQUENT
+above the mean) are dealt by document, not by shingle.  What is done with larger regions are
+aggregations and joins that adaptive execution can split.
 
 Defined results: null text or no words: n_shingles 0, linked with nothing.
 Null doc_id: returned with its n_shingles and a null component, linked with nothing.
@@ -62,17 +63,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import components
-from .sketch import BLOCKS, SKETCH, counter, gathered, only
+from .sketch import BLOCKS, SKETCH, counter, gathered, perhaps
 from .store import discard, materialise
 from .vectext import BASE_A, BASE_B, grams, mix, signed, slices, table, words
 
 SHINGLE = 4
 PERCENT = 85
-LEAF = 32
+#: A region of up to so many documents, shingles in all, and shingles times documents is for one task.
+LEAF, SHINGLES, WORK = 2048, 2**22, 2**31
+#: Sets of a cell whose pairs are taken one by one.
+FEW = 8
 SAMPLED = 8
 INNER = 0.5
-#: Regions that are split again and again are joined pair by pair from this size down: twice LEAF after a round, and so on.
-WIDEST = 512
 #: Rounds in which regions with the same pivot are put together wherever they come from, later only within their own.
 ROUNDS = 6
 PIECE = 1024
@@ -113,10 +115,16 @@ def _fingerprints(h: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return a, b
 
 
+def _key(a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """One number for each set, equal for equal sets.  It only names candidates: should two sets
+    share it, both are taken."""
+    return signed(mix(a ^ mix(b + size.astype(np.uint64))))
+
+
 def _sets(k: int):
-    """Map: (doc_id, n, two fingerprints) of each text, and at the end of the task
+    """Map: (doc_id, n, two fingerprints, key) of each text, and at the end of the task
     its shingle counters as (block, counts)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("block", pa.int64()), ("counts", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("block", pa.int64()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(SKETCH, np.int64)
@@ -126,35 +134,36 @@ def _sets(k: int):
                 count += np.bincount(counter(h), minlength=SKETCH)
                 a, b = _fingerprints(h, size)
                 n = part.num_rows
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size), pa.array(signed(a)), pa.array(signed(b)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size), pa.array(signed(a)), pa.array(signed(b)), pa.array(_key(a, b, size)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], schema=schema)
         none = pa.nulls(BLOCKS, pa.int64())
         raw = [part.tobytes() for part in count.reshape(BLOCKS, -1)]
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(BLOCKS), pa.int64()), pa.array(raw, pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([none, none, none, none, none, pa.array(range(BLOCKS), pa.int64()), pa.array(raw, pa.binary())], schema=schema)
 
     return run
 
 
+def _high(counts: np.ndarray, frequent: int) -> float:
+    """A shingle whose counter is above this is very frequent."""
+    return np.minimum(counts, 2**31 - 1).mean() + frequent
+
+
 def _prefixes(k: int, percent: int, counts, frequent: int):
-    """Map: for each text the shingles of its prefix, once for equal sets of a slice.
-    salt is 0, but for very frequent shingles a number above it that follows from the document."""
-    schema = pa.schema([("region", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("salt", pa.int16())])
+    """Map: for each text the shingles (cells) of its prefix, once for equal sets of a slice.
+    salt is 0, but for very frequent shingles a number above it that follows from the set."""
+    schema = pa.schema([("cell", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("salt", pa.int16())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq = np.minimum(counts.value, 2**31 - 1).astype(np.uint64)
-        high = freq.mean() + frequent
+        high = _high(counts.value, frequent)
         for batch in batches:
             for part in slices(batch, "text"):
-                doc = part.column("doc_id").to_numpy(zero_copy_only=False)
                 row, h, size = shingle_sets(part.column("text"), k)
                 full = np.flatnonzero(size > 1)  # a set of one shingle is linked with its equals only
                 if not len(full):
                     continue
-                a, b = _fingerprints(h, size)
-                o = full[np.lexsort((doc[full], b[full], a[full], size[full]))]
-                first = np.ones(len(full), bool)
-                first[1:] = (a[o][1:] != a[o][:-1]) | (b[o][1:] != b[o][:-1]) | (size[o][1:] != size[o][:-1])
-                alone = np.zeros(len(doc), bool)
-                alone[o[first]] = True
+                key = _key(*_fingerprints(h, size), size)
+                alone = np.zeros(len(size), bool)
+                alone[full[np.unique(key[full], return_index=True)[1]]] = True
                 keep = alone[row]
                 row, h = row[keep], h[keep]
                 f = freq[counter(h)]
@@ -164,8 +173,8 @@ def _prefixes(k: int, percent: int, counts, frequent: int):
                 place = np.arange(len(row)) - np.repeat(np.cumsum(kept) - kept, kept)
                 take = place < (size - (percent * size + 99) // 100 + 2)[row]
                 row, h, f = row[take], h[take], f[take]
-                dealt = 1 + (mix(doc.astype(np.int64).view(np.uint64)) % np.uint64(997)).astype(np.int16)
-                yield table({"region": signed(h), "doc_id": doc[row], "n": size[row].astype(np.int32), "salt": np.where(f > high, dealt[row], 0).astype(np.int16)}, schema)
+                dealt = 1 + (mix(key.view(np.uint64)) % np.uint64(997)).astype(np.int16)
+                yield table({"cell": signed(h), "key": key[row], "n": size[row].astype(np.int32), "salt": np.where(f > high, dealt[row], 0).astype(np.int16)}, schema)
 
     return run
 
@@ -196,32 +205,40 @@ def _grouped(batches: Iterator[pa.RecordBatch], names: tuple, leaf: int, small,
         yield small(held)
 
 
-def _meetings(s: np.ndarray, d: np.ndarray, leaf: int, may) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of rows of one region for which may(one slice, other slice) holds, with how often."""
-    a_all, b_all = [d[:0]], [d[:0]]
-    for gap in range(1, leaf):
-        if gap >= len(s) or not (hit := s[gap:] == s[:-gap]).any():
-            break
-        hit = hit & may(slice(gap, None), slice(None, -gap)) & (d[gap:] != d[:-gap])
-        a_all.append(np.minimum(d[gap:][hit], d[:-gap][hit]))
-        b_all.append(np.maximum(d[gap:][hit], d[:-gap][hit]))
-    pairs, times = np.unique(np.stack([np.concatenate(a_all), np.concatenate(b_all)]), axis=1, return_counts=True)
-    return pairs[0], pairs[1], times
-
-
-def _cells(percent: int, leaf: int):
-    """Reduce: pairs of the small cells as (a, b, times); rows of large ones as (region, a)."""
-    schema = pa.schema([("region", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("times", pa.int64())])
+def _cells(percent: int):
+    """Reduce over rows (cell, key, n, salt) sorted by cell and key: sets of a cell that may be linked by
+    their sizes, as (region, key, sure).  Of cells of up to FEW sets it is each pair, named by its least
+    key, and that key itself; of others each set, named by the cell's pivot, the set of the least key, and
+    sure.  Rows of very frequent shingles pass as (cell, key, null).  A cell holds FREQUENT sets
+    more than the mean counter at most, as numbers."""
+    schema = pa.schema([("region", pa.int64()), ("key", pa.int64()), ("sure", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def small(cols):
-            s, d, n, _ = cols
-            a, b, times = _meetings(s, d, leaf, lambda i, j: 100 * np.minimum(n[i], n[j]).astype(np.int64) >= percent * np.maximum(n[i], n[j]).astype(np.int64))
-            return pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b), pa.array(times)], schema=schema)
-
-        def large(cols):
-            none = pa.nulls(len(cols[0]), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), none, none], schema=schema)
+        def met(cols):
+            s, key, n = cols
+            new = np.ones(len(s), bool)
+            new[1:] = (s[1:] != s[:-1]) | (key[1:] != key[:-1])
+            s, key, n = s[new], key[new], n[new].astype(np.int64)
+            first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+            size = np.diff(np.append(first, len(s)))
+            pivot, size = np.repeat(key[first], size), np.repeat(size, size)
+            few = np.flatnonzero((size > 1) & (size <= FEW))
+            x, ks, ns = s[few], key[few], n[few]
+            regions, keys, has = [], [], np.zeros(len(few), bool)
+            for gap in range(1, FEW):
+                hit = np.flatnonzero((x[gap:] == x[:-gap]) & (100 * np.minimum(ns[gap:], ns[:-gap]) >= percent * np.maximum(ns[gap:], ns[:-gap])))
+                regions.append(ks[hit])
+                keys.append(ks[hit + gap])
+                has[hit] = True
+            regions.append(ks[has])
+            keys.append(ks[has])
+            many = np.flatnonzero(size > FEW)
+            many = many[np.lexsort((n[many], s[many]))]
+            fits = np.zeros(len(many) + 1, bool)
+            fits[1:-1] = (s[many][1:] == s[many][:-1]) & (100 * n[many][:-1] >= percent * n[many][1:])
+            many = many[fits[1:] | fits[:-1]] if len(many) else many
+            sure = np.repeat([False, True], [sum(map(len, keys)), len(many)])
+            return table({"region": np.concatenate([*regions, pivot[many]]), "key": np.concatenate([*keys, key[many]]), "sure": sure}, schema)
 
         def usual():
             for batch in batches:
@@ -231,37 +248,45 @@ def _cells(percent: int, leaf: int):
                     batch = batch.filter(pa.array(salt == 0))
                 yield batch
 
+        def passed():
+            while often:
+                rows = often.pop()
+                yield pa.RecordBatch.from_arrays([rows.column("cell"), rows.column("key"), pa.nulls(rows.num_rows, pa.bool_())], schema=schema)
+
         often: list[pa.RecordBatch] = []
-        for out in _grouped(usual(), ("region", "doc_id", "n", "salt"), leaf, small, large):
+        for out in _grouped(usual(), ("cell", "key", "n"), 2**62, met, None):
             yield out
-            while often:
-                yield large([often[-1].column(c).to_numpy() for c in ("region", "doc_id")])
-                often.pop()
-        while often:
-            yield large([often[-1].column(c).to_numpy() for c in ("region", "doc_id")])
-            often.pop()
+            yield from passed()
+        yield from passed()
 
     return run
 
 
-def _leaves(percent: int, leaf: int):
-    """Reduce over small regions: the pairs which may be linked and aren't connected already."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    names = ("region", "doc_id", "n", "component", "far", "native", "near")
-    window = 1 - percent / 100 + SLACK
+def _dealt(percent: int, leaf: int):
+    """Reduce over rows (region, doc_id, n, component) sorted by region: those of regions that have
+    to be looked at, large if the region is for several tasks.  Documents of a region for one task
+    without another one of a size that fits are left out."""
+    schema = pa.schema([("region", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("component", pa.int64()), ("large", pa.bool_())])
+    names = ("region", "doc_id", "n", "component")
+
+    def rows(cols, large):
+        return table(dict(zip(names, cols)) | {"large": large}, schema)
+
+    def small(cols):
+        o = np.lexsort((cols[2], cols[0]))
+        s, _, n, c = cols = [x[o] for x in cols]
+        fits = np.zeros(len(s) + 1, bool)
+        fits[1:-1] = (s[1:] == s[:-1]) & (100 * n[:-1] >= percent * n[1:])
+        first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        size = np.diff(np.append(first, len(s)))
+        total = np.add.reduceat(n, first)
+        large = np.repeat((total > SHINGLES) | (total * size > WORK), size)
+        open_ = np.repeat(np.minimum.reduceat(c, first) < np.maximum.reduceat(c, first), size)
+        keep = (fits[1:] | fits[:-1]) & open_
+        return rows([x[keep] for x in cols], large[keep])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def small(cols):
-            s, d, n, c, far, native, near = cols
-
-            def may(i, j):
-                sizes = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
-                return sizes & (c[i] != c[j]) & (far[i] | far[j]) & (native[i] | native[j]) & (np.abs(near[i] - near[j]) <= window)
-
-            a, b, _ = _meetings(s, d, leaf, may)
-            return table({"a": a, "b": b}, schema)
-
-        yield from _grouped(batches, names, leaf, small, lambda cols: table({"a": cols[1][:0], "b": cols[1][:0]}, schema))
+        return _grouped(batches, names, leaf, small, lambda cols: rows(cols, np.ones(len(cols[0]), bool)))
 
     return run
 
@@ -277,50 +302,90 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[at] == x).sum())
 
 
-def _against(k: int):
-    """Reduce over rows sorted by (pivot, piece, role): intersection and union sizes of
-    each text of role 1 with the pivot's (role 0; one for each row of its doc_id)."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("common", pa.int64()), ("either", pa.int64())])
+def _joined(doc: np.ndarray, h: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (u, v) that connect the linked documents of a region, given the sets end to end.
+
+    Up to SAMPLED pivots, each the farthest from those before, are measured against all.  From a
+    document the search goes on to those linked with it, and from them to those linked with them
+    that aren't reached yet; only documents within a window of E around its distance from every
+    pivot are measured."""
+    m = len(doc)
+    _, at, times = np.unique(h, return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(m), size)
+    shared = times[at] > 1  # others are in no intersection
+    at, row = at[shared], row[shared]
+    end = np.cumsum(np.bincount(row, minlength=m))
+    mark = np.zeros(len(times), bool)
+
+    def common(p: int, at_: np.ndarray, row_: np.ndarray) -> np.ndarray:
+        own = at[end[p - 1] if p else 0 : end[p]]
+        mark[own] = True
+        out = np.bincount(row_[mark[at_]], minlength=m)
+        mark[own] = False
+        return out
+
+    window, pivots, least = 1 - percent / 100 + SLACK, np.zeros((0, m)), np.full(m, 2.0)
+    for _ in range(min(SAMPLED, m // 4)):
+        p = int(least.argmax())
+        if least[p] <= window:
+            break
+        same = common(p, at, row)
+        d = 1 - same / (size + size[p] - same)
+        pivots, least = np.vstack([pivots, d]), np.minimum(least, d)
+    todo, left, us, vs = np.ones(m, bool), m, [doc[:0]], [doc[:0]]
+    near_at, near_row, held = at, row, m
+    for s in range(m):
+        if not todo[s]:
+            continue
+        todo[s], left, queue = False, left - 1, [s]
+        while queue and left:
+            p = queue.pop()
+            may = todo & (100 * np.minimum(size, size[p]) >= percent * np.maximum(size, size[p]))
+            for d in pivots:
+                may &= np.abs(d - d[p]) <= window
+            if not may.any():
+                continue
+            if 2 * left <= held:
+                keep = todo[near_row]
+                near_at, near_row, held = near_at[keep], near_row[keep], left
+            same = common(p, near_at, near_row)
+            found = np.flatnonzero(may & (100 * same >= percent * (size + size[p] - same)))
+            todo[found], left = False, left - len(found)
+            queue += found.tolist()
+            us.append(np.full(len(found), doc[s]))
+            vs.append(doc[found])
+    return np.concatenate(us), np.concatenate(vs)
+
+
+def _within(k: int, percent: int):
+    """Reduce over rows (region, doc_id, text) sorted by region: the links of regions for one task."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, sets, fresh = None, [], False
+        at, held = None, []
+
+        def links():
+            u, v = _joined(*(np.concatenate(x) for x in zip(*held)), percent)
+            return table({"u": u, "v": v}, schema)
+
         for batch in batches:
             for part in slices(batch, "text"):
                 _, h, size = shingle_sets(part.column("text"), k)
-                start = np.cumsum(size) - size
-                out = ([], [], [], [])
-                for i, (pivot, piece, role, doc) in enumerate(zip(*(part.column(c).to_pylist() for c in ("pivot", "piece", "role", "doc_id")))):
-                    x = h[start[i] : start[i] + size[i]]
-                    if role == 0:
-                        if at != (pivot, piece):
-                            at, sets = (pivot, piece), []
-                        sets.append(x.copy())
-                        continue
-                    for y in sets if at == (pivot, piece) else ():
-                        c = _common(x, y)
-                        for col, v in zip(out, (pivot, doc, c, len(x) + len(y) - c)):
-                            col.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out], schema=schema)
+                region, doc = (part.column(c).to_numpy() for c in ("region", "doc_id"))
+                start = np.concatenate([[0], np.cumsum(size)])
+                cut = np.concatenate([[0], np.flatnonzero(region[1:] != region[:-1]) + 1, [len(region)]])
+                for i, j in zip(cut[:-1], cut[1:]):
+                    if held and region[i] != at:
+                        yield links()
+                        held = []
+                    at = region[i]
+                    held.append((doc[i:j].copy(), h[start[i] : start[j]].copy(), size[i:j]))
+        if held:
+            yield links()
 
     return run
 
 
-def measure(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """Intersection and union sizes of the pairs (a, b).  b's text goes to the task of
-    a's; an a with many partners is in several tasks, with PIECE of them each."""
-    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pieces = pairs.groupBy("a").agg(F.ceil(F.count("*") / PIECE).alias("pieces"))
-    ones = pieces.select(F.col("a").alias("doc_id"), F.col("a").alias("pivot"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"), F.lit(0).alias("role"))
-    others = pairs.join(pieces, "a").select(F.col("b").alias("doc_id"), F.col("a").alias("pivot"), F.pmod(F.xxhash64("b"), "pieces").cast("long").alias("piece"), F.lit(1).alias("role"))
-    asked = ones.unionByName(others).hint("merge").join(texts.hint("merge"), "doc_id")
-    dealt = asked.repartition(n, "pivot", "piece").sortWithinPartitions("pivot", "piece", "role")
-    return dealt.mapInArrow(_against(k), "a long, b long, common long, either long")
-
-
-def _linked(percent: int):
-    return F.expr(f"100 * common >= {percent} * either and either > 0")
-
-
 def _centres(k: int):
     """Group: of a region's sampled texts the centre of all (nth 0), and those of such as lie
     within distance 1/2 of each other."""
@@ -350,9 +415,9 @@ def _centres(k: int):
 def _voronoi(k: int, percent: int, counts):
     """Reduce over rows sorted by (region, piece, role, doc_id): each document (role 1) is measured
     against all centres of its region (role 0, doc_id their number).  One row for each Voronoi region
-    in which it belongs: its distance there, f = (100 + percent) |x ^ p| - (100 - percent) |x|, and
+    in which it belongs: f = (100 + percent) |x ^ p| - (100 - percent) |x|, and
     the shingles in which it differs: its own first, rarest first, then the pivot's."""
-    schema = pa.schema([("region", pa.int64()), ("doc_id", pa.int64()), ("component", pa.int64()), ("n", pa.int64()), ("f", pa.int64()), ("near", pa.float64()), ("native", pa.bool_()), ("differs", pa.list_(pa.int64()))])
+    schema = pa.schema([("region", pa.int64()), ("doc_id", pa.int64()), ("component", pa.int64()), ("n", pa.int64()), ("f", pa.int64()), ("native", pa.bool_()), ("differs", pa.list_(pa.int64()))])
     reach = 2 * (1 - percent / 100) + SLACK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,121 +449,110 @@ def _voronoi(k: int, percent: int, counts):
                         others = others[np.lexsort((others, counts.value[counter(others)]))]
                         key = int(mix(mix(np.array([region], np.int64).view(np.uint64)) + np.uint64(j + 1))[0].view(np.int64))
                         differs = signed(np.concatenate([own, others]))
-                        for col, v in zip(out, (key, doc, component, len(x), (100 + percent) * len(differs) - (100 - percent) * len(x), d[j], j == nearest, differs)):
+                        for col, v in zip(out, (key, doc, component, len(x), (100 + percent) * len(differs) - (100 - percent) * len(x), j == nearest, differs)):
                             col.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, schema)], schema=schema)
 
     return run
 
 
-def _sized(rows: DataFrame, leaf: int) -> tuple[DataFrame, DataFrame]:
-    """Rows of the regions of 2 to leaf documents, and of larger ones with their size."""
-    sized = materialise(rows.join(rows.groupBy("region").agg(F.count("*").alias("size")).where("size > 1"), "region"), "sized")
-    return sized.where(F.col("size") <= leaf), sized.where(F.col("size") > leaf)
+def _by_pivot(rows: DataFrame, member: str, *more, within: bool = False) -> DataFrame:
+    """Cells (cell, member, more), and parent if within: those with the same pivot (the member with the least hash) are one
+    region, or those of the same parent if within: (region, member, more)."""
+    pivot = rows.groupBy("cell").agg(F.min(F.struct(F.xxhash64(member), member)).alias("pivot"), F.count("*").alias("size")).where("size > 1")
+    region = F.xxhash64("parent", f"pivot.{member}") if within else F.col(f"pivot.{member}")
+    return rows.join(pivot, "cell").select(region.alias("region"), member, *more)
 
 
-def _by_pivot(rows: DataFrame, *more, within: bool = False) -> DataFrame:
-    """Regions with the same pivot (the member with the least hash) are one, or those of the same
-    parent if within: (region, doc_id, more)."""
-    pivot = rows.groupBy("region").agg(F.min(F.struct(F.xxhash64("doc_id"), "doc_id")).alias("pivot"))
-    region = F.xxhash64("parent", "pivot.doc_id") if within else F.col("pivot.doc_id")
-    return rows.join(pivot, "region").select(region.alias("region"), "doc_id", *more)
+def _regions(docs: DataFrame, sets: DataFrame, counts, k: int, percent: int, leaf: int, frequent: int) -> DataFrame:
+    """(region, doc_id, n, component, large): two linked documents are in one region at least."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select("text").mapInArrow(_prefixes(k, percent, counts, frequent), "cell long, key long, n int, salt smallint")
+    dealt = rows.repartition(n, "cell", "salt").sortWithinPartitions("cell", "key")
+    met = dealt.mapInArrow(_cells(percent), "region long, key long, sure boolean")
+    written = None
+    if (np.minimum(counts.value, 2**31 - 1) > _high(counts.value, frequent)).any():
+        met = written = materialise(met, "cells")
+        often = met.where("sure is null").select(F.col("region").alias("cell"), "key").distinct()
+        met = met.where("sure is not null")
+        if not often.isEmpty():
+            met = met.unionByName(_by_pivot(materialise(often, "often"), "key", F.lit(True).alias("sure")))
+    # Linked sets share two cells: a large one, or twice small ones.
+    met = met.groupBy("region", "key").agg(F.max("sure").alias("sure"), F.count("*").alias("times")).where("sure or times > 1")
+    regions = _deal(met.select("region", "key").join(sets, "key").select("region", F.col("rep").alias("doc_id"), "n", F.col("rep").alias("component")), percent, leaf)
+    if written is not None:
+        discard(written)
+    return regions
+
+
+def _deal(rows: DataFrame, percent: int, leaf: int) -> DataFrame:
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select("region", "doc_id", "n", "component").repartition(n, "region").sortWithinPartitions("region")
+    return materialise(dealt.mapInArrow(_dealt(percent, leaf), "region long, doc_id long, n long, component long, large boolean"), "regions")
 
 
-def _leaf_pairs(rows: DataFrame, percent: int, leaf: int) -> DataFrame:
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select("region", "doc_id", "n", "component", "far", "native", "near").repartition(n, "region").sortWithinPartitions("region", "doc_id")
-    return dealt.mapInArrow(_leaves(percent, leaf), "a long, b long")  # a pair may come from several regions
+def _links_within(small: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    n = int(small.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    whole = small.select("region", "doc_id").hint("merge").join(texts.hint("merge"), "doc_id")
+    return whole.repartition(n, "region").sortWithinPartitions("region").mapInArrow(_within(k, percent), "u long, v long")
 
 
-def _candidates(docs: DataFrame, reps: DataFrame, counts, k: int, percent: int, leaf: int, frequent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of small cells and rows (region, doc_id, n) of regions, in classes of equal sets."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.mapInArrow(_prefixes(k, percent, counts, frequent), "region long, doc_id long, n int, salt smallint")
-    dealt = rows.repartition(n, "region", "salt").sortWithinPartitions("region", "doc_id")
-    cells = materialise(dealt.mapInArrow(_cells(percent, leaf), "region long, a long, b long, times long"), "cells")
-    met = cells.where("b is not null").groupBy("a", "b").agg(F.sum("times").alias("times")).where("times > 1").select("a", "b")
-    named = met.join(reps.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb")), "b")
-    pairs = named.where("ra != rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
-    large = cells.where("b is null").select("region", F.col("a").alias("doc_id")).join(reps, "doc_id").select("region", F.col("rep").alias("doc_id"), "n").distinct()
-    large = materialise(_by_pivot(large, "n").distinct(), "regions")
-    plain = large.withColumns({"component": F.col("doc_id"), "far": F.lit(True), "native": F.lit(True), "near": F.lit(0.0)})
-    small, large = _sized(plain, leaf)
-    pairs = materialise(pairs.unionByName(_leaf_pairs(small, percent, leaf)).distinct(), "pairs")
-    large = materialise(large.select("region", "doc_id", "size"), "regions")
-    discard(cells)
-    return pairs, large
-
-
-def _measured_links(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (u, v) among the pairs: first each document with its pivot, then what the
-    distances to a common pivot leave open."""
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    many = both.groupBy("a").agg(F.count("*").alias("many"))
-    rank = lambda many, doc: F.struct(many, F.bitwise_not(doc).alias("doc"))
-    best = both.join(many.select(F.col("a").alias("b"), "many"), "b").groupBy("a").agg(F.max(rank(F.col("many"), F.col("b"))).alias("best"))
-    pivot = best.join(many, "a").select(F.col("a").alias("doc_id"), F.bitwise_not(F.greatest("best", rank(F.col("many"), F.col("a")))["doc"]).alias("pivot"))
-    pivot = materialise(pivot, "pivots")
-    first = materialise(measure(pivot.where("doc_id != pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")), texts, k), "measured")
-    near = first.groupBy("a", "b").agg(F.max(F.when(_linked(percent), True).otherwise(False)).alias("linked"), F.min(1 - F.col("common") / F.col("either")).alias("lo"), F.max(1 - F.col("common") / F.col("either")).alias("hi"))
-    of = lambda side: near.select(F.col("b").alias(side), F.col("a").alias(f"p{side}"), *(F.col(c).alias(f"{c}_{side}") for c in ("linked", "lo", "hi")))
-    open_ = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("not (coalesce(pa = b, false) or coalesce(pb = a, false))")
-    # Rows that repeat a doc_id give it several distances: lo and hi.
-    settled = f"linked_a and linked_b or lo_a - hi_b > {1 - percent / 100 + SLACK} or lo_b - hi_a > {1 - percent / 100 + SLACK}"
-    open_ = open_.where(f"not coalesce(pa = pb and ({settled}), false)").select("a", "b")
-    second = materialise(measure(materialise(open_, "pairs"), texts, k), "measured")
-    return first.unionByName(second).where(_linked(percent)).select(F.col("a").alias("u"), F.col("b").alias("v"))
-
-
-def _join_regions(large: DataFrame, links: DataFrame, texts: DataFrame, counts, k: int, percent: int, leaf: int) -> DataFrame:
-    """Join the regions (region, doc_id, size) recursively; -> links with more of them."""
-    if large.isEmpty():
-        return links
+def _split(large: DataFrame, texts: DataFrame, counts, k: int, percent: int, within: bool) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Regions for several tasks: -> links with the hubs, rows (region, doc_id, n, component) of the regions in
+    which the others meet, and the tables to remove once these rows are written."""
     n = int(large.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    links = materialise(links, "links")
-    large = large.join(components(links).withColumnRenamed("node", "doc_id"), "doc_id", "left").select("region", "doc_id", "size", F.coalesce("component", "doc_id").alias("component"))
+    pieces = large.groupBy("region").agg(F.ceil(F.count("*") / PIECE).alias("pieces"))
+    sample = large.withColumn("nth", F.row_number().over(W.partitionBy("region").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("nth") <= SAMPLED)
+    centres = sample.join(texts, "doc_id").select("region", "text").groupBy("region").applyInArrow(_centres(k), "region long, nth long, centre array<long>")
+    none = F.lit(None).cast("long")
+    ones = centres.join(pieces, "region").select("region", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"), F.lit(0).alias("role"), F.col("nth").alias("doc_id"), none.alias("component"), F.lit(None).cast("string").alias("text"), "centre")
+    piece = F.pmod(F.xxhash64("doc_id"), F.col("pieces")).cast("long")
+    others = large.join(pieces, "region").hint("merge").join(texts.hint("merge"), "doc_id").select("region", piece.alias("piece"), F.lit(1).alias("role"), "doc_id", "component", "text", F.lit(None).cast("array<long>").alias("centre"))
+    dealt = ones.unionByName(others).repartition(n, "region", "piece").sortWithinPartitions("region", "piece", "role", "doc_id")
+    held = dealt.mapInArrow(_voronoi(k, percent, counts), "region long, doc_id long, component long, n long, f long, native boolean, differs array<long>")
+    held = materialise(held, "voronoi")
+    hub = held.groupBy("region").agg(F.min(F.struct("f", "doc_id", "component", "n", "differs")).alias("hub"))
+    # |x ^ hub| from the differences of both from the pivot.
+    apart = F.size("differs") + F.size("hub.differs") - 2 * F.size(F.array_intersect("differs", "hub.differs"))
+    met = held.join(hub, "region").where("doc_id != hub.doc_id or differs != hub.differs").withColumn("linked", (100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("hub.n")))
+    met = met.select("region", "doc_id", "component", "n", "f", "native", "differs", "linked", F.col("hub.doc_id").alias("hub"), F.col("hub.component").alias("hubs"))
+    met = materialise(met, "hubs")  # read three times
+    links = met.where("linked and doc_id != hub").select(F.col("hub").alias("u"), F.col("doc_id").alias("v"))
+    ends = met.groupBy("region").agg(F.min("f").alias("any_f"), F.min(F.when(~F.col("linked"), F.col("f"))).alias("far_f"), F.min(F.when(F.col("linked"), F.col("component"))).alias("linked_c"))
+    # What isn't linked with the hub may be with another document that differs from the pivot likewise.
+    rest = met.join(ends.where("far_f is not null"), "region")
+    overlap = F.greatest(F.lit(1), F.ceil((F.col("f") + F.when(F.col("linked"), F.col("far_f")).otherwise(F.col("any_f"))) / (2 * (100 + percent))))
+    rest = rest.withColumn("component", F.when(F.col("linked"), F.least("linked_c", "hubs")).otherwise(F.col("component")))
+    rest = rest.withColumn("prefix", (F.size("differs") - overlap + 1).cast("int")).where("prefix > 0")
+    each = rest.select("region", "doc_id", "n", "component", "native", F.explode(F.slice("differs", F.lit(1), F.col("prefix"))).alias("shingle"))
+    each = materialise(each.select(F.xxhash64("region", "shingle").alias("cell"), F.col("region").alias("parent"), "doc_id", "n", "component", "native"), "cells")
+    # A cell in which all are connected, or all are replicas, has nothing left to do.
+    open_ = each.groupBy("cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("native").alias("own")).where("lo < hi and own").select("cell")
+    cells, each = each, materialise(each.join(open_, "cell"), "cells")
+    discard(cells)
+    rows = _by_pivot(each, "doc_id", "n", "component", within=within).groupBy("region", "doc_id", "n").agg(F.min("component").alias("component"))
+    return links, rows, [held, each]
+
+
+def _region_links(regions: DataFrame, texts: DataFrame, counts, k: int, percent: int, leaf: int) -> DataFrame:
+    """Links that connect the linked documents of all regions."""
+    if regions.where("large").isEmpty():
+        return _links_within(regions, texts, k, percent)
+    texts = materialise(texts, "texts")
+    links = None
     rounds = 0
-    while not large.isEmpty():
-        # Regions whose documents are all connected already are done.
-        open_ = large.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("region")
-        large = materialise(large.join(open_, "region").withColumn("pieces", F.ceil(F.col("size") / PIECE)), "regions")
+    while True:
+        found = _links_within(regions.where("not large"), texts, k, percent)
+        links = found if links is None else links.unionByName(found)
+        large = regions.where("large")
         if large.isEmpty():
-            break
-        # Only these documents' texts are needed from here on; each round has fewer.
-        texts = materialise(texts.hint("merge").join(large.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"), "texts")
-        sample = large.withColumn("nth", F.row_number().over(W.partitionBy("region").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("nth") <= SAMPLED)
-        centres = sample.join(texts, "doc_id").select("region", "text").groupBy("region").applyInArrow(_centres(k), "region long, nth long, centre array<long>")
-        centres = centres.join(sample.groupBy("region").agg(F.first("pieces").alias("pieces")), "region")
-        none = F.lit(None).cast("long")
-        ones = centres.select("region", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"), F.lit(0).alias("role"), F.col("nth").alias("doc_id"), none.alias("component"), F.lit(None).cast("string").alias("text"), "centre")
-        piece = F.pmod(F.xxhash64("doc_id"), F.col("pieces")).cast("long")
-        others = large.hint("merge").join(texts.hint("merge"), "doc_id").select("region", piece.alias("piece"), F.lit(1).alias("role"), "doc_id", "component", "text", F.lit(None).cast("array<long>").alias("centre"))
-        dealt = ones.unionByName(others).repartition(n, "region", "piece").sortWithinPartitions("region", "piece", "role", "doc_id")
-        held = dealt.mapInArrow(_voronoi(k, percent, counts), "region long, doc_id long, component long, n long, f long, near double, native boolean, differs array<long>")
-        held = materialise(held, "voronoi")
-        hub = held.groupBy("region").agg(F.min(F.struct("f", "doc_id", "component")).alias("hub"), F.max("f").alias("top"))
-        away = held.join(hub, "region").where("not (doc_id = hub.doc_id and f = hub.f)").withColumn("far", F.col("f") + F.col("hub.f") > 0)
-        away = materialise(away, "away")  # read four times
-        links = links.unionByName(away.where("not far").select(F.col("hub.doc_id").alias("u"), F.col("doc_id").alias("v")))
-        with_hub = away.where("far and doc_id != hub.doc_id").select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b"))
-        # What is far may be near another document that differs from the pivot likewise.
-        rest = away.where("top + hub.f > 0").withColumn("hubs", F.col("hub.component")).drop("hub", "top")
-        ends = rest.groupBy("region").agg(F.min("f").alias("any_f"), F.min(F.when(F.col("far"), F.col("f"))).alias("far_f"), F.min(F.when(~F.col("far"), F.col("component"))).alias("nearby"))
-        overlap = F.greatest(F.lit(1), F.ceil((F.col("f") + F.when(F.col("far"), F.col("any_f")).otherwise(F.col("far_f"))) / (2 * (100 + percent))))
-        # What is near is connected over the hub, so within the region it has one component from here on.
-        rest = rest.join(ends, "region").where("far_f is not null").withColumn("component", F.when(F.col("far"), F.col("component")).otherwise(F.least("nearby", "hubs")))
-        rest = rest.withColumn("prefix", (F.size("differs") - overlap + 1).cast("int")).where("prefix > 0")
-        each = rest.select("region", "doc_id", "n", "component", "far", "native", "near", F.explode(F.slice("differs", F.lit(1), F.col("prefix"))).alias("shingle"))
-        each = materialise(each.withColumn("parent", F.col("region")).withColumn("region", F.xxhash64("region", "shingle")).drop("shingle"), "cells")
-        small, large = _sized(each, leaf)
-        pairs = materialise(_leaf_pairs(small, percent, leaf).unionByName(with_hub).distinct(), "pairs")
-        measured = materialise(measure(pairs, texts, k), "measured")
-        links = links.unionByName(measured.where(_linked(percent)).select(F.col("a").alias("u"), F.col("b").alias("v")))
+            return links
         # A Voronoi region has lost its hub, so regions put together within it get smaller for sure: the rounds end.
-        large = _by_pivot(large, "component", within=rounds >= ROUNDS).groupBy("region", "doc_id").agg(F.min("component").alias("component"))
-        large = materialise(large.join(large.groupBy("region").agg(F.count("*").alias("size")), "region"), "regions")
-        leaf, rounds = min(2 * leaf, WIDEST), rounds + 1
-    return links
+        more, rows, done = _split(large, texts, counts, k, percent, within=rounds >= ROUNDS)
+        links = links.unionByName(more)
+        regions = _deal(rows, percent, leaf)
+        discard(*done)
+        rounds += 1
 
 
 def join_sets(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT, leaf: int = LEAF, frequent: int = FREQUENT) -> tuple[DataFrame, DataFrame]:
@@ -506,23 +560,19 @@ def join_sets(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT, le
     connect what is linked by similarity, directly or over others."""
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sets = materialise(docs.mapInArrow(_sets(k), "doc_id long, n long, a long, b long, block long, counts binary"), "sets")
+    sets = materialise(docs.mapInArrow(_sets(k), "doc_id long, n long, a long, b long, key long, block long, counts binary"), "sets")
     counts = spark.sparkContext.broadcast(gathered(sets.where("block is not null").select("block", "counts"), np.add))
-    sets = sets.where("block is null").select("doc_id", "n", "a", "b")
+    sets = sets.where("block is null").drop("block", "counts")
     docs = docs.where("doc_id is not null")
     full = sets.where("n > 0 and doc_id is not null")
-    least = full.groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep"))
-    reps = materialise(full.join(least, ["n", "a", "b"]).select("doc_id", "rep", "n").distinct(), "reps")
-    equal = reps.where("doc_id != rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    pairs, large = _candidates(docs, reps, counts, k, percent, leaf, frequent)
-    # From here on only these documents' texts are needed.
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(large.select("doc_id")).distinct()
-    ids = materialise(ids, "ids")
+    least = full.groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep"), F.min("key").alias("key"), F.max("doc_id").alias("last"))
+    equal = full.join(least.where("last > rep").select("n", "a", "b", "rep"), ["n", "a", "b"]).where("doc_id != rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    regions = _regions(docs, least.where("n > 1").select("key", "rep", "n"), counts, k, percent, leaf, frequent)
+    ids = regions.select("doc_id").distinct()
     if ids.isEmpty():
         return sets.select("doc_id", "n"), equal
-    texts = materialise(only(docs, ids), "texts")
-    links = _measured_links(pairs, texts, k, percent)
-    links = _join_regions(large, links, texts, counts, k, percent, leaf)
+    # From here on only these documents' texts are needed.
+    links = _region_links(regions, perhaps(docs, ids), counts, k, percent, leaf)
     return sets.select("doc_id", "n"), links.unionByName(equal)
 
 
