@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import boundary as b
@@ -71,6 +72,11 @@ add("b9_source_counts", lambda s, d: b.source_counts(_pages(s, d).select(m.pick(
 add("c2_verify_hashes", lambda s, d: v.verify_hashes(m.release(s, d, "B").withColumn("content_hash", F.when(F.col("page_id") % 13 == 0, F.lit("other")).otherwise(F.col("content_hash")))).groupBy("valid").agg(F.count("*").alias("n")), m.RELEASES, "SELECT page_id % 13 <> 0 AS valid, count(*) AS n FROM release_b WHERE html IS NOT NULL GROUP BY 1")
 
 
+def _first_pages(pages):
+    """Of the pages of one url, the one with the least page_id."""
+    return pages.withColumn("nth", F.row_number().over(W.partitionBy("url").orderBy("page_id", "content_hash"))).where("nth = 1").drop("nth")
+
+
 def _cut(pages, *cols):
     """A row for each 1,000 characters of html: cols, i, content."""
     parts = F.posexplode(F.sequence(F.lit(0), F.floor(F.length("html") / 1000).cast("int"))).alias("i", "x")
@@ -79,7 +85,7 @@ def _cut(pages, *cols):
 
 def tables(s, d) -> v.Tables:
     """Snapshot tables of release A: pages as documents, a chunk for each 1,000 characters of html."""
-    p = m.release(s, d, "A").dropDuplicates(["url"])
+    p = _first_pages(m.release(s, d, "A"))
     one = F.lit(1).cast("long").alias("version")
     audience = m.pick(["public", "trade", "staff", "public"], F.col("page_id") % 4).alias("audience")
     chunk = _cut(p, "url", one, "page_id", audience)
@@ -96,7 +102,7 @@ def updated(s, d) -> v.Tables:
     """The tables after release B: changed and new pages come in, removed ones go."""
     t = tables(s, d)
     change = _delta(s, d)
-    p = m.release(s, d, "B").dropDuplicates(["url"]).join(change.where("change in ('new', 'changed')"), "url", "left_semi")
+    p = _first_pages(m.release(s, d, "B")).join(change.where("change in ('new', 'changed')"), "url", "left_semi")
     up = {
         "documents": p.select("url", F.concat(F.lit("Page "), F.col("page_id").cast("string"), F.lit(" B")).alias("title"), "document_type", (F.col("page_id") % 6 + 1).alias("authority"), F.lit("public").alias("audience"), F.concat(F.lit("p"), (F.col("page_id") % 10).cast("string")).alias("product")),
         "versions": p.select("url", "content_hash", F.lit(NOW).alias("fetched_at")),
