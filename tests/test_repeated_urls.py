@@ -18,7 +18,7 @@ def repeated(tmp_path_factory):
     return d, c
 
 
-@pytest.mark.parametrize("name", ["c12_lookup_document", "c13_check_invariants", "c15_ingestion_report", "c3_apply_delta", "c3_apply_delta_chunks"])
+@pytest.mark.parametrize("name", ["c12_lookup_document", "c13_check_invariants", "c15_ingestion_report", "c3_apply_delta", "c3_apply_delta_chunks", "c6_snapshot_manifest"])
 def test_first_page_of_a_url(spark, repeated, name):
     d, db = repeated
     same_rows(registry.QUERIES[name](spark, d), db.sql(registry.ORACLES[name]))
