@@ -238,3 +238,18 @@ def test_retention_keeps_the_newest_ids(spark):
     got = sorted(r.span_id for r in telemetry.retain(s, "2024-01-10 00:00:00", 14, 101).collect())
     want = sorted((r.span_id for r in s.where("started_at >= timestamp'2023-12-27 00:00:00'").collect()))[-101:]
     assert got == want
+
+
+def test_pieces_lose_no_characters_that_spell_their_place(spark):
+    """F.transform hands a function of two parameters the place as well, and trim() would take it for what to trim."""
+    said = "One here. 1st day ends on 1. 2 of them, not 12.  3 \n 43 are there 4"
+    assert one(spark, t=said).select(text.sentences(F.col("t"))).first()[0] == ["One here.", "1st day ends on 1.", "2 of them, not 12.", "3", "43 are there 4"]
+    assert one(spark, t="0 coats\n- 1 tin\n- 2 tins 2").select(chunking.split_on_bullets(F.col("t"))).first()[0] == ["0 coats\n", "- 1 tin\n", "- 2 tins 2"]
+    claim = verification.claims(spark.createDataFrame([(1, "0 is none: 1 is one; 2 is 2.")], "aid long, text string")).first()
+    assert claim.clauses == ["0 is none", "1 is one", "2 is 2."]
+
+
+def test_caveat_keeps_the_figure_it_starts_with(spark):
+    parts = spark.createDataFrame([(1, 0, "Use", "A first sentence of some length. 1 coat of primer is the least there is.")], "doc_id long, seq long, heading string, text string")
+    got = sections.caveats(parts, [("coats", "coat")], "contact us")
+    assert [r.sentence for r in got.collect()] == ["1 coat of primer is the least there is."]

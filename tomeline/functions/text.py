@@ -38,7 +38,7 @@ def squash(c: Column) -> Column:
 def sentences(c: Column) -> Column:
     """Array of the sentences of a text: it is split after . ! ? and at line breaks."""
     marked = F.regexp_replace(F.regexp_replace(c, "([.!?])[ \\t\\r\\n]+", "$1" + MARK), "\\n+", MARK)
-    return F.filter(F.transform(F.split(marked, MARK), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(marked, MARK), lambda x: F.trim(x)), lambda s: s != "")
 
 
 def words(c: Column) -> Column:

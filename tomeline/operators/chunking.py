@@ -14,7 +14,7 @@ BULLET = "(?m)^[ \\t]*(?:[-–—•*·]|[a-z]\\)|[0-9]{1,2}\\.)[ \\t]+"
 def split_on_bullets(c: Column) -> Column:
     """Pieces of a text: the prose before, then one for each bullet; whole with fewer than two."""
     marked = F.regexp_replace(c, BULLET, MARK + "$0")
-    pieces = F.filter(F.transform(F.split(marked, MARK), F.trim), lambda p: p != "")
+    pieces = F.filter(F.transform(F.split(marked, MARK), lambda x: F.trim(x)), lambda p: p != "")
     return F.when(F.regexp_count(c, F.lit(BULLET)) >= 2, pieces).otherwise(F.array(F.trim(c)))
 
 
@@ -30,7 +30,7 @@ def section_chunks(text: Column) -> Column:
     """Chunks of one section: whole up to TARGET, else bullets packed, else whole up
     to LARGEST, else blank-line pieces packed."""
     bullets = split_on_bullets(text)
-    blocks = F.filter(F.transform(F.split(text, "\\n[ \\t]*\\n"), F.trim), lambda p: p != "")
+    blocks = F.filter(F.transform(F.split(text, "\\n[ \\t]*\\n"), lambda x: F.trim(x)), lambda p: p != "")
     return F.when(F.length(text) <= TARGET, F.array(text)).when(F.size(bullets) >= 2, _pack(bullets, "\n")).when(F.length(text) <= LARGEST, F.array(text)).otherwise(_pack(blocks, "\n\n"))
 
 

@@ -25,7 +25,7 @@ def claims(answers: DataFrame) -> DataFrame:
     clauses split at ; : and a comma before an opener."""
     s = answers.select("aid", F.posexplode(sentences(F.col("text"))).alias("seq", "sentence"))
     plain = F.trim(F.regexp_replace("sentence", "\\[[0-9]+\\]", ""))
-    clauses = F.filter(F.transform(F.split(plain, "[;:]|, (?=and |but |which |when |if )"), F.trim), lambda c: c != "")
+    clauses = F.filter(F.transform(F.split(plain, "[;:]|, (?=and |but |which |when |if )"), lambda x: F.trim(x)), lambda c: c != "")
     markers = F.transform(F.regexp_extract_all("sentence", F.lit("\\[([0-9]+)\\]"), F.lit(1)), lambda m: m.cast("int"))
     return s.select("aid", F.col("seq").cast("long").alias("seq"), "sentence", markers.alias("markers"), clauses.alias("clauses"))
 
