@@ -130,3 +130,9 @@ def test_relations_have_the_word_borders_of_sql(spark, said):
     want = duckdb.sql(f"WITH t AS (SELECT 1 AS id, '{said}' AS s), {relation_sql('rel', 't', ['duo', 'solo'])} SELECT id, kind, layer, base, negated, uncertain, states, limits FROM rel").fetchall()
     got = relations.relations(spark.createDataFrame([(1, said)], "id int, s string"), ["duo", "solo"]).select("id", "kind", "layer", "base", "negated", "uncertain", "states", "limits")
     assert [tuple(r) for r in got.collect()] == want != []
+
+
+def test_claim_beside_a_letter_beyond_ascii_is_checked(spark):
+    """Such a relation was in neither the claim nor what it cites."""
+    c = spark.createDataFrame([(1, 0, "Solo over duoü.", "Duo over solo."), (2, 0, "Solo over duo.", "Éduo, and solo over duoü.")], "aid long, seq long, sentence string, cited string")
+    assert [(r.aid, r.note) for r in verification.check_relations(c, ["duo", "solo"]).collect()] == [(1, "solo layer duo")]
