@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,3 +88,42 @@ def test_documents_by_words_in_common_equal_counting_all_pairs(spark, monkeypatc
     want = {q: sorted((-len(set(w) & set(d)), a, u) for u, a, d in docs if d and set(w) & set(d))[:4] for q, w in asks}
     assert {q: b[:4] for q, b in best.items()} == {q: w for q, w in want.items() if w}
     assert got.groupBy("qid").count().agg(F.max("count")).first()[0] <= 4 * 3
+
+
+@pytest.mark.parametrize(("seed", "cap", "large"), [(11, 1, 4_000), (12, 2, 4_000), (13, 3, 7), (14, 200, 7)])
+def test_best_of_each_document_equals_ranking_all_pairs(spark, monkeypatch, seed, cap, large):
+    p, q = tables(spark, seed, hot=True)
+    monkeypatch.setattr(search, "LARGE", large)  # with 7, documents are cut into pieces
+    got = retrieval.best_of_documents(spark.createDataFrame(q, QUERY), spark.createDataFrame(p, PASSAGE).repartition(3), cap)
+    assert {"authority", "source_date", "q_product", "effective"} < set(got.columns)
+    assert sorted((r.qid, r.passage_id, r.score) for r in got.collect()) == sorted((qid, *x) for (qid, _), x in plain(p, q, 10**6, cap).items())
+
+
+def test_best_of_each_document_shuffles_no_pairs(spark):
+    """Pairs are many times the passages, so none may be dealt again."""
+    p, q = tables(spark, 15)
+    df = retrieval.best_of_documents(spark.createDataFrame(q, QUERY), spark.createDataFrame(p, PASSAGE), 1, ["canonical_url", "passage_id"])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Window" not in plan and plan.index("MapInArrow") < plan.index("Exchange")
+    assert df.columns == ["passage_id", "canonical_url", "qid", "q_product", "score", "effective"]
+
+
+def test_equal_scores_leave_few_candidates():
+    """All passages alike: a part gives k a request, and later ones none."""
+    doc = np.arange(400) // 3
+    least, none = np.full(50, -np.inf), lambda of: np.full(len(of), 400)
+    r, j = search._candidates(np.zeros((50, 400)), least, none, doc, 5, 2)
+    assert sorted(zip(r.tolist(), j.tolist())) == [(i, x) for i in range(50) for x in (0, 1, 3, 4, 6)]
+    r, j = search._candidates(np.zeros((50, 400)), np.zeros(50), lambda of: np.zeros(len(of), np.int64), doc, 5, 2)
+    assert len(r) == 0
+    r, j = search._candidates(np.zeros((2, 400)), least[:2], none, np.zeros(400, np.int64), 5, 2)  # one document
+    assert {(0, 0), (0, 1), (1, 0), (1, 1)} <= set(zip(r.tolist(), j.tolist()))
+
+
+@pytest.mark.parametrize(("seed", "k", "cap"), [(21, 3, 3), (22, 5, 2), (23, 4, 1)])
+def test_equal_scores_are_told_apart_by_date_url_and_chunk(spark, seed, k, cap):
+    p, q = tables(spark, seed, many=900, hot=True)
+    p = [(*r[:3], "", 6, *r[5:]) for r in p]
+    q = [(r[0], [0.0], *r[2:]) for r in q]
+    got = retrieval.best(spark.createDataFrame(q, QUERY), spark.createDataFrame(p, PASSAGE).repartition(2), k, cap).collect()
+    assert {(r.qid, r["rank"]): (r.passage_id, r.score) for r in got} == plain(p, [(a, [0.0] * 3, *b) for a, _, *b in q], k, cap)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.text import content_words, same_product, sentences, squash, whole_word, words
 from ..store import materialise
 from .matching import containing
-from .search import bounded, overlapping
+from .search import bounded, of_documents, overlapping
 
 BOOST, AUTHORITY_SPAN, THRESHOLD = 0.15, 0.02, 0.45
 
@@ -63,9 +63,9 @@ def best(queries: DataFrame, passages: DataFrame, k: int = 5, cap: int = 3) -> D
     return ranked(per_document_cap(bounded(queries, passages, k, cap, BOOST, AUTHORITY_SPAN).repartition("qid"), cap), k)
 
 
-def best_of_documents(queries: DataFrame, passages: DataFrame, cap: int = 3) -> DataFrame:
-    """The cap best visible passages of each request and document."""
-    return per_document_cap(bounded(queries, passages, None, cap, BOOST, AUTHORITY_SPAN), cap)
+def best_of_documents(queries: DataFrame, passages: DataFrame, cap: int = 3, columns: list[str] | None = None) -> DataFrame:
+    """The cap best visible passages of each request and document; columns: which of the passages' ones to give (all)."""
+    return of_documents(queries, passages, cap, BOOST, AUTHORITY_SPAN, columns)
 
 
 def visible_counts(queries: DataFrame, passages: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ add("g3_product_boost", lambda s, d: r.visible_counts(q(s, d), p(s, d)).where("b
 add("g4_authority_bonus", lambda s, d: p(s, d).select("passage_id", F.round(r.authority_bonus(F.col("authority")), 6).alias("bonus")), m.PASSAGES, "SELECT passage_id, round((6 - authority) * 0.02::DOUBLE / 6, 6) AS bonus FROM passages")
 add("g5_recency_tiebreak", lambda s, d: r.best(q(s, d).withColumn("embedding", F.array(F.lit(0.0))), p(s, d).withColumns({"authority": F.lit(6), "product": F.lit("")}), 3, 3).select("qid", "rank", "passage_id"), m.PASSAGES, m.QUERIES,
     "SELECT qid, rank, passage_id FROM (SELECT qid, passage_id, row_number() OVER (PARTITION BY qid ORDER BY source_date DESC, canonical_url, chunk_index) AS rank FROM passages JOIN queries ON list_contains(audiences, audience)) WHERE rank <= 3")
-add("g6_per_document_cap", lambda s, d: r.best_of_documents(q(s, d), p(s, d), 1).select("qid", "canonical_url", "passage_id"), m.PASSAGES, m.QUERIES, SCORED, f"SELECT qid, canonical_url, passage_id FROM scored QUALIFY row_number() OVER (PARTITION BY qid, canonical_url ORDER BY {_ORDER}) = 1")
+add("g6_per_document_cap", lambda s, d: r.best_of_documents(q(s, d), p(s, d), 1, ["canonical_url", "passage_id"]).select("qid", "canonical_url", "passage_id"), m.PASSAGES, m.QUERIES, SCORED, f"SELECT qid, canonical_url, passage_id FROM scored QUALIFY row_number() OVER (PARTITION BY qid, canonical_url ORDER BY {_ORDER}) = 1")
 _wide = lambda s, d, k: r.topk(q(s, d), p(s, d), k, k)
 _W = lambda k: f"wide AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY {_ORDER}) AS rank FROM scored QUALIFY rank <= {k})"
 _SQUASH = "lower(trim(regexp_replace(content, '[ \\t\\r\\n]+', ' ', 'g'), ' '))"
