@@ -63,3 +63,25 @@ def test_rows_that_repeat_a_doc_id_in_a_split_region(spark):
     for leaf in (2, 2048):
         got = {r.doc_id: r.component_id for r in jaccard_join.near_duplicate_classes(d, leaf=leaf).collect()}
         assert got[50] == got[7]
+
+
+def test_documents_that_differ_alike_are_not_split_again_and_again(spark, monkeypatch):
+    """They meet in the cells of the same differences at every round; regions that don't halve go by blocks."""
+    rng, base, texts = random.Random(9), [f"w{i}" for i in range(60)], []
+    for _ in range(90):
+        w = list(base)
+        for at in range(3, 60, 6):
+            w[at] = rng.choice([w[at], f"e{at}"])
+        texts.append(" ".join(w))
+    shingles = [{tuple(t.split()[i : i + 4]) for i in range(57)} for t in texts]
+    name = list(range(90))
+    for i in range(90):
+        for j in range(i):
+            if 100 * len(shingles[i] & shingles[j]) >= 85 * len(shingles[i] | shingles[j]):
+                name = [min(name[i], name[j]) if c in (name[i], name[j]) else c for c in name]
+    dealt, deal = [], jaccard_join._deal
+    monkeypatch.setattr(jaccard_join, "_deal", lambda *a: dealt.append(deal(*a)) or dealt[-1])
+    got = jaccard_join.near_duplicate_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), leaf=8)
+    assert [r.component_id for r in got.orderBy("doc_id").collect()] == name
+    large = [df.where("large").count() for df in dealt]
+    assert large[0] > 0 and all(2 * b <= a for a, b in zip(large, large[1:-1]))

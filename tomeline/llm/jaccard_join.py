@@ -36,6 +36,9 @@ close at all, and pivots work within them.
      cells of the shingles in which they differ from the pivot; how long a prefix is needed
      follows from the overlap needed.  These cells are put together by their pivots again and
      are the regions of the next round.
+6. Documents that differ from their pivots alike meet again and again, so once a round doesn't halve
+   the rows of large regions, these are cut into blocks by size.  Any two blocks whose sizes fit
+   are joined in one task: texts grow with the blocks of a region, and a task with neither.
 
 Every link between different texts is found or implied by links found, so components
 are exact.  Links are decided on whole sets, computed again from the texts.
@@ -75,7 +78,7 @@ LEAF, SHINGLES, WORK = 2048, 2**22, 2**31
 FEW = 8
 SAMPLED = 8
 INNER = 0.5
-#: Rounds in which regions with the same pivot are put together wherever they come from, later only within their own.
+#: Regions are split so many times at most, and only while the rows of large ones at least halve; then they are taken by blocks.
 ROUNDS = 6
 PIECE = 1024
 #: A shingle is very frequent if its counter is so much above the mean counter.
@@ -456,12 +459,11 @@ def _voronoi(k: int, percent: int, counts):
     return run
 
 
-def _by_pivot(rows: DataFrame, member: str, *more, within: bool = False) -> DataFrame:
-    """Cells (cell, member, more), and parent if within: those with the same pivot (the member with the least hash) are one
-    region, or those of the same parent if within: (region, member, more)."""
+def _by_pivot(rows: DataFrame, member: str, *more) -> DataFrame:
+    """Cells (cell, member, more): those with the same pivot (the member with the least hash) are one
+    region: (region, member, more)."""
     pivot = rows.groupBy("cell").agg(F.min(F.struct(F.xxhash64(member), member)).alias("pivot"), F.count("*").alias("size")).where("size > 1")
-    region = F.xxhash64("parent", f"pivot.{member}") if within else F.col(f"pivot.{member}")
-    return rows.join(pivot, "cell").select(region.alias("region"), member, *more)
+    return rows.join(pivot, "cell").select(F.col(f"pivot.{member}").alias("region"), member, *more)
 
 
 def _regions(docs: DataFrame, sets: DataFrame, counts, k: int, percent: int, leaf: int, frequent: int) -> DataFrame:
@@ -497,7 +499,7 @@ def _links_within(small: DataFrame, texts: DataFrame, k: int, percent: int) -> D
     return whole.repartition(n, "region").sortWithinPartitions("region").mapInArrow(_within(k, percent), "u long, v long")
 
 
-def _split(large: DataFrame, texts: DataFrame, counts, k: int, percent: int, within: bool) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+def _split(large: DataFrame, texts: DataFrame, counts, k: int, percent: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """Regions for several tasks: -> links with the hubs, rows (region, doc_id, n, component) of the regions in
     which the others meet, and the tables to remove once these rows are written."""
     n = int(large.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -525,34 +527,54 @@ def _split(large: DataFrame, texts: DataFrame, counts, k: int, percent: int, wit
     rest = rest.withColumn("component", F.when(F.col("linked"), F.least("linked_c", "hubs")).otherwise(F.col("component")))
     rest = rest.withColumn("prefix", (F.size("differs") - overlap + 1).cast("int")).where("prefix > 0")
     each = rest.select("region", "doc_id", "n", "component", "native", F.explode(F.slice("differs", F.lit(1), F.col("prefix"))).alias("shingle"))
-    each = materialise(each.select(F.xxhash64("region", "shingle").alias("cell"), F.col("region").alias("parent"), "doc_id", "n", "component", "native"), "cells")
+    each = materialise(each.select(F.xxhash64("region", "shingle").alias("cell"), "doc_id", "n", "component", "native"), "cells")
     # A cell in which all are connected, or all are replicas, has nothing left to do.
     open_ = each.groupBy("cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("native").alias("own")).where("lo < hi and own").select("cell")
     cells, each = each, materialise(each.join(open_, "cell"), "cells")
     discard(cells)
-    rows = _by_pivot(each, "doc_id", "n", "component", within=within).groupBy("region", "doc_id", "n").agg(F.min("component").alias("component"))
+    rows = _by_pivot(each, "doc_id", "n", "component").groupBy("region", "doc_id", "n").agg(F.min("component").alias("component"))
     return links, rows, [held, each]
 
 
+def _blocks(large: DataFrame, percent: int, leaf: int) -> DataFrame:
+    """Rows (region, doc_id) of regions for one task, in which any two documents of a large region meet
+    whose sizes fit: its documents in order of size are cut into blocks, and two blocks are a region."""
+    weight = F.greatest(F.lit(2.0 / leaf), F.col("n") / (SHINGLES / 2), F.sqrt("n") / (WORK / 4) ** 0.5)
+    before = W.partitionBy("region").orderBy("n", "doc_id").rowsBetween(W.unboundedPreceding, -1)
+    block = F.floor(F.coalesce(F.sum(weight).over(before), F.lit(0.0)))
+    rows = materialise(large.select("region", "doc_id", "n", block.alias("block")), "blocks")
+    ends = rows.groupBy("region", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    a, b = ends.select("region", F.col("block").alias("a"), "hi"), ends.select("region", F.col("block").alias("b"), "lo")
+    pairs = a.join(b, "region").where((F.col("a") < F.col("b")) & (percent * F.col("lo") <= 100 * F.col("hi"))).select("region", "a", "b")
+    both = pairs.select("region", "a", "b", F.explode(F.array("a", "b")).alias("block"))
+    alone = ends.join(both.select("region", "block"), ["region", "block"], "left_anti").select("region", F.col("block").alias("a"), F.col("block").alias("b"), "block")
+    return both.unionByName(alone).join(rows, ["region", "block"]).select(F.xxhash64("region", "a", "b").alias("region"), "doc_id")
+
+
 def _region_links(regions: DataFrame, texts: DataFrame, counts, k: int, percent: int, leaf: int) -> DataFrame:
     """Links that connect the linked documents of all regions."""
     if regions.where("large").isEmpty():
         return _links_within(regions, texts, k, percent)
     texts = materialise(texts, "texts")
-    links = None
-    rounds = 0
-    while True:
-        found = _links_within(regions.where("not large"), texts, k, percent)
-        links = found if links is None else links.unionByName(found)
-        large = regions.where("large")
-        if large.isEmpty():
-            return links
-        # A Voronoi region has lost its hub, so regions put together within it get smaller for sure: the rounds end.
-        more, rows, done = _split(large, texts, counts, k, percent, within=rounds >= ROUNDS)
-        links = links.unionByName(more)
-        regions = _deal(rows, percent, leaf)
-        discard(*done)
-        rounds += 1
+    todo = regions.where("not large").select("region", "doc_id")
+    links, rounds = None, 0
+    while not (large := regions.where("large")).isEmpty():
+        many = large.count()
+        if rounds < ROUNDS:
+            more, rows, done = _split(large, texts, counts, k, percent)
+            dealt = _deal(rows, percent, leaf)
+            discard(*done)
+            rounds += 1
+            if 2 * dealt.where("large").count() <= many:
+                links = more if links is None else links.unionByName(more)
+                regions = dealt
+                todo = todo.unionByName(regions.where("not large").select("region", "doc_id"))
+                continue
+        # Documents that differ from their pivots alike would meet again and again.
+        todo = todo.unionByName(_blocks(large, percent, leaf))
+        break
+    found = _links_within(todo, texts, k, percent)
+    return found if links is None else links.unionByName(found)
 
 
 def join_sets(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT, leaf: int = LEAF, frequent: int = FREQUENT) -> tuple[DataFrame, DataFrame]:
